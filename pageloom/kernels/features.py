@@ -152,7 +152,7 @@ def _kernel(one: Callable[[str], dict], schema: str) -> Callable[[Column], Colum
         for batch in batches:
             rows = [one(h) if isinstance(h, str) and h else None for h in batch]
             names = names or list(one("<p>").keys())
-            yield pd.DataFrame([r or {} for r in rows], columns=names, dtype=object)
+            yield pd.DataFrame({n: pd.Series([r and r[n] for r in rows], dtype=object) for n in names})
 
     return run
 

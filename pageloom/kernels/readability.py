@@ -81,13 +81,19 @@ def _best(dom: Dom, gone: list[bool]) -> list[int]:
     return chosen
 
 
+def _chrome(dom: Dom, i: int) -> bool:
+    """A block with few commas that is mostly links, or partly links under names that don't speak for it."""
+    density = _link_density(dom, i)
+    return density > 0.2 and dom.text(i).count(",") < 10 and (density > 0.5 or _class_weight(dom, i) < 25)
+
+
 def _kept(dom: Dom, roots: list[int], gone: list[bool]) -> list[int]:
     """Elements of the result: link-heavy lists and low-weight headings go, with all inside them."""
     out = []
     for root in roots:
         i = root
         while i < dom.ends[root]:
-            heavy = dom.tags[i] in ("ul", "ol", "div", "table") and i != root and dom.length(i) < 1000 and _link_density(dom, i) > 0.5
+            heavy = i != root and dom.tags[i] in ("ul", "ol", "div", "table", "section") and _chrome(dom, i)
             faint = dom.tags[i] in HEADINGS and (_class_weight(dom, i) < 0 or _link_density(dom, i) > 0.33)
             if gone[i] or heavy or faint:
                 i = dom.ends[i]
