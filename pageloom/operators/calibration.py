@@ -12,8 +12,8 @@ EXACT_NOTE = "substring match"
 
 
 def approved(reviews: DataFrame) -> DataFrame:
-    """Pairs to keep: not rejected, with the reviewer's edit in place of the generated one where there is one."""
-    return reviews.where("decision <> 'reject'").withColumn("pair", F.coalesce("edited_pair", "generated_pair")).where("pair is not null")
+    """Pairs to keep: not rejected, in the form the reviewer left them."""
+    return reviews.where("decision <> 'reject' and edited_pair is not null").withColumn("pair", F.col("edited_pair"))
 
 
 def grade(answer: Column, truth: Column) -> Column:

@@ -95,7 +95,7 @@ def test_grading(spark):
 
 
 def test_reviews(spark):
-    rows = spark.createDataFrame([(1, "accept", "g", None), (2, "reject", "g", None), (3, "edit", "g", "e"), (4, "edit", None, None)], "i int, decision string, generated_pair string, edited_pair string")
+    rows = spark.createDataFrame([(1, "accept", "g", "g"), (2, "reject", "g", None), (3, "edit", "g", "e"), (4, "edit", "g", None)], "i int, decision string, generated_pair string, edited_pair string")
     assert [(r["i"], r["pair"]) for r in calibration.approved(rows).orderBy("i").collect()] == [(1, "g"), (3, "e")]
 
 
