@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,18 +29,27 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
     return df.toDF(*new), {n: new[old.index(n)] for n in old}, old
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation of its lineage.
-
-    The folder is ``spark.checkpoint.dir``; only a session without it gets a folder of its own (local tests).
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, from ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pageloom-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pageloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that a lost executor costs no recomputation of its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for wide rows that are read several times."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint if ``rows`` (counted by the caller) is within BROADCAST_ROWS, else ``df`` for a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
