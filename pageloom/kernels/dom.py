@@ -35,6 +35,10 @@ class Dom(HTMLParser):
         for t in self.texts:
             self.lengths.append(self.lengths[-1] + len(t.strip()))
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Line numbers are of no use here."""
+        return j
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         i = len(self.tags)
         self.tags.append(tag)

@@ -78,8 +78,8 @@ def hints(dom: Dom) -> dict:
     return {k: k in seen for k in ("has_markdown_alternate", "has_markdown_url_meta", "has_llm_hints", "has_llms_txt_ref", "has_non_html_alternate")} | {"details": details}
 
 
-def features(html: str) -> dict:
-    dom = Dom(html)
+def features(html: str | Dom) -> dict:
+    dom = html if isinstance(html, Dom) else Dom(html)
     heads = dom.find_all(*HEADINGS)
     primary = next((found[0] for s in PRIMARY if (found := _select(dom, s))), None)
     body = dom.first("body")
@@ -128,8 +128,8 @@ def features(html: str) -> dict:
     }
 
 
-def readable(html: str) -> dict:
-    dom = Dom(html)
+def readable(html: str | Dom) -> dict:
+    dom = html if isinstance(html, Dom) else Dom(html)
     got = readability.extract(dom)
     main = next((i for t in ("main", "article") if (i := dom.first(t)) is not None), None)
     words = lambda text: text.lower().split()[:200]
@@ -162,6 +162,12 @@ def with_features(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("f", _kernel(features, FEATURES)(html))
 
 
+def _both(html: str) -> dict:
+    dom = Dom(html)
+    return {"f": features(dom), "r": readable(dom)}
+
+
 def with_readable(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds ``r``, kept apart so that queries without extraction don't pay for it."""
-    return pages.withColumn("r", _kernel(readable, READABLE)(html))
+    """Adds ``f`` and ``r`` from one parse; queries without extraction use ``with_features`` and don't pay for it."""
+    both = pages.withColumn("both", _kernel(_both, f"struct<f {FEATURES}, r {READABLE}>")(html))
+    return both.select("*", "both.f", "both.r").drop("both")

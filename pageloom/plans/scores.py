@@ -20,8 +20,7 @@ def spread(pages: DataFrame) -> DataFrame:
 
 
 def page_features(pages: DataFrame, extraction: bool = False) -> DataFrame:
-    out = with_features(spread(pages))
-    return with_readable(out) if extraction else out
+    return with_readable(spread(pages)) if extraction else with_features(spread(pages))
 
 
 def pillar_columns(extraction: bool, http: Column | None = None, axe: Column | None = None) -> dict[str, Column]:
