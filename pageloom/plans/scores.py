@@ -14,9 +14,11 @@ from pageloom.operators import pillars, scoring
 
 
 def spread(pages: DataFrame) -> DataFrame:
-    """Pages over all cores before the kernel: a small table arrives as one partition, a large one stays as scanned."""
+    """Pages over all cores before the kernel: a small scan arrives as one partition, a large or shuffled one stays."""
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+    if pages._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan" or pages.rdd.getNumPartitions() >= cores:
+        return pages
+    return pages.repartition(cores)
 
 
 def page_features(pages: DataFrame, extraction: bool = False) -> DataFrame:
