@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -15,6 +16,11 @@ def parser() -> argparse.ArgumentParser:
     pages = argparse.ArgumentParser(add_help=False)
     pages.add_argument("pages", help="parquet of page_id, url, html")
     pages.add_argument("--out", required=True)
+    c = sub.add_parser("crawl", help="replay recorded responses (JSON lines of url, status, html) as a pages table")
+    c.add_argument("records", nargs="+")
+    c.add_argument("--out", required=True)
+    t = sub.add_parser("study", help="rows of a study's tables below a folder")
+    t.add_argument("--root", required=True)
     sub.add_parser("parse", parents=[pages])
     for name in ("score", "express"):
         p = sub.add_parser(name, parents=[pages])
@@ -40,7 +46,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("pageloom").getOrCreate()
-    if args.command == "parse":
+    if args.command == "crawl":
+        spark.dataSource.register(readers.Recorded)
+        rows = spark.read.format("recorded_crawl").option("paths", ",".join(args.records)).load().where("status between 200 and 399")
+        writers.write_table(rows.select(F.monotonically_increasing_id().alias("page_id"), "url", "html"), args.out)
+    elif args.command == "study":
+        for name in ("pages", "pairs", "reviews", "answers", "grades"):
+            path = f"{args.root}/{name}.parquet"
+            print(name, spark.read.parquet(path).count() if os.path.exists(path) else "none")
+    elif args.command == "parse":
         writers.write_table(page_features(spark.read.parquet(args.pages)).drop("html"), args.out)
     elif args.command in ("score", "express"):
         modes = ("raw", "rendered") if args.render_mode == "both" else (args.render_mode,)

@@ -173,6 +173,11 @@ def redirect_class(n: Column, ms: Column) -> Column:
     return F.when(n == 0, "optimal").when((n <= 2) & (ms < 500), "good").when((n <= 4) & (ms < 1000), "moderate").when(n <= 6, "poor").otherwise("critical")
 
 
+def revisits(targets: Column) -> Column:
+    """Whether a redirect walk comes to a target twice, where it stops."""
+    return F.size(F.array_distinct(targets)) < F.size(targets)
+
+
 def crawl_permissions(robots_known: Column, blocked: Column) -> Column:
     """robots_known: whether robots.txt could be asked for; blocked: its answer for the page's path."""
     meta = F.when(f("meta_robots").contains("noindex"), 0).when(f("meta_robots").contains("nofollow"), 10).otherwise(12)

@@ -157,7 +157,8 @@ EFFICIENCY = f"""(CASE WHEN len(chain) = 0 THEN 25 WHEN len(chain) <= 2 THEN 20
   + CASE WHEN len(chain) = 0 THEN {dbl(10)} ELSE len(list_filter(chain, lambda c: c IN (301, 302, 303, 307, 308))) / CAST(len(chain) AS DOUBLE) * {dbl(10)} END
   + CASE WHEN final_ms > 0 THEN least({dbl(5)}, greatest({dbl(5)} - redirect_ms / (redirect_ms + final_ms) * {dbl(10)}, {dbl(0)})) ELSE {dbl(5)} END)"""
 REDIRECTS = f"""WITH {HOPS} SELECT page_id, CAST(len(chain) AS INTEGER) AS hops, {EFFICIENCY} AS efficiency,
-  CASE WHEN len(chain) = 0 THEN 'optimal' WHEN len(chain) <= 2 AND redirect_ms < 500 THEN 'good' WHEN len(chain) <= 4 AND redirect_ms < 1000 THEN 'moderate' WHEN len(chain) <= 6 THEN 'poor' ELSE 'critical' END AS class FROM crawl"""
+  CASE WHEN len(chain) = 0 THEN 'optimal' WHEN len(chain) <= 2 AND redirect_ms < 500 THEN 'good' WHEN len(chain) <= 4 AND redirect_ms < 1000 THEN 'moderate' WHEN len(chain) <= 6 THEN 'poor' ELSE 'critical' END AS class,
+  len(list_distinct(chain)) < len(chain) AS revisits FROM crawl"""
 HTTP_PARTS = {
     "reachability": "CAST(CASE WHEN status = 200 THEN 15 WHEN status IN (301, 302, 307, 308) THEN 11 WHEN status > 0 AND status < 400 THEN 8 ELSE 0 END AS DOUBLE)",
     "redirects": EFFICIENCY,

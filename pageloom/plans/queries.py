@@ -122,7 +122,7 @@ def crawl_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redirect_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = crawl_chains(spark, sf_dir)
-    return rows.select("page_id", F.size("chain").alias("hops"), pillars.redirect_efficiency(F.col("chain"), F.col("redirect_ms"), F.col("final_ms")).alias("efficiency"), pillars.redirect_class(F.size("chain"), F.col("redirect_ms")).alias("class"))
+    return rows.select("page_id", F.size("chain").alias("hops"), pillars.redirect_efficiency(F.col("chain"), F.col("redirect_ms"), F.col("final_ms")).alias("efficiency"), pillars.redirect_class(F.size("chain"), F.col("redirect_ms")).alias("class"), pillars.revisits(F.col("chain")).alias("revisits"))
 
 
 def redirect_status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_lines(df: DataFrame, column: str, path: str) -> None:
+    """One value a line: a url set."""
+    df.select(column).write.mode("overwrite").text(path)
+
+
 def markdown(df: DataFrame, most: int = 200) -> str:
     """A table of at most ``most`` rows: reports show the head of a sorted result."""
     rows = df.limit(most).collect()

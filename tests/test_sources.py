@@ -46,6 +46,15 @@ def test_recorded_source(spark, tmp_path):
     assert sorted((r["url"], r["status"]) for r in rows.collect()) == [("u", 200), ("v", 0)]
 
 
+def test_crawl_command_replays_records(spark, tmp_path, capsys):
+    (tmp_path / "r.jsonl").write_text('{"url": "u", "status": 200, "html": "<p>"}\n{"url": "v", "status": 404}\n')
+    assert cli.main(["crawl", str(tmp_path / "r.jsonl"), "--out", str(tmp_path / "pages.parquet")], spark) == 0
+    assert [r["url"] for r in spark.read.parquet(str(tmp_path / "pages.parquet")).collect()] == ["u"]
+    writers.write_lines(spark.read.parquet(str(tmp_path / "pages.parquet")), "url", str(tmp_path / "set"))
+    assert readers.url_list(spark, str(tmp_path / "set")).count() == 1
+    assert cli.main(["study", "--root", str(tmp_path)], spark) == 0 and "pages 1" in capsys.readouterr().out
+
+
 def test_express_writes_scores_and_report(spark, small, tmp_path, capsys):
     out = str(tmp_path / "scores")
     assert cli.main(["express", f"{small}/pages.parquet", "--out", out, "--render-mode", "both"], spark) == 0
