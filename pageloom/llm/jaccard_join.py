@@ -10,10 +10,11 @@ for any such order; it only decides how few candidates they leave.
 
 Join: a class of n grams has a prefix of ``n - ceil(t n) + 1`` grams, and classes that link share one.  Many near
 copies share whole prefixes, so pairs are not formed within a gram.  First each class is verified against one pivot,
-the smallest class of a gram, that it shares most grams with; the links contract dense groups.  Then only pairs from
-different components are formed, on one side without each gram's largest component, and pass the length, positional
-and suffix filters (the suffix filter compares counts in 32 hash ranges: their differences bound the symmetric
-difference).  Each remaining pair is verified once, on whole sets.  No link that changes a component is lost, and
+the nearest of the smallest classes of its grams; the links contract dense groups.  Then only pairs from different
+components are formed, on one side without each gram's largest component, and pass the length, positional and suffix
+filters (the suffix filter compares parity bits and counts in 32 hash ranges: both bound the symmetric difference from
+below).  Of these the nearest of each class are verified, and then all that are still in different components, each
+pair once, on whole sets.  No link that changes a component is lost, and
 no group of copies is expanded into its pairs.
 
 Words are runs of anything but ASCII white space, with A-Z lower-cased.  A text with fewer than n words is one gram of
@@ -28,51 +29,95 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pageloom.llm.common import durable, isolate, numbered, parallel, small_side
 
 #: Defaults of near-duplicate stages.
 WORDS, PERCENT = 5, 80
 
-HEAVY, HEAVY_LOCAL, BLOCK_GRAMS, RANGES = 1 << 18, 3, 1 << 22, 32
+HEAVY, HEAVY_LOCAL, BLOCK_GRAMS, RANGES, LOCAL_LINKS = 1 << 18, 3, 1 << 22, 32, 100_000
+
+#: Parity bits of a set, and the columns of their fold to 256.
+BITS, MARKS = 2048, ("m0", "m1", "m2", "m3")
 
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
+#: A random value for each byte, the same for both cases of a letter; and which bytes are white space.
+_BYTES = np.random.default_rng(2024).integers(0, 1 << 63, 256, np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+class _Powers:
+    """Powers of an odd base modulo 2^64 and their inverses, grown to the longest text seen."""
+
+    BASE = 0x9E3779B97F4A7C15
 
-class _Words(dict):
-    """Word -> 64-bit hash; remembers up to MOST words."""
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
 
-    MOST = 400_000
+    def to(self, n: int) -> None:
+        if n > len(self.up):
+            size = max(2 * len(self.up), n)
+            inverse = pow(self.BASE, -1, 1 << 64)
+            run = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                self.up, self.down = run(self.BASE), run(inverse)
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < self.MOST:
-            self[word] = value
-        return value
 
+_powers = _Powers()
 
-_words = _Words()
 
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of each word of a text's bytes, from one running sum."""
+    blank = _SPACE[data]
+    edge = np.flatnonzero(np.diff(blank))
+    if not len(data) or (not len(edge) and blank[0]):
+        return np.zeros(0, np.uint64)
+    starts, ends = edge[blank[edge]] + 1, edge[~blank[edge]] + 1
+    if not blank[0]:
+        starts = np.concatenate([[0], starts])
+    if not blank[-1]:
+        ends = np.append(ends, len(data))
+    _powers.to(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * _powers.up[: len(data)], dtype=np.uint64)])
+        h = (sums[ends] - sums[starts]) * _powers.down[starts]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(_FACTORS[2])
+    return h ^ (h >> np.uint64(29))
 
-def gram_set(text: str | None, n: int) -> np.ndarray:
+
+def gram_set(text: str | bytes | np.ndarray | None, n: int) -> np.ndarray:
     """The sorted distinct n-grams of a whole text."""
-    words = text.encode().lower().split() if text else []
-    if not words:
+    if text is None:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    size = min(n, len(words))
+    if not isinstance(text, np.ndarray):
+        text = np.frombuffer(text.encode() if isinstance(text, str) else text, np.uint8)
+    hashes = word_hashes(text)
+    if not len(hashes):
+        return hashes
+    size = min(n, len(hashes))
     with np.errstate(over="ignore"):
-        grams = np.full(len(words) - size + 1, size, np.uint64)
+        grams = np.full(len(hashes) - size + 1, size, np.uint64)
         for k in range(size):
             grams = (grams ^ hashes[k : len(hashes) - size + 1 + k]) * np.uint64(_FACTORS[k % 3])
             grams ^= grams >> np.uint64(29)
         grams = (grams ^ (grams >> np.uint64(32))) * np.uint64(_FACTORS[1])
-    grams ^= grams >> np.uint64(31)
-    return np.unique(grams)
+    grams = np.sort(grams ^ (grams >> np.uint64(31)))
+    return grams[np.concatenate([[True], grams[1:] != grams[:-1]])]
+
+
+def texts_of(column: pa.Array) -> Iterator[np.ndarray | None]:
+    """The bytes of each text, without a copy."""
+    wide = column.cast(pa.large_binary())
+    _, offsets, data = wide.buffers()
+    at = np.frombuffer(offsets, np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    null = wide.is_null().to_numpy(zero_copy_only=False)
+    return (None if null[i] else held[at[i] : at[i + 1]] for i in range(len(wide)))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -89,11 +134,13 @@ def ordered_prefix(grams: np.ndarray, percent: int, heavy: np.ndarray, counts: n
     want = prefix_length(len(grams), percent)
     if not len(heavy):
         return grams[:want]
-    at = np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)
-    frequent = heavy[at] == grams
-    light = grams[~frequent]
-    if len(light) >= want:
-        return light[:want]
+    for look in (min(len(grams), want + want // 4 + 8), len(grams)):
+        head = grams[:look]
+        at = np.minimum(np.searchsorted(heavy, head), len(heavy) - 1)
+        frequent = heavy[at] == head
+        light = head[~frequent]
+        if len(light) >= want:
+            return light[:want]
     rest, rank = grams[frequent], counts[at[frequent]]
     return np.concatenate([light, rest[np.lexsort((rest, rank))][: want - len(light)]])
 
@@ -103,9 +150,11 @@ def _key(grams: np.ndarray) -> bytes | None:
 
 
 def _frequent(block: list[np.ndarray]) -> bytes:
-    grams, counts = np.unique(np.concatenate(block), return_counts=True)
+    grams = np.sort(np.concatenate(block))
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    counts = np.diff(np.append(first, len(grams)))
     many = counts > HEAVY_LOCAL
-    return np.stack([grams[many], counts[many].astype(np.uint64)]).tobytes()
+    return np.stack([grams[first[many]], counts[many].astype(np.uint64)]).tobytes()
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
@@ -116,7 +165,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
         for frame in frames:
             sizes, found = [], []
             counted = []
-            for text in frame["text"].to_pylist():
+            for text in texts_of(frame["text"]):
                 grams = gram_set(text, n)
                 key = _key(grams)
                 sizes.append(len(grams))
@@ -160,32 +209,36 @@ def heavy_grams(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def classes(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """sid, key, n, ranges and prefix of each distinct set that can link with another."""
+    """sid, key, n, ranges, parity bits and prefix of each distinct set that can link with another."""
     table = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            keys, sizes, ranges, prefixes = [], [], [], []
-            for text in frame["text"].to_pylist():
+            keys, sizes, ranges, prefixes, bits = [], [], [], [], []
+            for text in texts_of(frame["text"]):
                 grams = gram_set(text, n)
                 if can_link(len(grams), percent):
                     keys.append(_key(grams))
                     sizes.append(len(grams))
-                    ranges.append(np.bincount((grams >> np.uint64(59)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                    ranges.append(np.minimum(np.bincount((grams >> np.uint64(59)).astype(np.int64), minlength=RANGES), 127).astype(np.int8))
+                    bits.append(np.packbits(np.bincount((grams & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view(np.int64))
                     prefixes.append(ordered_prefix(grams, percent, *table.value).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(ranges, pa.list_(pa.int32())), pa.array(prefixes, pa.list_(pa.int64()))], ["key", "n", "ranges", "prefix"])
+            odd = np.bitwise_xor.reduce(np.array(bits, np.int64).reshape(len(bits), -1, len(MARKS)), axis=1).T.copy() if bits else np.zeros((len(MARKS), 0), np.int64)
+            columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(ranges, pa.list_(pa.int8())), pa.array(bits, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), *map(pa.array, odd)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "ranges", "bits", "prefix", *MARKS])
 
-    found = docs.mapInArrow(batches, "key binary, n int, ranges array<int>, prefix array<long>").dropDuplicates(["key"])
-    return found.select(F.monotonically_increasing_id().alias("sid"), "key", "n", "ranges", "prefix")
+    kinds = ", ".join(f"{m} long" for m in MARKS)
+    found = docs.mapInArrow(batches, f"key binary, n int, ranges array<tinyint>, bits array<long>, prefix array<long>, {kinds}").dropDuplicates(["key"])
+    return found.select(F.monotonically_increasing_id().alias("sid"), "key", "n", "ranges", "bits", "prefix", *MARKS)
 
 
 def sets_of(docs: DataFrame, n: int, percent: int, wanted: DataFrame) -> DataFrame:
-    """sid and grams of the classes in ``wanted`` (sid, key)."""
+    """sid and grams of the classes in ``wanted`` (sid, key), read once more from the texts."""
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             keys, sets = [], []
-            for text in frame["text"].to_pylist():
+            for text in texts_of(frame["text"]):
                 grams = gram_set(text, n)
                 if can_link(len(grams), percent):
                     keys.append(_key(grams))
@@ -196,8 +249,10 @@ def sets_of(docs: DataFrame, n: int, percent: int, wanted: DataFrame) -> DataFra
     return every.join(small_side(wanted, wanted.count()), "key").dropDuplicates(["sid"]).select("sid", "grams")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+def verified(docs: DataFrame, pairs: DataFrame, key: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets."""
+    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(key, "sid"))
+    sets = sets_of(docs, n, percent, wanted)  # one exchange by sid serves both sides
     left = sets.select(F.col("sid").alias("a"), F.col("grams").alias("grams_a"))
     right = sets.select(F.col("sid").alias("b"), F.col("grams").alias("grams_b"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
@@ -205,9 +260,31 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (its smallest member) of every node of ``edges`` (a, b), by alternating large and small stars."""
+def _union(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and root of a graph that fits one task."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for frame in frames:
+        for a, b in zip(frame["a"].to_pylist(), frame["b"].to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
+def components(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
+    """node and root (its smallest member) of every node of ``edges`` (a, b).
+
+    Up to ``local`` links are joined in one task, whose memory that bounds; more by alternating large and small stars.
+    """
     edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    if edges.count() <= local:
+        return edges.coalesce(1).mapInArrow(_union, "node long, root long")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -231,22 +308,60 @@ def crossing_pairs(open_: DataFrame, classes_: DataFrame, percent: int) -> DataF
     ``open_``: gram, sid, n, pos (from 1), c (component).
     """
     split = open_.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram")
-    rows = durable(open_.join(split, "gram"))
+    rows = durable(open_.join(split, "gram").join(classes_.select("sid", *MARKS), "sid"))
     largest = rows.groupBy("gram", "c").agg(F.count("*").alias("held")).groupBy("gram").agg(F.max_by("c", F.struct("held", "c")).alias("main"))
-    side = lambda mark: [F.col(x).alias(f"{x}_{mark}") for x in ("sid", "n", "pos", "c")]
+    side = lambda mark: [F.col(x).alias(f"{x}_{mark}") for x in ("sid", "n", "pos", "c", *MARKS)]
     left = rows.join(largest, "gram").where("c <> main").select("gram", "main", *side("x"))
     right = rows.select("gram", *side("y"))
-    needed = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100.0 + percent) - 1e-9)
-    length = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    place = 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed
+    place = 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= _needed("x", "y", percent)
     once = (F.col("c_y") == F.col("main")) | (F.col("sid_x") < F.col("sid_y"))
-    pairs = left.join(right, "gram").where((F.col("c_x") != F.col("c_y")) & once & length & place)
+    pairs = left.join(right, "gram").where((F.col("c_x") != F.col("c_y")) & once & _length("x", "y", percent) & place & _parity("x", "y", percent))
     pairs = pairs.select(F.greatest("sid_x", "sid_y").alias("a"), F.least("sid_x", "sid_y").alias("b")).distinct()
-    shape = lambda mark: classes_.select(F.col("sid").alias(mark), F.col("n").alias(f"n_{mark}"), F.col("ranges").alias(f"ranges_{mark}"))
-    apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    sum_ = F.col("n_a") + F.col("n_b")
-    suffix = apart <= sum_ - 2 * F.ceil(sum_ * percent / (100.0 + percent) - 1e-9)
-    return pairs.join(shape("a"), "a").join(shape("b"), "b").where(suffix).select("a", "b")
+    return alike(pairs, classes_, percent)
+
+
+def _needed(x: str, y: str, percent: int) -> Column:
+    """Shared grams that a link of sets of these sizes takes."""
+    return F.ceil((F.col(f"n_{x}") + F.col(f"n_{y}")) * percent / (100.0 + percent) - 1e-9)
+
+
+def _length(x: str, y: str, percent: int) -> Column:
+    return 100 * F.least(f"n_{x}", f"n_{y}") >= percent * F.greatest(f"n_{x}", f"n_{y}")
+
+
+def _room(x: str, y: str, percent: int) -> Column:
+    """Grams of either set that the other may lack."""
+    return F.col(f"n_{x}") + F.col(f"n_{y}") - 2 * _needed(x, y, percent)
+
+
+def _parity(x: str, y: str, percent: int) -> Column:
+    """Differing parity bits are at most the grams that only one set has."""
+    bits = [F.bit_count(F.col(f"{m}_{x}").bitwiseXOR(F.col(f"{m}_{y}"))) for m in MARKS]
+    return bits[0] + bits[1] + bits[2] + bits[3] <= _room(x, y, percent)
+
+
+def alike(pairs: DataFrame, classes_: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the length and suffix filters let through, and ``gap``, the parity bits that differ."""
+    shape = lambda mark: classes_.select(F.col("sid").alias(mark), *(F.col(x).alias(f"{x}_{mark}") for x in ("n", "ranges", "bits")))
+    apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+    gap = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    room = _room("a", "b", percent)
+    rows = pairs.join(shape("a"), "a").join(shape("b"), "b").where(_length("a", "b", percent) & (apart <= room))
+    return rows.select("a", "b", gap.alias("gap"), room.alias("room")).where("gap <= room").select("a", "b", "gap")
+
+
+def best_partners(pairs: DataFrame) -> DataFrame:
+    """Of (a, b, gap) the nearest partner of each class, on either side."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
+    best = both.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b"))
+    return best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose classes are in different components."""
+    root = lambda mark: roots.select(F.col("node").alias(mark), F.col("root").alias(f"root_{mark}"))
+    rows = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return rows.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
 
 
 def linked(docs: DataFrame, classes_: DataFrame, n: int, percent: int) -> DataFrame:
@@ -254,16 +369,23 @@ def linked(docs: DataFrame, classes_: DataFrame, n: int, percent: int) -> DataFr
     postings = classes_.select("sid", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", "sid", "n", (F.col("pos") + 1).alias("pos"))
     shared = postings.groupBy("gram").agg(F.count("*").alias("df"), F.min("sid").alias("pivot")).where("df > 1").select("gram", "pivot")
     open_ = durable(postings.join(shared, "gram"))
-    votes = open_.where("sid <> pivot").groupBy("sid", "pivot").agg(F.count("*").alias("votes"))
-    stars = votes.groupBy("sid").agg(F.max_by("pivot", F.struct("votes", F.negate("pivot"))).alias("b")).select(F.col("sid").alias("a"), "b")
-    wanted = durable(open_.select("sid").distinct().join(classes_.select("sid", "key"), "sid"))
-    sets = durable(sets_of(docs, n, percent, wanted))
-    edges = durable(verified(durable(stars), sets, percent))
-    roots = durable(components(edges))
-    open_ = open_.join(small_side(roots, roots.count()), open_["sid"] == roots["node"], "left").select("gram", "sid", "n", "pos", F.coalesce("root", "sid").alias("c"))
-    more = verified(durable(crossing_pairs(open_, classes_, percent)), sets, percent)
-    roots = durable(components(edges.unionByName(more)))
+    slim = lambda mark: classes_.select(F.col("sid").alias(mark), *(F.col(x).alias(f"{x}_{mark}") for x in ("n", *MARKS)))
+    stars = open_.where("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
+    stars = stars.join(slim("a"), "a").join(slim("b"), "b").where(_length("a", "b", percent) & _parity("a", "b", percent)).select("a", "b")
+    stars = durable(best_partners(alike(stars, classes_, percent)))
     key = classes_.select("sid", "key")
+    edges = durable(verified(docs, stars, key, n, percent))
+    roots = durable(components(edges))
+    at = open_.join(small_side(roots, roots.count()), open_["sid"] == roots["node"], "left").select("gram", "sid", "n", "pos", F.coalesce("root", "sid").alias("c"))
+    pairs = durable(crossing_pairs(at, classes_, percent).join(stars, ["a", "b"], "left_anti"))
+    for last in (False, True):  # the nearest pair of each class first: what it links leaves few of the others to do
+        if pairs.isEmpty():
+            break
+        now = pairs if last else durable(best_partners(pairs))
+        edges = durable(edges.unionByName(verified(docs, now, key, n, percent)))
+        roots = durable(components(edges))
+        if not last:
+            pairs = durable(still_apart(pairs.join(now, ["a", "b"], "left_anti"), roots))
     return roots.join(key, roots["node"] == key["sid"]).select("key", "root").join(key.select(F.col("sid").alias("root"), F.col("key").alias("root_key")), "root").select("key", "root_key")
 
 
@@ -279,7 +401,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_
     every = every.join(small_side(moved, moved.count()), "key", "left").withColumn("group", F.coalesce("root_key", "key"))
     first = F.min(F.struct("doc_id", "text_hash"))
     least = every.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"), first.alias("first"))
-    out = every.join(least, "group", "left")
+    least = durable(least)
+    out = every.join(small_side(least, least.count()), "group", "left")
     alone = F.col("group").isNull()
     stays = alone | (F.struct("doc_id", "text_hash").eqNullSafe(F.col("first")))
     return out.select("doc_id", "text_hash", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), stays.alias("stays"))
