@@ -85,6 +85,14 @@ def test_jaccard_random_edits(spark, n, percent, seed):
     assert got == brute_components(rows, n, percent)
 
 
+def test_components_both_ways(spark):
+    rng = random.Random(7)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 450)] + [(500, k) for k in range(501, 560)]
+    made = spark.createDataFrame(edges, "a long, b long")
+    one, many = (sorted(map(tuple, jaccard_join.components(made, n).collect())) for n in (10_000, 0))
+    assert one == many and (450, 400) in one and (559, 500) in one
+
+
 def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(0)
     for _ in range(200):
