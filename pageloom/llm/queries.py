@@ -55,7 +55,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("first_position", F.bround("first_position", 9))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -63,7 +63,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLE = {
+    "op5_jaccard_join": rf"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM split
+        ), one AS (SELECT doc_id, unnest(g) AS s FROM sets), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM one a JOIN one b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * k >= 90 * (len(x.g) + len(y.g) - k)
+        ), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, ways.b FROM reach r JOIN ways ON r.c = ways.a)
+        SELECT doc_id, CAST(len(any_value(g)) AS BIGINT) AS n_shingles, min(c) AS component_id FROM reach JOIN sets USING (doc_id) GROUP BY doc_id
+    """,
+    "op10_curriculum_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS k FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind FROM d GROUP BY source
+        ), w AS (
+            SELECT *, CAST(CASE kind WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight, CAST(CASE kind WHEN 0 THEN -0.5 WHEN 1 THEN 0.5 ELSE 0 END AS DOUBLE) AS slope FROM s
+        ), o AS (
+            SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+                row_number() OVER (ORDER BY cap / weight, source) AS place FROM w
+        ), l AS (SELECT arg_min(level, place) FILTER (level * weight < cap) AS level FROM o),
+        t AS (SELECT source, source_size, slope, least(cap, weight * coalesce(l.level, 1e300)) AS target FROM w, l),
+        c AS (
+            SELECT d.*, source_size, target, slope, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), x AS (
+            SELECT *, CAST(coalesce(floor(target / nullif(source_size, 0)) * size + greatest(0, least(size, floor(target - floor(target / nullif(source_size, 0)) * source_size) - before)), 0) AS BIGINT) AS taken,
+                   least(1.0::DOUBLE, coalesce(before / nullif(target, 0), 0)) AS u FROM c
+        )
+        SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN
+            round_even(CASE WHEN slope = 0 THEN u ELSE (sqrt((1 - slope) * (1 - slope) + 4.0::DOUBLE * slope * u) - (1 - slope)) / (2.0::DOUBLE * slope) END + 0.0::DOUBLE, 9) END AS first_position FROM x
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
