@@ -133,7 +133,8 @@ def fit(texts: list[str | None], toxic: list[int]) -> dict:
     are toxic by accident of their own rows don't inflate the evidence on which the logistic is fitted.
     """
     once = dict(zip(reversed(texts), reversed(toxic), strict=True))
-    split, y = [words_of(t) for t in once], np.array(list(once.values()), float)
+    shared: dict[str, str] = {}  # one string object for each distinct word
+    split, y = [[shared.setdefault(w, w) for w in words_of(t)] for t in once], np.array(list(once.values()), float)
     if not 0 < y.sum() < len(y):
         return {"words": {}, "drift": 1.0, "lambda": 1.0, "weights": [0.0, 0.0, 0.0, -4.0 if not y.sum() else 4.0]}
 
