@@ -64,11 +64,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parallel(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Spread a table that arrives in fewer partitions than there are cores; larger tables keep their scan splits."""
-    sc = df.sparkSession.sparkContext
-    want = least or sc.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+def parallel(df: DataFrame) -> DataFrame:
+    """Spread a scan of fewer partitions than there are cores; larger scans keep their splits, shuffled plans theirs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan" or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def cells(rows: int, each: int, least: int = 1, most: int = 1 << 20) -> int:
