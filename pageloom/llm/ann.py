@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from pageloom.llm.common import cells, durable, isolate
 
-SHARD, LINKS, EF_BUILD, EF_SEARCH, TOP, QUERY_BLOCK = 4096, 12, 48, 96, 10, 4096
+SHARD, LINKS, EF_BUILD, EF_SEARCH, TOP, QUERY_BLOCK = 4096, 12, 48, 160, 10, 4096
 
 INDEX = "shard int, dims int, vectors binary, ids binary, tops binary, layers binary, sizes array<int>"
 
