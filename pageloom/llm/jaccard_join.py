@@ -10,7 +10,8 @@ for any such order; it only decides how few candidates they leave.
 
 Join: a class of n grams has a prefix of ``n - ceil(t n) + 1`` grams, and classes that link share one.  Many near
 copies share whole prefixes, so pairs are not formed within a gram.  First each class is verified against one pivot,
-the nearest of the smallest classes of its grams; the links contract dense groups.  Then only pairs from different
+the nearest of the smallest classes of its grams; the links contract dense groups.  Classes left over are verified
+against the nearest of one member of each of their grams' largest components.  Then only pairs from different
 components are formed, on one side without each gram's largest component, and pass the length, positional and suffix
 filters (the suffix filter compares parity bits and counts in 32 hash ranges: both bound the symmetric difference from
 below).  Of these the nearest of each class are verified, and then all that are still in different components, each
@@ -37,7 +38,7 @@ from pageloom.llm.common import durable, isolate, numbered, parallel, small_side
 #: Defaults of near-duplicate stages.
 WORDS, PERCENT = 5, 80
 
-HEAVY, HEAVY_LOCAL, BLOCK_GRAMS, RANGES, LOCAL_LINKS = 1 << 18, 3, 1 << 22, 32, 100_000
+HEAVY, HEAVY_LOCAL, BLOCK_GRAMS, RANGES, LOCAL_LINKS, FEW_PAIRS = 1 << 19, 1, 1 << 22, 32, 100_000, 10_000
 
 #: Parity bits of a set, and the columns of their fold to 256.
 BITS, MARKS = 2048, ("m0", "m1", "m2", "m3")
@@ -193,7 +194,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
 
 
 def heavy_grams(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The HEAVY most frequent of the counted grams, sorted, and their counts."""
+    """The most frequent of the counted grams, sorted, and their counts: all from some count on, at most HEAVY."""
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -202,7 +203,12 @@ def heavy_grams(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts.view(np.int64))], ["gram", "count"])
 
     total = counted.mapInArrow(rows, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count"))
-    top = total.orderBy(F.desc("count"), "gram").limit(HEAVY).toArrow()
+    held, least = 0, None
+    for count, grams in sorted(map(tuple, total.groupBy("count").agg(F.count("*").alias("grams")).collect()), reverse=True):
+        if held + grams > HEAVY:
+            break
+        held, least = held + grams, count
+    top = total.where(F.col("count") >= least if least is not None else F.lit(False)).toArrow()
     grams, counts = top["gram"].to_numpy().view(np.uint64), top["count"].to_numpy()
     order = np.argsort(grams)
     return grams[order], counts[order]
@@ -302,17 +308,36 @@ def components(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select("b", "b").toDF("node", "root").distinct())
 
 
+def open_rows(open_: DataFrame, classes_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (gram, sid, n, pos, c) of grams with several components, with parity bits, and each gram's largest."""
+    split = open_.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram")
+    rows = durable(open_.join(split, "gram").join(classes_.select("sid", *MARKS), "sid"))
+    largest = rows.groupBy("gram", "c").agg(F.count("*").alias("held")).groupBy("gram").agg(F.max_by("c", F.struct("held", "c")).alias("main"))
+    return rows, largest
+
+
+def _side(mark: str) -> list[Column]:
+    return [F.col(x).alias(f"{x}_{mark}") for x in ("sid", "n", "pos", "c", *MARKS)]
+
+
+def attaching_pairs(open_: DataFrame, classes_: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a class with one member of each of its grams' largest components: one for each gram and class at most."""
+    rows, largest = open_rows(open_, classes_)
+    rows = rows.join(largest, "gram")
+    member = F.min_by(F.struct(*_side("y")), F.xxhash64("sid", "gram"))
+    members = rows.where("c = main").groupBy("gram").agg(member.alias("y")).select("gram", "y.*")
+    pairs = rows.where("c <> main").select("gram", *_side("x")).join(members, "gram").where(_length("x", "y", percent) & _parity("x", "y", percent))
+    return alike(pairs.select(F.greatest("sid_x", "sid_y").alias("a"), F.least("sid_x", "sid_y").alias("b")).distinct(), classes_, percent)
+
+
 def crossing_pairs(open_: DataFrame, classes_: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in different components that share a prefix gram and pass all filters.
 
     ``open_``: gram, sid, n, pos (from 1), c (component).
     """
-    split = open_.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram")
-    rows = durable(open_.join(split, "gram").join(classes_.select("sid", *MARKS), "sid"))
-    largest = rows.groupBy("gram", "c").agg(F.count("*").alias("held")).groupBy("gram").agg(F.max_by("c", F.struct("held", "c")).alias("main"))
-    side = lambda mark: [F.col(x).alias(f"{x}_{mark}") for x in ("sid", "n", "pos", "c", *MARKS)]
-    left = rows.join(largest, "gram").where("c <> main").select("gram", "main", *side("x"))
-    right = rows.select("gram", *side("y"))
+    rows, largest = open_rows(open_, classes_)
+    left = rows.join(largest, "gram").where("c <> main").select("gram", "main", *_side("x"))
+    right = rows.select("gram", *_side("y"))
     place = 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= _needed("x", "y", percent)
     once = (F.col("c_y") == F.col("main")) | (F.col("sid_x") < F.col("sid_y"))
     pairs = left.join(right, "gram").where((F.col("c_x") != F.col("c_y")) & once & _length("x", "y", percent) & place & _parity("x", "y", percent))
@@ -376,16 +401,30 @@ def linked(docs: DataFrame, classes_: DataFrame, n: int, percent: int) -> DataFr
     key = classes_.select("sid", "key")
     edges = durable(verified(docs, stars, key, n, percent))
     roots = durable(components(edges))
-    at = open_.join(small_side(roots, roots.count()), open_["sid"] == roots["node"], "left").select("gram", "sid", "n", "pos", F.coalesce("root", "sid").alias("c"))
-    pairs = durable(crossing_pairs(at, classes_, percent).join(stars, ["a", "b"], "left_anti"))
+
+    def now_open() -> DataFrame:
+        at = open_.join(small_side(roots, roots.count()), open_["sid"] == roots["node"], "left")
+        return at.select("gram", "sid", "n", "pos", F.coalesce("root", "sid").alias("c"))
+
+    tried = stars
+    near = attaching_pairs(now_open(), classes_, percent).join(tried, ["a", "b"], "left_anti")
+    near = durable(best_partners(near))  # what the pivots left over goes to a near member of a large component
+    if not near.isEmpty():
+        edges = durable(edges.unionByName(verified(docs, near, key, n, percent)))
+        roots = durable(components(edges))
+        tried = durable(tried.unionByName(near))
+    pairs = durable(crossing_pairs(now_open(), classes_, percent).join(tried, ["a", "b"], "left_anti"))
     for last in (False, True):  # the nearest pair of each class first: what it links leaves few of the others to do
-        if pairs.isEmpty():
+        left = pairs.count()
+        if not left:
             break
+        last = last or left <= FEW_PAIRS
         now = pairs if last else durable(best_partners(pairs))
         edges = durable(edges.unionByName(verified(docs, now, key, n, percent)))
         roots = durable(components(edges))
-        if not last:
-            pairs = durable(still_apart(pairs.join(now, ["a", "b"], "left_anti"), roots))
+        if last:
+            break
+        pairs = durable(still_apart(pairs.join(now, ["a", "b"], "left_anti"), roots))
     return roots.join(key, roots["node"] == key["sid"]).select("key", "root").join(key.select(F.col("sid").alias("root"), F.col("key").alias("root_key")), "root").select("key", "root_key")
 
 
