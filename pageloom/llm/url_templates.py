@@ -1,10 +1,13 @@
 """URL filters: a path-template tree per host, with smoothed labelled purity.
 
 Rules give verdicts and, with them, labels.  The tree of a host is built from its paths level by level.  At a node a
-segment stays literal if it has no digit and holds at least 1/BRANCH of the node's pages, so that a node has at most
-BRANCH literal branches; all other segments become one wildcard.  Sibling branches are merged if chi-square tests find
-neither their next templates nor their labels to differ; a branch without labels merges only with others without, so
-that no label reaches pages of another kind.  A merged template is rejected if
+segment stays literal if it has no digit and holds at least 1/BRANCH of the node's pages, or if it is constant: its pages
+outnumber its peers, the node's segments (with a digit or without, as itself) that are up to twice as frequent or rare.
+So a small section and a constant such as v2 are literal, and ids and slugs, of which many are equally rare, are not; a
+node of n pages has at most some multiple of sqrt(n) literal branches.  The other segments become a wildcard; where some
+of them have labels and some don't, those with labels become another one, RULED.  Sibling branches are merged if
+chi-square tests find neither their next templates nor their labels to differ; a branch without labels merges only with
+others without, so that no label reaches pages of another kind.  A merged template is rejected if
 ``(blocked + STRENGTH * base) / (labelled + STRENGTH)`` reaches PURITY, where ``base`` is the share of blocked pages
 among all pages; a template without labels is therefore allowed unless most of the web is blocked.
 
@@ -18,7 +21,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import durable, isolate, small_side
@@ -27,6 +30,12 @@ BRANCH, DEPTH, STRENGTH, PURITY, ALPHA = 16, 8, 4.0, 0.8, 0.05
 
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
+#: The wildcard of segments with labels, beside ``*`` of those without.  No path has a #.
+RULED = "*#"
+
+#: log2 of a count in whole steps, and a factor of two with rounding.
+STEPS = 1_000_000
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -58,17 +67,31 @@ def templates(rows: DataFrame) -> DataFrame:
     deepest = rows.agg(F.max(F.size("parts"))).first()[0] or 0
     for level in range(deepest):
         segment = F.get("parts", F.lit(level))
-        stem = rows.where(F.size("parts") > level).select("host", "template", segment.alias("segment"))
-        counts = durable(stem.groupBy("host", "template", "segment").agg(F.count("*").alias("n")))
-        node = counts.groupBy("host", "template").agg(F.sum("n").alias("all"))
-        literal = counts.join(small_side(node, node.count()), ["host", "template"]).where((F.col("n") * BRANCH >= F.col("all")) & ~F.col("segment").rlike("[0-9]"))
-        literal = durable(literal.select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s")))
+        stem = rows.where(F.size("parts") > level).select("host", "template", segment.alias("segment"), "label")
+        counts = durable(stem.groupBy("host", "template", "segment").agg(F.count("*").alias("n"), (F.count("label") > 0).alias("ruled")))
+        named = durable(_named(counts).select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s"), "name"))
         known = (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (segment == F.col("s"))
-        step = F.when(segment.isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.coalesce("s", F.lit("*")))))
-        rows = durable(rows.join(small_side(literal, literal.count()), known, "left").select("page_id", "host", "path", "rule", "label", "parts", step.alias("template")))
+        step = F.when(segment.isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.coalesce("name", F.lit("*")))))
+        rows = durable(rows.join(small_side(named, named.count()), known, "left").select("page_id", "host", "path", "rule", "label", "parts", step.alias("template")))
     return rows.drop("parts")
 
 
+def _named(counts: DataFrame) -> DataFrame:
+    """(host, template, segment, name) of the segments at a level that are not ``*``."""
+    node, digit, step = ["host", "template"], F.col("segment").rlike("[0-9]"), F.floor(F.log2("n") * STEPS)
+    alike = counts.groupBy(*node, digit.alias("digit"), "n").agg(F.count("*").alias("kinds"))
+    near = Window.partitionBy(*node, "digit").orderBy(step).rangeBetween(-STEPS - 1, STEPS + 1)
+    total = F.sum(F.col("n") * F.col("kinds")).over(Window.partitionBy(*node))
+    literal = (F.col("n") > F.sum("kinds").over(near)) | (~F.col("digit") & (F.col("n") * BRANCH >= total))
+    peers = durable(alike.select(*node, "digit", "n", literal.alias("literal")))
+    known = counts.withColumn("digit", digit).join(small_side(peers, peers.count()), [*node, "digit", "n"])
+    mixed = known.where(~F.col("literal")).groupBy(*node).agg(F.min("ruled").alias("least"), F.max("ruled").alias("most")).where(~F.col("least") & F.col("most"))
+    mixed = durable(mixed.select(*node, F.lit(True).alias("mixed")))
+    known = known.join(small_side(mixed, mixed.count()), node, "left")
+    name = F.when(F.col("literal"), F.col("segment")).when(F.col("mixed") & F.col("ruled"), F.lit(RULED))
+    return known.withColumn("name", name).where(F.col("name").isNotNull())
+
+
 def differ(a: dict[str, float], b: dict[str, float]) -> bool:
     """Whether two count tables differ by a chi-square test of homogeneity at ALPHA (Wilson-Hilferty tail)."""
     names = sorted(set(a) | set(b))

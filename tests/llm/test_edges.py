@@ -318,3 +318,18 @@ def test_branches_merge_only_when_alike():
     same = {"en": {"*": page(50, 40, 2)}, "fr": {"*": page(40, 33, 1)}, "new": {"*": page(9, 0, 0)}, "ok": {"*": page(50, 1, 45)}, "other": {"x/*": page(60, 50, 2)}}
     got = url_templates.merge_siblings(same)
     assert got["en"] == got["fr"] == "en|fr" and got["new"] == "new" and got["ok"] == "ok" and got["other"] == "other"
+
+
+def test_url_templates_small_sections(spark):
+    sections = ["en", *(f"{c}{d}" for c in "pqrs" for d in "abcde")]
+    urls = [f"http://x.example.com/{s}/{i}" for s in sections for i in range(24)]
+    urls += [f"http://y.example.com/v{k}/{s}/{i}" for k in (1, 2) for s in ("en", "fr") for i in range(20)]
+    urls += [f"http://z.com/{s}/a" for s in ["en", *(c + d for c in "abcdefg" for d in "stuvw")]]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_templates.judge(rows).collect():
+        section = r["path"].split("/")[1]
+        assert r["verdict"] == ("block" if section == "en" and r["rule"] == "com/en/" else "allow"), r
+        if r["host"] != "z.com" and section != "fr":
+            assert section in r["template"].split("/")[1].split("|")
+        if r["host"] == "z.com":
+            assert ("*#" in r["template"]) == (section == "en")
