@@ -8,8 +8,9 @@ LANDMARKS texts span the Nystroem space.  Ridge regression with one target for e
 sample in that space; since scores are linear in the presence vector, landmarks and weights fold into one matrix of
 slots x languages, and a batch of texts is scored by one product of presence rows with it.
 
-Fitting uses at most MAX_TRAIN labelled rows (the smallest hashes of the id, a documented bound) whose fold allows it.
-The model is fixed in size and reaches the executors inside the scoring function.  Text is read whole, in chunks of
+Fitting uses at most PER_LANG labelled rows of each language (the smallest hashes of the id, a documented bound) whose
+fold allows it; every language with such a row that has a letter is a class, however rare.  For its languages the model
+is fixed in size and reaches the executors inside the scoring function.  Text is read whole, in chunks of
 bounded memory.  Null text or text without a letter gets ``und`` with score 0.
 """
 
@@ -21,15 +22,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import isolate, numbered, parallel, remainder
+from pageloom.llm.common import durable, isolate, numbered, parallel, remainder, small_side
 
-MAX_N, BITS, LANDMARKS, MAX_TRAIN, RIDGE = 3, 16, 192, 2_000, 1e-3
-
-#: A label needs this share of the sample's rows, lest a stray value becomes a class.
-LEAST_SHARE = 0.002
+MAX_N, BITS, LANDMARKS, PER_LANG, RIDGE = 3, 16, 192, 500, 1e-3
 
 #: The pipeline rejects ``und`` and texts that no language scores above this.
 REJECT_BELOW = 0.15
@@ -66,9 +64,7 @@ def gram_slots(text: str | None) -> np.ndarray | None:
 def fit(texts: list[str | None], langs: list[str]) -> tuple[list[str], np.ndarray]:
     """Languages and the slots x languages weights."""
     rows = [(s, y) for s, y in ((gram_slots(t), y) for t, y in zip(texts, langs, strict=True)) if s is not None]
-    names, counts = np.unique([y for _, y in rows], return_counts=True) if rows else (np.array([]), np.array([]))
-    labels = [str(n) for n, c in zip(names, counts, strict=True) if c >= max(1, LEAST_SHARE * len(rows))]
-    rows = [(s, y) for s, y in rows if y in labels]
+    labels = sorted({str(y) for _, y in rows})
     if not rows:
         return [], np.zeros((1 << BITS, 0), np.float32)
     by_lang = [[s for s, y in rows if y == name] for name in labels]
@@ -110,14 +106,13 @@ def predict(texts: list[str | None], labels: list[str], weights: np.ndarray) ->
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = 2) -> tuple[list[str], np.ndarray]:
-    """Fits on at most MAX_TRAIN labelled rows outside the held-out fold; that bound is all that reaches the driver."""
+    """Fits on at most PER_LANG labelled rows a language outside the held-out fold; that bound is all that reaches the driver."""
     rows = isolate(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang")
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 4) != held))
-    ids = rows.select("doc_id", F.xxhash64(F.col("doc_id"), F.lit(4)).alias("h"))
-    last = ids.orderBy("h").limit(MAX_TRAIN).agg(F.max("h")).first()[0]
-    if last is None:
-        return [], np.zeros((1 << BITS, 0), np.float32)
-    sample = rows.where(F.xxhash64(F.col("doc_id"), F.lit(4)) <= last).limit(2 * MAX_TRAIN).collect()
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder(F.col("doc_id"), 4) != held)).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(4)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # each scan task passes on PER_LANG rows of a language at most
+    last = durable(rows.select("lang", "h").withColumn("place", place).where(F.col("place") <= PER_LANG).groupBy("lang").agg(F.max("h").alias("last")))
+    near = rows.join(small_side(last, last.count()), "lang").where(F.col("h") <= F.col("last"))
+    sample = near.withColumn("place", place).where(F.col("place") <= PER_LANG).select("doc_id", "text", "lang").collect()
     sample.sort(key=lambda r: (str(r["doc_id"]), r["text"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 

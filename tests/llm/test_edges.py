@@ -226,6 +226,13 @@ def test_kernel_scores_are_batched_products():
     assert langid.predict(texts, labels, weights)[0] == langs
 
 
+def test_rare_language_is_a_class(spark):
+    rows = spark.createDataFrame([(i, "\u03b1\u03b2\u03b3 \u03b4\u03b5\u03b6", "el") if i % 1000 == 0 else (i, "the of and to", "en") for i in range(5000)], "doc_id long, text string, lang string")
+    labels, weights = langid.train(rows)
+    assert labels == ["el", "en"]
+    assert langid.predict(["\u03b1\u03b2\u03b3", "of the"], labels, weights)[0] == ["el", "en"]
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (8, 1), (9, 1), (12, 0), (99, 1), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
