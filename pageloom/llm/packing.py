@@ -1,9 +1,10 @@
 """Lexical retrieval packing: a sharded BM25 index returns unused neighbours of each seed, which fill its window.
 
 A shard is the next SHARD_DOCS documents (or SHARD_TOKENS tokens) of a scan partition, so nothing is shuffled and a
-task's memory is bounded.  For each shard an inverted index over token ids is built by one sort.  The next unused
-document in order seeds the open window; the seed's QUERY_TERMS rarest tokens are looked up and its unused neighbours
-follow by falling BM25 score.  A document that reaches the end of the window is cut there and its rest opens the next
+task's memory is bounded.  Retrieval, idf and mean length are confined to a shard; the README has the recall.  For each
+shard an inverted index over token ids is built by one sort.  The next unused document in order seeds the open window;
+all of the seed's tokens are looked up and its unused neighbours follow by falling BM25 score, until the window is full
+or no document with a score is left.  A document that reaches the end of the window is cut there and its rest opens the next
 one, so every window but a shard's last is full.  The last is cut into parts whose lengths are powers of two, which
 need no padding.
 
@@ -25,7 +26,13 @@ from pyspark.sql import DataFrame
 
 from pageloom.llm.common import isolate, parallel
 
-WINDOW, END, SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS, NEIGHBOURS = 2048, 1, 4096, 1 << 22, 16, 32
+WINDOW, END, SHARD_DOCS, SHARD_TOKENS = 2048, 1, 4096, 1 << 22
+
+#: So many neighbours are sorted before the rest, which few windows reach.
+HEAD = 32
+
+#: Tokens in at least 1/DENSE of a shard's documents have a whole row of weights, which is added faster than a list.
+DENSE = 8
 
 #: BM25.
 K1, B = 1.2, 0.75
@@ -70,25 +77,31 @@ class Bm25Shard:
         self.idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
         norm = (K1 * (1 - B + B * lengths / lengths.mean())).astype(np.float32)
         self.weight = self.idf[token] * tf * np.float32(K1 + 1) / (tf + norm[self.doc])
+        self.row = np.where(self.df * DENSE >= self.n, np.cumsum(self.df * DENSE >= self.n) - 1, -1)
+        held = self.row[token] >= 0
+        self.rows = np.zeros((self.row.max() + 1, self.n), np.float32)
+        self.rows[self.row[token[held]], self.doc[held]] = self.weight[held]
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """The best unused documents for ``seed``, by falling score, then place."""
+    def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a token with ``seed``, by falling score, then place."""
         terms = np.unique(self.docs[seed])
         terms = terms[self.df[terms] > 1]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-self.idf[terms], kind="stable")[:QUERY_TERMS]]
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in terms]
-        if not spans:
-            return []
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
-        score *= unused
-        if self.n > NEIGHBOURS:
-            best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS]
-            best.sort()
-        else:
-            best = np.arange(self.n)
-        best = best[score[best] > 0]
-        return best[np.argsort(-score[best], kind="stable")].tolist()
+        spans = [slice(self.begin[t], self.begin[t + 1]) for t in terms[self.row[terms] < 0]]
+        score = np.zeros(self.n, np.float32)
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        for k in self.row[terms[self.row[terms] >= 0]].tolist():
+            score += self.rows[k]
+        score *= unused.astype(np.float32)
+        left = np.flatnonzero(score > 0)
+        if len(left) > HEAD:
+            least = -np.partition(-score[left], HEAD - 1)[HEAD - 1]
+            head, left = left[score[left] >= least], left[score[left] < least]
+            yield from head[np.argsort(-score[head], kind="stable")].tolist()
+        yield from left[np.argsort(-score[left], kind="stable")].tolist()
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
+        return list(self.ranked(seed, unused))
 
 
 def pack(docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
@@ -115,7 +128,7 @@ def pack(docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         last = seed
         while filled:
             window = sequence
-            for last in index.neighbours(last, unused):
+            for last in index.ranked(last, unused):
                 place(last)
                 if sequence != window:
                     break

@@ -140,6 +140,17 @@ def test_neighbours_share_rare_tokens():
     assert 2 not in index.neighbours(0, np.array([0, 1, 0, 1]))
 
 
+def test_windows_take_all_neighbours_of_the_seed():
+    # 100 short documents like the first are spread among as many unlike it: none of those comes before the last neighbour
+    docs = [np.array([10, 11, 12, 13] if i % 2 == 0 else [1000 + i, 2000 + i, 3000 + i], np.uint32) for i in range(200)]
+    order = [p[0] for p in sorted(packing.pack(docs), key=lambda p: p[3:])]
+    assert order[:100] == list(range(0, 200, 2))
+    # a long document shares its 20 rarest tokens with one, and 100 other tokens with another
+    seed, rare, common = np.arange(100, 220), np.arange(100, 120), np.arange(120, 220)
+    index = packing.Bm25Shard([np.array(d, np.uint32) for d in (seed, rare, common, common, [7, 8])])
+    assert set(index.neighbours(0, np.array([0, 1, 1, 1, 1]))) == {1, 2, 3}
+
+
 # ---- sharding and mixing
 
 
