@@ -6,7 +6,8 @@ blank).  The kernel of two texts is the size of the intersection of their sets,
 
 LANDMARKS texts span the Nystroem space.  Ridge regression with one target for each language is solved on the labelled
 sample in that space; since scores are linear in the presence vector, landmarks and weights fold into one matrix of
-slots x languages, and a batch of texts is scored by one product of presence rows with it.
+slots x languages.  A text's scores are the sum of the matrix rows of its slots, text by text: equal to the product of
+its presence row with the matrix, but not one product for a batch.
 
 Fitting uses at most PER_LANG labelled rows of each language (the smallest hashes of the id, a documented bound) whose
 fold allows it; every language with such a row that has a letter is a class, however rare.  For its languages the model
@@ -86,7 +87,7 @@ def fit(texts: list[str | None], langs: list[str]) -> tuple[list[str], np.ndarra
 
 
 def scores(texts: list[str | None], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ridge scores of a batch (zeros without a letter), and which rows have letters: presence rows times weights."""
+    """Ridge scores of a batch (zeros without a letter), and which rows have letters; each text's weight rows are summed."""
     out, lettered = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts), bool)
     for i, text in enumerate(texts):
         slots = gram_slots(text)
