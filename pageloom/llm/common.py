@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only below this many rows; beyond it the same join is shuffled.
-BROADCAST_ROWS = 400_000
+#: A side is broadcast only up to this many bytes of plain rows; beyond it the same join is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,10 +29,17 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, from ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
+    """The session's checkpoint folder, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder, as in tests; on a cluster a folder of one machine would
+    lose data, so it is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pageloom-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pageloom-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -43,16 +49,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, for wide rows that are read several times."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, for wide rows that are read several times, and its path."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def release(table: DataFrame, path: str) -> None:
+    """Empties a stored table that nothing will read again."""
+    table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint if ``rows`` (counted by the caller) is within BROADCAST_ROWS, else ``df`` for a shuffled join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small_side(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
+    """A broadcast hint if ``rows`` (counted by the caller) of ``width`` bytes are within BROADCAST_BYTES, else ``df`` for a shuffled join."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def remainder(column: Column, divisor: int) -> Column:
@@ -65,19 +76,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parallel(df: DataFrame) -> DataFrame:
-    """Spread a scan of fewer partitions than there are cores; larger scans keep their splits, shuffled plans theirs."""
+    """Spread rows that come from fewer files than there are cores; more files keep their splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan" or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def cells(rows: int, each: int, least: int = 1, most: int = 1 << 20) -> int:
     """How many hash cells hold about ``each`` of ``rows`` rows."""
     return max(least, min(most, -(-rows // each)))
-
-
-def missing(names: Sequence[str], df: DataFrame) -> None:
-    absent = [n for n in names if n not in df.columns]
-    if absent:
-        raise ValueError(f"columns missing: {absent}")
