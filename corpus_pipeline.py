@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm import exact_dedup, jaccard_join, langid, mixing, packing
-from pageloom.llm.common import stored
+from pageloom.llm.common import release, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; tables between stages are emptied once the next is written, but for the one that the last stage reads."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        table, path = stored(stage(spark, docs, sf_dir))
+        if before:
+            release(docs, before)
+        docs, before = table, path
     return STAGES[-1][1](spark, docs, sf_dir)
