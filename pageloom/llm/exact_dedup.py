@@ -1,30 +1,37 @@
-"""Exact dedup: a minimal perfect hash over the digests that are known to repeat.
-
-``history`` holds each known digest once, with its group's size and the locator of the row that stays.  It is cut by
-digest into buckets of bounded size; each bucket becomes one minimal perfect hash whose slots hold the full 32-byte
-digest and the locator.  Rows meet their bucket in salted cells, so a digest shared by a third of all rows is probed
-by many tasks.  A probe counts only if all 32 bytes agree; rows that miss are grouped separately by their digest.
-
-Null text counts as empty.  Of equal texts the row with the largest doc_id stays (null doc_id is smallest); of rows
-that also share the doc_id exactly one stays.  An empty table gives an empty result.
+"""Exact dedup: a minimal perfect hash over the distinct digests of a history of documents.
+
+``build_index`` turns a history into an index: its distinct digests, cut into buckets of about BUCKET_DIGESTS, each one
+minimal perfect hash whose slots hold the full 32-byte digest, the locator of the row that stays (doc_id and row) and the
+number of equal rows.  An index is a table; ``write_index`` keeps it for later runs.  All winners come from it: each row
+of the documents is looked up in its bucket and is a member only if all 32 bytes agree.  Nonmembers, which the history
+never had, are grouped separately.
+
+Without an index of an earlier run the documents are their own history: of equal texts the row with the largest doc_id
+stays (null doc_id is smallest), and of rows that also share the doc_id exactly one.  Against an earlier index every
+member is a repeat and goes; keep_id and group_size are the history's, and only nonmembers stay, one of each text.
+
+A bucket meets its rows in as many cells as its rows fill, CELL_ROWS in each, so a digest shared by a third of all rows is
+looked up by many tasks and no cell grows with the table.  Null text counts as empty.  Texts are read whole.  Columns
+besides doc_id and text are never looked at, whatever their names.  An empty table, or an empty history, gives an empty
+index, and an empty table an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import cells, durable, isolate, numbered, small_side
 
-#: Digests in one perfect hash, and cells over which the rows of one bucket are dealt.
-BUCKET_DIGESTS, SALTS = 50_000, 16
+#: Digests in one perfect hash, and rows looked up in it at once.
+BUCKET_DIGESTS, CELL_ROWS = 50_000, 100_000
 
 #: Stands for a null doc_id in a slot.
 NULL_ID = np.iinfo(np.int64).min
 
-INDEX = "bucket int, displacements binary, digests binary, winners binary, winner_rows binary, sizes binary"
+INDEX = "buckets int, bucket int, displacements binary, digests binary, winners binary, winner_rows binary, sizes binary"
 PROBED = "row long, doc_id long, digest binary, found boolean, keep_id long, keep_row long, group_size long"
 
 
@@ -83,11 +90,16 @@ def probe(digests: np.ndarray, displacement: np.ndarray, n: int) -> np.ndarray:
     return (_mix(high, low, displacement[group].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(map(bytes, column)), np.uint8).reshape(-1, 32)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32)
+
 
+def _longs(column: pa.ChunkedArray) -> np.ndarray:
+    return column.fill_null(NULL_ID).to_numpy().astype(np.int64)
 
-def _index(rows: pd.DataFrame) -> pd.DataFrame:
+
+def _index(rows: pa.Table) -> pa.Table:
+    """One bucket's perfect hash."""
     digests = _matrix(rows["digest"])
     displacement, slot = build_perfect_hash(digests)
 
@@ -96,29 +108,23 @@ def _index(rows: pd.DataFrame) -> pd.DataFrame:
         out[slot] = values
         return out.tobytes()
 
-    longs = [slotted(rows[c].fillna(NULL_ID).to_numpy(np.int64)) for c in ("keep_id", "keep_row", "group_size")]
-    return pd.DataFrame([(int(rows["bucket"].iloc[0]), displacement.tobytes(), slotted(digests), *longs)], columns=[c.split()[0] for c in INDEX.split(", ")])
+    held = [displacement.tobytes(), slotted(digests), *(slotted(_longs(rows[c])) for c in ("keep_id", "keep_row", "group_size"))]
+    columns = [rows[c].combine_chunks()[:1].cast(pa.int32()) for c in ("buckets", "bucket")]
+    return pa.table([*columns, *(pa.array([x], pa.binary()) for x in held)], [c.split()[0] for c in INDEX.split(", ")])
 
 
-def _lookup(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    out = rows[["row", "doc_id", "digest"]].copy()
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    found = np.zeros(len(rows), bool)
-    values = {c: np.zeros(len(rows), np.int64) for c in ("keep_id", "keep_row", "group_size")}
-    if len(rows) and len(index):
-        at = index.iloc[0]
-        held = np.frombuffer(at["digests"], np.uint8).reshape(-1, 32)
-        asked = _matrix(rows["digest"])
+def _lookup(rows: pa.Table, index: pa.Table) -> pa.Table:
+    """The rows of one cell with what their bucket's slots hold of them."""
+    found, values = np.zeros(rows.num_rows, bool), [np.zeros(rows.num_rows, np.int64)] * 3
+    if rows.num_rows and index.num_rows:
+        at = index.to_pylist()[0]
+        held, asked = np.frombuffer(at["digests"], np.uint8).reshape(-1, 32), _matrix(rows["digest"])
         slot = probe(asked, np.frombuffer(at["displacements"], np.int32), len(held))
         found = (held[slot] == asked).all(axis=1)
-        for c, k in (("keep_id", "winners"), ("keep_row", "winner_rows"), ("group_size", "sizes")):
-            values[c] = np.frombuffer(at[k], np.int64)[slot]
-    out["found"] = found
-    for c, v in values.items():
-        out[c] = pd.array(v, "Int64")
-        out.loc[~found, c] = pd.NA
-    out.loc[found & (values["keep_id"] == NULL_ID), "keep_id"] = pd.NA
-    return out
+        values = [np.frombuffer(at[k], np.int64)[slot] for k in ("winners", "winner_rows", "sizes")]
+    null = ~found | (values[0] == NULL_ID)
+    columns = [pa.array(found), pa.array(values[0], mask=null), *(pa.array(v, mask=~found) for v in values[1:])]
+    return pa.table([rows["row"], rows["doc_id"], rows["digest"], *columns], [c.split()[0] for c in PROBED.split(", ")])
 
 
 def digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,32 +140,66 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")).select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", history: DataFrame | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row.
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int")
 
-    history (digest, keep_id, keep_row, group_size), unique by digest, may come from an earlier run over a superset of
-    ``docs``; without it the digests that repeat in ``docs`` are the history.
-    """
+
+def index_of(rows: DataFrame) -> DataFrame:
+    """The index of (row, doc_id, digest) rows."""
+    known = durable(grouped(rows))
+    buckets = cells(known.count(), BUCKET_DIGESTS)
+    known = known.select("*", F.lit(buckets).alias("buckets"), _bucket(buckets).alias("bucket"))
+    return durable(known.groupBy("bucket").applyInArrow(_index, INDEX))
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The index of a history of documents."""
+    return index_of(digested(docs, id_col, text_col))
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    build_index(docs, id_col, text_col).write.parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def dealt(rows: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows by bucket and part, about CELL_ROWS in each at most, and the index once for each part of a bucket."""
+    first = index.select("buckets").first()
+    buckets = first[0] if first else 1
+    asked = rows.select("*", _bucket(buckets).alias("bucket"))
+    parts = durable(asked.groupBy("bucket").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts")))  # one row for each bucket
+    parts = small_side(parts, buckets, 16)
+    asked = asked.join(parts, "bucket").select("row", "doc_id", "digest", "bucket", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"))
+    return asked, index.join(parts, "bucket").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
+def looked_up(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows with found, keep_id, keep_row and group_size from the index."""
+    asked, spread = dealt(rows, index)
+    return asked.groupBy("bucket", "part").cogroup(spread.groupBy("bucket", "part")).applyInArrow(_lookup, PROBED)
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DataFrame | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row; ``index`` is an earlier run's, or the documents' own."""
     rows = digested(docs, id_col, text_col)
-    known = durable(grouped(rows).where("group_size > 1")) if history is None else history
-    n = known.count()
-    buckets = cells(n, BUCKET_DIGESTS)
-    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket")
-    index = known.select("*", bucket).groupBy("bucket").applyInPandas(_index, INDEX)
-    index = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    asked = rows.select("*", bucket, F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
-    probed = durable(asked.groupBy("bucket", "salt").cogroup(index.groupBy("bucket", "salt")).applyInPandas(_lookup, PROBED))
-    members = probed.where("found").select("row", "doc_id", "digest", "keep_id", "keep_row", "group_size")
-    new = probed.where("not found").select("row", "doc_id", "digest")
-    others = new.join(grouped(new), "digest").select(members.columns)
-    both = members.unionByName(others)
-    return both.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-
-
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    out = looked_up(rows, index_of(rows) if index is None else index)
+    columns = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")]
+    if index is None:  # every row is a member of its own history
+        return out.withColumn("kept", F.col("row") == F.col("keep_row")).select(columns)
+    out = durable(out)
+    members = out.where("found").withColumn("kept", F.lit(False))
+    new = out.where("not found").select("row", "doc_id", "digest")
+    others = new.join(grouped(new), "digest").withColumn("kept", F.col("row") == F.col("keep_row"))
+    return members.select(columns).unionByName(others.select(columns))
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     plain, at, old = numbered(docs)
-    found = durable(exact_duplicates(docs, id_col, text_col))
+    found = durable(exact_duplicates(docs, id_col, text_col, index))
     lost = found.where("not kept").select(F.col("doc_id").alias("lost_id"), "text_sha256")
     again = found.where("kept").join(lost, (F.col("doc_id").eqNullSafe(F.col("lost_id"))) & (found["text_sha256"] == lost["text_sha256"]), "left_semi").select(F.col("doc_id").alias("again_id"), F.col("text_sha256").alias("again_sha"))
     again = durable(again)
