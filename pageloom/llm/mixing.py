@@ -3,15 +3,19 @@
 Each source has a target number of words and a weight schedule over training time t in [0, 1],
 ``w(t) = target * (1 + slope * (2 t - 1))``.  Its integral is the cumulative demand
 ``D(t) = target * (t + slope * (t^2 - t))``; a document whose words begin at cumulative word c of its source is trained
-at the t that solves D(t) = c.  Passes over a source repeat it in the same order.  ``curriculum`` returns the takes
-range-sorted by position.
+at the t that solves D(t) = c.  Passes over a source repeat it in the same order.  ``mix`` and ``curriculum`` return
+documents and takes range-sorted by position; documents of which nothing is taken come last.
 
 Targets: sources in code-point order (null last) weigh 3, 1, 2, repeating, and share 150 % of all words; a target stops
 at twice its source's words and the excess is shared out by weight until no target is above.
 
-Cumulative words come from two levels: sums of hash cells within a source, then within a cell, so that a source with a
-third of all rows is spread over many tasks.  Documents without words are taken zero words.  Order is by a hash of
-doc_id and text, so reruns agree.  An empty table gives an empty result.
+Cumulative words are one running sum in the order (source, hash of doc_id and text, row) over ranges of rows, less the words
+of the sources before: a source with a third of all rows is many ranges, and so is a row repeated as often.  The ranks of
+sources and the level of their targets come from running sums over ranges of sources, so sources may be hosts.
+
+Documents without words are taken zero words.  Null text has none; null sources are one source.  Rows that repeat are
+documents of their own, and which of them is taken first is arbitrary, since they are equal.  Reruns agree.  Extra columns
+are kept by ``curriculum``, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,54 +24,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pageloom.llm.common import WORD, cells, durable, isolate, numbered, small_side
+from pageloom.functions.order import running
+from pageloom.llm.common import WORD, durable, isolate, numbered, small_side
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 
 #: Slope of each weight class's schedule: heavy sources fall over time, light ones rise.
 SLOPES = (-0.5, 0.5, 0.0)
 
-#: Rows in one cell of a source, and the least number of cells.
-CELL_ROWS, CELLS = 4096, 64
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, target, slope from (source, source_size); water-filling in a few passes over the sources."""
-    kind = F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(WEIGHTS)))
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("kind") + 1).cast("int"))
-    rows = sizes.withColumn("kind", kind).withColumn("weight", pick(WEIGHTS)).withColumn("slope", pick(SLOPES))
-    rows = durable(rows.withColumn("cap", F.col("source_size") * MOST))
-    total = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    level = 0.0
-    while total:
-        full = F.col("cap") <= F.col("weight") * level
-        held, open_weight = rows.agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
-        risen = (SHARE * total - held) / open_weight if open_weight else level
-        if risen <= level * (1 + 1e-12):
-            break
-        level = risen
-    return rows.select("source", "source_size", F.least("cap", F.col("weight") * level).alias("target"), "slope")
+    """source, source_size, target, slope, words_before (words of the sources ahead) from (source, source_size).
+
+    Targets are the smaller of cap and weight * level.  By rising cap / weight, a source is full if all ahead of it are
+    and the level that the rest would then share is above its own.
+    """
+    ranked = running(sizes, [F.col("source").asc_nulls_last()], upto="source_size")
+    kind = F.pmod(F.col("place") - 1, F.lit(len(WEIGHTS))).cast("int") + 1
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), kind)
+    rows = ranked.select("source", "source_size", (F.col("upto") - F.col("source_size")).alias("words_before"), pick(WEIGHTS).alias("weight"), pick(SLOPES).alias("slope"), (F.col("source_size") * MOST).alias("cap"))
+    rows = durable(rows.withColumn("ratio", F.col("cap") / F.col("weight")))
+    total, weights = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    filled = running(rows, ["ratio", F.col("source").asc_nulls_last()], caps="cap", held="weight")
+    level = (SHARE * total - (F.col("caps") - F.col("cap"))) / (weights - (F.col("held") - F.col("weight")))
+    level = filled.where(level * F.col("weight") < F.col("cap")).agg(F.min_by(level, "place")).first()[0]
+    target = F.col("cap") if level is None else F.least("cap", F.col("weight") * level)
+    return rows.select("source", "source_size", target.alias("target"), "slope", "words_before")
 
 
 def measured(rows: DataFrame) -> DataFrame:
-    """Adds source_size, target, slope, before (words of the source ahead of this document) to (source, size, row, ...)."""
-    n = rows.count()
-    known = F.col("source").eqNullSafe
+    """Adds source_size, target, slope, before (words of the source ahead of this document) to (source, size, order_key, row, ...)."""
     sources = durable(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = durable(source_targets(sources)).withColumnRenamed("source", "of")
-    split = cells(n, CELL_ROWS, CELLS)
-    rows = rows.withColumn("cell", F.shiftright(F.shiftright("order_key", 30) * split, 30))  # in order
-    sums = rows.groupBy("source", "cell").agg(F.sum("size").alias("held"))
-    ahead = F.sum("held").over(Window.partitionBy("source").orderBy("cell")) - F.col("held")
-    sums = durable(sums.select(F.col("source").alias("its"), F.col("cell").alias("its_cell"), ahead.alias("ahead")))
-    within = F.sum("size").over(Window.partitionBy("source", "cell").orderBy("order_key", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    rows = rows.withColumn("within", within).join(small_side(sums, sums.count()), known(F.col("its")) & (F.col("cell") == F.col("its_cell")))
-    rows = rows.join(small_side(targets, targets.count()), known(F.col("of")))
-    return rows.withColumn("before", F.col("ahead") + F.col("within"))
+    ordered = running(rows, [F.col("source").asc_nulls_last(), F.col("order_key"), F.col("row")], upto="size")
+    out = ordered.join(small_side(targets, targets.count(), 128), F.col("source").eqNullSafe(F.col("of")))
+    return out.withColumn("before", F.col("upto") - F.col("size") - F.col("words_before"))
 
 
 def taken(size: Column, source_size: Column, target: Column, before: Column) -> Column:
@@ -101,7 +95,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = measured(_rows(docs, id_col, text_col, source_col))
     words = taken(F.col("size"), F.col("source_size"), F.col("target"), F.col("before"))
     first = F.when(words > 0, position(F.col("before"), F.col("target"), F.col("slope")))
-    return out.select("doc_id", "size", "source_size", "target", words.alias("taken"), first.alias("first_position"))
+    out = out.select("doc_id", "size", "source_size", "target", words.alias("taken"), first.alias("first_position"))
+    by = [F.col("first_position").asc_nulls_last(), F.col("doc_id")]
+    return out.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
+#: Rows that agree in these are equal but for columns that the mix doesn't look at.
+KEY = ["order_key", "of"]
+
+
+def _known(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
+def _takes(flat: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """The passes that take each row, with the words of a cut one and the position, and the keys to join them by."""
+    takes = flat.where("taken > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
+    left = F.least("size", F.col("taken") - F.col("pass") * F.col("size"))
+    at = position(F.col("pass") * F.col("source_size") + F.col("before"), F.col("target"), F.col("slope"))
+    takes = durable(takes.select(*keys, F.when(left < F.col("size"), left).alias("cut"), at.alias("at")))
+    return small_side(takes, takes.count()), keys
+
+
+def _numbered(plain: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows whose KEY is in ``again`` with ``nth``, their number from 0 among equals, counted task by task of the scan."""
+    rows = plain.withColumn("row", F.monotonically_increasing_id()).join(again, KEY, "left_semi").withColumn("task", F.shiftright("row", 33))
+    held = rows.groupBy(*KEY, "task").agg(F.count("*").alias("held"))
+    ahead = F.sum("held").over(Window.partitionBy(*KEY).orderBy("task")) - F.col("held")
+    nth = F.row_number().over(Window.partitionBy(*KEY, "task").orderBy("row")) - 1
+    numbers = rows.withColumn("own", nth).join(held.select(*KEY, "task", ahead.alias("ahead")), [*KEY, "task"])
+    return numbers.withColumn("nth", F.col("own") + F.col("ahead")).select(*plain.columns, "nth")
 
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -111,18 +134,20 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     after the last of them; every other take is the whole text.
     """
     plain, at, old = numbered(docs)
-    plain = plain.select("*", order_key(F.col(at[id_col]), F.col(at[text_col])).alias("order_key"))
-    flat = measured(_rows(docs, id_col, text_col, source_col))
-    words = taken(F.col("size"), F.col("source_size"), F.col("target"), F.col("before"))
-    takes = flat.select("order_key", "row", "size", "source_size", "target", "slope", "before", words.alias("taken")).where("taken > 0")
-    takes = takes.withColumn("pass", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
-    left = F.least("size", F.col("taken") - F.col("pass") * F.col("size"))
-    takes = takes.select("order_key", "row", F.when(left < F.col("size"), left).alias("cut"), position(F.col("pass") * F.col("source_size") + F.col("before"), F.col("target"), F.col("slope")).alias("at"))
-    takes = durable(takes.withColumn("nth", F.dense_rank().over(Window.partitionBy("order_key").orderBy("row"))))
-    # a text repeated under one doc_id has several rows of one key; the nth such row gets the nth row's takes
-    many = takes.where("nth > 1").limit(1).count() > 0
-    nth = F.row_number().over(Window.partitionBy("order_key").orderBy("order_key")) if many else F.lit(1)
-    out = plain.withColumn("nth", nth).join(takes, ["order_key", "nth"])
+    plain = plain.select("*", order_key(F.col(at[id_col]), F.col(at[text_col])).alias("order_key"), _known(F.col(at[source_col])).alias("of"))
+    flat = measured(_rows(docs, id_col, text_col, source_col)).withColumn("of", _known(F.col("source")))
+    flat = flat.select(*KEY, "row", "size", "source_size", "target", "slope", "before", taken(F.col("size"), F.col("source_size"), F.col("target"), F.col("before")).alias("taken"))
+    flat = durable(flat)
+    again = durable(flat.groupBy(*KEY).agg(F.count("*").alias("rows")).where("rows > 1").select(*KEY))
+    if again.isEmpty():
+        out = plain.join(*_takes(flat, KEY))
+    else:  # equal rows are numbered on both sides: the nth gets the nth one's takes
+        few = again.count()
+        once = plain.join(small_side(again, few), KEY, "left_anti").join(*_takes(flat.join(small_side(again, few), KEY, "left_anti"), KEY))
+        ranks = running(flat.join(small_side(again, few), KEY, "left_semi"), [F.col(c) for c in (*KEY, "row")])
+        least = ranks.groupBy(*KEY).agg(F.min("place").alias("least"))
+        ranks = ranks.join(least, KEY).withColumn("nth", F.col("place") - F.col("least"))
+        out = once.unionByName(_numbered(plain, small_side(again, few)).join(*_takes(ranks, [*KEY, "nth"])).drop("nth"))
     words = F.expr(f"regexp_extract_all(`{at[text_col]}`, r'([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*)', 1)")
     cut_text = F.array_join(F.slice(words, F.lit(1), F.col("cut").cast("int")), "")
     out = out.withColumn(at[text_col], F.when(F.col("cut").isNull(), F.col(at[text_col])).otherwise(F.rtrim(cut_text)))
