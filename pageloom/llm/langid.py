@@ -4,15 +4,18 @@ A text is the set of its letter n-grams of 1 to MAX_N characters (lower-cased; e
 blank).  The kernel of two texts is the size of the intersection of their sets, normalised by both sizes:
 ``k(x, y) = |X n Y| / sqrt(|X| |Y|)``.  Grams are held as presence flags over 2^BITS hash slots.
 
-LANDMARKS texts span the Nystroem space.  Ridge regression with one target for each language is solved on the labelled
-sample in that space; since scores are linear in the presence vector, landmarks and weights fold into one matrix of
-slots x languages.  A text's scores are the sum of the matrix rows of its slots, text by text: equal to the product of
-its presence row with the matrix, but not one product for a batch.
+LANDMARKS texts, the first of each language in order of a hash of the id, span the Nystroem space.  Ridge regression with
+one target for each language is solved on the labelled sample in that space; since scores are linear in the presence
+vector, landmarks and weights fold into one matrix of slots x languages.  A batch of BATCH texts is one sparse presence
+matrix (compressed rows), and its scores are one product of that matrix with the weights.
 
 Fitting uses at most PER_LANG labelled rows of each language (the smallest hashes of the id, a documented bound) whose
 fold allows it; every language with such a row that has a letter is a class, however rare.  For its languages the model
 is fixed in size and reaches the executors inside the scoring function.  Text is read whole, in chunks of
-bounded memory.  Null text or text without a letter gets ``und`` with score 0.
+bounded memory.  Null text or text without a letter gets ``und`` with score 0; of languages with equal scores the first
+in code-point order is predicted.  Rows that repeat are predicted and kept one by one, and equal texts alike.  Columns
+besides those named are never looked at, whatever their names.  Without training rows every text is ``und``; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ MAX_N, BITS, LANDMARKS, PER_LANG, RIDGE = 3, 16, 192, 500, 1e-3
 #: The pipeline rejects ``und`` and texts that no language scores above this.
 REJECT_BELOW = 0.15
 
-#: Characters hashed at once.
-CHUNK = 1 << 18
+#: Characters hashed at once, and texts scored at once.
+CHUNK, BATCH = 1 << 18, 256
 
 _OTHER = regex.compile(r"\P{L}+")
 
@@ -62,38 +65,58 @@ def gram_slots(text: str | None) -> np.ndarray | None:
     return np.flatnonzero(flags).astype(np.int32)
 
 
+class Presence:
+    """The presence matrix of some texts in compressed rows: row i holds 1 / sqrt(size) in the slots of text i."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.columns = np.concatenate([*sets, np.zeros(0, np.int32)])
+        self.scale = np.maximum(self.sizes, 1) ** -0.5
+
+    def __matmul__(self, dense: np.ndarray) -> np.ndarray:
+        """The product with a matrix of slots x anything."""
+        out = np.zeros((len(self.sizes), dense.shape[1]))
+        held = np.flatnonzero(self.sizes)  # an empty row's product is zero
+        if len(held):
+            out[held] = np.add.reduceat(dense[self.columns], (np.cumsum(self.sizes) - self.sizes)[held], axis=0)
+        return out * self.scale[:, None]
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self.sizes), 1 << BITS), np.float32)
+        out[np.repeat(np.arange(len(self.sizes)), self.sizes), self.columns] = np.repeat(self.scale, self.sizes)
+        return out
+
+
 def fit(texts: list[str | None], langs: list[str]) -> tuple[list[str], np.ndarray]:
     """Languages and the slots x languages weights."""
-    rows = [(s, y) for s, y in ((gram_slots(t), y) for t, y in zip(texts, langs, strict=True)) if s is not None]
-    labels = sorted({str(y) for _, y in rows})
+    rows = [(s, str(y)) for s, y in ((gram_slots(t), y) for t, y in zip(texts, langs, strict=True)) if s is not None]
+    labels = sorted({y for _, y in rows})
     if not rows:
         return [], np.zeros((1 << BITS, 0), np.float32)
     by_lang = [[s for s, y in rows if y == name] for name in labels]
-    marks = [s for group in by_lang for s in group[: max(1, LANDMARKS // len(labels))]]
-    basis = np.zeros((len(marks), 1 << BITS), np.float32)
-    for i, s in enumerate(marks):
-        basis[i, s] = len(s) ** -0.5
-    cross = np.stack([basis[:, s].sum(axis=1) * len(s) ** -0.5 for s, _ in rows])
-    within = np.stack([basis[:, s].sum(axis=1) * len(s) ** -0.5 for s in marks]).astype(np.float64)
-    values, vectors = np.linalg.eigh((within + within.T) / 2)
+    basis = Presence([s for group in by_lang for s in group[: max(1, LANDMARKS // len(labels))]]).dense()
+    slots = np.ascontiguousarray(basis.T)
+    cross = np.concatenate([Presence([s for s, _ in rows[k : k + 32]]) @ slots for k in range(0, len(rows), 32)])  # few rows: each slot meets all landmarks
+    values, vectors = np.linalg.eigh((basis @ slots).astype(np.float64))
     good = values > values.max() * 1e-6
     project = vectors[:, good] / np.sqrt(values[good])
-    mapped = cross.astype(np.float64) @ project
-    wanted = np.array([[1.0 if y == name else 0.0 for name in labels] for _, y in rows])
-    weight = np.array([1.0 / (len(labels) * len(by_lang[labels.index(y)])) for _, y in rows])[:, None]
+    mapped = cross @ project
+    wanted = np.array([[float(y == name) for name in labels] for _, y in rows])
+    share = {name: 1.0 / (len(labels) * len(group)) for name, group in zip(labels, by_lang, strict=True)}
+    weight = np.array([share[y] for _, y in rows])[:, None]
     gram = mapped.T @ (mapped * weight) + RIDGE * np.eye(mapped.shape[1]) / len(labels)
     solved = project @ np.linalg.solve(gram, mapped.T @ (wanted * weight))
-    return labels, (basis.T.astype(np.float64) @ solved).astype(np.float32)
+    return labels, (slots.astype(np.float64) @ solved).astype(np.float32)
 
 
 def scores(texts: list[str | None], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ridge scores of a batch (zeros without a letter), and which rows have letters; each text's weight rows are summed."""
-    out, lettered = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts), bool)
-    for i, text in enumerate(texts):
-        slots = gram_slots(text)
-        if slots is not None:
-            out[i], lettered[i] = np.add.reduce(weights[slots], axis=0) * len(slots) ** -0.5, True
-    return out, lettered
+    """Ridge scores of texts (zeros without a letter), one product for each batch, and which have letters."""
+    out, lettered = [np.zeros((0, weights.shape[1]))], np.zeros(len(texts), bool)
+    for k in range(0, len(texts), BATCH):
+        sets = [gram_slots(t) for t in texts[k : k + BATCH]]
+        lettered[k : k + BATCH] = [s is not None for s in sets]
+        out.append(Presence([np.zeros(0, np.int32) if s is None else s for s in sets]) @ weights)
+    return np.concatenate(out), lettered
 
 
 def predict(texts: list[str | None], labels: list[str], weights: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -113,8 +136,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # each scan task passes on PER_LANG rows of a language at most
     last = durable(rows.select("lang", "h").withColumn("place", place).where(F.col("place") <= PER_LANG).groupBy("lang").agg(F.max("h").alias("last")))
     near = rows.join(small_side(last, last.count()), "lang").where(F.col("h") <= F.col("last"))
-    sample = near.withColumn("place", place).where(F.col("place") <= PER_LANG).select("doc_id", "text", "lang").collect()
-    sample.sort(key=lambda r: (str(r["doc_id"]), r["text"]))
+    sample = near.withColumn("place", place).where(F.col("place") <= PER_LANG).select("h", "text", "lang").collect()
+    sample.sort(key=lambda r: (r["h"], r["text"], str(r["lang"])))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
