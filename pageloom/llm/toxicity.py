@@ -1,22 +1,30 @@
 """Toxicity: maximum-scoring segments over token log-odds, calibrated by extreme-value statistics.
 
 Token scores are log-odds of toxic against other labelled texts, counting a word once for each distinct text, under an
-informative Dirichlet prior (PRIOR times each word's own count in the whole sample); words whose log-odds are not significantly positive (z below Z) share
-one negative score, so a random text drifts downwards.  One linear scan finds every maximal-scoring segment of a text.
-Under that drift the best segment of clean text follows an extreme-value law (Karlin-Altschul): with lambda solving
-``sum p exp(lambda s) = 1`` over the clean word shares p, a segment of score S in N words has the expected count
-``E = K N exp(-lambda S)``.  Segments with E below SIGNIFICANT are toxic passages; their evidence, the sum of
-``-ln E``, and its density, go through a logistic fit on the training rows to the score.
-
-Learning uses at most MAX_TRAIN labelled rows outside the held-out fold (the smallest hashes of the id); the model's
-words are at most MAX_WORDS.  Text is read whole.  Empty, null and wordless texts get the score of no evidence.
+informative Dirichlet prior (PRIOR times each word's own count in the whole sample); words whose log-odds are not
+significantly positive (z below Z) share one negative score, so a random text drifts downwards.  One linear scan finds
+every maximal-scoring segment of a text.
+
+Under that drift the best segment of clean text follows an extreme-value law (Karlin-Altschul): a segment of score S in N
+words has the expected count ``E = K N exp(-lambda S)``.  Both parameters come from the clean training texts: lambda
+solves ``sum p exp(lambda s) = 1`` over the shares p of their tokens, and K is the maximum-likelihood value for the best
+segments of the texts that were not used to score the words (a text without any is censored at 0).  Segments with E below
+SIGNIFICANT are toxic passages; their evidence, the sum of ``-ln E``, and its density, go through a logistic fit on the
+training rows to the score.
+
+Learning uses at most MAX_TRAIN labelled ids outside the held-out fold (the smallest hashes of the id); of equal texts one
+counts.  Words are counted and texts measured by the executors; the driver sees the counts of words in toxic texts and a
+few numbers for each text.  Texts are read whole.  Empty, null and wordless texts get the score of no evidence, the same
+for all of them.  Rows that repeat are scored one by one, equal texts alike.  Columns besides those named are never looked
+at, whatever their names.  With one label only, or none, every text gets one score, below the threshold without toxic
+labels and above it without clean ones; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +32,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import isolate, parallel, remainder
+from pageloom.llm.common import durable, isolate, parallel, remainder
 
-PRIOR, Z, MAX_WORDS, MAX_TRAIN, SIGNIFICANT, K = 0.1, 2.5, 20_000, 12_000, 0.5, 0.1
+PRIOR, Z, MAX_TRAIN, SIGNIFICANT = 0.1, 2.5, 12_000, 0.5
 
 #: A hit is forgotten after about this many ordinary words.
 REACH = 12
@@ -41,23 +49,19 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def log_odds(toxic: Counter, other: Counter) -> dict[str, float]:
-    """Significantly toxic words and their log-odds, at most MAX_WORDS by z."""
-    n1, n0 = sum(toxic.values()), sum(other.values())
+def log_odds(counts: dict[str, tuple[int, int]], n1: int, n0: int) -> dict[str, float]:
+    """Significantly toxic words and their log-odds, from (toxic, other) counts and the sums of these over all words."""
     whole = PRIOR * (n1 + n0)
-    scored = []
-    for w, y1 in toxic.items():
-        y0 = other.get(w, 0)
+    odds = {}
+    for w, (y1, y0) in sorted(counts.items()):
         a = PRIOR * (y1 + y0)
         a1, b1, a0, b0 = y1 + a, n1 + whole - y1 - a, y0 + a, n0 + whole - y0 - a
-        if min(b1, b0) <= 0:
+        if not y1 or min(b1, b0) <= 0:
             continue
         delta = math.log(a1 / b1) - math.log(a0 / b0)
-        z = delta / math.sqrt(1 / a1 + 1 / a0)
-        if z >= Z:
-            scored.append((z, w, delta))
-    scored.sort(key=lambda x: (-x[0], x[1]))
-    return {w: d for _, w, d in scored[:MAX_WORDS]}
+        if delta / math.sqrt(1 / a1 + 1 / a0) >= Z:
+            odds[w] = delta
+    return odds
 
 
 def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
@@ -98,12 +102,15 @@ def decay(shares: list[tuple[float, float]], drift: float) -> float:
     return max(low, 1e-3)
 
 
+def hits_of(words: list[str], model: dict) -> list[tuple[int, float]]:
+    table = model["words"]
+    return [(i, table[w]) for i, w in enumerate(words) if w in table]
+
+
 def passages(words: list[str], model: dict) -> list[tuple[int, int, float]]:
     """(first word, last word, -ln E) of every significant segment."""
-    table = model["words"]
-    hits = [(i, table[w]) for i, w in enumerate(words) if w in table]
-    log_kn = math.log(K * max(1, len(words)))
-    found = [(f, t, model["lambda"] * s - log_kn) for f, t, s in segments(hits, model["drift"])]
+    log_kn = math.log(model["k"] * max(1, len(words)))
+    found = [(f, t, model["lambda"] * s - log_kn) for f, t, s in segments(hits_of(words, model), model["drift"])]
     return [x for x in found if x[2] > -math.log(SIGNIFICANT)]
 
 
@@ -126,34 +133,90 @@ def logistic(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str | None], toxic: list[int]) -> dict:
-    """The model of a labelled sample.
+Row = tuple[str | None, int, int]  # text, toxic, half
+
+
+def count_words(rows: Iterable[Row]) -> dict[str, np.ndarray]:
+    """For each word the texts that hold it by half and label, and then its tokens; "" has the number of texts."""
+    counts: dict[str, np.ndarray] = {}
+    none = np.zeros((2, 2, 2), np.int64)
+    for text, toxic, half in rows:
+        tokens = Counter(words_of(text))
+        for word, n in tokens.items():
+            held = counts.setdefault(word, none.copy())
+            held[0, half, toxic] += 1
+            held[1, half, toxic] += n
+        counts.setdefault("", none.copy())[0, half, toxic] += 1
+    return counts
+
+
+def word_model(counts: dict[str, np.ndarray], totals: np.ndarray, halves: Sequence[int]) -> dict:
+    """Word scores, drift and lambda of the texts of some halves; ``totals`` sums ``counts`` over all words."""
+    pick = lambda x, kind, toxic: int(x[kind, list(halves), toxic].sum())
+    odds = log_odds({w: (pick(x, 0, 1), pick(x, 0, 0)) for w, x in counts.items() if w}, pick(totals, 0, 1), pick(totals, 0, 0))
+    drift = float(np.median(list(odds.values()))) / REACH if odds else 1.0
+    clean = pick(totals, 1, 0) or 1
+    return {"words": odds, "drift": drift, "lambda": decay([((pick(counts[w], 1, 0) + 0.5) / (clean + 1), s) for w, s in odds.items()], drift)}
+
+
+def best_scores(rows: Iterable[Row], models: Sequence[dict]) -> list[tuple[int, int, int, float]]:
+    """half, toxic, words and lambda * best segment (0 without any) of each text, by the model of the other half."""
+    out = []
+    for text, toxic, half in rows:
+        words, model = words_of(text), models[1 - half]
+        best = max((s for _, _, s in segments(hits_of(words, model), model["drift"])), default=0.0)
+        out.append((half, toxic, len(words), model["lambda"] * best))
+    return out
+
+
+def gumbel_k(best: Iterable[tuple[int, float]]) -> float:
+    """The most likely K for the (words, lambda * best segment) of clean texts."""
+    seen, mass = 0.5, 1.0  # a text's worth of doubt keeps it finite
+    for n, x in best:
+        seen, mass = seen + (x > 0), mass + n * math.exp(-x)
+    return seen / mass
+
+
+def half_models(counts: dict[str, np.ndarray], totals: np.ndarray) -> list[dict]:
+    return [word_model(counts, totals, [k]) for k in (0, 1)]
+
+
+def with_k(models: list[dict], best: list[tuple[int, int, int, float]]) -> None:
+    for k in (0, 1):
+        models[k]["k"] = gumbel_k((n, x) for half, toxic, n, x in best if half != k and not toxic)
+
+
+def feature_rows(rows: Iterable[Row], models: Sequence[dict]) -> list[tuple[int, float, float, float]]:
+    """toxic and the features of each text, by the model of the other half."""
+    return [(toxic, *features(words_of(text), models[1 - half])) for text, toxic, half in rows]
+
 
-    Half of the sample (by order) gives the words and the other half the calibration, and the reverse; so words that
-    are toxic by accident of their own rows don't inflate the evidence on which the logistic is fitted.
+def whole_model(counts: dict[str, np.ndarray], totals: np.ndarray, models: list[dict], seen: list[tuple[int, float, float, float]]) -> dict:
+    """The model of both halves, with K between theirs and the logistic fit on features that neither half's words saw.
+
+    So words that are toxic by accident of their own rows don't inflate the evidence on which the logistic is fitted.
     """
+    found = np.array(sorted(seen))
+    model = word_model(counts, totals, [0, 1])
+    return model | {"k": math.sqrt(models[0]["k"] * models[1]["k"]), "weights": logistic(found[:, 1:], found[:, 0]).tolist()}
+
+
+def constant(toxic: bool) -> dict:
+    """The model of texts with one label only."""
+    return {"words": {}, "drift": 1.0, "lambda": 1.0, "k": 1.0, "weights": [0.0, 0.0, 0.0, 4.0 if toxic else -4.0]}
+
+
+def fit(texts: list[str | None], toxic: list[int]) -> dict:
+    """The model of a sample in memory; every other text is one half."""
     once = dict(zip(reversed(texts), reversed(toxic), strict=True))
-    shared: dict[str, str] = {}  # one string object for each distinct word
-    split, y = [[shared.setdefault(w, w) for w in words_of(t)] for t in once], np.array(list(once.values()), float)
-    if not 0 < y.sum() < len(y):
-        return {"words": {}, "drift": 1.0, "lambda": 1.0, "weights": [0.0, 0.0, 0.0, -4.0 if not y.sum() else 4.0]}
-
-    def table(rows: list[int]) -> dict:
-        counts = (Counter(), Counter())
-        for i in rows:
-            counts[int(y[i])].update(set(split[i]))
-        odds = log_odds(counts[1], counts[0])
-        drift = float(np.median(list(odds.values()))) / REACH if odds else 1.0
-        clean = sum(counts[0].values()) or 1
-        return {"words": odds, "drift": drift, "lambda": decay([((counts[0].get(w, 0) + 0.5) / clean, s) for w, s in odds.items()], drift)}
-
-    halves = [list(range(k, len(split), 2)) for k in (0, 1)]
-    rows = np.zeros((len(split), 3))
-    for k in (0, 1):
-        model = table(halves[1 - k])
-        for i in halves[k]:
-            rows[i] = features(split[i], model)
-    return table(list(range(len(split)))) | {"weights": logistic(rows, y).tolist()}
+    rows = [(t, y, i % 2) for i, (t, y) in enumerate(once.items())]
+    if len(set(once.values())) < 2:
+        return constant(1 in once.values())
+    counts = count_words(rows)
+    totals = sum(x for w, x in counts.items() if w)
+    models = half_models(counts, totals)
+    with_k(models, best_scores(rows, models))
+    return whole_model(counts, totals, models, feature_rows(rows, models))
 
 
 def score_text(text: str | None, model: dict) -> float:
@@ -162,13 +225,52 @@ def score_text(text: str | None, model: dict) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held: int = 1) -> dict:
-    """Fits on at most MAX_TRAIN labelled rows outside the held-out fold; that bound is all that reaches the driver."""
+    """Fits on at most MAX_TRAIN labelled ids outside the held-out fold; whole texts stay with the executors."""
     known = isolate(labels, id_col, label_col).toDF("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != held))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(3)))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(3)))
     sample = known.orderBy("h").limit(MAX_TRAIN)
     rows = isolate(docs, id_col, text_col).toDF("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = sorted(rows.limit(2 * MAX_TRAIN).collect(), key=lambda r: (r["h"], r["doc_id"], r["text"] or ""))
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    one = F.min_by(F.struct("text", "toxic"), F.struct("h", "toxic"))
+    rows = durable(rows.groupBy(F.xxhash64("text").alias("t"), F.xxhash64(F.lit(7), "text").alias("u")).agg(one.alias("x")).select("x.*", F.pmod("t", F.lit(2)).cast("int").alias("half")))
+    seen = {r[0] for r in rows.select("toxic").distinct().collect()}
+    if len(seen) < 2:
+        return constant(1 in seen)
+    counts, totals = _counted(rows)
+    models = half_models(counts, totals)
+    with_k(models, _measured(rows, models, best_scores, "half int, toxic int, words int, best double"))
+    return whole_model(counts, totals, models, _measured(rows, models, feature_rows, "toxic int, f double, g double, h double"))
+
+
+def _texts(frame: pa.RecordBatch) -> Iterable[Row]:
+    return zip(*(frame[c].to_pylist() for c in ("text", "toxic", "half")), strict=True)
+
+
+def _counted(rows: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Counts of the words in toxic texts, and the sums over all words."""
+    names = [f"n{k}" for k in range(8)]
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            counts = count_words(_texts(frame))
+            held = np.array([x.reshape(-1) for x in counts.values()], np.int64).reshape(-1, 8)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *map(pa.array, held.T.copy())], ["word", *names])
+
+    every = rows.mapInArrow(batches, "word string, " + ", ".join(f"{n} long" for n in names)).groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
+    every = durable(every)
+    totals = np.array(every.where("word <> ''").agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names]).first(), np.int64).reshape(2, 2, 2)
+    toxic = every.where("word <> '' AND n1 + n3 > 0").collect()
+    return {r[0]: np.array(r[1:], np.int64).reshape(2, 2, 2) for r in toxic}, totals
+
+
+def _measured(rows: DataFrame, models: list[dict], kernel: Callable, schema: str) -> list[tuple]:
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            found = kernel(_texts(frame), shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int32() if kind.endswith("int") else pa.float64()) for k, kind in enumerate(schema.split(", "))], [c.split()[0] for c in schema.split(", ")])
+
+    return [tuple(r) for r in rows.mapInArrow(batches, schema).collect()]
 
 
 def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
