@@ -4,21 +4,29 @@ Rules give verdicts and, with them, labels.  The tree of a host is built from it
 segment stays literal if it has no digit and holds at least 1/BRANCH of the node's pages, or if it is constant: its pages
 outnumber its peers, the node's segments (with a digit or without, as itself) that are up to twice as frequent or rare.
 So a small section and a constant such as v2 are literal, and ids and slugs, of which many are equally rare, are not; a
-node of n pages has at most some multiple of sqrt(n) literal branches.  The other segments become a wildcard; where some
-of them have labels and some don't, those with labels become another one, RULED.  Sibling branches are merged if
-chi-square tests find neither their next templates nor their labels to differ; a branch without labels merges only with
-others without, so that no label reaches pages of another kind.  A merged template is rejected if
-``(blocked + STRENGTH * base) / (labelled + STRENGTH)`` reaches PURITY, where ``base`` is the share of blocked pages
-among all pages; a template without labels is therefore allowed unless most of the web is blocked.
-
-Everything is aggregated over (host, template), so a host with a third of all pages is as light as any other; only
-counts of templates reach the merging step.  Paths deeper than DEPTH segments end in one wildcard.  Null urls and urls
-without ``://`` have an empty host and path.  An empty table gives an empty result.
+node of n pages has at most some multiple of sqrt(n) literal branches.  The other segments become the wildcard ``*``; where
+some of them have labels and some don't, those with labels become another one, ``*#``.  In a literal segment ``*`` is written
+%2A and ``|`` %7C, as a URL may have them, so that no segment is taken for a wildcard or for merged branches.  A node of
+fewer than LEAF pages, which is what a rejection takes, gets no branches: whatever follows is ``**``.  There is no bound on
+depth; the tree ends where its nodes have become that small or all paths have ended.
+
+Sibling branches are merged if chi-square tests find neither their next templates nor their labels to differ; a branch
+without labels merges only with others without, so that no label reaches pages of another kind.  Templates below a branch
+are counted in SHAPES hash cells for that, so a node's merging sees numbers of its branches and not the templates of its
+host.  A merged template is rejected if ``(blocked + STRENGTH * base) / (labelled + STRENGTH)`` reaches PURITY, where
+``base`` is the share of blocked pages among all pages; a template without labels is therefore allowed unless most of the
+web is blocked.
+
+Everything is aggregated over (host, template), so a host with a third of all pages is as light as any other.  Null urls
+and urls without ``://`` have an empty host and path.  Empty segments don't count, so a path of slashes is the host's root.
+Pages that repeat, or have no page_id, are pages of their own.  Columns besides page_id and url are never looked at, whatever
+their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,12 +34,15 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import durable, isolate, small_side
 
-BRANCH, DEPTH, STRENGTH, PURITY, ALPHA = 16, 8, 4.0, 0.8, 0.05
+BRANCH, STRENGTH, PURITY, ALPHA, SHAPES = 16, 4.0, 0.8, 0.05, 256
+
+#: Blocked pages that a rejection takes if few others are blocked.
+LEAF = round(STRENGTH * PURITY / (1 - PURITY))
 
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
-#: The wildcard of segments with labels, beside ``*`` of those without.  No path has a #.
-RULED = "*#"
+#: The wildcards of segments, of those with labels where others have none, and of all that follows a small node.
+ANY, RULED, REST = "*", "*#", "**"
 
 #: log2 of a count in whole steps, and a factor of two with rounding.
 STEPS = 1_000_000
@@ -60,35 +71,40 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """(page_id, host, path, rule, label) with ``template``, an array of segments where ``*`` is a wildcard."""
-    parts = F.filter(F.split(F.regexp_replace("path", "^/+", ""), "/+"), lambda s: s != "")
-    cut = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("*")))).otherwise(parts)
-    rows = durable(rows.withColumn("parts", cut).withColumn("template", F.array().cast("array<string>")))
-    deepest = rows.agg(F.max(F.size("parts"))).first()[0] or 0
-    for level in range(deepest):
+    """(page_id, host, path, rule, label) with ``template``, an array of literal segments and wildcards."""
+    parts = F.filter(F.split("path", "/+"), lambda s: s != "")
+    rows = durable(rows.withColumn("parts", parts).withColumn("template", F.array().cast("array<string>")))
+    for level in count():
         segment = F.get("parts", F.lit(level))
         stem = rows.where(F.size("parts") > level).select("host", "template", segment.alias("segment"), "label")
         counts = durable(stem.groupBy("host", "template", "segment").agg(F.count("*").alias("n"), (F.count("label") > 0).alias("ruled")))
-        named = durable(_named(counts).select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s"), "name"))
+        if counts.isEmpty():
+            return rows.drop("parts")
+        nodes = durable(counts.groupBy("host", "template").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAF).select(F.col("host").alias("nh"), F.col("template").alias("nt")))
+        large = small_side(nodes, nodes.count(), 256)
+        node = (F.col("host") == F.col("nh")) & (F.col("template") == F.col("nt"))
+        named = durable(_named(counts.join(large, node, "left_semi")).select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s"), "name"))
         known = (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (segment == F.col("s"))
-        step = F.when(segment.isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.coalesce("name", F.lit("*")))))
-        rows = durable(rows.join(small_side(named, named.count()), known, "left").select("page_id", "host", "path", "rule", "label", "parts", step.alias("template")))
-    return rows.drop("parts")
-
+        name = F.when(F.col("nh").isNull(), F.lit(REST)).otherwise(F.coalesce("name", F.lit(ANY)))
+        step = F.when(segment.isNull(), F.col("template")).otherwise(F.concat("template", F.array(name)))
+        ended = F.when(segment.isNotNull() & F.col("nh").isNull(), F.slice("parts", 1, level)).otherwise(F.col("parts"))
+        rows = rows.join(large, node, "left").join(small_side(named, named.count(), 256), known, "left")
+        rows = durable(rows.select("page_id", "host", "path", "rule", "label", ended.alias("parts"), step.alias("template")))
 
 def _named(counts: DataFrame) -> DataFrame:
-    """(host, template, segment, name) of the segments at a level that are not ``*``."""
+    """(host, template, segment, name) of the segments at a level that are not ``*``, from the counts of nodes that have branches."""
     node, digit, step = ["host", "template"], F.col("segment").rlike("[0-9]"), F.floor(F.log2("n") * STEPS)
     alike = counts.groupBy(*node, digit.alias("digit"), "n").agg(F.count("*").alias("kinds"))
     near = Window.partitionBy(*node, "digit").orderBy(step).rangeBetween(-STEPS - 1, STEPS + 1)
     total = F.sum(F.col("n") * F.col("kinds")).over(Window.partitionBy(*node))
     literal = (F.col("n") > F.sum("kinds").over(near)) | (~F.col("digit") & (F.col("n") * BRANCH >= total))
     peers = durable(alike.select(*node, "digit", "n", literal.alias("literal")))
-    known = counts.withColumn("digit", digit).join(small_side(peers, peers.count()), [*node, "digit", "n"])
+    known = counts.withColumn("digit", digit).join(small_side(peers, peers.count(), 256), [*node, "digit", "n"])
     mixed = known.where(~F.col("literal")).groupBy(*node).agg(F.min("ruled").alias("least"), F.max("ruled").alias("most")).where(~F.col("least") & F.col("most"))
     mixed = durable(mixed.select(*node, F.lit(True).alias("mixed")))
-    known = known.join(small_side(mixed, mixed.count()), node, "left")
-    name = F.when(F.col("literal"), F.col("segment")).when(F.col("mixed") & F.col("ruled"), F.lit(RULED))
+    known = known.join(small_side(mixed, mixed.count(), 256), node, "left")
+    written = F.replace(F.replace("segment", F.lit("*"), F.lit("%2A")), F.lit("|"), F.lit("%7C"))
+    name = F.when(F.col("literal"), written).when(F.col("mixed") & F.col("ruled"), F.lit(RULED))
     return known.withColumn("name", name).where(F.col("name").isNotNull())
 
 
@@ -130,33 +146,30 @@ def merge_siblings(branches: dict[str, dict[str, tuple[int, int, int]]]) -> dict
     return {n: "|".join(sorted(names)) for names, _, _ in clusters for n in names}
 
 
-MERGED = "host string, own array<string>, template array<string>, pages long, blocked long, allowed long"
-
-
-def merged(counts: DataFrame, depth: int) -> DataFrame:
+def merged(counts: DataFrame) -> DataFrame:
     """(host, own, template, pages, blocked, allowed) with ``template``'s branches merged, level by level."""
+    depth = counts.agg(F.max(F.size("template"))).first()[0] or 0
+    branch = lambda level: F.get("template", F.lit(level))
     for level in range(depth):
-        stem = F.when(F.size("template") > level, F.slice("template", 1, level)).otherwise(F.concat(F.array(F.lit("/")), "template"))
-        counts = durable(counts.withColumn("stem", stem).groupBy("host", "stem").applyInPandas(_merger(level), MERGED))
+        stem, rest = F.slice("template", 1, level), F.slice("template", level + 2, depth)
+        cell = F.when(F.size(rest) > 0, F.pmod(F.xxhash64(rest), F.lit(SHAPES))).otherwise(-1).cast("int")
+        below = counts.where(branch(level).isNotNull()).groupBy("host", stem.alias("stem"), branch(level).alias("branch"), cell.alias("cell"))
+        below = below.agg(*[F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")])
+        names = durable(below.groupBy("host", "stem").applyInPandas(_cluster, "host string, stem array<string>, branch string, name string").where("branch <> name"))
+        known = (F.col("host") == F.col("h")) & (stem == F.col("stem")) & (branch(level) == F.col("branch"))
+        names = small_side(names.withColumnRenamed("host", "h"), names.count(), 256)
+        renamed = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat(stem, F.array("name"), rest))
+        counts = durable(counts.join(names, known, "left").select("host", "own", renamed.alias("template"), "pages", "blocked", "allowed"))
     return counts
 
 
-def _merger(level: int):
-    """Merges the branches at ``level`` of one (host, stem)."""
-    names = [c.split()[0] for c in MERGED.split(", ")]
-
-    def siblings(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows["template"].iloc[0]) <= level:
-            return rows[names]
-        branches: dict = {}
-        for t, *x in rows[["template", "pages", "blocked", "allowed"]].itertuples(index=False):
-            rest = branches.setdefault(t[level], {})
-            key = "/".join(t[level + 1 :])
-            rest[key] = tuple(map(sum, zip(rest.get(key, (0, 0, 0)), x, strict=True)))
-        name = merge_siblings(branches)
-        return rows.assign(template=[[*t[:level], name[t[level]], *t[level + 1 :]] for t in rows["template"]])[names]
-
-    return siblings
+def _cluster(rows: pd.DataFrame) -> pd.DataFrame:
+    """The names of the branches of one node."""
+    branches: dict = {}
+    for name, cell, *x in rows[["branch", "cell", "pages", "blocked", "allowed"]].itertuples(index=False):
+        branches.setdefault(name, {})[cell] = tuple(x)
+    names = merge_siblings(branches)
+    return pd.DataFrame({"host": rows["host"].iloc[0], "stem": [rows["stem"].iloc[0]] * len(names), "branch": list(names), "name": list(names.values())})
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -169,12 +182,12 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     rows = templates(rows.withColumn("label", label))
     blocked, allowed = F.count_if(F.col("label") == "block"), F.count_if(F.col("label") == "allow")
     counts = durable(rows.groupBy("host", F.col("template").alias("own")).agg(F.count("*").alias("pages"), blocked.alias("blocked"), allowed.alias("allowed")).select("host", "own", F.col("own").alias("template"), "pages", "blocked", "allowed"))
-    n, bad, depth = counts.agg(F.sum("pages"), F.sum("blocked"), F.max(F.size("own"))).first()
-    whole = merged(counts, depth or 0)
+    n, bad = counts.agg(F.sum("pages"), F.sum("blocked")).first()
+    whole = merged(counts)
     base = (bad or 0) / (n or 1)
     pure = (F.sum("blocked") + STRENGTH * base) / (F.sum("blocked") + F.sum("allowed") + STRENGTH)
     judged = whole.groupBy("host", "template").agg(pure.alias("purity"))
     judged = durable(whole.select("host", "own", "template").join(judged, ["host", "template"]).select(F.col("host").alias("h"), "own", F.col("template").alias("whole"), "purity"))
-    out = rows.join(small_side(judged, judged.count()), (F.col("host") == F.col("h")) & (F.col("template") == F.col("own")))
+    out = rows.join(small_side(judged, judged.count(), 256), (F.col("host") == F.col("h")) & (F.col("template") == F.col("own")))
     method = F.when(F.col("purity") >= PURITY, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("label", method).alias("verdict"), F.concat(F.lit("/"), F.array_join("whole", "/")).alias("template"), "purity")
