@@ -1,14 +1,20 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Distinct vectors are dealt to shards of about SHARD vectors by a hash.  Each shard's graph is stored durably as flat
-arrays: the neighbour table of each layer, the nodes of the upper layers, and the vectors.  Queries meet every shard
-in blocks, each shard answers from its graph, and the answers are merged and ranked by exact distance.
+arrays: the neighbour table of each layer, the nodes of the upper layers, and the vectors.  Queries meet every shard: a
+task takes a block of at most about QUERY_BLOCK queries and GROUP shards, asks its shards one after another and passes on
+the best TOP over all of them, so few rows are left to merge.  With few shards a group has fewer, to use more tasks.  The
+work still grows with queries x shards, as it must where each query asks each shard; shards are copied once for each
+block, and TOP rows leave each query and group.
 
 Equal vectors are one node that carries its TOP + 1 smallest ids.  That is exact, not a cap: copies share every
 distance, ties go to the smaller id, and no query can return more than TOP of them besides itself.
 
-Vectors that are null, zero, or hold null or non-finite components take no part; vectors of another dimension meet
-only their own kind.  With fewer candidates than TOP all are returned.  An empty table gives an empty result.
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id; vectors of
+another dimension meet only their own kind.  Rows that repeat are one candidate.  An id with several vectors is one
+candidate too, at the nearest of them, and a query id with several asks with each and gets one list.  With fewer candidates
+than TOP all are returned.  Columns besides id and vector are never looked at, whatever their names.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql.window import Window
 
 from pageloom.llm.common import cells, durable, isolate
 
-SHARD, LINKS, EF_BUILD, EF_SEARCH, TOP, QUERY_BLOCK = 4096, 12, 48, 160, 10, 4096
+SHARD, LINKS, EF_BUILD, EF_SEARCH, TOP, QUERY_BLOCK, GROUP, TASKS = 8192, 12, 48, 160, 10, 32_768, 16, 64
 
 INDEX = "shard int, dims int, vectors binary, ids binary, tops binary, layers binary, sizes array<int>"
 
@@ -170,25 +176,38 @@ def load(row: pd.Series) -> tuple[Graph, np.ndarray, np.ndarray]:
 
 
 def _answer(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    if len(index) and len(queries):
-        graph, ids, held = load(index.iloc[0])
+    """The best TOP of some shards for each of some queries."""
+    best: dict[int, dict[int, float]] = {}
+    for k in range(len(index)):
+        graph, ids, held = load(index.iloc[k])
         for q_id, vector in zip(queries["query_id"], queries["vector"], strict=True):
             q = np.asarray(vector, np.float64)
-            nodes = graph.nearest(q, EF_SEARCH)[: TOP + 1]
-            score = np.sqrt(squared(graph.points[nodes], q))
-            found = [(s, int(v)) for s, i in zip(score.tolist(), nodes, strict=True) for v in ids[i][held[i]] if v != q_id]
-            out += [(q_id, v, s) for s, v in sorted(found)[:TOP]]
+            nodes = graph.nearest(q, EF_SEARCH)
+            mine, fresh = best.setdefault(q_id, {}), set()
+            for score, i in zip(np.sqrt(squared(graph.points[nodes], q)).tolist(), nodes, strict=True):
+                if len(fresh) > TOP:
+                    break
+                for v in ids[i][held[i]].tolist():
+                    if v != q_id:
+                        fresh.add(v)
+                        mine[v] = min(score, mine.get(v, score))
+            if len(mine) > 4 * TOP:
+                best[q_id] = _top(mine)
+    out = [(q_id, v, s) for q_id, mine in best.items() for v, s in _top(mine).items()]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": np.int64, "vec_id": np.int64, "score": float})
 
 
+def _top(found: dict[int, float]) -> dict[int, float]:
+    return {v: s for s, v in heapq.nsmallest(TOP, ((s, v) for v, s in found.items()))}
+
+
 def build_index(vectors: DataFrame) -> tuple[DataFrame, int]:
     """The stored shards of (vec_id, vector) and their number."""
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    heads = vectors.withColumn("rank", rank).where(F.col("rank") <= TOP + 1)
+    heads = vectors.groupBy("vector", "vec_id").agg(F.count("*").alias("rows")).withColumn("rank", rank).where(F.col("rank") <= TOP + 1)
     nodes = durable(heads.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.collect_list("vec_id").alias("members")))
     shards = cells(nodes.count(), SHARD)
-    nodes = nodes.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.size("vector").alias("dims"))
+    nodes = nodes.select("*", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), F.size("vector").alias("dims"))
     return durable(nodes.groupBy("shard", "dims").applyInPandas(_build, INDEX)), shards
 
 
@@ -198,9 +217,12 @@ def nearest_neighbours(embeddings: DataFrame, queries: DataFrame, id_col: str =
     index, shards = build_index(named(embeddings))
     asked = durable(named(queries).withColumnRenamed("vec_id", "query_id"))
     blocks = cells(asked.count(), QUERY_BLOCK)
-    asked = asked.select("*", F.size("vector").alias("dims"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    spread = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    keys = ["shard", "dims", "block"]
+    groups = min(shards, max(-(-shards // GROUP), -(-TASKS // blocks)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.select("*", F.size("vector").alias("dims"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each(groups).alias("group"))
+    spread = index.select("*", F.pmod("shard", F.lit(groups)).cast("int").alias("group"), each(blocks).alias("block"))
+    keys = ["group", "dims", "block"]
     found = spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_answer, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.distinct().select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= TOP)
+    return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= TOP)
