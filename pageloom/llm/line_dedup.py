@@ -1,12 +1,15 @@
 """Line dedup: lines spread over many distinct sites are boilerplate and are removed.
 
-Each line is keyed by a 128-bit hash of its text without surrounding white space.  A HyperLogLog sketch of sites per
-key is built in each task and merged by aggregation.  Keys whose estimate lies within BAND of the threshold get an
-exact distinct count; beyond it the estimate, whose error is far smaller than the band, decides.  Removal depends on a
-text alone, so the places of removed lines are gathered once for each distinct text and joined back by its hash.
+Each line is keyed by a 128-bit hash of its text without surrounding white space.  Texts are cut into lines once; the keys,
+with their sites and places, are a stored table from which the rest is made.  A HyperLogLog sketch of sites per key is
+built in each task and merged by aggregation.  Keys whose estimate lies within BAND of the threshold get an exact distinct
+count; beyond it the estimate, whose error is far smaller than the band, decides.  Removal depends on a text alone, so
+the places of removed lines are gathered once for each distinct text and joined back by its hash.
 
 Blank lines are never boilerplate and stay where they are.  A null site counts as a site of its own.  Null text stays
-null and has no lines.  A text all of whose lines go becomes empty.  An empty table gives an empty result.
+null and has no lines; empty text has one, blank.  A text all of whose lines go becomes empty.  A text of very many lines
+takes time in proportion to them.  Rows that repeat are cleaned alike, and count once for their site.  Other columns are
+kept, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import durable, numbered, small_side
+from pageloom.llm.common import durable, numbered, release, small_side, stored
 
 #: Lines on at least this many sites go.
 MIN_SITES = 5
@@ -52,19 +55,23 @@ def drop_boilerplate_lines(docs: DataFrame, text_col: str = "text", site_col: st
     """``docs`` with each text cleaned, and three more columns: n_lines, n_removed, removed_chars."""
     plain, at, old = numbered(docs)
     text, site = F.col(at[text_col]), F.col(at[site_col])
-    split = F.split(text, "\n")
     sites = F.concat(F.when(site.isNull(), "n").otherwise("s"), F.coalesce(site.cast("string"), F.lit("")))
-    lines = plain.select(sites.alias("site"), F.explode(split).alias("line")).select("site", line_key(F.col("line")).alias("key")).where("key is not null")
-    gone = durable(boilerplate(lines, min_sites))
-    placed = plain.where(text.isNotNull()).select(text_key(text).alias("text_key"), F.posexplode(split).alias("pos", "line"))
-    placed = placed.select("text_key", "pos", line_key(F.col("line")).alias("key")).where("key is not null")
-    hits = placed.join(small_side(gone, gone.count()), "key", "left_semi")
-    removed = durable(hits.groupBy("text_key", "pos").agg(F.count("*").alias("copies")).groupBy("text_key").agg(F.collect_set("pos").alias("removed")))
-    out = plain.withColumn("text_key", text_key(text)).join(small_side(removed, removed.count()), "text_key", "left")
-    cut = F.coalesce("removed", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains(cut, i)), "\n")
-    cleaned = F.when(text.isNull() | F.col("removed").isNull(), text).otherwise(kept)
-    whole = [cleaned.alias(c) if c == at[text_col] else F.col(c) for c in at.values()]
-    counts = [F.when(text.isNull(), 0).otherwise(F.size(split)), F.size(cut)]
-    shorter = F.coalesce(F.length(text) - F.length(cleaned), F.lit(0))
-    return out.select(*whole, *counts, shorter).toDF(*old, "n_lines", "n_removed", "removed_chars")
+    parts = F.split(text, "\n")
+    lines = plain.where(text.isNotNull()).select(sites.alias("site"), text_key(text).alias("text_key"), F.posexplode(parts).alias("pos", "line"))
+    lines, path = stored(lines.select("site", "text_key", "pos", line_key(F.col("line")).alias("key")).where("key is not null"))
+    gone = durable(boilerplate(lines.select("key", "site"), min_sites))
+    hits = lines.join(small_side(gone, gone.count()), "key", "left_semi").groupBy("text_key", "pos").agg(F.count("*").alias("copies"))
+    removed = durable(hits.groupBy("text_key").agg(F.collect_list("pos").alias("removed")))
+    release(lines, path)
+    held = removed.agg(F.coalesce(F.sum(F.size("removed") * 4 + 64), F.lit(0))).first()[0]
+    # the text travels as its lines, which are not cut again for each line that stays
+    whole = plain.select(*[F.lit(None).cast("string").alias(c) if c == at[text_col] else F.col(c) for c in at.values()], text_key(text).alias("text_key"), parts.alias("parts"))
+    out = whole.join(small_side(removed, held, 1), "text_key", "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("removed"))
+    kept = F.transform(stay, lambda i: F.get("parts", i))
+    cleaned = F.array_join(F.when(F.col("removed").isNull(), F.col("parts")).otherwise(kept), "\n")
+    length = lambda lines: F.aggregate(lines, F.lit(0), lambda n, line: n + F.length(line) + 1)
+    gone_lines = F.transform("removed", lambda i: F.get("parts", i))
+    shorter = F.least(F.coalesce(length(gone_lines), F.lit(0)), length(F.col("parts")) - 1)
+    counts = [F.when(F.col("parts").isNull(), 0).otherwise(F.size("parts")), F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")), F.coalesce(shorter, F.lit(0))]
+    return out.select(*[cleaned.alias(c) if c == at[text_col] else F.col(c) for c in at.values()], *counts).toDF(*old, "n_lines", "n_removed", "removed_chars")
