@@ -1,32 +1,35 @@
 """Sharding by longest processing time: groups of equal texts, largest first, go to the least-loaded shard.
 
-Law: ``bytes`` (near-equal sizes).  A heap over every group of a large corpus would have to sit on the driver, so units
-of bounded number are scheduled: each group that is at least 1/256 of a shard's share is a unit of its own (at most
-256 for each shard can exist), and smaller groups are bundled by hash into BUNDLES units.  Both kinds are summed by
-Spark; the driver's heap sees at most 256 * shards + BUNDLES sizes whatever the corpus, and the result goes back as a
-broadcast of that bound.  No document row is collected or shuffled for its placement.
-
-Null text has no bytes (size 1, crc32 0).  A group larger than a shard's share stays whole, since groups may not be
-split; the other shards then stay level.  An empty table gives an empty result.
+Law: ``bytes`` (near-equal sizes).  Up to UNITS groups are units of the heap one by one.  A heap over every group of a
+larger corpus would outgrow the driver; there each group that is at least 1/LARGE of a shard's share is a unit of its own (at
+most LARGE for each shard can exist), and smaller groups are bundled by hash into BUNDLES units, each still whole.  Spark
+sums both kinds; the driver's heap sees at most UNITS, or LARGE * shards + BUNDLES, sizes whatever the corpus, and the
+result goes back as a broadcast of that bound.  No document row is collected or shuffled for its placement.
+
+Units of equal size go by their key, so reruns agree.  Null text has no bytes (size 1, crc32 0) and is a group of its own
+beside empty text.  Rows that repeat are rows of one group.  A group larger than a shard's share stays whole, since groups
+may not be split; the other shards then stay level.  Columns besides doc_id and text are never looked at, whatever their
+names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pageloom.llm.common import cells, durable, isolate, small_side
 
-BUNDLES, LARGE = 16_384, 256
+UNITS, BUNDLES, LARGE = 1 << 17, 16_384, 256
 
 #: Rows in one cell of a shard, within which slots are numbered.
 CELL_ROWS = 20_000
 
 
-def longest_first(sizes: list[tuple[int, str]], shards: int) -> dict[str, int]:
+def longest_first(sizes: list[tuple[int, object]], shards: int) -> dict[object, int]:
     """Unit -> shard: units by falling size (ties by name) each go to the shard with the least load (ties: lowest)."""
     heap = [(0, s) for s in range(shards)]
     placed = {}
@@ -44,20 +47,23 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     rows = durable(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text, F.col("text").isNull()).alias("text_key")))
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     groups = durable(rows.groupBy("text_key").agg(F.sum("size").alias("size")))
-    large = F.col("size") * (shards * LARGE) >= total
-    bundle = F.concat(F.lit("b"), F.pmod("text_key", F.lit(BUNDLES)).cast("string"))
-    own = F.concat(F.lit("g"), F.col("text_key").cast("string"))
-    units = groups.groupBy(F.when(large, own).otherwise(bundle).alias("unit")).agg(F.sum("size").alias("size")).collect()
-    placed = longest_first([(r["size"], r["unit"]) for r in units], shards)
-
-    spark = docs.sparkSession
-    at = lambda mark: spark.createDataFrame([(int(k[1:]), v) for k, v in placed.items() if k[0] == mark], "unit long, at int")
-    out = rows.join(F.broadcast(at("g").toDF("text_key", "own_shard")), "text_key", "left")
-    out = out.withColumn("unit", F.pmod("text_key", F.lit(BUNDLES))).join(F.broadcast(at("b")), "unit", "left")
+    alone = F.lit(True) if groups.count() <= UNITS else F.col("size") * (shards * LARGE) >= total
+    unit = F.when(alone, F.col("text_key")).otherwise(F.pmod("text_key", F.lit(BUNDLES)))
+    units = groups.groupBy(alone.alias("alone"), unit.alias("unit")).agg(F.sum("size").alias("size")).toArrow()
+    keys = list(zip(units["alone"].to_pylist(), units["unit"].to_pylist(), strict=True))
+    placed = longest_first(list(zip(units["size"].to_pylist(), keys, strict=True)), shards)
+
+    def at(own: bool, *names: str) -> DataFrame:
+        held = [k for k in keys if k[0] == own]
+        table = pa.table([pa.array([k[1] for k in held], pa.int64()), pa.array([placed[k] for k in held], pa.int32())], list(names))
+        return F.broadcast(docs.sparkSession.createDataFrame(table))
+
+    out = rows.join(at(True, "text_key", "own_shard"), "text_key", "left")
+    out = out.withColumn("unit", F.pmod("text_key", F.lit(BUNDLES))).join(at(False, "unit", "at"), "unit", "left")
     parts = cells(n, CELL_ROWS * shards)
     out = out.select("doc_id", "size", "text_crc32", "row", F.coalesce("own_shard", "at").alias("shard"), F.pmod(F.xxhash64("row"), F.lit(parts)).alias("cell"))
     before = out.groupBy("shard", "cell").agg(F.count("*").alias("held"))
     before = before.select("shard", "cell", (F.sum("held").over(Window.partitionBy("shard").orderBy("cell")) - F.col("held")).alias("before"))
     place = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("row")) - 1
-    out = out.withColumn("place", place).join(small_side(before, parts * shards), ["shard", "cell"])
+    out = out.withColumn("place", place).join(small_side(before, parts * shards, 24), ["shard", "cell"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
