@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -39,12 +41,29 @@ def test_exact_dedup_odd(odd, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0 and exact_dedup.drop_exact_duplicates(empty).count() == 0
 
 
-def test_exact_dedup_against_an_earlier_history(spark):
-    old = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
-    history = exact_dedup.grouped(exact_dedup.digested(old, "doc_id", "text"))
-    new = spark.createDataFrame([(4, "a"), (5, "c"), (6, "c")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(new, history=history).collect()}
-    assert got == {4: (2, 2), 5: (6, 2), 6: (6, 2)}
+def test_exact_dedup_against_an_earlier_index(spark, empty, tmp_path):
+    old = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (None, "d")], "doc_id long, text string")
+    exact_dedup.write_index(old, str(tmp_path / "index"))
+    index = exact_dedup.read_index(spark, str(tmp_path / "index"))
+    new = spark.createDataFrame([(4, "a"), (5, "c"), (6, "c"), (7, "d"), (8, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(new, index=index).collect()}
+    assert got == {4: (2, 2, False), 5: (6, 2, False), 6: (6, 2, True), 7: (None, 1, False), 8: (8, 1, True)}
+    assert sorted(r[0] for r in exact_dedup.drop_exact_duplicates(new, index=index).collect()) == [6, 8]
+    nothing = exact_dedup.build_index(empty)
+    assert nothing.count() == 0 and {r["doc_id"] for r in exact_dedup.exact_duplicates(new, index=nothing).where("kept").collect()} == {4, 6, 7, 8}
+
+
+@pytest.mark.parametrize("copies", [2, 3000])
+def test_exact_dedup_cells_are_bounded(spark, monkeypatch, copies):
+    """Few repeats among many rows, and one text in a third of the rows: no cell grows with either."""
+    monkeypatch.setattr(exact_dedup, "CELL_ROWS", 400)
+    monkeypatch.setattr(exact_dedup, "BUCKET_DIGESTS", 900)
+    rows = spark.range(9000).selectExpr("id AS doc_id", f"if(id < {copies}, 'same', concat('t', id)) AS text").repartition(3)
+    asked, spread = exact_dedup.dealt(exact_dedup.digested(rows, "doc_id", "text"), exact_dedup.build_index(rows))
+    held = [r["count"] for r in asked.groupBy("bucket", "part").count().collect()]
+    assert sum(held) == 9000 and max(held) < 600 and max(r["count"] for r in spread.groupBy("bucket", "part").count().collect()) == 1
+    got = exact_dedup.exact_duplicates(rows).collect()
+    assert all(r["keep_id"] == (copies - 1 if r["doc_id"] < copies else r["doc_id"]) and r["kept"] == (r["keep_id"] == r["doc_id"]) and r["group_size"] == (copies if r["doc_id"] < copies else 1) for r in got)
 
 
 # ---- near duplicates
@@ -85,25 +104,67 @@ def test_jaccard_random_edits(spark, n, percent, seed):
     assert got == brute_components(rows, n, percent)
 
 
-def test_components_both_ways(spark):
+def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 450)] + [(500, k) for k in range(501, 560)]
-    made = spark.createDataFrame(edges, "a long, b long")
-    one, many = (sorted(map(tuple, jaccard_join.components(made, n).collect())) for n in (10_000, 0))
-    assert one == many and (450, 400) in one and (559, 500) in one
-
-
-def test_prefixes_of_linked_sets_meet():
-    rng = np.random.default_rng(0)
-    for _ in range(200):
-        size = int(rng.integers(10, 200))
-        a = np.sort(rng.choice(1 << 40, size, replace=False).astype(np.uint64))
-        b = np.sort(np.concatenate([a[rng.random(size) < 0.96], rng.choice(1 << 40, int(rng.integers(0, 5))).astype(np.uint64)]))
-        heavy = np.sort(rng.choice(a, size // 2, replace=False))
-        counts = rng.integers(1, 9, len(heavy))
-        both = len(np.intersect1d(a, b))
-        if 100 * both >= 90 * (len(a) + len(b) - both):
-            assert set(jaccard_join.ordered_prefix(a, 90, heavy, counts)) & set(jaccard_join.ordered_prefix(b, 90, heavy, counts))
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = {r["node"]: r["root"] for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {x: r for x, r in root.items() if x in {y for a, b in edges if a != b for y in (a, b)}}
+    star = spark.createDataFrame([(k, 1) for k in range(2, 50)], "a long, b long")
+    assert {r["root"] for r in jaccard_join.components(star).collect()} == {1} and jaccard_join.components(star.limit(0)).count() == 0
+
+
+def _full_order(grams, df):
+    return [g for _, g in sorted(zip((df[g] for g in grams), grams, strict=True))]
+
+
+@pytest.mark.parametrize(("block", "bucket", "cell"), [(1 << 20, 1 << 21, 1 << 21), (300, 500, 400)])
+def test_rare_first_prefixes_are_exact(spark, monkeypatch, block, bucket, cell):
+    """Counts, prefixes and places over all classes, with more shared grams than any one block, bucket or cell holds."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", block)
+    monkeypatch.setattr(jaccard_join, "BUCKET_GRAMS", bucket)
+    monkeypatch.setattr(jaccard_join, "CELL_GRAMS", cell)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        at = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(12, 60))]
+        texts += [" ".join(at), " ".join(at)]
+        for _ in range(3):
+            at = list(at)
+            at[rng.randrange(len(at))] = f"x{rng.randrange(999)}"
+            texts.append(" ".join(at))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {tuple(jaccard_join.gram_set(t, 3).tolist()) for t in texts}
+    df = Counter(g for s in sets for g in s)
+    total = sum(map(len, sets))
+    made = jaccard_join.texts_by_block(docs.select("text"), 3, 80, jaccard_join.cells(total, block))
+    repeated = jaccard_join.repeated_grams(jaccard_join.block_counts(made, 3, 48, jaccard_join.cells(total, bucket)))
+    live = {r["key"]: r for r in jaccard_join.live_classes(made, 3, repeated, 80, 48).collect()}
+    for s in sets:
+        want = _full_order(s, df)[: jaccard_join.prefix_length(len(s), 80)]
+        shared = [g for g in want if df[g] > 1]
+        row = live.pop(bytes(jaccard_join._key(np.array(s, np.uint64))), None)
+        assert (row is None) == (not shared)
+        if row:
+            lone = sum(df[g] == 1 for g in s)
+            assert [(p["gram"] % 2**64, p["pos"]) for p in row["prefix"]] == [(g, lone + k + 1) for k, g in enumerate(shared)] and row["u"] == lone
+            for p in row["prefix"]:
+                rest = _full_order(s, df)[p["pos"] :]
+                assert p["suffix"] == [sum(g >> 60 == k for g in rest) for k in range(16)]
+    assert not live
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs, 3, 80).collect()}
+    assert got == brute_components(rows, 3, 80)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=50, unique=True))
+def test_packed_counts_round_trip(values):
+    rising = np.sort(np.array(values, np.uint64))
+    assert (jaccard_join.unpacked(jaccard_join.packed(rising)) == rising).all()
 
 
 # ---- packing
@@ -113,6 +174,11 @@ def test_packing_odd(odd, empty):
     got = packing.pack_documents(odd).collect()
     assert sum(r["length"] for r in got if r["doc_id"] in (3, 4)) == 2
     assert sum(1 for r in got if r["doc_id"] is None) >= 2
+    whole = {i: packing.token_ids(t, packing.tokenizer_path()) for i, t in odd.select("doc_id", "text").collect()}
+    for i in (8, 9):  # very long texts, cut into pieces that join to the whole
+        pieces = sorted((r["start"], r["length"]) for r in got if r["doc_id"] == i)
+        assert len(pieces) > 20 and [a for a, _ in pieces] == np.cumsum([0, *(n for _, n in pieces)]).tolist()[:-1] and sum(n for _, n in pieces) == len(whole[i])
+    assert sum(r["length"] for r in got if r["doc_id"] == 2) == 2 * len(whole[2])  # a row that repeats is packed twice
     assert packing.pack_documents(empty).count() == 0
     assert packing.token_ids("a <|endoftext|> b", packing.tokenizer_path()).tolist().count(50256) == 1
 
@@ -169,6 +235,23 @@ def test_sharding_odd(odd, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("units", [1 << 17, 20])
+def test_sharding_heavy_group_and_ties(spark, monkeypatch, units):
+    """A group heavier than a shard's share is whole, and 390 texts of one size are level over the other shards."""
+    monkeypatch.setattr(sharding, "UNITS", units)
+    rows = [(i, "x" * 99 if i < 300 else f"{i:099d}") for i in range(690)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_documents(docs, 8).collect()
+    assert len({r["shard"] for r in got if r["doc_id"] < 300}) == 1
+    loads = Counter()
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    heavy = next(r["shard"] for r in got if r["doc_id"] == 0)
+    others = [n for s, n in loads.items() if s != heavy]
+    assert loads[heavy] == 30_000 and len(others) == 7 and max(others) - min(others) <= 100
+    assert {(r["doc_id"], r["shard"]) for r in got} == {(r["doc_id"], r["shard"]) for r in sharding.shard_documents(docs.repartition(3), 8).collect()}
+
+
 def test_mixing_odd(odd, empty):
     got = mixing.mix(odd).collect()
     assert len(got) == odd.count() and all(r["taken"] == 0 for r in got if r["doc_id"] in (3, 4, 5))
@@ -191,6 +274,39 @@ def test_curriculum_takes_the_words_and_cuts_once(spark):
     assert again == taken
 
 
+def test_curriculum_of_equal_rows(spark):
+    """A third of the rows are one row: each gets its own takes, and all takes come in order of position."""
+    rows = [(i if i > 30 else 1, f"a{i} b c" if i > 30 else "same three words", "s" if i % 2 else "t", i) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(4)
+    mixed = mixing.mix(docs)
+    want = sum(r["taken"] for r in mixed.collect())
+    out = mixing.curriculum(docs)
+    got = out.collect()
+    assert sum(len(r["text"].split()) for r in got) == want and {r["extra"] for r in got if r["doc_id"] == 1} <= set(range(31))
+    assert max(Counter(r["extra"] for r in got).values()) <= 2
+    held = [r["first_position"] for r in mixed.where("first_position IS NOT NULL").collect()]
+    assert held == sorted(held)
+
+
+def test_targets_of_very_many_sources(spark):
+    rng = random.Random(3)
+    sizes = [(None if i == 0 else f"host{i:05d}", rng.randrange(0, 9) ** 3) for i in range(500)]
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long").repartition(5)).collect()}
+    order = sorted(s for s, _ in sizes if s is not None) + [None]
+    weight, size, open_, left, want = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, dict(sizes), set(order), 1.5 * sum(n for _, n in sizes), {}
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        above = {s for s in open_ if share[s] > 2 * size[s]}
+        if not above:
+            want |= share
+            break
+        for s in above:
+            want[s] = 2.0 * size[s]
+            left -= want[s]
+        open_ -= above
+    assert got == pytest.approx(want)
+
+
 def test_positions_invert_the_schedule(spark):
     for slope in mixing.SLOPES:
         ts = [i / 10 for i in range(11)]
@@ -212,6 +328,15 @@ def test_line_dedup_rules(spark, odd, empty):
     assert line_dedup.drop_boilerplate_lines(empty).count() == 0
 
 
+def test_line_dedup_of_a_very_long_text(spark):
+    """200,000 lines, of which half go, in time that grows with the lines."""
+    long_text = "\n".join("shared" if i % 2 else f"own {i}" for i in range(200_000))
+    rows = [(i, "shared", f"s{i}") for i in range(5)] + [(9, long_text, "s0"), (9, long_text, "s0")]
+    got = line_dedup.drop_boilerplate_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id = 9").collect()
+    assert len(got) == 2 and {(r["n_lines"], r["n_removed"], r["removed_chars"]) for r in got} == {(200_000, 100_000, 700_000)}
+    assert got[0]["text"] == "\n".join(f"own {i}" for i in range(0, 200_000, 2))
+
+
 # ---- classifiers
 
 
@@ -226,17 +351,41 @@ def test_language_id_odd(odd, empty):
     assert langid.identify(empty, labels, weights).count() == 0
 
 
-def test_kernel_scores_are_batched_products():
+def test_kernel_scores_are_batched_products(monkeypatch):
+    monkeypatch.setattr(langid, "BATCH", 5)
     texts, langs = ["der die das und", "the of and to", "le la les des", "und die der"] * 3, ["de", "en", "fr", "de"] * 3
     labels, weights = langid.fit(texts, langs)
-    dense = np.zeros((len(texts), 1 << langid.BITS))
-    for i, t in enumerate(texts):
-        s = langid.gram_slots(t)
-        dense[i, s] = len(s) ** -0.5
-    assert langid.scores(texts, weights)[0] == pytest.approx(dense @ weights, abs=1e-4)
+    mixed = [None, *texts, "123", ""]
+    dense = langid.Presence([langid.gram_slots(t) if langid.gram_slots(t) is not None else np.zeros(0, np.int32) for t in mixed]).dense()
+    got, lettered = langid.scores(mixed, weights)
+    assert got == pytest.approx(dense @ weights, abs=1e-4) and lettered.tolist() == [False, *[True] * 12, False, False]
     assert langid.predict(texts, labels, weights)[0] == langs
 
 
+def test_ridge_is_the_dense_kernel_ridge():
+    """With every training text a landmark, the scores are those of kernel ridge regression solved in the dual."""
+    rng = random.Random(2)
+    alphabet = {"a": "abcdef", "b": "defghi", "c": "ghijka"}
+    texts, langs = zip(*[(" ".join("".join(rng.choices(alphabet[y], k=4)) for _ in range(8)), y) for y in "abc" * 20], strict=True)
+    labels, weights = langid.fit(list(texts), list(langs))
+    sets = [set(langid.gram_slots(t).tolist()) for t in texts]
+    kernel = lambda x, y: len(x & y) / (len(x) * len(y)) ** 0.5
+    gram = np.array([[kernel(x, y) for y in sets] for x in sets])
+    wanted = np.array([[float(y == name) for name in labels] for y in langs])
+    # equal classes: weights 1 / (3 * 20) and ridge RIDGE / 3
+    dual = np.linalg.solve(gram / 60 + langid.RIDGE / 3 * np.eye(60), wanted / 60)
+    fresh = [" ".join("".join(rng.choices(alphabet[y], k=4)) for _ in range(8)) for y in "abc" * 5]
+    want = np.array([[kernel(set(langid.gram_slots(t).tolist()), y) for y in sets] for t in fresh]) @ dual
+    assert langid.scores(fresh, weights)[0] == pytest.approx(want, abs=2e-3)
+
+
+def test_long_texts_and_ties():
+    long_text = "abc xyz " * (langid.CHUNK // 2) + "qqq"
+    assert set(langid.gram_slots("abc xyz abc xyz qqq").tolist()) == set(langid.gram_slots(long_text).tolist())
+    weights = np.ones((1 << langid.BITS, 2), np.float32)
+    assert langid.predict(["any text"], ["de", "en"], weights)[0] == ["de"]
+
+
 def test_rare_language_is_a_class(spark):
     rows = spark.createDataFrame([(i, "\u03b1\u03b2\u03b3 \u03b4\u03b5\u03b6", "el") if i % 1000 == 0 else (i, "the of and to", "en") for i in range(5000)], "doc_id long, text string, lang string")
     labels, weights = langid.train(rows)
@@ -249,6 +398,9 @@ def test_toxicity_odd(spark, odd, empty):
     model = toxicity.train(odd, labels)
     got = toxicity.score_documents(odd, model, spans=True).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
+    nothing = toxicity.score_text(None, model)
+    assert [r["score"] for r in got if r["doc_id"] in (3, 4, 5)] == pytest.approx([nothing] * 3) and nothing == toxicity.score_text("!!! --", model)
+    assert len({r["score"] for r in got if r["doc_id"] in (1, 2)}) == 1
     assert toxicity.score_documents(empty, model).count() == 0
     nothing = toxicity.train(odd, labels.limit(0))
     assert all(r["predicted"] == 0 for r in toxicity.score_documents(odd, nothing).collect())
@@ -275,6 +427,26 @@ def test_segments_by_definition(values):
     assert sorted(s for _, _, s in got) == sorted(float(s) for _, _, s in want)
 
 
+def test_spark_and_memory_learn_alike(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["vile", "awful"] if i % 4 == 0 and rng.random() < 0.7 else [f"w{k}" for k in range(50)], k=30)) for i in range(160)]
+    rows = [(i, t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int"))
+    local = toxicity.fit([t for _, t in rows], [int(i % 4 == 0) for i, _ in rows])
+    assert model["words"] == pytest.approx(local["words"]) and model["lambda"] == pytest.approx(local["lambda"]) and model["drift"] == pytest.approx(local["drift"])
+
+
+def test_calibration_finds_the_law():
+    """Best segments drawn from 1 - exp(-K N exp(-x)), and none where that falls below 0."""
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(20, 400, 4000)
+    for k in (0.003, 0.05, 0.4):
+        drawn = np.maximum(0, np.log(k * sizes) - np.log(-np.log(rng.random(4000))))
+        assert toxicity.gumbel_k(zip(sizes.tolist(), drawn.tolist(), strict=True)) == pytest.approx(k, rel=0.1)
+    assert toxicity.gumbel_k([]) == 0.5
+
+
 def test_toxic_words_are_learned_and_passages_found():
     rng = random.Random(1)
     clean = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(80))
@@ -308,6 +480,34 @@ def test_neighbours_odd(spark):
     assert ann.nearest_neighbours(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_recall_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 400)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 60)
+    points = np.random.default_rng(8).normal(size=(3000, 24)).astype(np.float32)
+    made = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest_neighbours(made, made.where("vec_id % 25 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    wide, hits = points.astype(float), 0
+    assert len(got) == 120 and all(len(x) == 10 and x == sorted(x) for x in got.values())
+    for q, found in got.items():
+        far = np.sqrt(ann.squared(wide, wide[q]))
+        far[q] = np.inf
+        hits += len(set(np.argsort(far)[:10].tolist()) & {i for _, i in found})
+        assert all(s == pytest.approx(far[i], abs=1e-12) for s, i in found)
+    assert hits >= 0.95 * 1200
+
+
+def test_ids_with_several_vectors_are_one_candidate(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.2]), (1, [1.0, 0.1]), *((k, [1.0, k / 10]) for k in range(3, 8)), (100, [1.0, 0.75])]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(made, made.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    assert got[0] == [(1, 0.1), (3, 0.3), (4, 0.4), (5, 0.5), (6, 0.6), (7, 0.7), (100, 0.75)]
+    assert [v for v, _ in got[100]] == [7, 6, 5, 4, 3, 1, 0]
+
+
 def test_graph_survives_storage():
     points = np.random.default_rng(5).normal(size=(300, 6))
     import pandas as pd
@@ -338,6 +538,17 @@ def test_branches_merge_only_when_alike():
     assert got["en"] == got["fr"] == "en|fr" and got["new"] == "new" and got["ok"] == "ok" and got["other"] == "other"
 
 
+def test_url_templates_of_stars_and_long_paths(spark):
+    urls = [f"http://s.com/*/{i}" for i in range(40)] + [f"http://s.com/{i}/{i}" for i in range(40)] + [f"http://s.com/a|b/{i}" for i in range(40)]
+    urls += ["http://deep.com/" + "/".join(["x"] * 12) + f"/{i}" for i in range(20)] * 2 + ["http://s.com/" + "y/" * 3000] * 2
+    rows = spark.createDataFrame([(i if i else None, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = url_templates.judge(rows).collect()
+    assert len(got) == len(urls)
+    kind = lambda begin: {r["template"] for r in got if r["path"].startswith(begin)}
+    assert len(kind("/*/")) == 1 and "%2A" in kind("/*/").pop() and not kind("/*/") & kind("/5/") and "a%7Cb" in kind("/a|b/").pop()
+    assert kind("/x/") == {"/" + "x/" * 12 + "*"} and len(kind("/y/")) == 1
+
+
 def test_url_templates_small_sections(spark):
     sections = ["en", *(f"{c}{d}" for c in "pqrs" for d in "abcde")]
     urls = [f"http://x.example.com/{s}/{i}" for s in sections for i in range(24)]
