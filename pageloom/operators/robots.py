@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,3 +26,26 @@ def robots_blocked(pages: DataFrame, rules: DataFrame) -> DataFrame:
     fits = pages.join(rules, (pages["host"] == rules["host"]) & F.startswith(pages["path"], rules["rule"]), "left").select(pages["page_id"], pages["host"], pages["path"], "allow", "rule", "line_no")
     best = F.max_by("allow", F.when(F.col("rule").isNotNull(), F.struct(F.length("rule"), -F.col("line_no"))))
     return fits.groupBy("page_id", "host", "path").agg(F.coalesce(~best, F.lit(False)).alias("blocked"))
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+
+
+def path_of(url: Column) -> Column:
+    """The path of a url, ``/`` if it has none."""
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return F.when(path == "", "/").otherwise(path)
+
+
+def robots_answers(urls: DataFrame, files: DataFrame) -> DataFrame:
+    """url, robots_known, robots_blocked of each distinct url, from (host, robots_status, robots_txt).
+
+    A host whose robots.txt could be asked for is known; without status 200 it forbids nothing.
+    """
+    pages = urls.distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    texts = files.groupBy("host").agg(F.max("robots_status").alias("status"), F.max_by("robots_txt", "robots_status").alias("robots_txt"))
+    rules = robots_rules(robots_lines(texts.where("status = 200")))
+    asked = pages.join(texts.where("status is not null").select("host"), "host", "left_semi")
+    blocked = robots_blocked(asked.select(F.col("url").alias("page_id"), "host", "path"), rules)
+    return blocked.select(F.col("page_id").alias("url"), F.lit(True).alias("robots_known"), F.col("blocked").alias("robots_blocked"))

@@ -55,6 +55,12 @@ CRAWL = """SELECT page_id, url, CASE CAST(page_id % 7 AS INT) WHEN 5 THEN 404 WH
     CASE WHEN page_id % 4 = 0 THEN 'etag' WHEN page_id % 4 = 1 THEN 'last-modified' WHEN page_id % 4 = 2 THEN 'cache-control' ELSE 'x' END AS header,
     CASE WHEN page_id % 3 = 0 THEN 'no-store' ELSE 'max-age=60' END AS header_value FROM pages"""
 
+#: Crawl records of the enriched pages but for each tenth, and the robots.txt of their hosts.
+CRAWLED = f"""SELECT e.page_id, e.url, c.status, c.codes, c.redirect_ms, c.final_ms, c.header, c.header_value FROM ({ENRICHED}) AS e JOIN ({CRAWL}) AS c ON e.page_id = c.page_id WHERE e.page_id % 10 <> 9"""
+
+ROBOTS_FILES = """SELECT concat('h', CAST(page_id AS STRING), '.example.com') AS host, CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 404 WHEN 3 THEN CAST(NULL AS INT) ELSE 200 END AS robots_status,
+    CASE CAST(page_id % 4 AS INT) WHEN 1 THEN concat('User-agent: *', chr(10), 'Disallow: /api', chr(10), 'Allow: /api/x/y') WHEN 2 THEN concat('User-agent: *', chr(10), 'Disallow: /') ELSE '' END AS robots_txt FROM pages"""
+
 RESPONSES = """SELECT p.url, f.accept_header, CASE WHEN (p.page_id + f.k) % 3 = 0 AND f.k > 0 THEN 406 WHEN p.page_id % 11 = 0 AND f.k = 0 THEN 500 ELSE 200 END AS status_code,
     CAST(CASE WHEN p.page_id % 4 = 0 THEN 0 ELSE (p.page_id + f.k) % 2 END AS STRING) AS content_hash
     FROM pages p CROSS JOIN (VALUES ('text/html', 0), ('text/markdown', 1), ('text/plain', 2), ('application/json', 3), ('application/xml', 4)) AS f(accept_header, k)"""

@@ -159,13 +159,15 @@ EFFICIENCY = f"""(CASE WHEN len(chain) = 0 THEN 25 WHEN len(chain) <= 2 THEN 20
 REDIRECTS = f"""WITH {HOPS} SELECT page_id, CAST(len(chain) AS INTEGER) AS hops, {EFFICIENCY} AS efficiency,
   CASE WHEN len(chain) = 0 THEN 'optimal' WHEN len(chain) <= 2 AND redirect_ms < 500 THEN 'good' WHEN len(chain) <= 4 AND redirect_ms < 1000 THEN 'moderate' WHEN len(chain) <= 6 THEN 'poor' ELSE 'critical' END AS class,
   len(list_distinct(chain)) < len(chain) AS revisits FROM crawl"""
+FORBIDDEN = "starts_with(regexp_extract(url, '^https://[^/]*(.*)$', 1), '/api') AND NOT starts_with(regexp_extract(url, '^https://[^/]*(.*)$', 1), '/api/x/y')"
+RECORDS = f"records AS (SELECT *, {CHAIN} AS chain FROM ({inputs.CRAWLED}) AS c)"
 HTTP_PARTS = {
     "reachability": "CAST(CASE WHEN status = 200 THEN 15 WHEN status IN (301, 302, 307, 308) THEN 11 WHEN status > 0 AND status < 400 THEN 8 ELSE 0 END AS DOUBLE)",
     "redirects": EFFICIENCY,
-    "permissions": f"CAST(least(CASE WHEN page_id % 5 = 0 THEN {META_POINTS} + 4 WHEN page_id % 3 = 0 THEN greatest({META_POINTS} - 12, 0) ELSE {META_POINTS} + 8 END, 20) AS DOUBLE)",
+    "permissions": f"CAST(least(CASE WHEN page_id % 4 = 3 THEN {META_POINTS} + 4 WHEN page_id % 4 = 2 OR page_id % 4 = 1 AND {FORBIDDEN} THEN greatest({META_POINTS} - 12, 0) ELSE {META_POINTS} + 8 END, 20) AS DOUBLE)",
     "cache": "CAST(CASE header WHEN 'etag' THEN 8 WHEN 'last-modified' THEN 8 WHEN 'cache-control' THEN (CASE WHEN contains(header_value, 'no-store') THEN 1 ELSE 4 END) ELSE 0 END AS DOUBLE)",
 }
-HTTP = f"""WITH {BARE}, {HOPS}, both_ AS (SELECT bare.*, status, chain, redirect_ms, final_ms, header, header_value FROM bare JOIN crawl USING (page_id)),
+HTTP = f"""WITH {BARE}, {RECORDS}, both_ AS (SELECT bare.*, status, chain, redirect_ms, final_ms, header, header_value FROM bare JOIN records USING (page_id)),
 parts AS (SELECT page_id, {", ".join(f"{c} AS {n}" for n, c in HTTP_PARTS.items())}, {POINTS} AS points FROM both_)
 SELECT page_id, reachability, redirects, permissions, cache, least(reachability + redirects / {dbl(40)} * {dbl(25)} + permissions + cache + points, {dbl(100)}) AS score FROM parts"""
 
@@ -185,6 +187,17 @@ CORE_ROWS = f"""{BARE}, {CLASSES}, core AS (SELECT page_id, url, concat(substr(m
   {SEM} AS semantic_html, {STR} AS structured_data, {A11Y} AS dom_navigability, {MET} AS metadata_completeness, {OFFLINE} AS http_compliance FROM classified),
 scored AS (SELECT *, {weighted("content_type", CORE)} AS parseability_score, {weighted("'article'", CORE)} AS universal_score, 'partial_evaluation' AS failure_mode, true AS partial_evaluation FROM core)"""
 
+AXE = f"""SELECT url, CAST(greatest(0, 100 - sum(least(CASE impact WHEN 'critical' THEN 25 WHEN 'serious' THEN 15 WHEN 'moderate' THEN 10 ELSE 5 END * least(node_count, 3), 25))) AS DOUBLE) AS axe_score, count(*) AS rules FROM ({inputs.VIOLATIONS}) AS v GROUP BY url"""
+
+CRAWLED_HTTP = f"""least(CASE WHEN status IS NULL THEN {dbl(11)} ELSE {HTTP_PARTS["reachability"]} END + CASE WHEN chain IS NULL THEN {dbl(40)} ELSE {EFFICIENCY} END / {dbl(40)} * {dbl(25)}
+  + {HTTP_PARTS["permissions"]} + CASE WHEN header IS NULL THEN {dbl(10)} ELSE {HTTP_PARTS["cache"]} END + {POINTS}, {dbl(100)})"""
+CRAWLED_ROWS = f"""{BARE}, {CLASSES}, {RECORDS}, axe AS ({AXE}), met AS (SELECT classified.*, status, chain, redirect_ms, final_ms, header, header_value, axe_score FROM classified
+  LEFT JOIN records USING (page_id) LEFT JOIN axe ON classified.url = concat('https://h', substr(axe.url, 2), '.example.com')),
+core AS (SELECT page_id, url, concat(substr(md5(url), 1, 12), '.html') AS html_path, render_mode, {PROFILE} AS content_type, {SOURCE} AS content_type_source,
+  {SEM} AS semantic_html, {STR} AS structured_data, CASE WHEN render_mode = 'rendered' THEN coalesce(axe_score, {A11Y}) ELSE {A11Y} END AS dom_navigability, {MET} AS metadata_completeness, {CRAWLED_HTTP} AS http_compliance
+  FROM met CROSS JOIN (VALUES ('raw'), ('rendered')) AS m(render_mode)),
+scored AS (SELECT *, {weighted("content_type", CORE)} AS parseability_score, {weighted("'article'", CORE)} AS universal_score, 'partial_evaluation' AS failure_mode, true AS partial_evaluation FROM core)"""
+
 ROBOT_RULES = f"""lines AS ({inputs.ROBOTS}), bare_lines AS (SELECT host, line_no, trim(regexp_replace(line, '#.*$', '')) AS t FROM lines),
 named AS (SELECT host, line_no, lower(trim(split_part(t, ':', 1))) AS name, trim(regexp_replace(t, '^[^:]*:?', '')) AS value FROM bare_lines),
 agents AS (SELECT *, last_value(CASE WHEN name = 'user-agent' THEN value END IGNORE NULLS) OVER (PARTITION BY host ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS agent FROM named),
@@ -197,8 +210,6 @@ o AS (SELECT r.*, base.s, base.h FROM r JOIN base USING (url) WHERE accept_heade
 a AS (SELECT url, count(*) AS n, count(*) FILTER (content_hash <> h) AS other, bool_or(contains(accept_header, 'markdown')) AS md,
   sum(CASE WHEN contains(accept_header, 'markdown') THEN 10 WHEN contains(accept_header, 'json') THEN 5 WHEN contains(accept_header, 'plain') THEN 3 ELSE 0 END) AS bonus FROM o GROUP BY url)"""
 
-AXE = f"""SELECT url, CAST(greatest(0, 100 - sum(least(CASE impact WHEN 'critical' THEN 25 WHEN 'serious' THEN 15 WHEN 'moderate' THEN 10 ELSE 5 END * least(node_count, 3), 25))) AS DOUBLE) AS axe_score, count(*) AS rules FROM ({inputs.VIOLATIONS}) AS v GROUP BY url"""
-
 S = f"s AS ({inputs.SCORES})"
 SUFFIXED = "u AS (SELECT *, concat(url, CAST(pos AS VARCHAR)) AS page FROM s)"
 WEIGHT = "CASE pillar " + " ".join(f"WHEN '{p}' THEN {dbl(w)}" for p, w in zip(PILLARS, PROFILE_WEIGHTS["article"], strict=True)) + " END"
@@ -256,6 +267,7 @@ SHORT = "regexp_replace(url, '/+$', '')"
 SQL = {
     "parse_signals": PARSE, "text_density_boilerplate": DENSITY, "semantic_html_score": SEMANTIC, "static_accessibility": ACCESS, "metadata_completeness": METADATA,
     "agent_hints": HINT, "structured_data_score": STRUCTURED, "content_type": CONTENT, "http_compliance": HTTP, "redirect_scores": REDIRECTS,
+    "page_scores_crawled": f"WITH {CRAWLED_ROWS} SELECT * FROM scored",
     "page_scores_core": f"WITH {CORE_ROWS} SELECT * FROM scored",
     "failure_mode_dist": f"WITH {CORE_ROWS} SELECT failure_mode, content_type, count(*) AS pages, round_even(avg(parseability_score), 6) AS mean_score FROM scored GROUP BY ALL",
     "redirect_status_histogram": f"WITH {HOPS}, h AS (SELECT unnest(chain) AS status FROM crawl) SELECT status, count(*) AS hops, status IN (301, 302, 303, 307, 308) AS proper FROM h GROUP BY status",

@@ -82,17 +82,28 @@ def content_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def http_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crawl = crawl_chains(spark, sf_dir).select("page_id", "status", "chain", "redirect_ms", "final_ms", F.create_map("header", "header_value").alias("headers"))
-    rows = featured(spark, sf_dir).join(crawl, "page_id")
+    """The parts of the pillar by crawl record and robots.txt, of the pages that have a record."""
+    crawl = with_chain(inputs.view(spark, sf_dir, inputs.CRAWLED, "pages")).select("page_id", "status", "chain", "redirect_ms", "final_ms", F.create_map("header", "header_value").alias("headers"))
+    rows = featured(spark, sf_dir).drop("html").join(crawl, "page_id")
+    rows = rows.join(robots.robots_answers(rows.select("url"), inputs.view(spark, sf_dir, inputs.ROBOTS_FILES, "pages")), "url", "left")
     parts = {
         "reachability": pillars.reachability(F.lit(True), F.col("status")),
         "redirects": pillars.redirect_efficiency(F.col("chain"), F.col("redirect_ms"), F.col("final_ms")),
-        "permissions": pillars.crawl_permissions(F.col("page_id") % 5 != 0, F.col("page_id") % 3 == 0),
+        "permissions": pillars.crawl_permissions(F.coalesce("robots_known", F.lit(False)), F.coalesce("robots_blocked", F.lit(False))),
         "cache": pillars.cache_headers(F.col("headers")),
     }
     return rows.select("page_id", *(c.alias(n) for n, c in parts.items()), pillars.http_compliance(*parts.values()).alias("score"))
 
 
+def page_scores_crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five pillars in both render modes, with accessibility runs, crawl records and robots.txt."""
+    crawl = with_chain(inputs.view(spark, sf_dir, inputs.CRAWLED, "pages"))
+    crawl = crawl.select(text.snapshot_name(F.col("url")).alias("html_path"), "status", F.col("chain").alias("redirect_chain"), F.col("redirect_ms").alias("total_redirect_time_ms"), F.col("final_ms").alias("final_response_time_ms"), F.create_map("header", "header_value").alias("headers"))
+    files = inputs.view(spark, sf_dir, inputs.ROBOTS_FILES, "pages")
+    rows = score_pages(enriched(spark, sf_dir), extraction=False, modes=("raw", "rendered"), axe=axe_pages(spark, sf_dir), crawl=crawl, robots_files=files)
+    return rows.drop("evaluation_methodology", "failed_pillars", "content_extractability")
+
+
 def page_scores_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five pillars and their scores; extraction, which no SQL can express, is left out and the weights renormalise."""
     return score_pages(enriched(spark, sf_dir), extraction=False).drop("evaluation_methodology", "failed_pillars", "content_extractability")
@@ -115,9 +126,12 @@ def failure_mode_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- crawl records
 
 
+def with_chain(crawl: DataFrame) -> DataFrame:
+    return crawl.withColumn("chain", F.transform(F.filter(F.split("codes", ","), lambda x: x != ""), lambda x: x.cast("int")))
+
+
 def crawl_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = F.transform(F.filter(F.split("codes", ","), lambda x: x != ""), lambda x: x.cast("int"))
-    return inputs.view(spark, sf_dir, inputs.CRAWL, "pages").withColumn("chain", chain)
+    return with_chain(inputs.view(spark, sf_dir, inputs.CRAWL, "pages"))
 
 
 def redirect_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +152,7 @@ def successful_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robots_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract(url, r"(example\.(?:com|net|org))", 1).alias("host"), F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1).alias("path"))
-    return robots.robots_blocked(pages, F.broadcast(robots.robots_rules(spark.sql(inputs.ROBOTS))))
+    return robots.robots_blocked(pages, robots.robots_rules(spark.sql(inputs.ROBOTS)))
 
 
 def negotiation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +340,7 @@ def url_batches(spark: SparkSession, sf_dir: str, size: int = 50) -> DataFrame:
 
 ALL: tuple[Query, ...] = (
     parse_signals, text_density_boilerplate, semantic_html_score, static_accessibility, metadata_completeness, agent_hints, structured_data_score,
-    content_extractability, content_type, http_compliance, page_scores_core, page_scores, failure_mode_dist, redirect_scores, redirect_status_histogram,
+    content_extractability, content_type, http_compliance, page_scores_core, page_scores, page_scores_crawled, failure_mode_dist, redirect_scores, redirect_status_histogram,
     successful_crawl, robots_permission, negotiation_scores, axe_penalty, render_deltas, latest_per_page, template_clusters, cluster_pages, profile_impact,
     weighted_scores, score_history, benchmark_validation, validation_rates, run_consistency, consistency_verdict, compare_runs, compare_pillars,
     metadata_delta_stats, golden_drift, run_summary, report_summary, bulk_distribution, mode_rollup, primary_issue, worst_best_examples, display_order,

@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 from pageloom.constants import METHODOLOGY, PILLARS, RENDER_MODES
 from pageloom.functions.text import snapshot_name
 from pageloom.kernels.features import with_features, with_readable
-from pageloom.operators import pillars, scoring
+from pageloom.operators import pillars, robots, scoring
+from pageloom.operators.pillars import d
 
 
 def spread(pages: DataFrame) -> DataFrame:
-    """Pages over all cores before the kernel: a small scan arrives as one partition, a large or shuffled one stays."""
+    """Pages over all cores before the kernel: fewer files than cores arrive as few partitions, more stay as they are."""
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    if pages._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan" or pages.rdd.getNumPartitions() >= cores:
-        return pages
-    return pages.repartition(cores)
+    return pages if len(pages.inputFiles()) >= cores else pages.repartition(cores)
 
 
 def page_features(pages: DataFrame, extraction: bool = False) -> DataFrame:
@@ -38,19 +37,26 @@ def pillar_columns(extraction: bool, http: Column | None = None, axe: Column | N
     }
 
 
-def score_pages(pages: DataFrame, extraction: bool = True, modes: tuple[str, ...] = ("raw",), axe: DataFrame | None = None) -> DataFrame:
+def score_pages(
+    pages: DataFrame, extraction: bool = True, modes: tuple[str, ...] = ("raw",), axe: DataFrame | None = None, crawl: DataFrame | None = None, robots_files: DataFrame | None = None
+) -> DataFrame:
     """Score rows of (page_id, url, html): pillars, weighted scores, profile and failure mode.
 
-    ``axe`` (url, axe_score) applies to rendered rows.  Null html gives an evaluation error.
+    ``axe`` (url, axe_score) applies to rendered rows.  ``crawl`` (html_path, status, redirect_chain, total_redirect_time_ms,
+    final_response_time_ms, headers) and ``robots_files`` (host, robots_status, robots_txt) decide http_compliance; what
+    a page lacks of them counts as not asked for.  Null html gives an evaluation error.
     """
     unknown = set(modes) - set(RENDER_MODES)
     if unknown:
         raise ValueError(f"render modes unknown: {sorted(unknown)}")
     rows = page_features(pages, extraction)
+    asked = crawl is not None or robots_files is not None
+    http = F.struct(pillars.f("meta_robots").alias("meta_robots"), pillars.f("hints").alias("hints")).alias("f")
+    rows = rows.select("page_id", "url", F.col("html").isNull().alias("failed"), scoring.classify(F.col("url")).alias("class"), *(c.alias(k) for k, c in pillar_columns(extraction).items()), *[http] * asked)
+    if asked:  # the html is gone by now
+        rows = with_crawl(rows, crawl, robots_files).drop("f")
     if axe is not None:
-        rows = rows.join(axe, "url", "left")
-    columns = pillar_columns(extraction)
-    rows = rows.select("page_id", "url", F.col("html").isNull().alias("failed"), scoring.classify(F.col("url")).alias("class"), *(c.alias(k) for k, c in columns.items()), *(["axe_score"] if axe is not None else []))
+        rows = rows.join(axe.select("url", "axe_score"), "url", "left")
     if len(modes) > 1 or modes != ("raw",):
         rows = rows.select("*", F.explode(F.array(*map(F.lit, modes))).alias("render_mode"))
     else:
@@ -61,6 +67,27 @@ def score_pages(pages: DataFrame, extraction: bool = True, modes: tuple[str, ...
     return finish(rows)
 
 
+def with_crawl(rows: DataFrame, crawl: DataFrame | None, robots_files: DataFrame | None) -> DataFrame:
+    """``rows`` (url, f) with http_compliance by the page's crawl record, joined by html_path, and its host's robots.txt.
+
+    Of several records of one page the last one counts, by timestamp if there is one.
+    """
+    reach, redirects, cache = pillars.reachability(F.lit(False), F.lit(None).cast("int")), pillars.redirect_efficiency(F.lit(None).cast("array<int>"), d(0), d(0)), pillars.cache_headers(F.lit(None).cast("map<string,string>"))
+    if crawl is not None:
+        chain = F.col("redirect_chain") if crawl.schema["redirect_chain"].dataType.simpleString() == "array<int>" else F.transform("redirect_chain", lambda hop: hop["status_code"])
+        held = F.struct("status", chain.alias("chain"), F.col("total_redirect_time_ms").alias("redirect_ms"), F.col("final_response_time_ms").alias("final_ms"), F.transform_keys("headers", lambda k, _: F.lower(k)).alias("headers"))
+        last = crawl.groupBy("html_path").agg(F.max_by(held, F.col("timestamp") if "timestamp" in crawl.columns else F.lit(0)).alias("crawl"))
+        rows = rows.withColumn("html_path", snapshot_name(F.col("url"))).join(last, "html_path", "left").drop("html_path")
+        c = lambda name: F.col("crawl").getField(name)
+        reach, redirects, cache = pillars.reachability(F.lit(True), c("status")), pillars.redirect_efficiency(c("chain"), c("redirect_ms"), c("final_ms")), pillars.cache_headers(c("headers"))
+    known, blocked = F.lit(False), F.lit(False)
+    if robots_files is not None:
+        rows = rows.join(robots.robots_answers(rows.select("url"), robots_files), "url", "left")
+        known, blocked = F.coalesce("robots_known", F.lit(False)), F.coalesce("robots_blocked", F.lit(False))
+    http = pillars.http_compliance(reach, redirects, pillars.crawl_permissions(known, blocked), cache)
+    return rows.withColumn("http_compliance", http).drop("crawl", "robots_known", "robots_blocked")
+
+
 def finish(rows: DataFrame) -> DataFrame:
     """Adds scores, failure mode and bookkeeping to rows with pillars, ``class`` and ``failed``."""
     expected = [p for p in PILLARS]
