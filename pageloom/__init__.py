@@ -1 +1 @@
-"""pageloom: page-retrievability analytics expressed as Spark DataFrame plans."""
+"""pageloom: analytics of how well agents can reach and read pages, expressed as Spark DataFrame plans."""

@@ -60,3 +60,7 @@ CLUSTER_MIN, UPLIFT_TARGET, WEAK_BELOW, RENDER_FLAG = 3, 70.0, 70.0, 15.0
 RENDER_MODES = ("raw", "rendered")
 NEGOTIATED = ("text/html", "text/markdown", "text/plain", "application/json", "application/xml")
 METHODOLOGY = "six pillar page access evaluation"
+
+# The score of an accessibility run that failed, by where; the url of rows without a crawl record.
+AXE_FALLBACK = {"injection_failed": 75.0, "failed": 70.0}
+UNKNOWN_URL = "Unknown URL"

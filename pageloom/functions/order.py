@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pageloom.functions.storage import durable
+
 
 def running(rows: DataFrame, keys: Sequence[Column], place: str = "place", **sums: str) -> DataFrame:
     """``rows`` with ``place``, their rank by ``keys`` from 1, and for each ``name=column`` the sum of the column up to and with the row.
@@ -16,8 +18,7 @@ def running(rows: DataFrame, keys: Sequence[Column], place: str = "place", **sum
     Rows are dealt to ranges of the keys and numbered within each; the counts and sums of the ranges ahead are added,
     which are as many as there are shuffle partitions.  Rows with equal keys share a range and come in any order.
     """
-    dealt = rows.repartitionByRange(*keys).withColumn("range", F.spark_partition_id())
-    dealt = dealt.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else dealt.persist()  # ranges must not move between uses
+    dealt = durable(rows.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))  # ranges must not move between uses
     held = sorted(map(tuple, dealt.groupBy("range").agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in sums.values()]).collect()))
     kinds = ["long", *("double" if dict(rows.dtypes)[c] in ("double", "float") else "long" for c in sums.values())]
     ahead = [accumulate((r[k] for r in held), initial=0.0 if kind == "double" else 0) for k, kind in enumerate(kinds, 1)]

@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def average_rank(value: Column, *by: str) -> Column:
-    """Rank with ties at their mean, within ``by``."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
+def value_ranks(rows: DataFrame, value: str, rank: str, *by: str) -> DataFrame:
+    """Each distinct value within ``by`` with its mean rank and number of rows: a running sum over distinct values, not over rows."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias(f"{rank}_rows"))
+    upto = F.sum(f"{rank}_rows").over(Window.partitionBy(*by).orderBy(value))
+    return counts.withColumn(rank, upto - (F.col(f"{rank}_rows") - 1) / F.lit(2.0))
 
 
 def spearman(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    """n and rho for each group; 0 for fewer than two rows or no variance."""
-    ranked = rows.select(*by, average_rank(F.col(x), *by).alias("rx"), average_rank(F.col(y), *by).alias("ry"))
-    spread = F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.covar_pop("rx", "ry") / spread, F.lit(0.0)).alias("rho"))
+    """n and rho for each group; 0 for fewer than two rows or no variance.  Rows with equal values are one weighted row."""
+    pairs = rows.groupBy(*by, x, y).agg(F.count("*").alias("weight"))
+    pairs = pairs.join(value_ranks(rows, x, "rx", *by), [*by, x]).join(value_ranks(rows, y, "ry", *by), [*by, y])
+    n, dx, dy = F.sum("weight"), F.col("rx") - F.col("mean"), F.col("ry") - F.col("mean")
+    sizes = rows.groupBy(*by).agg(((F.count("*") + 1) / F.lit(2.0)).alias("mean"))
+    found = pairs.join(sizes, list(by)).groupBy(*by).agg(n.alias("n"), F.sum(F.col("weight") * dx * dy).alias("xy"), F.sum(F.col("weight") * dx * dx).alias("xx"), F.sum(F.col("weight") * dy * dy).alias("yy"))
+    return found.select(*by, "n", F.coalesce(F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
 
 
 def _erfc(values: pd.Series) -> pd.Series:
@@ -33,30 +38,42 @@ def p_value(rho: Column, n: Column) -> Column:
     return F.when((n < 3) | (F.abs(rho) >= 1), 0.0).otherwise(F.pandas_udf(_erfc, "double")(F.abs(t) / math.sqrt(2)))
 
 
-def _ranks(values: np.ndarray) -> np.ndarray:
-    order = np.sort(values, axis=1)
-    return np.stack([(np.searchsorted(o, v, "left") + np.searchsorted(o, v, "right") + 1) / 2 for o, v in zip(order, values, strict=True)])
+def _weighted_ranks(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Mean ranks of sorted-once values under each row of weights."""
+    distinct, place = np.unique(values, return_inverse=True)
+    held = np.zeros((len(weights), len(distinct)))
+    np.add.at(held, (slice(None), place), weights)
+    return (np.cumsum(held, axis=1) - (held - 1) / 2)[:, place]
+
+
+#: Resamples of one task.
+BLOCK = 500
 
 
 def bootstrap(rows: DataFrame, x: str, y: str, by: str, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Percentile interval of rho for each group: order statistics of seeded resamples, in blocks of bounded memory.
+    """Percentile interval of rho for each group: order statistics of seeded resamples.
 
-    A group is one pillar's page scores, thousands of rows at most by nature of the study.
+    A group's distinct value pairs and their counts are what is resampled, so its rows may be many; BLOCK resamples of a
+    group are one task.  Their memory is bounded.
     """
-
-    def interval(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[x].to_numpy(float), group[y].to_numpy(float)
-        n, rng, found = len(a), np.random.default_rng(seed), []
-        block = max(1, 2_000_000 // max(1, n))
-        for begin in range(0, resamples if n > 1 else 0, block):
-            pick = rng.integers(0, n, (min(block, resamples - begin), n))
-            ra, rb = _ranks(a[pick]), _ranks(b[pick])
-            ra, rb = ra - ra.mean(axis=1, keepdims=True), rb - rb.mean(axis=1, keepdims=True)
-            norm = np.sqrt((ra**2).sum(axis=1) * (rb**2).sum(axis=1))
-            found.append(np.where(norm > 0, (ra * rb).sum(axis=1) / np.where(norm > 0, norm, 1), 0.0))
-        values = np.sort(np.concatenate(found)) if found else np.zeros(1)
-        at = lambda q: float(values[min(len(values) - 1, int(len(values) * q))])
-        return pd.DataFrame({by: [group[by].iloc[0]], "ci_low": [at(alpha / 2)], "ci_high": [at(1 - alpha / 2)]})
+    pairs = rows.groupBy(by, x, y).agg(F.count("*").alias("weight"))
+    blocks = -(-resamples // BLOCK)
+    spread = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def resample(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values([x, y])
+        weight, block = group["weight"].to_numpy(), int(group["block"].iloc[0])
+        n, size = int(weight.sum()), min(BLOCK, resamples - block * BLOCK)
+        rho, rng, step = np.zeros(size), np.random.default_rng([seed, block]), max(1, 2_000_000 // len(weight))
+        for begin in range(0, size if n > 1 else 0, step):
+            picked = rng.multinomial(n, weight / n, min(step, size - begin)).astype(float)
+            ra, rb = (_weighted_ranks(group[c].to_numpy(float), picked) - (n + 1) / 2 for c in (x, y))
+            norm = np.sqrt((picked * ra**2).sum(axis=1) * (picked * rb**2).sum(axis=1))
+            rho[begin : begin + step] = np.where(norm > 0, (picked * ra * rb).sum(axis=1) / np.where(norm > 0, norm, 1), 0.0)
+        return pd.DataFrame({by: group[by].iloc[0], "rho": rho})
 
     kind = rows.schema[by].dataType.simpleString()
-    return rows.select(by, x, y).groupBy(by).applyInPandas(interval, f"{by} {kind}, ci_low double, ci_high double")
+    drawn = spread.groupBy(by, "block").applyInPandas(resample, f"{by} {kind}, rho double")
+    values = F.sort_array(F.collect_list("rho"))  # as many as there are resamples
+    at = lambda q: F.get("values", F.least(F.size("values") - 1, F.floor(F.size("values") * q).cast("int")))
+    return drawn.groupBy(by).agg(values.alias("values")).select(by, at(alpha / 2).alias("ci_low"), at(1 - alpha / 2).alias("ci_high"))

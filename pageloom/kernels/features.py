@@ -24,7 +24,8 @@ FEATURES = f"""struct<
     ld_name boolean, ld_description boolean, ld_author boolean, ld_publisher boolean, ld_date boolean, ld_section boolean,
     meta_robots string, hints {HINTS}, ms_topic string, schema_type string,
     body_text boolean, body_h123_count int, body_p_chars int, body_code_chars int,
-    ld_items array<{ITEM}>, ld_valid boolean, opengraph_count int, microdata_count int, microformat_count int>"""
+    ld_items array<{ITEM}>, ld_valid boolean, opengraph_count int, microdata_count int, microformat_count int,
+    samples struct<json_ld array<string>, opengraph array<string>, microdata array<string>, microformat array<string>>>"""
 
 READABLE = """struct<raw_length int, extracted_length int, title_present boolean, headings int, lists int, code int,
     extracted_headings int, extracted_lists int, extracted_code int, main_present boolean, main_length int,
@@ -124,7 +125,7 @@ def features(html: str | Dom) -> dict:
         "schema_type": structured.top_type(blocks),
         "body_text": body is not None and dom.length(body) > 0, "body_h123_count": len(within("h1", "h2", "h3")),
         "body_p_chars": sum(dom.length(i) for i in within("p")), "body_code_chars": sum(len(dom.plain(i)) for i in within("pre", "code")),
-        "ld_items": records, "ld_valid": good, **structured.other_formats(dom),
+        "ld_items": records, "ld_valid": good, **structured.other_formats(dom), "samples": structured.samples(dom, blocks),
     }
 
 

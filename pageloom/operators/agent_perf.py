@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.functions.order import running
 from pageloom.kernels.dom import Dom
 
 # The standard questions, the words an answer should hold, and signs of each kind of answer.
@@ -77,8 +78,8 @@ class Visible:
         return [self.text(k) for k in self.all("li", within=i)]
 
 
-def extract_answer(html: str, question: str) -> str:
-    page, asked = Visible(html), question.lower()
+def extract_answer(html: str | Visible, question: str) -> str:
+    page, asked = html if isinstance(html, Visible) else Visible(html), question.lower()
     if "get started" in asked or "steps" in asked:
         lists = (page.items(i) for i in page.all("ol"))
         steps = ["Steps:\n" + "\n".join(f"{k}. {t}" for k, t in enumerate(x, 1)) for x in lists if len(x) >= 3]
@@ -102,8 +103,10 @@ def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, q, k, list(w)) for n, q, k, w in QUESTIONS], "name string, query string, expected_type string, keywords array<string>")
 
 
-def _answers(html: pd.Series, question: pd.Series) -> pd.Series:
-    return pd.Series([extract_answer(h, q) if h and q else "" for h, q in zip(html, question, strict=True)], dtype=object)
+def _answers(html: pd.Series) -> pd.Series:
+    """The answers to all questions from one parse of each page."""
+    pages = (Visible(h) if h else None for h in html)
+    return pd.Series([[extract_answer(page, q) if page else "" for _, q, _, _ in QUESTIONS] for page in pages], dtype=object)
 
 
 def _any(text: Column, signs: tuple[str, ...]) -> Column:
@@ -123,12 +126,15 @@ def answer_quality(response: Column, keywords: Column, kind: Column) -> dict[str
 
 
 def agent_performance(pages: DataFrame) -> DataFrame:
-    """One row for each page and standard question."""
-    rows = pages.join(F.broadcast(questions(pages.sparkSession)), F.lit(True)).withColumn("response", F.pandas_udf(_answers, "string")("html", "query"))
+    """One row for each page and standard question; a page is shipped and parsed once."""
+    asked = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(k).alias("expected_type"), F.array(*map(F.lit, words)).alias("keywords")) for n, _, k, words in QUESTIONS))
+    rows = pages.select("url", F.pandas_udf(_answers, "array<string>")("html").alias("responses"))
+    rows = rows.select("url", F.inline(F.arrays_zip(F.col("responses").alias("response"), asked.alias("q")))).select("url", "response", "q.*")
     q = answer_quality(F.col("response"), F.col("keywords"), F.col("expected_type"))
     return rows.select("url", "name", F.substring("response", 1, 500).alias("response"), F.length("response").alias("response_length"), *(c.alias(k) for k, c in q.items()))
 
 
 def site_ranking(results: DataFrame) -> DataFrame:
+    """Pages by falling mean quality, then url, with their rank."""
     rows = results.groupBy("url").agg(F.avg("quality").alias("quality"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.avg("coverage").alias("coverage"))
-    return rows.orderBy(F.desc("quality"), "url")
+    return running(rows, [F.desc("quality"), F.col("url")], place="rank")

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pageloom.constants import CLUSTER_MIN, PILLARS, PROFILE_WEIGHTS, RENDER_FLAG, UPLIFT_TARGET, WEAK_BELOW
-from pageloom.functions.text import normal_url, title_case
+from pageloom.constants import AXE_FALLBACK, CLUSTER_MIN, PILLARS, PROFILE_WEIGHTS, RENDER_FLAG, UNKNOWN_URL, UPLIFT_TARGET, WEAK_BELOW
+from pageloom.functions.order import running
+from pageloom.functions.text import normal_url, outcome_tag, title_case
+from pageloom.operators.pillars import axe_penalty, axe_score
 
 
 def page_key() -> Column:
@@ -26,18 +28,51 @@ def pillar_rows(scores: DataFrame, *keys: str) -> DataFrame:
     return scores.select(*keys, F.inline(held)).where(F.col("score").isNotNull())
 
 
+def weak_pillars(scores: DataFrame) -> DataFrame:
+    """page, pillar and rounded score below WEAK_BELOW."""
+    rows = pillar_rows(scores.withColumn("page", page_key()), "page").withColumn("score", F.bround("score"))
+    return rows.where(F.col("score") < WEAK_BELOW)
+
+
 def template_clusters(scores: DataFrame) -> DataFrame:
-    """Pages that share a weak rounded pillar score: pillar, score, members, uplift, pages; largest first."""
+    """Weak rounded pillar scores that pages share: pillar, score, members, uplift; largest first.
+
+    There are at most WEAK_BELOW scores for each pillar; the pages themselves are ``cluster_members``.
+    """
     weight = reduce(lambda e, p: F.when(F.col("pillar") == p[0], p[1]).otherwise(e), zip(PILLARS, PROFILE_WEIGHTS["article"], strict=True), F.lit(0.0))
-    rows = pillar_rows(scores.withColumn("page", page_key()), "page").withColumn("score", F.bround("score"))
-    found = rows.where(F.col("score") < WEAK_BELOW).groupBy("pillar", "score").agg(F.count("*").alias("members"), F.sort_array(F.collect_list("page")).alias("pages"))
+    found = weak_pillars(scores).groupBy("pillar", "score").agg(F.count("*").alias("members"))
     found = found.where(F.col("members") >= CLUSTER_MIN).withColumn("uplift", (F.lit(UPLIFT_TARGET) - F.col("score")) * weight)
-    return found.select("pillar", "score", "members", "uplift", "pages").orderBy(F.desc("members"), F.desc("uplift"), "pillar", "score")
+    return found.select("pillar", "score", "members", "uplift").orderBy(F.desc("members"), F.desc("uplift"), "pillar", "score")
 
 
-def cluster_pages(clusters: DataFrame) -> DataFrame:
+def cluster_members(scores: DataFrame) -> DataFrame:
+    """pillar, score, page of each cluster's pages; a cluster with a third of all pages is rows like any other."""
+    return weak_pillars(scores).join(F.broadcast(template_clusters(scores).select("pillar", "score")), ["pillar", "score"])
+
+
+def cluster_pages(scores: DataFrame) -> DataFrame:
     """page and the pillars of the templates it belongs to."""
-    return clusters.select("pillar", F.explode("pages").alias("page")).groupBy("page").agg(F.sort_array(F.collect_set("pillar")).alias("template_pillars"))
+    return cluster_members(scores).groupBy("page").agg(F.sort_array(F.collect_set("pillar")).alias("template_pillars"))
+
+
+def page_deltas(scores: DataFrame) -> DataFrame:
+    """The report's rows with the page's change between render modes, null where it has not both."""
+    deltas = render_deltas(scores).select("page", F.col("delta").alias("render_delta"), "flagged")
+    return one_row_per_page(scores).withColumn("page", page_key()).join(deltas, "page", "left")
+
+
+def with_urls(rows: DataFrame, crawl: DataFrame) -> DataFrame:
+    """Score or parse rows with the url of their crawl record by html_path, ``Unknown URL`` where there is none."""
+    known = crawl.where("coalesce(html_path, '') <> ''").groupBy("html_path").agg(F.min("url").alias("crawl_url"))
+    out = rows.join(known, "html_path", "left")
+    own = F.col("url") if "url" in rows.columns else F.lit(None).cast("string")
+    return out.withColumn("url", F.coalesce(F.nullif(own, F.lit("")), "crawl_url", F.lit(UNKNOWN_URL))).drop("crawl_url")
+
+
+def page_summary(scores: DataFrame, crawl: DataFrame) -> DataFrame:
+    """url, score, outcome tag and failure mode of each row, as the command line prints them."""
+    tag = outcome_tag(F.col("parseability_score"), F.col("failure_mode"))
+    return with_urls(scores, crawl).select("url", "html_path", "parseability_score", "failure_mode", tag.alias("tag"))
 
 
 def render_deltas(scores: DataFrame) -> DataFrame:
@@ -76,7 +111,7 @@ def score_history(rows: DataFrame, url: str | None = None, *by: str) -> DataFram
 
 def benchmark_validation(scores: DataFrame, expected: DataFrame) -> DataFrame:
     """Scores against expected ranges: deviation is the distance outside the range; category 'unknown' if not given."""
-    rows = scores.select("url", F.col("parseability_score").alias("actual")).join(F.broadcast(expected), "url")
+    rows = scores.select("url", F.col("parseability_score").alias("actual")).join(expected, "url")
     outside = F.greatest(F.col("actual") - F.col("expected_max"), F.col("expected_min") - F.col("actual"), F.lit(0.0))
     return rows.select("url", F.coalesce("category", F.lit("unknown")).alias("category"), "expected_min", "expected_max", "actual", F.col("actual").between(F.col("expected_min"), F.col("expected_max")).alias("in_range"), outside.alias("deviation"))
 
@@ -114,9 +149,14 @@ def compare_pillars(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def delta_stats(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
-    """Mean, median, extremes and number of changed pages of one score between two runs."""
+    """Mean, median, extremes and number of changed pages of one score between two runs; the median from counts of distinct changes."""
     joined = before.select("url", F.col(column).alias("a")).join(after.select("url", F.col(column).alias("b")), "url").select((F.col("b") - F.col("a")).alias("delta"))
-    return joined.agg(F.count("*").alias("pages"), F.avg("delta").alias("mean"), F.median("delta").alias("median"), F.min("delta").alias("low"), F.max("delta").alias("high"), F.count_if(F.col("delta") != 0).alias("changed"))
+    counts = joined.groupBy("delta").agg(F.count("*").alias("held"))
+    rows = joined.agg(F.count("*").alias("pages"), F.count("delta").alias("known"), F.avg("delta").alias("mean"), F.min("delta").alias("low"), F.max("delta").alias("high"), F.count_if(F.col("delta") != 0).alias("changed"))
+    upto = running(counts.where("delta is not null"), ["delta"], upto="held").join(F.broadcast(rows.select("known")), F.lit(True))
+    middle = lambda k: F.min(F.when(F.col("upto") >= k, F.col("delta")))
+    median = upto.agg(((middle(F.floor((F.col("known") + 1) / 2)) + middle(F.floor((F.col("known") + 2) / 2))) / 2).alias("median"))
+    return rows.join(F.broadcast(median), F.lit(True)).select("pages", "mean", "median", "low", "high", "changed")
 
 
 def golden_drift(committed: DataFrame, fresh: DataFrame, *columns: str) -> DataFrame:
@@ -175,8 +215,19 @@ def worst_and_best(scores: DataFrame, k: int = 5) -> DataFrame:
 
 
 def display_order(scores: DataFrame) -> DataFrame:
-    """Pages by rising score with their display number; the global order is that of a report of bounded size."""
-    return scores.withColumn("shown_as", F.row_number().over(Window.orderBy("parseability_score", "pos")))
+    """Pages by rising score with their display number."""
+    return running(scores, ["parseability_score", "pos"], place="shown_as").withColumn("shown_as", F.col("shown_as").cast("int"))
+
+
+def numbered_batches(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``rows`` with ``batch``, the number from 0 of the ``size`` rows in order of ``key`` that a row is in."""
+    return running(rows, [key]).withColumn("batch", F.floor((F.col("place") - 1) / size)).drop("place")
+
+
+def presentation_summary(scores: DataFrame) -> DataFrame:
+    """Pages, mean score, the pages ready for agents and those in each band, of a presentation's first slide."""
+    s = F.col("parseability_score")
+    return scores.agg(F.count("*").alias("pages"), F.avg(s).alias("mean_score"), F.count_if(s >= 80).alias("ready"), F.count_if((s >= 60) & (s < 80)).alias("needs_work"), F.count_if(s < 60).alias("major_issues"), F.try_divide(F.count_if(s >= 80) * 100.0, F.count("*")).alias("ready_percent"))
 
 
 def status_histogram(crawl: DataFrame) -> DataFrame:
@@ -187,6 +238,11 @@ def status_histogram(crawl: DataFrame) -> DataFrame:
 
 def axe_scores(violations: DataFrame) -> DataFrame:
     """url and score from (url, rule_id, impact, node_count)."""
-    from pageloom.operators.pillars import axe_penalty, axe_score
-
     return violations.groupBy("url").agg(axe_score(F.sum(axe_penalty(F.col("impact"), F.col("node_count")))).alias("axe_score"), F.count("*").alias("rules"))
+
+
+def axe_runs(runs: DataFrame, violations: DataFrame) -> DataFrame:
+    """url and axe_score of each run (url, outcome): its violations' score if it is ``ok``, else the fixed score of a failed run."""
+    scored = axe_scores(violations).select("url", "axe_score")
+    fallback = reduce(lambda e, kv: F.when(F.col("outcome") == kv[0], kv[1]).otherwise(e), AXE_FALLBACK.items(), F.lit(None).cast("double"))
+    return runs.join(scored, "url", "left").select("url", "outcome", F.when(F.col("outcome") == "ok", F.coalesce("axe_score", F.lit(100.0))).otherwise(fallback).alias("axe_score"))

@@ -40,7 +40,7 @@ ENRICHED = f"SELECT page_id, concat('https://h', CAST(page_id AS STRING), '.exam
 #: Score rows in two render modes; each pillar is some whole number below 101, and each seventh http score is missing.
 SCORES = """SELECT page_id AS pos, CAST(page_id / 2 AS BIGINT) AS page_id, url, '' AS html_path, render_mode, semantic_html, content_extractability,
     structured_data, dom_navigability, metadata_completeness, http_compliance, parseability_score, universal_score, content_type, failure_mode FROM (
-  SELECT page_id, concat('https://s', CAST(page_id % 97 AS STRING), '.example.com/p') AS url, CASE WHEN page_id % 2 = 0 THEN 'raw' ELSE 'rendered' END AS render_mode,
+  SELECT page_id, concat('https://s', CAST(CAST(floor(page_id / 3) AS BIGINT) AS STRING), '.example.com/p') AS url, CASE WHEN page_id % 2 = 0 THEN 'raw' ELSE 'rendered' END AS render_mode,
     CAST((page_id * 7) % 101 AS DOUBLE) AS semantic_html, CAST((page_id * 13) % 101 AS DOUBLE) / 2 AS content_extractability, CAST((page_id % 5) * 6 AS DOUBLE) AS structured_data,
     CAST(35 + page_id % 3 * 20 AS DOUBLE) + CAST(page_id % 4 AS DOUBLE) / 8 AS dom_navigability, CAST((page_id * 3) % 101 AS DOUBLE) AS metadata_completeness,
     CASE WHEN page_id % 7 = 0 THEN NULL ELSE CAST(62 + page_id % 30 AS DOUBLE) END AS http_compliance,
@@ -71,6 +71,11 @@ ROBOTS = """SELECT * FROM (VALUES ('example.com', 0, 'User-agent: bot'), ('examp
 VIOLATIONS = """SELECT concat('u', CAST(user_id AS STRING)) AS url, CAST(event_id % 13 AS STRING) AS rule_id,
     CASE event_type WHEN 'error' THEN 'critical' WHEN 'click' THEN 'serious' WHEN 'view' THEN 'moderate' WHEN 'purchase' THEN 'minor' ELSE 'other' END AS impact, CAST(1 + event_id % 5 AS INT) AS node_count FROM events"""
 
+AXE_RUNS = """SELECT DISTINCT concat('u', CAST(user_id AS STRING)) AS url, CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'injection_failed' WHEN 1 THEN 'failed' ELSE 'ok' END AS outcome FROM events"""
+
+#: Crawl records of two thirds of the score rows, by html_path.
+RECORD_URLS = "SELECT concat('p', CAST(page_id AS STRING), '.html') AS html_path, concat('https://r', CAST(page_id AS STRING), '.example.com') AS url FROM pages WHERE page_id % 3 <> 2"
+
 HISTORY = """SELECT concat('f', CAST(user_id % 7 AS STRING), '_scores.json') AS score_file, event_id AS pos, ts AS evaluated_at, concat(' https://h', CAST(user_id AS STRING), '.example.com/a', CASE WHEN event_id % 2 = 0 THEN '/#s' ELSE '' END) AS url,
     user_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(event_id % 101 AS DOUBLE) END AS parseability_score FROM events"""
 

@@ -214,8 +214,9 @@ S = f"s AS ({inputs.SCORES})"
 SUFFIXED = "u AS (SELECT *, concat(url, CAST(pos AS VARCHAR)) AS page FROM s)"
 WEIGHT = "CASE pillar " + " ".join(f"WHEN '{p}' THEN {dbl(w)}" for p, w in zip(PILLARS, PROFILE_WEIGHTS["article"], strict=True)) + " END"
 CLUSTERS = f"""{S}, {SUFFIXED}, long AS ({" UNION ALL ".join(f"SELECT page, '{p}' AS pillar, round_even({p}, 0) AS score FROM u WHERE {p} IS NOT NULL" for p in PILLARS)}),
-clusters AS (SELECT pillar, score, count(*) AS members, array_to_string(list_sort(list(page)), ',') AS joined, list(page) AS pages FROM long WHERE score < 70 GROUP BY pillar, score HAVING count(*) >= 3)"""
-HALVES = f"""{S}, {", ".join(f"{n} AS (SELECT url, {', '.join(f'max({c}) AS {c}' for c in (*PILLARS, 'parseability_score', 'content_type'))} FROM s WHERE {w} GROUP BY url)" for n, w in (("old_", "pos % 4 < 2 AND pos % 97 <> 3"), ("new_", "pos % 4 >= 2 AND pos % 97 <> 5")))}"""
+clusters AS (SELECT pillar, score, count(*) AS members FROM long WHERE score < 70 GROUP BY pillar, score HAVING count(*) >= 3),
+members AS (SELECT pillar, score, page FROM long JOIN clusters USING (pillar, score))"""
+HALVES = f"""{S}, {", ".join(f"{n} AS (SELECT url, {', '.join(f'max({c}) AS {c}' for c in (*PILLARS, 'parseability_score', 'content_type'))} FROM s WHERE {w} GROUP BY url)" for n, w in (("old_", "pos % 7 < 3"), ("new_", "pos % 7 >= 3")))}"""
 EXPECT = f"e AS (SELECT url, CAST(lo AS DOUBLE) AS expected_min, CAST(hi AS DOUBLE) AS expected_max, category FROM ({inputs.EXPECTED}) AS x)"
 VALIDATED = f"""{S}, {EXPECT}, v AS (SELECT s.url, coalesce(category, 'unknown') AS category, expected_min, expected_max, parseability_score AS actual,
   parseability_score BETWEEN expected_min AND expected_max AS in_range, greatest(parseability_score - expected_max, expected_min - parseability_score, {dbl(0)}) AS deviation FROM s JOIN e USING (url))"""
@@ -279,8 +280,17 @@ SQL = {
     "render_deltas": f"""WITH {S}, p AS (SELECT url AS page, arg_max(parseability_score, pos) FILTER (render_mode = 'raw') AS raw, arg_max(parseability_score, pos) FILTER (render_mode = 'rendered') AS rendered FROM s GROUP BY url)
         SELECT page, raw, rendered, rendered - raw AS delta, abs(rendered - raw) >= 15 AS flagged FROM p WHERE raw IS NOT NULL AND rendered IS NOT NULL""",
     "latest_per_page": f"WITH {S} SELECT url, pos, render_mode, parseability_score FROM s QUALIFY row_number() OVER (PARTITION BY url ORDER BY render_mode = 'rendered' DESC, pos) = 1",
-    "template_clusters": f"WITH {CLUSTERS} SELECT pillar, score, members, round_even(({dbl(70)} - score) * {WEIGHT}, 9) AS uplift, md5(joined) AS pages_md5 FROM clusters",
-    "cluster_pages": f"WITH {CLUSTERS}, x AS (SELECT pillar, unnest(pages) AS page FROM clusters) SELECT page, array_to_string(list_sort(list(DISTINCT pillar)), ',') AS template_pillars FROM x GROUP BY page",
+    "template_clusters": f"WITH {CLUSTERS} SELECT pillar, score, members, round_even(({dbl(70)} - score) * {WEIGHT}, 9) AS uplift FROM clusters",
+    "cluster_members": f"WITH {CLUSTERS} SELECT pillar, score, page FROM members",
+    "cluster_pages": f"WITH {CLUSTERS} SELECT page, array_to_string(list_sort(list(DISTINCT pillar)), ',') AS template_pillars FROM members GROUP BY page",
+    "page_deltas": f"""WITH {S}, p AS (SELECT url AS page, arg_max(parseability_score, pos) FILTER (render_mode = 'raw') AS raw, arg_max(parseability_score, pos) FILTER (render_mode = 'rendered') AS rendered FROM s GROUP BY url),
+        one AS (SELECT url AS page, pos, parseability_score FROM s QUALIFY row_number() OVER (PARTITION BY url ORDER BY render_mode = 'rendered' DESC, pos) = 1)
+        SELECT page, pos, parseability_score, rendered - raw AS render_delta, abs(rendered - raw) >= 15 AS flagged FROM one JOIN p USING (page)""",
+    "page_summary": f"""WITH {S}, c AS ({inputs.RECORD_URLS}) SELECT coalesce(CASE WHEN pos % 2 = 0 THEN s.url END, c.url, 'Unknown URL') AS url, concat('p', pos, '.html') AS html_path, parseability_score, failure_mode,
+        CASE WHEN failure_mode = 'partial_evaluation' THEN 'PARTIAL' WHEN failure_mode = 'clean' THEN 'PASS' WHEN parseability_score >= 60 THEN 'WARN' ELSE 'FAIL' END AS tag FROM s LEFT JOIN c ON c.html_path = concat('p', pos, '.html')""",
+    "presentation_summary": f"""WITH {S} SELECT {BANDS}, count(*) FILTER (parseability_score >= 80) AS ready, count(*) FILTER (parseability_score >= 60 AND parseability_score < 80) AS needs_work,
+        count(*) FILTER (parseability_score < 60) AS major_issues, round_even(count(*) FILTER (parseability_score >= 80) * {dbl(100)} / count(*), 6) AS ready_percent FROM s""",
+    "axe_runs": f"""WITH r AS ({inputs.AXE_RUNS}), a AS ({AXE}) SELECT r.url, outcome, CASE outcome WHEN 'injection_failed' THEN {dbl(75)} WHEN 'failed' THEN {dbl(70)} ELSE coalesce(axe_score, {dbl(100)}) END AS axe_score FROM r LEFT JOIN a USING (url)""",
     "profile_impact": f"WITH {S} SELECT url AS page, content_type, parseability_score, universal_score, parseability_score - universal_score AS delta FROM s WHERE universal_score IS NOT NULL AND (SELECT bool_or(content_type <> 'article') FROM s)",
     "weighted_scores": f"WITH {S} SELECT pos, round_even({weighted('content_type')}, 9) AS profile_score, round_even({weighted(repr('article'))}, 9) AS article_score FROM s",
     "score_history": f"""WITH h AS ({inputs.HISTORY}) SELECT pos, {NORMAL_URL} AS url, parseability_score,
@@ -322,5 +332,5 @@ SQL = {
     "url_functions": f"SELECT page_id, {NORMAL_URL} AS normal, array_to_string(list_slice(string_split({SHORT}, '/'), greatest(len(string_split({SHORT}, '/')) - 1, 1), len(string_split({SHORT}, '/'))), '/') AS short, {SITES} AS site, concat(substr(md5(url), 1, 12), '.html') AS snapshot FROM pages",
     "distinct_urls": f"""WITH {HALVES} SELECT url, 'union' AS set FROM (SELECT url FROM old_ UNION SELECT url FROM new_) UNION ALL SELECT url, 'both' FROM (SELECT url FROM old_ INTERSECT SELECT url FROM new_)
         UNION ALL SELECT url, 'only_old' FROM (SELECT url FROM old_ EXCEPT SELECT url FROM new_)""".replace("AS set", 'AS "set"'),
-    "url_batches": "SELECT CAST(floor(page_id / 50) AS BIGINT) AS batch, count(*) AS urls, min(page_id) AS first, max(page_id) AS last FROM pages GROUP BY 1",
+    "url_batches": "WITH n AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS k FROM pages) SELECT CAST(floor(k / 50) AS BIGINT) AS batch, count(*) AS urls, min(page_id) AS first, max(page_id) AS last FROM n GROUP BY 1",
 }

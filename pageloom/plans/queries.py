@@ -31,10 +31,10 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two runs that share most urls, one row each."""
+    """Two runs, one row for each url; a url's three rows are in either or both, so some urls are in one run only."""
     rows = scores(spark, sf_dir)
     one = lambda df: df.groupBy("url").agg(*(F.max(c).alias(c) for c in (*PILLARS, "parseability_score", "content_type")))
-    return one(rows.where("pos % 4 < 2 and pos % 97 <> 3")), one(rows.where("pos % 4 >= 2 and pos % 97 <> 5"))
+    return one(rows.where("pos % 7 < 3")), one(rows.where("pos % 7 >= 3"))
 
 
 # ---- pages
@@ -174,14 +174,38 @@ def latest_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.one_row_per_page(scores(spark, sf_dir)).select("url", "pos", "render_mode", "parseability_score")
 
 
+def _suffixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(spark, sf_dir).withColumn("url", F.concat("url", F.col("pos").cast("string")))
+
+
 def template_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = analytics.template_clusters(scores(spark, sf_dir).withColumn("url", F.concat("url", F.col("pos").cast("string"))))
-    return rows.select("pillar", "score", "members", F.bround("uplift", 9).alias("uplift"), F.md5(F.array_join("pages", ",").cast("binary")).alias("pages_md5"))
+    return analytics.template_clusters(_suffixed(spark, sf_dir)).withColumn("uplift", F.bround("uplift", 9))
+
+
+def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.cluster_members(_suffixed(spark, sf_dir))
 
 
 def cluster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = analytics.template_clusters(scores(spark, sf_dir).withColumn("url", F.concat("url", F.col("pos").cast("string"))))
-    return analytics.cluster_pages(rows).select("page", F.array_join("template_pillars", ",").alias("template_pillars"))
+    return analytics.cluster_pages(_suffixed(spark, sf_dir)).select("page", F.array_join("template_pillars", ",").alias("template_pillars"))
+
+
+def page_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.page_deltas(scores(spark, sf_dir)).select("page", "pos", "parseability_score", "render_delta", "flagged")
+
+
+def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scores(spark, sf_dir).select("pos", F.concat(F.lit("p"), F.col("pos").cast("string"), F.lit(".html")).alias("html_path"), F.when(F.col("pos") % 2 == 0, F.col("url")).alias("url"), "parseability_score", "failure_mode")
+    return analytics.page_summary(rows, inputs.view(spark, sf_dir, inputs.RECORD_URLS, "pages"))
+
+
+def presentation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = analytics.presentation_summary(scores(spark, sf_dir))
+    return rows.withColumns({c: F.bround(c, 6) for c in ("mean_score", "ready_percent")})
+
+
+def axe_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.axe_runs(inputs.view(spark, sf_dir, inputs.AXE_RUNS, "events"), inputs.view(spark, sf_dir, inputs.VIOLATIONS, "events"))
 
 
 def profile_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +318,7 @@ def spearman_by_pillar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correlation_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibration.correlate(inputs.view(spark, sf_dir, inputs.STUDY, "documents", "labels"), 1000)
+    return calibration.correlate(inputs.view(spark, sf_dir, inputs.STUDY, "documents", "labels"))
 
 
 def grader_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,15 +357,15 @@ def distinct_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_batches(spark: SparkSession, sf_dir: str, size: int = 50) -> DataFrame:
-    """Batches of ``size`` urls in page order, numbered without a global sort of one task: page_id is dense."""
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return rows.groupBy(F.floor(F.col("page_id") / size).alias("batch")).agg(F.count("*").alias("urls"), F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+    """Batches of ``size`` urls in page order."""
+    rows = analytics.numbered_batches(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id"), "page_id", size)
+    return rows.groupBy("batch").agg(F.count("*").alias("urls"), F.min("page_id").alias("first"), F.max("page_id").alias("last"))
 
 
 ALL: tuple[Query, ...] = (
     parse_signals, text_density_boilerplate, semantic_html_score, static_accessibility, metadata_completeness, agent_hints, structured_data_score,
     content_extractability, content_type, http_compliance, page_scores_core, page_scores, page_scores_crawled, failure_mode_dist, redirect_scores, redirect_status_histogram,
-    successful_crawl, robots_permission, negotiation_scores, axe_penalty, render_deltas, latest_per_page, template_clusters, cluster_pages, profile_impact,
+    successful_crawl, robots_permission, negotiation_scores, axe_penalty, render_deltas, latest_per_page, template_clusters, cluster_members, cluster_pages, page_deltas, page_summary, presentation_summary, axe_runs, profile_impact,
     weighted_scores, score_history, benchmark_validation, validation_rates, run_consistency, consistency_verdict, compare_runs, compare_pillars,
     metadata_delta_stats, golden_drift, run_summary, report_summary, bulk_distribution, mode_rollup, primary_issue, worst_best_examples, display_order,
     report_findings, qa_grading, page_accuracy, spearman_by_pillar, correlation_study, grader_kappa, agent_performance, site_ranking, answer_quality,

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import codecs
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from pageloom.functions.storage import durable
 from pageloom.functions.text import snapshot_name, strip
+from pageloom.operators.analytics import with_urls
 
 HOP = "struct<from_url string, to_url string, status_code int, redirect_time_ms double, headers map<string,string>>"
 CRAWL = f"url string, timestamp timestamp_ntz, status int, headers map<string,string>, html_path string, redirect_chain array<{HOP}>, redirect_count int, total_redirect_time_ms double, final_response_time_ms double, final_url string"
@@ -29,11 +36,36 @@ def urls_of(spark: SparkSession, urls: list[str] | None = None, lines: list[str]
     return spark.createDataFrame([(u.strip(),) for u in urls or lines or []], "url string").where("url <> '' and not startswith(url, '#')")
 
 
+_DECLARED = re.compile(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.IGNORECASE)
+_MARKS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
+
+
+def decoded(content: bytes | None) -> str | None:
+    """A snapshot's text: by byte order mark, as valid UTF-8, by its declared charset, else as Windows-1252; never an error."""
+    if content is None:
+        return None
+    for mark, name in _MARKS:
+        if content.startswith(mark):
+            return content.decode(name, "replace")
+    try:
+        return content.decode("utf-8")
+    except UnicodeDecodeError:
+        found = _DECLARED.search(content[:4096])
+    try:
+        name = codecs.lookup(found[1].decode("ascii")).name if found else "cp1252"
+    except LookupError:
+        name = "cp1252"
+    return content.decode(name, "replace")
+
+
+def _decoded(contents: pd.Series) -> pd.Series:
+    return contents.map(lambda c: decoded(None if c is None else bytes(c)))
+
+
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """html_path and html of every snapshot file; bytes that aren't valid UTF-8 become replacement characters."""
+    """html_path and html of every snapshot file, in the charset that it is found to be in."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", True).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("html_path"), F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.make_valid_utf8(F.col("content").cast("string"))).alias("html"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("html_path"), F.pandas_udf(_decoded, "string")("content").alias("html"))
 
 
 def crawl_records(spark: SparkSession, path: str) -> DataFrame:
@@ -47,6 +79,14 @@ def crawled_pages(crawl: DataFrame, snaps: DataFrame) -> DataFrame:
     return crawl.where("coalesce(html_path, '') <> ''").join(snaps, "html_path")
 
 
+def result_scores(spark: SparkSession, path: str, crawl: DataFrame | None = None) -> DataFrame:
+    """url and score of a result file: score rows, whose urls come from crawl records where they have none, or (url, score) rows."""
+    rows = spark.read.schema(f"{SCORE}, score double").option("multiLine", True).json(path)
+    if crawl is not None:
+        rows = with_urls(rows, crawl)
+    return rows.select("url", F.coalesce("parseability_score", "score").alias("score")).where("url is not null and score is not null")
+
+
 def score_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCORE).option("multiLine", True).json(path)
 
@@ -63,6 +103,61 @@ def with_snapshot_names(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html_path", snapshot_name(F.col("url")))
 
 
+# Status codes that redirect, and hops after which a walk ends.
+REDIRECTS, MOST_HOPS = (301, 302, 303, 307, 308), 10
+
+
+def walk(url: str, fetch: Callable[[str], dict | None]) -> dict:
+    """The crawl record of a url: redirects are followed by relative or absolute Location, for MOST_HOPS hops at most and no
+    target twice.  ``fetch`` gives status, headers, html and ms of one request, or None if it failed.
+    """
+    at, seen, hops, total = url, {url}, [], 0.0
+    while True:
+        answer = fetch(at)
+        if answer is None:
+            return {"url": url, "status": 0, "html_path": "", "redirect_chain": hops, "redirect_count": len(hops), "total_redirect_time_ms": total, "final_response_time_ms": 0.0, "final_url": at, "headers": {}, "html": None}
+        headers = {k.lower(): v for k, v in (answer.get("headers") or {}).items()}
+        ms = float(answer.get("ms", 0.0))
+        target = urljoin(at, headers["location"]) if answer["status"] in REDIRECTS and headers.get("location") else None
+        if target is None or target in seen or len(hops) == MOST_HOPS:
+            break
+        hops.append({"from_url": at, "to_url": target, "status_code": answer["status"], "redirect_time_ms": ms, "headers": headers})
+        seen.add(target)
+        at, total = target, total + ms
+    name = f"{hashlib.md5(url.encode()).hexdigest()[:12]}.html"
+    return {"url": url, "status": answer["status"], "html_path": name, "redirect_chain": hops, "redirect_count": len(hops), "total_redirect_time_ms": total, "final_response_time_ms": ms, "final_url": at, "headers": headers, "html": answer.get("html")}
+
+
+def walked(urls: DataFrame, responses: DataFrame) -> DataFrame:
+    """Crawl records of (url), each walked through the recorded ``responses`` (url, status, headers, html, ms) of its host.
+
+    A walk that leaves the hosts of the urls asked for is looked up there too: records are joined hop by hop.
+    """
+    answer = F.struct("status", "headers", "html", "ms")
+    held = responses.groupBy(F.col("url").alias("at")).agg(F.max_by(answer, "status").alias("answer"))
+    hop = F.struct(F.col("at").alias("from_url"), F.col("target").alias("to_url"), F.col("answer.status").alias("status_code"), F.col("answer.ms").alias("redirect_time_ms"), F.col("answer.headers").alias("headers"))
+    state = urls.select("url").distinct().withColumn("at", F.col("url")).withColumn("hops", F.array().cast(f"array<{HOP}>")).withColumn("ended", F.lit(False)).withColumn("answer", F.lit(None).cast(held.schema["answer"].dataType))
+    location = F.try_element_at(F.transform_keys("answer.headers", lambda k, _: F.lower(k)), F.lit("location"))
+    for _ in range(MOST_HOPS + 1):
+        open_, done = state.where(~F.col("ended")), state.where("ended")
+        asked = open_.drop("answer").join(held, "at", "left")
+        target = F.when(F.col("answer.status").isin(*REDIRECTS), F.pandas_udf(_joined, "string")("at", location))
+        asked = asked.withColumn("target", target)
+        goes_on = F.col("target").isNotNull() & (F.col("target") != F.col("url")) & ~F.exists("hops", lambda h: h["to_url"] == F.col("target")) & (F.size("hops") < MOST_HOPS)
+        moved = asked.withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
+        moved = moved.select("url", F.when(F.col("goes_on"), F.col("target")).otherwise(F.col("at")).alias("at"), F.when(F.col("goes_on"), F.concat("hops", F.array(hop))).otherwise(F.col("hops")).alias("hops"), (~F.col("goes_on")).alias("ended"), "answer")
+        state = durable(done.unionByName(moved))
+        if state.where(~F.col("ended")).isEmpty():
+            break
+    status = F.coalesce("answer.status", F.lit(0))
+    total = F.aggregate("hops", F.lit(0.0), lambda s, h: s + F.coalesce(h["redirect_time_ms"], F.lit(0.0)))
+    return state.select("url", status.alias("status"), "answer.headers", F.when(status > 0, snapshot_name(F.col("url"))).otherwise("").alias("html_path"), F.col("hops").alias("redirect_chain"), F.size("hops").alias("redirect_count"), total.alias("total_redirect_time_ms"), F.coalesce("answer.ms", F.lit(0.0)).alias("final_response_time_ms"), F.col("at").alias("final_url"), "answer.html")
+
+
+def _joined(base: pd.Series, target: pd.Series) -> pd.Series:
+    return pd.Series([urljoin(b, t) if t else None for b, t in zip(base, target, strict=True)], dtype=object)
+
+
 class Recorded(DataSource):
     """``recorded_crawl``: replays crawl records from JSON lines; where a live crawler would fetch, this one reads.
 

@@ -25,11 +25,10 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(column).write.mode("overwrite").text(path)
 
 
-def markdown(df: DataFrame, most: int = 200) -> str:
-    """A table of at most ``most`` rows: reports show the head of a sorted result."""
-    rows = df.limit(most).collect()
+def markdown(df: DataFrame) -> str:
+    """A table of all rows; they reach the driver partition by partition."""
     cell = lambda v: "" if v is None else f"{v:.1f}" if isinstance(v, float) else ", ".join(map(str, v)) if isinstance(v, list) else str(v)
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
+    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in df.toLocalIterator())])
 
 
 def report(scores: DataFrame) -> str:
