@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 
@@ -16,9 +17,12 @@ def parser() -> argparse.ArgumentParser:
     pages = argparse.ArgumentParser(add_help=False)
     pages.add_argument("pages", help="parquet of page_id, url, html")
     pages.add_argument("--out", required=True)
-    c = sub.add_parser("crawl", help="replay recorded responses (JSON lines of url, status, html) as a pages table")
+    c = sub.add_parser("crawl", help="walk urls through recorded responses (JSON lines of url, status, headers, html, ms) to crawl records and a pages table")
     c.add_argument("records", nargs="+")
     c.add_argument("--out", required=True)
+    c.add_argument("--urls", nargs="*", help="urls to walk; without any, those of the records")
+    c.add_argument("--urls-file")
+    c.add_argument("--stdin", action="store_true")
     t = sub.add_parser("study", help="rows of a study's tables below a folder")
     t.add_argument("--root", required=True)
     sub.add_parser("parse", parents=[pages])
@@ -26,9 +30,13 @@ def parser() -> argparse.ArgumentParser:
         p = sub.add_parser(name, parents=[pages])
         p.add_argument("--render-mode", choices=("raw", "rendered", "both"), default="raw")
         p.add_argument("--quiet", action="store_true")
+        p.add_argument("--crawl", help="parquet of crawl records, as crawl writes it")
+        p.add_argument("--robots", help="parquet of host, robots_status, robots_txt")
+        p.add_argument("--name", help="a name for the run, kept in its record")
     r = sub.add_parser("report")
     r.add_argument("scores")
     r.add_argument("--out", required=True)
+    r.add_argument("--presentation", help="also write <stem>.json, <stem>.csv and <stem>.md")
     h = sub.add_parser("history")
     h.add_argument("url")
     h.add_argument("--root", required=True)
@@ -41,15 +49,20 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     from pageloom.operators import analytics, negotiation
-    from pageloom.plans.scores import component_map, page_features, score_pages
+    from pageloom.plans.scores import component_map, environment, page_features, score_pages
     from pageloom.sources import readers, writers
 
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("pageloom").getOrCreate()
     if args.command == "crawl":
-        spark.dataSource.register(readers.Recorded)
-        rows = spark.read.format("recorded_crawl").option("paths", ",".join(args.records)).load().where("status between 200 and 399")
-        writers.write_table(rows.select(F.monotonically_increasing_id().alias("page_id"), "url", "html"), args.out)
+        schema = "url string, status int, headers map<string,string>, html string, ms double"
+        responses = spark.read.schema(schema).json(args.records)
+        given = args.urls or args.urls_file or args.stdin
+        urls = readers.urls_of(spark, args.urls, sys.stdin.readlines() if args.stdin else None, args.urls_file) if given else responses.select("url")
+        rows = readers.walked(urls, responses)
+        writers.write_table(rows.drop("html"), f"{args.out.rstrip('/')}.crawl")
+        pages = rows.where("status between 200 and 399").select(F.monotonically_increasing_id().alias("page_id"), "url", "html")
+        writers.write_table(pages, args.out)
     elif args.command == "study":
         for name in ("pages", "pairs", "reviews", "answers", "grades"):
             path = f"{args.root}/{name}.parquet"
@@ -58,17 +71,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         writers.write_table(page_features(spark.read.parquet(args.pages)).drop("html"), args.out)
     elif args.command in ("score", "express"):
         modes = ("raw", "rendered") if args.render_mode == "both" else (args.render_mode,)
-        scores = score_pages(spark.read.parquet(args.pages), modes=modes).withColumn("component_scores", component_map())
+        read = lambda path: spark.read.parquet(path) if path else None
+        scores = score_pages(read(args.pages), modes=modes, crawl=read(args.crawl), robots_files=read(args.robots)).withColumn("component_scores", component_map())
         writers.write_table(scores, args.out)
+        with open(f"{args.out.rstrip('/')}.run.json", "w") as out:
+            json.dump({"name": args.name, "render_mode": args.render_mode, "environment": environment(spark)}, out)
         written = spark.read.parquet(args.out).withColumn("pos", F.monotonically_increasing_id())
         if not args.quiet:
             print(writers.markdown(analytics.run_summary(written)))
         if args.command == "express":
-            with open(f"{args.out.rstrip('/')}.md", "w") as out:
-                out.write(writers.report(written))
+            writers.write_report(written, f"{args.out.rstrip('/')}.md")
     elif args.command == "report":
-        with open(args.out, "w") as out:
-            out.write(writers.report(spark.read.parquet(args.scores).withColumn("pos", F.monotonically_increasing_id())))
+        rows = spark.read.parquet(args.scores).withColumn("pos", F.monotonically_increasing_id())
+        writers.write_report(rows, args.out)
+        if args.presentation:
+            writers.write_presentation(rows, args.presentation)
     elif args.command == "history":
         rows = analytics.score_history(readers.score_files(spark, args.root), args.url).orderBy("evaluated_at", "score_file", "pos")
         found = rows.count()

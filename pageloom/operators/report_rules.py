@@ -20,6 +20,19 @@ RULES = (
     ("extraction-noisy", "boilerplate_resistance", 60, 0, "High boilerplate contamination from navigation/sidebar elements", "Reduce boilerplate", "High", "High", 15, "planned"),
 )
 
+# An example of each fix.
+EXAMPLES = {
+    "Add `<main>` element": "<body>\n  <nav>...</nav>\n  <main>the page's own content</main>\n</body>",
+    "Add `<article>` wrapper": "<main>\n  <article>one self-contained text</article>\n</main>",
+    "Fix heading hierarchy": "<h1>Title</h1>\n<h2>Section</h2>\n<h3>Part of the section</h3>",
+    "Improve content density": "<main>most of the page's text</main>\n<aside>little else</aside>",
+    "Reduce boilerplate": "<footer>a few links</footer>",
+}
+ADVICE = {
+    "structure-missing": "give pages a <main> or <article> and headings that go down one level at a time",
+    "extraction-noisy": "move navigation and other chrome out of the content and shorten it",
+}
+
 
 def _sub(scores: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(scores, F.lit(name)), F.lit(0.0))

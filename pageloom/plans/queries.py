@@ -101,12 +101,12 @@ def page_scores_crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
     crawl = crawl.select(text.snapshot_name(F.col("url")).alias("html_path"), "status", F.col("chain").alias("redirect_chain"), F.col("redirect_ms").alias("total_redirect_time_ms"), F.col("final_ms").alias("final_response_time_ms"), F.create_map("header", "header_value").alias("headers"))
     files = inputs.view(spark, sf_dir, inputs.ROBOTS_FILES, "pages")
     rows = score_pages(enriched(spark, sf_dir), extraction=False, modes=("raw", "rendered"), axe=axe_pages(spark, sf_dir), crawl=crawl, robots_files=files)
-    return rows.drop("evaluation_methodology", "failed_pillars", "content_extractability")
+    return rows.drop("evaluation_methodology", "failed_pillars", "pillar_reasons", "content_extractability")
 
 
 def page_scores_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five pillars and their scores; extraction, which no SQL can express, is left out and the weights renormalise."""
-    return score_pages(enriched(spark, sf_dir), extraction=False).drop("evaluation_methodology", "failed_pillars", "content_extractability")
+    return score_pages(enriched(spark, sf_dir), extraction=False).drop("evaluation_methodology", "failed_pillars", "pillar_reasons", "content_extractability")
 
 
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

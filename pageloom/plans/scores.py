@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.constants import METHODOLOGY, PILLARS, RENDER_MODES
@@ -96,13 +96,28 @@ def finish(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"parseability_score": scoring.weighted_score(F.col("content_type")), "universal_score": scoring.weighted_score("article"), "evaluated": n})
     failed = F.filter(F.array(*(F.when(F.col(p).isNull(), F.lit(p)) for p in expected)), lambda p: p.isNotNull())
     rows = rows.withColumns({"partial_evaluation": F.col("evaluated") < len(expected), "failed_pillars": failed})
+    rows = rows.withColumn("pillar_reasons", F.map_from_entries(F.transform("failed_pillars", lambda p: F.struct(p.alias("key"), _reason(p).alias("value")))))
     mode = scoring.failure_mode(F.col("parseability_score"), F.col("evaluated"), F.col("partial_evaluation"))
     return rows.select(
         "page_id", "url", snapshot_name(F.col("url")).alias("html_path"), "render_mode", "content_type", F.col("class.source").alias("content_type_source"), *PILLARS,
-        "parseability_score", "universal_score", mode.alias("failure_mode"), "partial_evaluation", "failed_pillars", F.lit(METHODOLOGY).alias("evaluation_methodology"),
+        "parseability_score", "universal_score", mode.alias("failure_mode"), "partial_evaluation", "failed_pillars", "pillar_reasons", F.lit(METHODOLOGY).alias("evaluation_methodology"),
     )
 
 
+def _reason(pillar: Column) -> Column:
+    """Why a pillar could not be evaluated."""
+    reasons = F.when(pillar == "structured_data", "a JSON-LD block does not parse").when(pillar == "content_extractability", "extraction was not run")
+    return F.when(F.col("failed"), "no HTML").otherwise(reasons.otherwise("no data"))
+
+
+def environment(spark: SparkSession) -> dict[str, str]:
+    """What a run's scores depend on, for its record."""
+    import platform
+    from importlib.metadata import version
+
+    return {"python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, **{name: version(name) for name in ("pandas", "pyarrow")}}
+
+
 def component_map() -> Column:
     """The pillars that were evaluated as a map."""
     held = F.array(*(F.struct(F.lit(p).alias("key"), F.col(p).alias("value")) for p in PILLARS))

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import codecs
-import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -107,31 +106,11 @@ def with_snapshot_names(pages: DataFrame) -> DataFrame:
 REDIRECTS, MOST_HOPS = (301, 302, 303, 307, 308), 10
 
 
-def walk(url: str, fetch: Callable[[str], dict | None]) -> dict:
-    """The crawl record of a url: redirects are followed by relative or absolute Location, for MOST_HOPS hops at most and no
-    target twice.  ``fetch`` gives status, headers, html and ms of one request, or None if it failed.
-    """
-    at, seen, hops, total = url, {url}, [], 0.0
-    while True:
-        answer = fetch(at)
-        if answer is None:
-            return {"url": url, "status": 0, "html_path": "", "redirect_chain": hops, "redirect_count": len(hops), "total_redirect_time_ms": total, "final_response_time_ms": 0.0, "final_url": at, "headers": {}, "html": None}
-        headers = {k.lower(): v for k, v in (answer.get("headers") or {}).items()}
-        ms = float(answer.get("ms", 0.0))
-        target = urljoin(at, headers["location"]) if answer["status"] in REDIRECTS and headers.get("location") else None
-        if target is None or target in seen or len(hops) == MOST_HOPS:
-            break
-        hops.append({"from_url": at, "to_url": target, "status_code": answer["status"], "redirect_time_ms": ms, "headers": headers})
-        seen.add(target)
-        at, total = target, total + ms
-    name = f"{hashlib.md5(url.encode()).hexdigest()[:12]}.html"
-    return {"url": url, "status": answer["status"], "html_path": name, "redirect_chain": hops, "redirect_count": len(hops), "total_redirect_time_ms": total, "final_response_time_ms": ms, "final_url": at, "headers": headers, "html": answer.get("html")}
-
-
 def walked(urls: DataFrame, responses: DataFrame) -> DataFrame:
-    """Crawl records of (url), each walked through the recorded ``responses`` (url, status, headers, html, ms) of its host.
+    """Crawl records of (url), each walked through recorded ``responses`` (url, status, headers, html, ms), hop by hop.
 
-    A walk that leaves the hosts of the urls asked for is looked up there too: records are joined hop by hop.
+    Locations may be relative.  A walk ends at an answer that doesn't redirect, at a target that it has seen, after MOST_HOPS
+    hops, or at a url without a response, which gives status 0 and no snapshot.
     """
     answer = F.struct("status", "headers", "html", "ms")
     held = responses.groupBy(F.col("url").alias("at")).agg(F.max_by(answer, "status").alias("answer"))

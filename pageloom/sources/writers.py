@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.operators import analytics
+from pageloom.constants import PILLARS
+from pageloom.functions.text import status_label
+from pageloom.operators import analytics, report_rules
+from pageloom.operators.agent_perf import site_ranking
 
 
 def write_table(df: DataFrame, path: str, *by: str) -> None:
@@ -31,17 +36,89 @@ def markdown(df: DataFrame) -> str:
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in df.toLocalIterator())])
 
 
-def report(scores: DataFrame) -> str:
-    """Summary, render changes, template clusters, profile impact and pages, worst first."""
+def page_findings(scores: DataFrame) -> DataFrame:
+    """What the report says of each page, worst first: score, label, change by rendering, templates, findings, owner, causes, pillars."""
+    pages = analytics.page_deltas(scores)
+    subs = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(p).alias("key"), F.col(p).alias("value")) for p in PILLARS)), lambda e: e["value"].isNotNull()))
+    mode, none = F.col("failure_mode"), F.array().cast("array<string>")
+    evidence = F.col("evidence") if "evidence" in scores.columns else none
+    preview = F.col("preview") if "preview" in scores.columns else F.lit(None).cast("string")
+    said = pages.select(
+        "page", "pos", "parseability_score", "failure_mode", "content_type", "render_delta", "flagged", status_label(F.col("parseability_score")).alias("label"), preview.alias("preview"),
+        report_rules.findings(mode, subs).alias("findings"), report_rules.fix_owner(mode, subs).alias("owner"), report_rules.root_causes(mode, subs, evidence).alias("causes"), subs.alias("pillars"),
+    )
+    return said.join(analytics.cluster_pages(analytics.one_row_per_page(scores)), "page", "left").orderBy("parseability_score", "pos")
+
+
+def _page_lines(row) -> Iterator[str]:
+    yield f"### {row['label']} {row['page']}\n"
+    yield f"Score {row['parseability_score'] or 0.0:.1f}, {row['failure_mode']}, {row['content_type']}.\n"
+    if row["template_pillars"]:
+        yield f"Pillars of shared templates: {', '.join(row['template_pillars'])}.\n"
+    if row["render_delta"] is not None:
+        yield f"Rendered against raw: {row['render_delta']:+.1f}{', depends on scripts' if row['flagged'] else ''}.\n"
+    if row["preview"] is not None:
+        yield f"> {row['preview'] or '(nothing extracted)'}\n"
+    yield from (f"- {f['issue']}" for f in row["findings"] if f["issue"])
+    yield from (f"- Cause: {c}" for c in row["causes"])
+    yield f"- Owner: {row['owner']}\n"
+    if row["findings"]:
+        yield "| Fix | Impact | Effort | Gain | Priority |\n| --- | --- | --- | --- | --- |"
+        yield from (f"| {f['fix']} | {f['impact']} | {f['effort']} | +{f['gain']} | {f['priority']} |" for f in row["findings"])
+        yield ""
+        yield from (f"{f['fix']}:\n\n```html\n{report_rules.EXAMPLES[f['fix']]}\n```\n" for f in row["findings"])
+    yield from (f"- {p.replace('_', ' ').title()}: {v:.1f}" for p, v in row["pillars"].items())
+    yield ""
+
+
+def report_lines(scores: DataFrame) -> Iterator[str]:
+    """Summary, render changes, template clusters, profile impact, pages worst first with findings and fixes, recommendations."""
     pages = analytics.one_row_per_page(scores)
-    parts = {
-        "Summary": analytics.report_summary(pages),
-        "Raw against rendered": analytics.render_deltas(scores),
-        "Shared templates": analytics.template_clusters(pages),
-        "Profile impact": analytics.profile_impact(pages),
-        "Pages": pages.orderBy("parseability_score", "pos").select(analytics.page_key().alias("page"), "parseability_score", "failure_mode", analytics.primary_issue().alias("issue")),
-    }
-    return "# Page access report\n\n" + "\n\n".join(f"## {k}\n\n{markdown(v)}" for k, v in parts.items()) + "\n"
+    summary = analytics.report_summary(pages)
+    parts = {"Summary": summary, "Failure modes": pages.groupBy("failure_mode").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "failure_mode"), "Raw against rendered": analytics.render_deltas(scores), "Shared templates": analytics.template_clusters(pages), "Profile impact": analytics.profile_impact(pages)}
+    yield "# Page access report\n"
+    for name, part in parts.items():
+        yield f"## {name}\n\n{markdown(part)}\n"
+    yield "## Pages\n"
+    for row in page_findings(scores).toLocalIterator():
+        yield from _page_lines(row)
+    seen = summary.first()
+    advice = [f"- {seen[mode.replace('-', '_')]} pages: {text}." for mode, text in report_rules.ADVICE.items() if seen[mode.replace("-", "_")]]
+    if advice:
+        yield "\n".join(["## Recommendations\n", *advice])
+
+
+def write_report(scores: DataFrame, path: str) -> None:
+    with open(path, "w") as out:
+        out.writelines(line + "\n" for line in report_lines(scores))
+
+
+def write_presentation(scores: DataFrame, stem: str) -> None:
+    """A presentation's data: <stem>.json with the summary and pages' rows, <stem>.csv, and an executive summary <stem>.md."""
+    rows = scores.select(analytics.page_key().alias("page"), "parseability_score", status_label(F.col("parseability_score")).alias("label"), "failure_mode", analytics.primary_issue().alias("issue"), *PILLARS)
+    summary, ends = analytics.presentation_summary(scores), analytics.worst_and_best(scores)
+    write_json(rows, f"{stem}.json")
+    write_csv(rows, f"{stem}.csv")
+    with open(f"{stem}.md", "w") as out:
+        out.write(f"# Summary\n\n{markdown(summary)}\n\n## Worst and best pages\n\n{markdown(ends)}\n")
+
+
+def tables_report(title: str, **parts: DataFrame) -> str:
+    """A report of named tables: validation, consistency and agent runs."""
+    return f"# {title}\n\n" + "\n\n".join(f"## {name.replace('_', ' ').capitalize()}\n\n{markdown(part)}" for name, part in parts.items()) + "\n"
+
+
+def validation_report(validated: DataFrame) -> str:
+    return tables_report("Benchmark validation", pass_rates=analytics.validation_rates(validated), pages=validated.orderBy("in_range", F.desc("deviation"), "url"))
+
+
+def consistency_report(spread: DataFrame) -> str:
+    return tables_report("Run consistency", verdict=analytics.consistency_verdict(spread), pages=spread.orderBy(F.desc("stdev"), "url"))
+
+
+def agent_report(results: DataFrame) -> str:
+    by_question = results.groupBy("name").agg(F.avg("quality").alias("quality"), F.avg(F.col("success").cast("double")).alias("success_rate")).orderBy("name")
+    return tables_report("Agent performance", questions=by_question, pages=site_ranking(results).orderBy("rank"))
 
 
 def history_table(history: DataFrame) -> str:

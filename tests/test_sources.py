@@ -22,7 +22,42 @@ def test_snapshots_join_crawl(spark, tmp_path):
     (tmp_path / "snap/a.html").write_bytes(b"<p>\xff ok</p>")
     (tmp_path / "crawl.json").write_text(json.dumps([{"url": "u1", "status": 200, "html_path": "a.html"}, {"url": "u2"}]))
     pages = readers.crawled_pages(readers.crawl_records(spark, str(tmp_path / "crawl.json")), readers.snapshots(spark, str(tmp_path / "snap"))).collect()
-    assert [(p["url"], p["html"]) for p in pages] == [("u1", "<p>� ok</p>")]
+    assert [(p["url"], p["html"]) for p in pages] == [("u1", "<p>ÿ ok</p>")]
+
+
+def test_charsets():
+    page = '<meta charset="%s"><p>größe €</p>'
+    for name in ("utf-8", "windows-1252", "iso-8859-15", "utf-16"):
+        assert readers.decoded((page % name).encode(name)) == page % name
+    assert readers.decoded("<p>größe</p>".encode("cp1252")) == "<p>größe</p>" and readers.decoded(b'<meta charset="nonsense">\xe4') == '<meta charset="nonsense">ä'
+    assert readers.decoded(b"") == "" and readers.decoded(None) is None
+
+
+def test_walks_follow_redirects(spark):
+    schema = "url string, status int, headers map<string,string>, html string, ms double"
+    hop = lambda url, to, code=301: (url, code, {"Location": to}, None, 10.0)
+    held = [hop("http://a/1", "/2"), hop("http://a/2", "http://b/x?y", 308), ("http://b/x?y", 200, {"ETag": "e"}, "<p>", 5.0), hop("http://a/loop", "/pool"), hop("http://a/pool", "/loop", 302), hop("http://a/gone", "http://nowhere/"), ("http://a/bare", 302, {}, None, 1.0)]
+    held += [hop(f"http://a/chain{i}", f"/chain{i + 1}") for i in range(15)]
+    urls = spark.createDataFrame([(f"http://a/{p}",) for p in ("1", "loop", "gone", "bare", "chain0", "1")], "url string")
+    got = {r["url"]: r for r in readers.walked(urls, spark.createDataFrame(held, schema)).collect()}
+    one = got["http://a/1"]
+    assert (one["status"], one["final_url"], one["redirect_count"], one["total_redirect_time_ms"], one["final_response_time_ms"], one["html"]) == (200, "http://b/x?y", 2, 20.0, 5.0, "<p>")
+    assert [(h["from_url"], h["to_url"], h["status_code"]) for h in one["redirect_chain"]] == [("http://a/1", "http://a/2", 301), ("http://a/2", "http://b/x?y", 308)]
+    assert got["http://a/loop"]["redirect_count"] == 1 and got["http://a/loop"]["status"] == 302
+    assert (got["http://a/gone"]["status"], got["http://a/gone"]["html_path"]) == (0, "") and got["http://a/bare"]["redirect_count"] == 0 and got["http://a/chain0"]["redirect_count"] == 10
+
+
+def test_result_scores(spark, tmp_path):
+    (tmp_path / "scores.json").write_text(json.dumps([{"html_path": "a.html", "parseability_score": 50.0}, {"html_path": "b.html", "parseability_score": 1.0}]))
+    (tmp_path / "list.json").write_text(json.dumps([{"url": "u", "score": 7.0}]))
+    crawl = spark.createDataFrame([("a.html", "https://a")], "html_path string, url string")
+    assert sorted(map(tuple, readers.result_scores(spark, str(tmp_path / "scores.json"), crawl).collect())) == [("Unknown URL", 1.0), ("https://a", 50.0)]
+    assert [tuple(r) for r in readers.result_scores(spark, str(tmp_path / "list.json")).collect()] == [("u", 7.0)]
+
+
+def test_history_shows_every_row(spark):
+    rows = spark.range(350).selectExpr("timestamp_seconds(id) evaluated_at", "'c' corpus", "1.0D parseability_score", "1.0D universal_score", "'article' content_type", "0.0D delta")
+    assert len(writers.history_table(rows).splitlines()) == 352
 
 
 def test_history_skips_malformed_files(spark, tmp_path, capsys):
@@ -59,7 +94,11 @@ def test_express_writes_scores_and_report(spark, small, tmp_path, capsys):
     out = str(tmp_path / "scores")
     assert cli.main(["express", f"{small}/pages.parquet", "--out", out, "--render-mode", "both"], spark) == 0
     assert spark.read.parquet(out).count() == 100
-    assert "Shared templates" in (tmp_path / "scores.md").read_text() and "mean_score" in capsys.readouterr().out
+    text = (tmp_path / "scores.md").read_text()
+    assert "Shared templates" in text and text.count("\n### ") == 50 and "Rendered against raw" in text and "mean_score" in capsys.readouterr().out
+    assert "spark" in json.loads((tmp_path / "scores.run.json").read_text())["environment"]
+    assert cli.main(["report", out, "--out", str(tmp_path / "again.md"), "--presentation", str(tmp_path / "deck")], spark) == 0
+    assert spark.read.json(str(tmp_path / "deck.json")).count() == 100 and "ready_percent" in (tmp_path / "deck.md").read_text()
     writers.write_csv(spark.read.parquet(out).select("url"), str(tmp_path / "csv"))
     writers.write_json(spark.read.parquet(out), str(tmp_path / "json"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 100
