@@ -10,6 +10,9 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.plans import benchmarks
+from pageloom.plans.benchmarks import URL_SETS
+
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="pageloom")
@@ -41,6 +44,10 @@ def parser() -> argparse.ArgumentParser:
     h.add_argument("url")
     h.add_argument("--root", required=True)
     h.add_argument("--json", action="store_true")
+    b = sub.add_parser("benchmark", help="list the url sets, write one, or validate a result file against the expected scores")
+    b.add_argument("--set", choices=tuple(URL_SETS))
+    b.add_argument("--scores", help="JSON of score rows or (url, score) rows")
+    b.add_argument("--out")
     n = sub.add_parser("negotiate")
     n.add_argument("responses", help="parquet of url, accept_header, status_code, content_hash")
     n.add_argument("--out", required=True)
@@ -91,6 +98,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         found = rows.count()
         print("\n".join(rows.toJSON().collect()) if args.json else writers.history_table(rows))
         return 0 if found else 1
+    elif args.command == "benchmark":
+        if args.set:
+            writers.write_lines(benchmarks.url_set(spark, args.set).coalesce(1).sortWithinPartitions("place"), "url", args.out)
+        elif args.scores:
+            rows = readers.result_scores(spark, args.scores).withColumnRenamed("score", "parseability_score")
+            validated = analytics.benchmark_validation(rows, benchmarks.expectations(spark))
+            print(writers.validation_report(validated))
+            return 0 if analytics.validation_rates(validated).where("category = 'all' and gate").count() else 1
+        else:
+            print(writers.markdown(benchmarks.url_sets(spark)))
     elif args.command == "negotiate":
         writers.write_table(negotiation.negotiation_scores(spark.read.parquet(args.responses)), args.out)
     return 0

@@ -55,6 +55,17 @@ def test_result_scores(spark, tmp_path):
     assert [tuple(r) for r in readers.result_scores(spark, str(tmp_path / "list.json")).collect()] == [("u", 7.0)]
 
 
+def test_benchmark_command(spark, tmp_path, capsys):
+    assert cli.main(["benchmark"], spark) == 0 and "| mixed | 8 |" in capsys.readouterr().out
+    assert cli.main(["benchmark", "--set", "decent", "--out", str(tmp_path / "set")], spark) == 0
+    assert readers.url_list(spark, str(tmp_path / "set")).count() == 5
+    good = [{"url": "https://docs.github.com/en", "score": 90.0}, {"url": "https://news.ycombinator.com", "score": 40.0}]
+    (tmp_path / "r.json").write_text(json.dumps(good))
+    assert cli.main(["benchmark", "--scores", str(tmp_path / "r.json")], spark) == 0 and "champion" in capsys.readouterr().out
+    (tmp_path / "r.json").write_text(json.dumps([{"url": g["url"], "score": 1.0} for g in good]))
+    assert cli.main(["benchmark", "--scores", str(tmp_path / "r.json")], spark) == 1
+
+
 def test_history_shows_every_row(spark):
     rows = spark.range(350).selectExpr("timestamp_seconds(id) evaluated_at", "'c' corpus", "1.0D parseability_score", "1.0D universal_score", "'article' content_type", "0.0D delta")
     assert len(writers.history_table(rows).splitlines()) == 352
