@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.functions.storage import durable as durable
+from pageloom.functions.storage import shared_folder
+
 #: A side is broadcast only up to this many bytes of plain rows; beyond it the same join is shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -28,27 +30,6 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
     return df.toDF(*new), {n: new[old.index(n)] for n in old}, old
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, from ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session gets a temporary folder, as in tests; on a cluster a folder of one machine would
-    lose data, so it is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pageloom-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so that a lost executor costs no recomputation of its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder, for wide rows that are read several times, and its path."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"

@@ -379,8 +379,8 @@ CARRIED = ("sid", "n", "u", "pos", "suffix", "c", *MARKS)
 
 def open_rows(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (gram, ...) of grams with several components ``c``, and each gram's largest."""
-    split = open_.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram")
-    rows = durable(open_.join(split, "gram"))
+    split = durable(open_.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram"))
+    rows = durable(open_.join(small_side(split, split.count()), "gram"))
     largest = rows.groupBy("gram", "c").agg(F.count("*").alias("held")).groupBy("gram").agg(F.max_by("c", F.struct("held", "c")).alias("main"))
     return rows, largest
 
@@ -456,8 +456,9 @@ def still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def linked(live: DataFrame, percent: int) -> DataFrame:
     """key and root_key of every class that is linked with another."""
     postings = live.select("sid", "n", "u", *MARKS, F.explode("prefix").alias("at")).select("at.gram", "sid", "n", "u", *MARKS, "at.pos", "at.suffix")
-    shared = postings.groupBy("gram").agg(F.count("*").alias("df"), F.min(F.struct("sid", "n", "u", *MARKS)).alias("y")).where("df > 1").select("gram", F.struct(*[F.col(f"y.{x}").alias(f"{x}_y") for x in ("sid", "n", "u", *MARKS)]).alias("y"))
-    open_ = durable(postings.join(shared, "gram"))
+    shared = postings.groupBy("gram").agg(F.count("*").alias("df"), F.min(F.struct("sid", "n", "u", *MARKS)).alias("y")).where("df > 1")
+    shared = durable(shared.select("gram", F.struct(*[F.col(f"y.{x}").alias(f"{x}_y") for x in ("sid", "n", "u", *MARKS)]).alias("y")))
+    open_ = durable(postings.join(small_side(shared, shared.count(), 128), "gram"))
     stars = open_.select(*_side("x", ("sid", "n", "u", *MARKS)), "y.*").where((F.col("sid_x") != F.col("sid_y")) & _can("x", "y", percent))
     stars = durable(best_partners(_pairs(stars)))
     open_ = open_.drop("y")
