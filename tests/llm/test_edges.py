@@ -15,6 +15,8 @@ from test_queries import brute_components
 
 from pageloom.llm import ann, exact_dedup, jaccard_join, langid, line_dedup, mixing, packing, sharding, toxicity, url_templates
 
+from pageloom.llm.common import isolate
+
 # ---- exact dedup
 
 
@@ -174,7 +176,7 @@ def test_packing_odd(odd, empty):
     got = packing.pack_documents(odd).collect()
     assert sum(r["length"] for r in got if r["doc_id"] in (3, 4)) == 2
     assert sum(1 for r in got if r["doc_id"] is None) >= 2
-    whole = {i: packing.token_ids(t, packing.tokenizer_path()) for i, t in odd.select("doc_id", "text").collect()}
+    whole = {i: packing.token_ids(t, packing.tokenizer_path()) for i, t in isolate(odd, "doc_id", "text").collect()}
     for i in (8, 9):  # very long texts, cut into pieces that join to the whole
         pieces = sorted((r["start"], r["length"]) for r in got if r["doc_id"] == i)
         assert len(pieces) > 20 and [a for a, _ in pieces] == np.cumsum([0, *(n for _, n in pieces)]).tolist()[:-1] and sum(n for _, n in pieces) == len(whole[i])
@@ -206,6 +208,72 @@ def test_neighbours_share_rare_tokens():
     assert 2 not in index.neighbours(0, np.array([0, 1, 0, 1]))
 
 
+def brute_ranks(docs, seed, unused, idf, mean):
+    """Unused documents by falling BM25 score of the seed's tokens, then place."""
+    scores = []
+    for i, d in enumerate(docs):
+        held, length = Counter(d.tolist()), packing.K1 * (1 - packing.B + packing.B * len(d) / mean)
+        score = sum(idf[t] * held[t] * (packing.K1 + 1) / (held[t] + length) for t in set(docs[seed].tolist()) if held[t])
+        if unused[i] and score > 0:
+            scores.append((-score, i))
+    return [(i, -s) for s, i in sorted(scores)]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10**6))
+def test_ranks_are_those_of_bm25(seed):
+    rng = np.random.default_rng(seed)
+    docs = [rng.integers(0, 40, int(rng.integers(1, 30))).astype(np.uint16) for _ in range(60)]
+    idf, mean = np.linspace(0.5, 4, packing.VOCABULARY).astype(np.float32), 17.0
+    unused = rng.random(60) < 0.7
+    unused[3] = False
+    index = packing.Bm25Shard(docs, idf, mean)
+    got, want = index.neighbours(3, unused), brute_ranks(docs, 3, unused, idf, mean)
+    scores = dict(want)
+    assert sorted(got) == sorted(scores)
+    assert all(scores[a] >= scores[b] - 1e-4 for a, b in zip(got, got[1:], strict=False))
+
+
+def test_windows_are_filled_in_order_of_rank():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 300, int(rng.integers(100, 900))).astype(np.uint16) for _ in range(40)]
+    index, unused, filled = packing.Bm25Shard(docs), np.ones(40, bool), 0
+    order = []
+    for seed in range(40):
+        if not unused[seed]:
+            continue
+        take = [seed]
+        while take:
+            doc = take.pop(0)
+            unused[doc] = False
+            order.append(doc)
+            filled += len(docs[doc])
+            if filled >= packing.WINDOW:  # the document that was cut is the next window's seed
+                filled %= packing.WINDOW
+                take = index.neighbours(doc, unused)[:1] if filled else []
+                rest = index.neighbours(doc, unused) if filled else []
+            elif len(order) and doc == seed:
+                rest = index.neighbours(doc, unused)
+                take = rest[:1]
+            else:
+                rest = [r for r in rest if unused[r]]
+                take = rest[:1]
+    got = []
+    for doc, start, *_ in packing.pack(docs):
+        if start == 0 and doc not in got:
+            got.append(doc)
+    assert got == order
+
+
+def test_like_documents_share_a_leaf():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(1000 * (i % 2), 1000 * (i % 2) + 300, 200).astype(np.uint16) for i in range(400)]
+    router = packing.Router(docs[:200], 1)
+    leaves = [router.route(d)[0] for d in docs]
+    assert sorted({(i % 2, leaf) for i, leaf in enumerate(leaves)}) in ([(0, 2), (1, 3)], [(0, 3), (1, 2)])
+    assert packing.Router([], 3).route(docs[0])[0] == 8 and packing.Router(docs[:1], 0).route(docs[0])[0] == 1
+
+
 def test_windows_take_all_neighbours_of_the_seed():
     # 100 short documents like the first are spread among as many unlike it: none of those comes before the last neighbour
     docs = [np.array([10, 11, 12, 13] if i % 2 == 0 else [1000 + i, 2000 + i, 3000 + i], np.uint32) for i in range(200)]
