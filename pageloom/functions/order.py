@@ -21,7 +21,7 @@ def running(rows: DataFrame, keys: Sequence[Column], place: str = "place", **sum
     dealt = durable(rows.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))  # ranges must not move between uses
     held = sorted(map(tuple, dealt.groupBy("range").agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in sums.values()]).collect()))
     kinds = ["long", *("double" if dict(rows.dtypes)[c] in ("double", "float") else "long" for c in sums.values())]
-    ahead = [accumulate((r[k] for r in held), initial=0.0 if kind == "double" else 0) for k, kind in enumerate(kinds, 1)]
+    ahead = [accumulate([r[k] for r in held], initial=0.0 if kind == "double" else 0) for k, kind in enumerate(kinds, 1)]
     schema = ", ".join(["range int", *(f"ahead_{k} {kind}" for k, kind in enumerate(kinds))])
     offsets = rows.sparkSession.createDataFrame([(r[0], *(next(a) for a in ahead)) for r in held], schema)
     within = Window.partitionBy("range").orderBy(*keys)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.constants import PILLARS, PROFILE_WEIGHTS
 from pageloom.functions import stats, text
+from pageloom.functions.order import running
 from pageloom.operators import analytics, calibration, negotiation, pillars, robots, scoring
 from pageloom.operators.agent_perf import Visible, extract_answer
 
@@ -126,3 +127,19 @@ def test_answers():
     assert extract_answer(html, "main steps to get started") == "## Install first\nRun the installer and wait for it.\n\nSteps:\n1. a\n2. b\n3. c"
     assert "```" in extract_answer(html, "a code example") and extract_answer(html, "troubleshoot") == ""
     assert Visible(html).text().startswith("Install first")
+
+
+def test_running_sums_over_several_ranges(spark):
+    rows = [(i * 37 % 101, i % 5, float(i % 3)) for i in range(101)]
+    df = spark.createDataFrame(rows, "k int, a long, b double").repartition(3)
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["k"]: (r["place"], r["a_upto"], r["b_upto"]) for r in running(df, ["k"], a_upto="a", b_upto="b").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    a = b = 0
+    for place, (k, x, y) in enumerate(sorted(rows), 1):
+        a, b = a + x, b + y
+        assert got[k] == (place, a, b)
+    assert running(df.limit(0), ["k"], a_upto="a").count() == 0
