@@ -119,7 +119,7 @@ def _takes(flat: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
 
 def _numbered(plain: DataFrame, again: DataFrame) -> DataFrame:
     """The rows whose KEY is in ``again`` with ``nth``, their number from 0 among equals, counted task by task of the scan."""
-    rows = plain.withColumn("row", F.monotonically_increasing_id()).join(again, KEY, "left_semi").withColumn("task", F.shiftright("row", 33))
+    rows = durable(plain.withColumn("row", F.monotonically_increasing_id()).join(again, KEY, "left_semi").withColumn("task", F.shiftright("row", 33)))  # read twice
     held = rows.groupBy(*KEY, "task").agg(F.count("*").alias("held"))
     ahead = F.sum("held").over(Window.partitionBy(*KEY).orderBy("task")) - F.col("held")
     nth = F.row_number().over(Window.partitionBy(*KEY, "task").orderBy("row")) - 1
