@@ -57,7 +57,8 @@ def drop_boilerplate_lines(docs: DataFrame, text_col: str = "text", site_col: st
     text, site = F.col(at[text_col]), F.col(at[site_col])
     sites = F.concat(F.when(site.isNull(), "n").otherwise("s"), F.coalesce(site.cast("string"), F.lit("")))
     parts = F.split(text, "\n")
-    lines = plain.where(text.isNotNull()).select(sites.alias("site"), text_key(text).alias("text_key"), F.posexplode(parts).alias("pos", "line"))
+    lines = plain.where(text.isNotNull()).select(sites.alias("site"), text_key(text).alias("text_key"), parts.alias("parts"))  # no text beside its lines
+    lines = lines.select("site", "text_key", F.posexplode("parts").alias("pos", "line"))
     lines, path = stored(lines.select("site", "text_key", "pos", line_key(F.col("line")).alias("key")).where("key is not null"))
     gone = durable(boilerplate(lines.select("key", "site"), min_sites))
     hits = lines.join(small_side(gone, gone.count()), "key", "left_semi").groupBy("text_key", "pos").agg(F.count("*").alias("copies"))
