@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_queries import brute_components
 
 from pageloom.llm import mixing
+from pageloom.llm.common import isolate
 
 DATA = "/root/testdata/sf0.001"
 
@@ -47,3 +48,15 @@ def test_stages(spark, tmp_path):
 def test_run_gives_the_stages_rows(spark):
     got = cp.run(spark, DATA)
     assert {"doc_id", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
+
+
+def test_run_of_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Nulls, empty and very long texts and repeated rows go through all stages; an empty table gives no rows."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, rows in (("odd", odd), ("empty", empty)):
+        isolate(rows, *columns).write.parquet(str(tmp_path / name / "documents.parquet"))
+    got = cp.run(spark, str(tmp_path / "odd")).collect()
+    ids = {r["doc_id"] for r in got}
+    assert {2, 8, 12} <= ids | {1} and not ids & {3, 4, 5, 11}  # no letters: rejected; 9 is a near copy of 8
+    assert 9 not in ids
+    assert cp.run(spark, str(tmp_path / "empty")).count() == 0
