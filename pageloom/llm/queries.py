@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import ann, exact_dedup, jaccard_join, langid, line_dedup, mixing, packing, sharding, toxicity, url_templates
+from pageloom.llm import ann, chat, divergence, exact_dedup, jaccard_join, langid, line_dedup, mixing, packing, sharding, toxicity, url_templates, vector_codes
 from pageloom.llm.common import remainder, table
 
 
@@ -58,14 +58,97 @@ def op10_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("first_position", F.bround("first_position", 9))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    turns = rows.unionByName(more).withColumn("parts", chat.text_part(F.col("text")))
+    return chat.read_back(chat.format_turns(turns))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_toxicity, op2_language_id, op3_url_templates, op4_retrieval_packing, op5_jaccard_join, op6_sharding, op7_hnsw, op8_line_dedup, op9_exact_dedup, op10_curriculum_mixing)
+    ops = (op1_toxicity, op2_language_id, op3_url_templates, op4_retrieval_packing, op5_jaccard_join, op6_sharding, op7_hnsw, op8_line_dedup, op9_exact_dedup, op10_curriculum_mixing, op11_chat_formatting, op12_vector_codes, op13_source_divergence)
     return {f.__name__: f for f in ops}
 
 
+def codes_sql() -> str:
+    """Vector codes in SQL: the rounds are written out one after another."""
+    gap = "list_sum(list_transform(range(1, len(a.part) + 1), lambda i: (a.part[i] - b.part[i]) * (a.part[i] - b.part[i])))"
+    near = lambda books: f"SELECT vec_id, pos, any_value(part) AS part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT a.vec_id, a.pos, a.part, b.entry, CAST({gap} AS BIGINT) AS d FROM pieces a JOIN {books} b USING (pos)) GROUP BY vec_id, pos"
+    rounds = ""
+    for r in range(4):
+        rounds += f"""
+        , near{r} AS MATERIALIZED ({near(f"book{r}")}),
+        mean{r} AS (SELECT pos, entry, list(s ORDER BY i) AS part FROM (
+            SELECT pos, entry, i, CAST(sum(v) // count(*) - CASE WHEN sum(v) % count(*) < 0 THEN 1 ELSE 0 END AS BIGINT) AS s
+            FROM (SELECT pos, entry, unnest(part) AS v, generate_subscripts(part, 1) AS i FROM near{r}) GROUP BY ALL) GROUP BY ALL),
+        book{r + 1} AS MATERIALIZED (SELECT b.pos, b.entry, coalesce(m.part, b.part) AS part FROM book{r} b LEFT JOIN mean{r} m USING (pos, entry))"""
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024::DOUBLE * x) AS BIGINT)) AS ints FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pieces AS MATERIALIZED (
+            SELECT vec_id, p.pos, ints[p.pos * len(ints) // 4 + 1 : (p.pos + 1) * len(ints) // 4] AS part FROM kept, range(4) p(pos)
+        ), book0 AS MATERIALIZED (
+            SELECT pos, entry, part FROM pieces JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 256) USING (vec_id)
+        ){rounds},
+        given AS MATERIALIZED ({near("book4")}),
+        whole AS (SELECT vec_id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM given GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(v, ',' ORDER BY pos, entry)) FROM (SELECT pos, entry, array_to_string(part, ',') AS v FROM book4)) AS codebooks_sha256
+        FROM kept JOIN whole USING (vec_id)
+    """
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE = {
+    "op11_chat_formatting": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)
+        ), e AS (
+            SELECT *, [length(regexp_replace(replace(x, chr(92), chr(92) || chr(92)), '([<\[])(\||/?s>|</?SYS>>|/?INST\])', '\1' || chr(92) || chr(92) || '\2', 'g')) for x in [role, text]] AS sizes FROM t
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(list_sum(sizes) + length('<|turn|><|text|></s>')) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
+    "op12_vector_codes": codes_sql(),
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT lang, source, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+        c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang),
+        base AS MATERIALIZED (
+            SELECT g.lang, g.source, coalesce(v.v, 0) + coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS m, coalesce(v.v + v.lang_n, 0) AS lang_m FROM g LEFT JOIN v USING (lang)
+        ), rates AS MATERIALIZED (
+            SELECT b.lang, b.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // b.m AS BIGINT) AS p, CAST(1 + (1000000000::HUGEINT * (k.total + 1)) // b.lang_m AS BIGINT) AS q
+            FROM base b JOIN kept k USING (lang) LEFT JOIN c ON c.lang = b.lang AND c.source = b.source AND c.term = k.term
+        ), sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM rates a JOIN rates b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), pair AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        ), term AS (
+            SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM rates WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+        )
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
     "op5_jaccard_join": rf"""
         WITH RECURSIVE split AS (
             SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
