@@ -11,9 +11,10 @@ takes as many terms off the two cells (count, 0) and (0, count) that would hold
 left of V is the cell (0, 0).  One aggregation adds all of that up.  ``term`` lists the terms that a group uses more often than
 its language, the TOP by f.
 
-Each task counts the terms of its texts in dictionaries of at most FLUSH terms and passes on counts, so neither a hot source nor
-a hot term is more than a row from each task.  The join of a term's sources is dealt by blocks of BLOCK sources, so a language
-with any number of sources has at most BLOCK^2 rows of a key; the pairs themselves are the result.  All arithmetic is exact.
+Each task counts the terms of its texts in dictionaries of at most FLUSH counts and passes on a row for each term, so neither a
+hot source nor a hot term is more than a row from each task and flush.  Those rows meet once, and a kept term's groups are
+stored as lists of about BLOCK groups at most; lists of one term meet two by two, so a language may have any number of sources.
+The pairs themselves are the result.  All arithmetic is exact.
 
 Null texts, langs and sources are empty strings, so they form a group; a group without terms still gets its pairs.  Rows that
 repeat are documents of their own.  Other columns are never looked at.  Equal values are ranked by the item's UTF-8 bytes.  An
@@ -26,14 +27,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pageloom.llm.common import durable, isolate, small_side
+from pageloom.llm.common import durable, isolate, release, small_side, stored
 
-LEAST, SCALE, TOP, BLOCK, FLUSH = 3, 1_000_000_000, 200, 256, 400_000
+LEAST, SCALE, TOP, BLOCK, FLUSH, ROWS = 3, 1_000_000_000, 200, 256, 400_000, 20_000
 
 #: A run of letters in UTF-8 bytes of which A-Z are lower-cased.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -43,24 +45,32 @@ LONG = 1 << 20
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text as bytes) -> lang, source, term, n, docs: counts of the rows so far, and a null term for each group."""
-    n, docs, held = {}, {}, 0
+    """(lang, source, text as bytes) -> lang, term, docs, counts: documents with a term so far, and its occurrences by source."""
+    docs: dict[str, Counter] = {}
+    n: dict[str, dict[str, Counter]] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), counts in n.items():
-            found = docs[lang, source]
-            terms = [None, *counts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array([t if t is None else t.decode("utf-8", "replace") for t in terms], pa.string()), pa.array([0, *counts.values()], pa.int64()), pa.array([0, *(found[t] for t in counts)], pa.int64())],
-                ["lang", "source", "term", "n", "docs"],
-            )
-        n.clear()
+        for lang, found in docs.items():
+            place = {t: k for k, t in enumerate(found)}
+            names = list(n[lang])
+            at = [np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in n[lang].values()]
+            held = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in n[lang].values()])
+            of = np.repeat(np.arange(len(names)), [len(x) for x in at])
+            at = np.concatenate(at)
+            order = np.argsort(at, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(place)))]).astype(np.int32)
+            one = pa.StructArray.from_arrays([pa.DictionaryArray.from_arrays(pa.array(of[order], pa.int32()), pa.array(names, pa.string())).cast(pa.string()), pa.array(held[order])], ["source", "n"])
+            terms = pa.array([t.decode("utf-8", "replace") for t in place], pa.string())
+            batch = pa.RecordBatch.from_arrays([pa.array([lang] * len(place), pa.string()), terms, pa.array(list(found.values()), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), one)], ["lang", "term", "docs", "counts"])
+            for begin in range(0, batch.num_rows, ROWS):
+                yield batch.slice(begin, ROWS)
         docs.clear()
+        n.clear()
 
+    held = 0
     for batch in batches:
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
-            group = (lang, source)
-            counts, found = n.setdefault(group, Counter()), docs.setdefault(group, Counter())
+            found, counts = docs.setdefault(lang, Counter()), n.setdefault(lang, {}).setdefault(source, Counter())
             before, data = len(counts), text.as_py().lower()  # of bytes, so A-Z only
             words = TERM.findall(data) if len(data) <= LONG else Counter(m.group() for m in TERM.finditer(data))
             counts.update(words)
@@ -72,11 +82,21 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents with it); and a row with a null term for each group."""
+def plain(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     rows = isolate(docs, lang, source, text).toDF("lang", "source", "text")
-    rows = rows.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(counted, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return rows.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+
+def kept_terms(rows: DataFrame) -> DataFrame:
+    """lang, term, source, n, all (occurrences in the language) of the terms in at least LEAST documents of their language.
+
+    Each task's counts of a term meet once, by (lang, term); all that follows needs no further shuffle.
+    """
+    found = rows.mapInArrow(counted, "lang string, term string, docs long, counts array<struct<source: string, n: long>>").repartition("lang", "term")
+    of_term = Window.partitionBy("lang", "term")
+    here = F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    found = found.select("lang", "term", "counts", F.sum("docs").over(of_term).alias("docs"), F.sum(here).over(of_term).alias("all")).where(f"docs >= {LEAST}")
+    return found.select("lang", "term", "all", F.inline("counts")).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.first("all").alias("all"))
 
 
 def rate(n: Column, total: Column) -> Column:
@@ -88,44 +108,49 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def joint_histograms(kept: DataFrame, groups: DataFrame) -> DataFrame:
-    """lang, a, b, x, y, m: for each pair a < b of a language's groups, how many kept terms have x occurrences in a and y in b.
+def joint_histograms(lists: DataFrame, own: DataFrame, groups: DataFrame) -> DataFrame:
+    """a, b, x, y, m: for each pair a < b of a language's groups, how many kept terms have x occurrences in a and y in b.
 
-    ``kept`` has lang, term, g (group), n, blocks (of the language); ``groups`` has lang, g, v (kept terms of the language), blocks.
+    ``lists`` has lang, term, i, blocks, held (array of g, n): a term's groups, by blocks of them.  ``own`` has g, n, h: how
+    many terms a group has n times; ``groups`` has lang, g, v (kept terms of the language), i, blocks.
     """
-    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    two = lists.where("blocks > 1")  # terms of a language whose groups are several blocks also meet across blocks
+    across = two.select("lang", "term", "i", "held").join(two.select("lang", "term", F.col("i").alias("j"), F.col("held").alias("other")), ["lang", "term"]).where("i < j").select("held", "other")
+    sides = lists.select("held", F.col("held").alias("other")).unionByName(across.unionByName(across.select(F.col("other").alias("held"), F.col("held").alias("other"))))
+    one = sides.select("other", F.inline("held").alias("a", "x"))
+    both = durable(one.select("a", "x", F.inline("other").alias("b", "y")).where("a < b").groupBy("a", "b", "x", "y").agg(F.count("*").alias("m")))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    left_role = lambda df, *names: df.select(*names, F.col("g").alias("a"), block("g").alias("i"), each.alias("j"))
-    right_role = lambda df, *names: df.select(*names, F.col("g").alias("b"), block("g").alias("j"), each.alias("i"))
-    one, two = left_role(kept, "lang", "term", F.col("n").alias("x")), right_role(kept, "lang", "term", F.col("n").alias("y"))
-    both = durable(one.join(two, ["lang", "term", "i", "j"]).where("a < b").groupBy("lang", "a", "b", "x", "y").agg(F.count("*").alias("m")))
-    own = durable(kept.groupBy("g", "n").agg(F.count("*").alias("h")))
-    pairs = left_role(groups, "lang", "v").join(right_role(groups, "lang"), ["lang", "i", "j"]).where("a < b").select("lang", "a", "b", "v")
-    cell = lambda x, y, m: F.struct(F.col(x).alias("x") if isinstance(x, str) else F.lit(x).cast("long").alias("x"), F.col(y).alias("y") if isinstance(y, str) else F.lit(y).cast("long").alias("y"), m.cast("long").alias("m"))
-    shared = both.select("lang", "a", "b", F.inline(F.array(cell("x", "y", F.col("m")), cell("x", 0, -F.col("m")), cell(0, "y", -F.col("m")), cell(0, 0, F.col("m")))))
-    left = pairs.join(own.withColumnRenamed("g", "a"), "a").select("lang", "a", "b", F.inline(F.array(cell("n", 0, F.col("h")), cell(0, 0, -F.col("h")))))
-    right = pairs.join(own.withColumnRenamed("g", "b"), "b").select("lang", "a", "b", F.inline(F.array(cell(0, "n", F.col("h")), cell(0, 0, -F.col("h")))))
-    none = pairs.select("lang", "a", "b", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.col("v").alias("m"))
-    tallied = none.unionByName(shared).unionByName(left).unionByName(right).groupBy("lang", "a", "b", "x", "y").agg(F.sum("m").alias("m"))
+    left, right = groups.select("lang", F.col("g").alias("a"), "v", "i", each.alias("j")), groups.select("lang", F.col("g").alias("b"), F.col("i").alias("j"), each.alias("i"))
+    pairs = durable(left.join(right, ["lang", "i", "j"]).where("a < b").select("a", "b", "v"))
+    value = lambda c: F.col(c) if isinstance(c, str) else F.lit(c).cast("long")
+    cell = lambda x, y, m: F.struct(value(x).alias("x"), value(y).alias("y"), m.cast("long").alias("m"))
+    m, h = F.col("m"), F.col("h")
+    shared = both.select("a", "b", F.inline(F.array(cell("x", "y", m), cell("x", 0, -m), cell(0, "y", -m), cell(0, 0, m))))
+    of_a = pairs.join(own.withColumnRenamed("g", "a"), "a").select("a", "b", F.inline(F.array(cell("n", 0, h), cell(0, 0, -h))))
+    of_b = pairs.join(own.withColumnRenamed("g", "b"), "b").select("a", "b", F.inline(F.array(cell(0, "n", h), cell(0, 0, -h))))
+    none = pairs.select("a", "b", value(0).alias("x"), value(0).alias("y"), F.col("v").alias("m"))
+    tallied = none.unionByName(shared).unionByName(of_a).unionByName(of_b).groupBy("a", "b", "x", "y").agg(F.sum("m").alias("m"))
     return tallied.where("m <> 0 or (x = 0 and y = 0)")  # a pair without terms keeps its empty cell
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """lang, source, part, item, value, rank."""
-    counts = durable(term_counts(docs, text, lang, source))
-    known = durable(counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all")).where(f"docs >= {LEAST}"))
-    found = counts.where("term is not null").join(known.select("lang", "term", "all"), ["lang", "term"])
-    sizes = known.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("lang_n"))
-    named = counts.where("term is null").select("lang", "source", F.monotonically_increasing_id().alias("g"))
-    own = found.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
-    wide = named.join(own, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["group_n", "v", "lang_n"])
-    per_lang = named.groupBy("lang").agg(F.count("*").alias("groups"))
-    groups = durable(wide.join(per_lang, "lang").withColumn("blocks", F.ceil(F.col("groups") / BLOCK)).withColumn("base", F.col("group_n") + F.col("v")))
-    n_groups = groups.count()
+    rows = plain(docs, text, lang, source)
+    named = durable(rows.select("lang", "source").distinct())
+    per_lang = named.groupBy("lang").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    named = durable(named.join(per_lang, "lang").withColumn("g", F.monotonically_increasing_id()).withColumn("i", F.pmod(F.xxhash64("g"), F.col("blocks"))))
+    n_groups = named.count()
     near = lambda df: small_side(df, n_groups, 256)
-    kept = durable(found.select("lang", "source", "term", "n", "all").join(near(groups.select("lang", "source", "g", "base", "v", "lang_n", "blocks")), ["lang", "source"]))
+    held = kept_terms(rows).join(near(named), ["lang", "source"]).groupBy("lang", "term", "i").agg(F.first("all").alias("all"), F.first("blocks").alias("blocks"), F.collect_list(F.struct("g", "n")).alias("held"))
+    first = F.row_number().over(Window.partitionBy("lang", "term").orderBy("i")) == 1
+    lists, path = stored(held.withColumn("first", first))
+
+    own = durable(lists.select(F.inline("held")).groupBy("g", "n").agg(F.count("*").alias("h")))
+    sizes = lists.where("first").groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("lang_n"))
+    totals = own.groupBy("g").agg(F.sum(F.col("n") * F.col("h")).alias("group_n"))
+    groups = durable(named.join(totals, "g", "left").join(sizes, "lang", "left").fillna(0, ["group_n", "v", "lang_n"]).withColumn("base", F.col("group_n") + F.col("v")))
 
-    tallied = joint_histograms(kept, groups)
+    tallied = joint_histograms(lists, own, groups)
     side = lambda c, base: groups.select(F.col("g").alias(c), F.col("base").alias(base))
     rated = tallied.join(near(side("a", "base_a")), "a").join(near(side("b", "base_b")), "b")
     rated = rated.withColumn("p", F.when(F.col("m") != 0, rate(F.col("x"), F.col("base_a")))).withColumn("q", F.when(F.col("m") != 0, rate(F.col("y"), F.col("base_b"))))
@@ -137,9 +162,12 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     pair = both_ways.join(near(names("g", "lang", "source")), "g").join(near(names("other", F.col("source").alias("item"))), "other")
     pair = pair.select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
+    used = lists.select("term", "all", F.inline("held")).join(near(groups.select("lang", "source", "g", "base", "v", "lang_n")), "g")
     p, q = rate(F.col("n"), F.col("base")), rate(F.col("all"), F.col("lang_n") + F.col("v"))
-    term = kept.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
+    term = used.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
     term = term.select("lang", "source", "part", "item", divergence(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order))
-    return ranked(pair).unionByName(ranked(term).where(f"rank <= {TOP}"))
+    out = durable(ranked(pair).unionByName(ranked(term).where(f"rank <= {TOP}")))
+    release(lists, path)
+    return out
