@@ -18,8 +18,8 @@ kept, which hold every intersection.  The prefix grams among them are few, and a
 Join: classes that link share a prefix gram.  Many near copies share whole prefixes, so pairs are not formed within a
 gram.  First each class is verified against one pivot, the nearest of the smallest classes of its grams; the links
 contract dense groups.  Classes left over are verified against the nearest of one member of each of their grams' largest
-components.  Then only pairs from different components are formed, on one side without each gram's largest component,
-and pass the filters on length, position and suffix (the grams after the shared one differ at least by their counts in
+components.  Then only pairs from different components are formed, on one side without each gram's largest component and
+never of two classes that have too many grams of their own (``crossing_rows``), and pass the filters on length, position and suffix (the grams after the shared one differ at least by their counts in
 RANGES hash ranges).  Of these the nearest of each class are verified, and then all that are still in different
 components.  Pairs are verified once each on whole sets, in cells of about CELL_GRAMS grams: a cell gets each set that it
 needs once, so a pivot of very many classes is sent to cells, and no task gathers its classes.  No link that changes a
@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,30 @@ class _Powers:
 
 _powers = _Powers()
 
+#: Words of more bytes than LONG_WORD take a second polynomial into their hash, modulo a prime: modulo 2^64 alone, long words
+#: of two letters can be written (Thue and Morse's, of 1,024) whose polynomials are equal for every base.
+LONG_WORD, PRIME, PRIME_BASE = 32, (1 << 31) - 1, 1_368_512_369
+_SMALL = np.random.default_rng(2025).integers(1, PRIME, 256, np.uint64)
+_SMALL[65:91] = _SMALL[97:123]
+
+
+@lru_cache(maxsize=40)
+def _prime_powers(doublings: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    for _ in range(doublings):
+        out = np.concatenate([out, out * np.uint64(pow(PRIME_BASE, len(out), PRIME)) % np.uint64(PRIME)])
+    return out
+
+
+def prime_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial modulo PRIME of each of the words, each from its own first byte."""
+    powers = _prime_powers(int((ends - starts).max()).bit_length())
+    out = np.zeros(len(starts), np.uint64)
+    for k, (a, b) in enumerate(zip(starts, ends, strict=True)):  # few words are long
+        terms = _SMALL[data[a:b]] * powers[: b - a] % np.uint64(PRIME)
+        out[k] = int(terms.sum(dtype=np.uint64)) % PRIME
+    return out
+
 
 def word_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit polynomial hash of each word of a text's bytes, from one running sum."""
@@ -102,6 +127,9 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * _powers.up[: len(data)], dtype=np.uint64)])
         h = (sums[ends] - sums[starts]) * _powers.down[starts]
+        long = np.flatnonzero(ends - starts > LONG_WORD)
+        if len(long):
+            h[long] ^= (prime_hashes(data, starts[long], ends[long]) + np.uint64(1)) * np.uint64(_FACTORS[0])
         h = (h ^ (h >> np.uint64(32))) * np.uint64(_FACTORS[2])
     return h ^ (h >> np.uint64(29))
 
@@ -404,13 +432,25 @@ def attaching_pairs(open_: DataFrame, percent: int) -> DataFrame:
     return _pairs(rows.where("c <> main").select("gram", *_side("x")).join(members, "gram").where(_can("x", "y", percent)))
 
 
+def crossing_rows(open_: DataFrame, percent: int) -> DataFrame:
+    """Two sides x and y of a prefix gram, x not in its largest component.
+
+    Two sets can link only if their grams of one class, u, are at most (100 - percent) of each (100 + percent) of their sizes
+    together.  A class with more than its share of them is heavy, and two heavy classes are never brought together.  So the
+    pages of a template that differ by just more than the threshold, which all keep its grams in their prefixes, make no rows.
+    """
+    rows, largest = open_rows(open_)
+    heavy = F.col("u") * (100 + percent) > F.col("n") * (100 - percent)
+    left = lambda df: df.join(largest, "gram").where("c <> main").select("gram", "main", *_side("x"))
+    right = lambda df: df.select("gram", *_side("y"))
+    light = rows.where(~heavy)
+    return left(light).join(right(rows), "gram").unionByName(left(rows.where(heavy)).join(right(light), "gram"))
+
+
 def crossing_pairs(open_: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in different components that share a prefix gram and pass all filters."""
-    rows, largest = open_rows(open_)
-    left = rows.join(largest, "gram").where("c <> main").select("gram", "main", *_side("x"))
-    right = rows.select("gram", *_side("y"))
     once = (F.col("c_y") == F.col("main")) | (F.col("sid_x") < F.col("sid_y"))
-    return _pairs(left.join(right, "gram").where((F.col("c_x") != F.col("c_y")) & once & _can("x", "y", percent) & _places("x", "y", percent)))
+    return _pairs(crossing_rows(open_, percent).where((F.col("c_x") != F.col("c_y")) & once & _can("x", "y", percent) & _places("x", "y", percent)))
 
 
 def _needed(x: str, y: str, percent: int) -> Column:

@@ -41,7 +41,7 @@ def test_control_strings_in_texts_are_escaped_and_come_back(spark):
     formatted = chat.format_turns(spark.createDataFrame(rows, TURNS).repartition(3))
     for r in formatted.collect():
         inner = r["formatted"][len(chat.TURN) : -len(chat.END)]
-        assert not re.search(r"<\||</?s>|</?SYS>>|\[/?INST\]", inner.replace(chat.TEXT, "", 1))
+        assert not re.search(r"<\||</?s>|<</?SYS>>|\[/?INST\]", inner.replace(chat.TEXT, "", 1))
     got = read(formatted)
     assert set(got) == set(convs)
     for c, turns in convs.items():

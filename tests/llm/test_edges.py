@@ -106,6 +106,39 @@ def test_jaccard_random_edits(spark, n, percent, seed):
     assert got == brute_components(rows, n, percent)
 
 
+def test_jaccard_words_with_equal_polynomials(spark):
+    """Thue and Morse's word and its swap have equal polynomials modulo 2^64 for every base, and differ in half their letters."""
+    for letters in ("ab", "xy"):
+        one = "".join(letters[bin(i).count("1") % 2] for i in range(1024))
+        two = one.translate(str.maketrans(letters, letters[::-1]))
+        rows = [(1, f"{one} one two three"), (2, f"{two} one two three"), (3, f"{one.upper()} ONE two three"), (4, two + two), (5, one + one), (6, f"{one} {two} x"), (7, f"{two} {one} x")]
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+        assert got == brute_components(rows, 3, 90) and got[3] == (2, 1) and got[2] == (2, 2)
+    words = {jaccard_join.word_hashes(np.frombuffer(w.encode(), np.uint8))[0] for w in ("a" * k for k in range(1, 200))}
+    assert len(words) == 199
+    long = "q" * 500
+    assert (jaccard_join.word_hashes(np.frombuffer(f"é {long} z {long.upper()}".encode(), np.uint8))[[1, 3]] == jaccard_join.word_hashes(np.frombuffer(long.encode(), np.uint8))[0]).all()
+
+
+@pytest.mark.parametrize(("own", "linked"), [(9, False), (3, True)])
+def test_jaccard_pages_of_one_template(spark, monkeypatch, own, linked):
+    """Pages with a template's words and words of their own: just too different, no rows of two pages are formed; just alike, one component."""
+    template = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(template[: 100 - own] + [f"own{i}x{k}" for k in range(own)])) for i in range(600)]
+    made = []
+    whole = jaccard_join.crossing_rows
+
+    def seen(open_, percent):
+        out = whole(open_, percent)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "crossing_rows", seen)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 1, 90).collect()}
+    assert got == {i: 0 if linked else i for i in range(600)}
+    assert sum(made) <= 600
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 450)] + [(500, k) for k in range(501, 560)]
