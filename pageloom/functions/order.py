@@ -29,3 +29,34 @@ def running(rows: DataFrame, keys: Sequence[Column], place: str = "place", **sum
     out = dealt.join(F.broadcast(offsets), "range")
     totals = [(F.sum(c).over(upto) + F.col(f"ahead_{k}")).alias(name) for k, (name, c) in enumerate(sums.items(), 1)]
     return out.select(*rows.columns, (F.row_number().over(within) + F.col("ahead_0")).alias(place), *totals)
+
+
+def running_by(rows: DataFrame, by: Sequence[str], keys: Sequence[Column], place: str | None = None, **sums: str) -> DataFrame:
+    """``running`` within each group of the columns ``by``: a group may be any share of the rows.
+
+    Rows are dealt to ranges of (by, keys), so a group is a run of neighbouring ranges and only the first group of a range
+    can have begun before it.  What that group has in earlier ranges is added: one row for each range reaches the driver.
+    """
+    names = [f"sum_{k}" for k in range(len(sums) + 1)]
+    group = F.struct(*by)
+    dealt = durable(rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in by], *keys).withColumn("range", F.spark_partition_id()))
+    whole = dealt.groupBy("range", group.alias("group")).agg(F.count("*").alias(names[0]), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in zip(names[1:], sums.values(), strict=True)])
+    ends = whole.groupBy("range").agg(F.min("group").alias("first"), F.max("group").alias("last"), F.max_by(F.struct(*names), "group").alias("held")).collect()
+    kinds = [f.dataType.simpleString() for f in whole.select(*names).schema]
+    carried, last, offsets = [0] * len(names), None, []
+    for r in sorted(ends, key=lambda r: r["range"]):
+        begun = last is not None and r["first"] == last
+        offsets.append((r["range"], r["first"], *(carried if begun else [0] * len(names))))
+        goes_on = begun and r["last"] == last
+        carried = [c + h for c, h in zip(carried, r["held"], strict=True)] if goes_on else list(r["held"])
+        last = r["last"]
+    offsets = [(o[0], o[1], *(float(v) if k == "double" else v for v, k in zip(o[2:], kinds, strict=True))) for o in offsets]
+    schema = f"range int, first {whole.schema['group'].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
+    out = dealt.join(F.broadcast(rows.sparkSession.createDataFrame(offsets, schema)), "range")
+    ahead = lambda n: F.when(group.eqNullSafe(F.col("first")), F.col(n)).otherwise(0)
+    within = Window.partitionBy("range", *by).orderBy(*keys)
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = [(F.sum(c).over(upto) + ahead(n)).alias(name) for n, (name, c) in zip(names[1:], sums.items(), strict=True)]
+    if place:
+        totals.insert(0, (F.row_number().over(within) + ahead(names[0])).alias(place))
+    return out.select(*rows.columns, *totals)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pageloom.constants import AXE_FALLBACK, CLUSTER_MIN, PILLARS, PROFILE_WEIGHTS, RENDER_FLAG, UNKNOWN_URL, UPLIFT_TARGET, WEAK_BELOW
 from pageloom.functions.order import running
+from pageloom.functions.storage import durable
 from pageloom.functions.text import normal_url, outcome_tag, title_case
 from pageloom.operators.pillars import axe_penalty, axe_score
 
@@ -159,15 +160,47 @@ def delta_stats(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(median), F.lit(True)).select("pages", "mean", "median", "low", "high", "changed")
 
 
+#: Buckets of urls whose checksums are compared before rows are.
+BUCKETS = 4096
+
+
+def checksums(rows: DataFrame, *columns: str) -> DataFrame:
+    """bucket, n, mix, total: of each bucket of urls the number of rows and two 64-bit sums of row hashes, whatever the order."""
+    held = [x for c in columns for x in (F.col(c), F.col(c).isNull())]  # a hash takes no notice of which columns are null
+    row = rows.select(F.pmod(F.xxhash64("url"), F.lit(BUCKETS)).alias("bucket"), F.xxhash64("url", *held).alias("one"), F.xxhash64(F.lit(7), "url", *held).alias("two"))
+    return row.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("one").alias("mix"), F.sum(F.col("two").cast("decimal(20,0)")).alias("total"))
+
+
+def differing_buckets(old: DataFrame, new: DataFrame, *columns: str) -> DataFrame:
+    """Buckets whose checksums differ, at most BUCKETS rows."""
+    a, b = checksums(old, *columns), checksums(new, *columns)
+    same = reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in ("n", "mix", "total")))
+    return a.join(b, a["bucket"] == b["bucket"], "full").where(~same).select(F.coalesce(a["bucket"], b["bucket"]).alias("bucket"))
+
+
 def golden_drift(committed: DataFrame, fresh: DataFrame, *columns: str) -> DataFrame:
-    """Rows of either side that the other lacks or holds with other values."""
-    side = lambda df, mark: df.select("url", F.lit(True).alias(f"in_{mark}"), *(F.col(c).alias(f"{c}_{mark}") for c in columns))
+    """Rows of either side that the other lacks or holds with other values.
+
+    Checksums of buckets are compared first and only the rows of buckets that differ are joined, so of equal tables nothing
+    but checksums is shuffled.
+    """
+    buckets = F.broadcast(durable(differing_buckets(committed, fresh, *columns)))
+    asked = lambda df: df.join(buckets, F.pmod(F.xxhash64("url"), F.lit(BUCKETS)) == buckets["bucket"], "left_semi")
+    side = lambda df, mark: asked(df.select("url", *columns)).select("url", F.lit(True).alias(f"in_{mark}"), *(F.col(c).alias(f"{c}_{mark}") for c in columns))
     rows = side(committed, "golden").join(side(fresh, "fresh"), "url", "full")
-    same = reduce(lambda a, b: a & b, (F.col(f"{c}_golden").eqNullSafe(F.col(f"{c}_fresh")) for c in ("in", *columns)[1:]), F.col("in_golden").isNotNull() & F.col("in_fresh").isNotNull())
+    same = reduce(lambda a, b: a & b, (F.col(f"{c}_golden").eqNullSafe(F.col(f"{c}_fresh")) for c in columns), F.col("in_golden").isNotNull() & F.col("in_fresh").isNotNull())
     kind = F.when(F.col("in_golden").isNull(), "added").when(F.col("in_fresh").isNull(), "missing").otherwise("changed")
     return rows.where(~same).withColumn("drift", kind).drop("in_golden", "in_fresh")
 
 
+def check_golden(spark: SparkSession, fresh: DataFrame, path: str, *columns: str, write: bool = False) -> DataFrame | None:
+    """Writes the golden table, or compares a fresh run with it: the drift, empty where nothing changed."""
+    if write:
+        fresh.select("url", *columns).write.mode("overwrite").parquet(path)
+        return None
+    return golden_drift(spark.read.parquet(path), fresh, *columns)
+
+
 def run_summary(scores: DataFrame) -> DataFrame:
     clean = F.count_if(F.col("failure_mode").isin("clean", "success"))
     return scores.agg(F.count("*").alias("pages"), F.avg("parseability_score").alias("mean_score"), clean.alias("clean"), F.try_divide(clean * 100.0, F.count("*")).alias("clean_percent"))

@@ -242,3 +242,23 @@ def text_density() -> Column:
 
 def boilerplate_leakage() -> Column:
     return F.least(F.coalesce(F.try_divide(f("boilerplate_length"), f("total_length")), d(1)), d(1))
+
+
+# ---- evidence
+
+
+def evidence() -> Column:
+    """array<string> of what a page's score rests on: containers, headings, density, offers to agents."""
+    levels = f("heading_levels")
+    jumps = F.aggregate(F.sequence(F.lit(1), F.size(levels)), F.lit(0), lambda n, k: n + F.coalesce(F.get(levels, k) > F.get(levels, k - 1) + 1, F.lit(False)).cast("int"))
+    headings = F.when(F.size(levels) == 0, "No headings found").when(~heading_hierarchy_valid(), F.concat(jumps.cast("string"), F.lit(" hierarchy violations"))).otherwise(F.concat(F.size(levels).cast("string"), F.lit(" headings in order")))
+    first = F.transform(F.slice(f("headings"), 1, 3), lambda h: F.concat(F.lit("h"), h["level"].cast("string"), F.lit(": "), h["text"]))
+    containers = F.concat(f("main_count").cast("string"), F.lit(" main, "), f("article_count").cast("string"), F.lit(" article"))
+    density = F.format_string("primary text %.0f%%, boilerplate %.0f%%", text_density() * 100, boilerplate_leakage() * 100)
+    return F.array_compact(F.concat(F.array(containers, headings), first, F.array(density), f("hints")["details"]))
+
+
+def hops_evidence(chain: Column) -> Column:
+    """The first three hops of a redirect chain and how many follow; null without any."""
+    shown, more = F.array_join(F.slice(chain, 1, 3).cast("array<string>"), " -> "), F.size(chain) - 3
+    return F.when(F.size(chain) > 0, F.concat(F.lit("redirects: "), shown, F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise("")))

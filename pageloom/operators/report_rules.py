@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageloom.constants import PILLARS, PROFILE_WEIGHTS
+
 # Fixed values: (mode, subscore, below, at least, issue, fix, impact, effort, gain, priority).
 RULES = (
     ("structure-missing", "semantic_structure", 60, 0, "Missing semantic HTML elements (<main>, <article>)", "Add `<main>` element", "High", "Low", 15, "critical"),
@@ -68,9 +70,51 @@ def root_causes(mode: Column, subscores: Column, evidence: Column) -> Column:
     return F.filter(F.array(*causes), lambda x: x.isNotNull())
 
 
-def current_findings(scores: dict[str, Column], weak: float = 70.0) -> Column:
-    """Rules for the six pillars (an extension): array of struct(pillar, gain) below ``weak``, largest gain first."""
-    from pageloom.constants import PILLARS, PROFILE_WEIGHTS
+# What a weak pillar means, for the modes and pillars that the scorer gives:
+# (pillar, issue, cause, fix, owner, effort, advice, example).
+PILLAR_RULES = (
+    ("semantic_html", "few semantic elements carry the content", "HTML lacks semantic content containers", "Use semantic elements", "Frontend Developer", "Low", "wrap content in <main>, <article>, <section> and <nav>", "<body>\n  <nav>...</nav>\n  <main><article>the page's own content</article></main>\n</body>"),
+    ("content_extractability", "the main text is hard to separate from the rest", "Primary content not clearly distinguished from secondary content", "Separate content from chrome", "Frontend Developer", "Medium", "shorten navigation and footers and keep the text in one container", "<main>most of the page's text</main>\n<aside>little else</aside>"),
+    ("structured_data", "structured data is missing, incomplete or doesn't parse", "No complete JSON-LD record of a known type", "Add JSON-LD", "SEO or Platform Team", "Low", "describe the page by a JSON-LD record with its required fields", '<script type="application/ld+json">{"@context": "https://schema.org", "@type": "Article", "headline": "Title"}</script>'),
+    ("dom_navigability", "elements lack names, alternatives or a first heading", "Images, links or headings without text for assistive readers", "Name images and links", "Frontend Developer", "Medium", "give images alternatives, links telling texts and the page one <h1>", '<h1>Title</h1>\n<img src="a.png" alt="what it shows">\n<a href="/guide">Installation guide</a>'),
+    ("metadata_completeness", "titles, descriptions, authors or dates are missing", "Head lacks the fields that describe the page", "Complete the metadata", "Content Author", "Low", "fill title, description, author, date, language and canonical url", '<html lang="en">\n<title>Title</title>\n<meta name="description" content="one sentence">'),
+    ("http_compliance", "requests are redirected, refused or not cacheable", "Redirects, robots rules or cache headers stand between agents and the page", "Shorten redirects and allow agents", "Platform Team", "High", "answer directly, allow agents in robots.txt and send cache headers", "User-agent: *\nAllow: /"),
+)
+
+#: A pillar below is a finding; below half of it it is critical.
+WEAK = 70.0
+
+
+def pillar_findings(scores: dict[str, Column], profile: Column, weak: float = WEAK) -> Column:
+    """array<struct(pillar, issue, fix, impact, effort, gain, priority, example, owner, cause, advice)>, largest gain first.
+
+    A pillar that was evaluated and is below ``weak`` is a finding; its gain is what ``weak`` would add to the page's score.
+    """
+
+    def weight(pillar: str) -> Column:
+        at = PILLARS.index(pillar)
+        return reduce(lambda e, kv: F.when(profile == kv[0], kv[1][at]).otherwise(e), PROFILE_WEIGHTS.items(), F.lit(PROFILE_WEIGHTS["article"][at]))
 
-    rows = [F.when(scores[p] < weak, F.struct(((scores[p] - weak) * w).alias("order"), F.lit(p).alias("pillar"), ((F.lit(weak) - scores[p]) * w).alias("gain"))) for p, w in zip(PILLARS, PROFILE_WEIGHTS["article"], strict=True)]
-    return F.array_sort(F.filter(reduce(F.concat, [F.array(r) for r in rows]), lambda x: x.isNotNull()))
+    def fired(rule: tuple) -> Column:
+        pillar, issue, cause, fix, owner, effort, advice, example = rule
+        gain = (F.lit(weak) - scores[pillar]) * weight(pillar)
+        low = scores[pillar] < weak / 2
+        row = F.struct(
+            (-gain).alias("order"), F.lit(pillar).alias("pillar"), F.lit(issue).alias("issue"), F.lit(fix).alias("fix"), F.when(gain >= 5, "High").when(gain >= 2, "Medium").otherwise("Low").alias("impact"), F.lit(effort).alias("effort"),
+            gain.alias("gain"), F.when(low, "critical").otherwise("important").alias("priority"), F.lit(example).alias("example"), F.lit(owner).alias("owner"), F.lit(cause).alias("cause"), F.lit(advice).alias("advice"),
+        )
+        return F.when(scores[pillar] < weak, row)
+
+    return F.array_sort(F.array_compact(F.array(*map(fired, PILLAR_RULES))))
+
+
+def page_owner(findings: Column) -> Column:
+    """Who owns the finding with the largest gain."""
+    return F.coalesce(F.get(findings, 0)["owner"], F.lit("Development Team"))
+
+
+def pillar_causes(findings: Column, evidence: Column) -> Column:
+    """Causes of the findings, and what the evidence says of headings."""
+    seen = lambda word: F.exists(evidence, lambda e: F.contains(e, F.lit(word)))
+    headings = F.when(seen("No headings found"), "No heading structure to indicate content organization").when(seen("hierarchy violations"), "Heading levels jump incorrectly (e.g., H1 directly to H3)")
+    return F.array_compact(F.concat(F.transform(findings, lambda x: x["cause"]), F.array(headings)))

@@ -10,6 +10,7 @@ import re
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ANCHOR = '<meta charset="utf-8">'
 
@@ -58,6 +59,11 @@ CRAWL = """SELECT page_id, url, CASE CAST(page_id % 7 AS INT) WHEN 5 THEN 404 WH
 #: Crawl records of the enriched pages but for each tenth, and the robots.txt of their hosts.
 CRAWLED = f"""SELECT e.page_id, e.url, c.status, c.codes, c.redirect_ms, c.final_ms, c.header, c.header_value FROM ({ENRICHED}) AS e JOIN ({CRAWL}) AS c ON e.page_id = c.page_id WHERE e.page_id % 10 <> 9"""
 
+#: Recorded responses of a graph of redirects: trees, loops of two, chains longer than a walk, and targets without a response.
+REDIRECTED = """SELECT concat('https://w', CAST(page_id AS STRING), '.example.com/') AS url, CASE CAST(page_id % 7 AS INT) WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 302 WHEN 3 THEN 307 WHEN 4 THEN 303 WHEN 5 THEN 308 ELSE 404 END AS status,
+    CASE CAST(page_id % 7 AS INT) WHEN 0 THEN CAST(NULL AS STRING) WHEN 6 THEN CAST(NULL AS STRING) ELSE concat('https://w', CAST(CASE CAST(page_id % 7 AS INT) WHEN 3 THEN page_id - 7 WHEN 4 THEN page_id + 1 WHEN 5 THEN page_id - 1 ELSE CAST(floor(page_id / 2) AS BIGINT) END AS STRING), '.example.com/') END AS location,
+    CAST(page_id % 50 AS DOUBLE) AS ms FROM pages"""
+
 ROBOTS_FILES = """SELECT concat('h', CAST(page_id AS STRING), '.example.com') AS host, CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 404 WHEN 3 THEN CAST(NULL AS INT) ELSE 200 END AS robots_status,
     CASE CAST(page_id % 4 AS INT) WHEN 1 THEN concat('User-agent: *', chr(10), 'Disallow: /api', chr(10), 'Allow: /api/x/y') WHEN 2 THEN concat('User-agent: *', chr(10), 'Disallow: /') ELSE '' END AS robots_txt FROM pages"""
 
@@ -92,6 +98,26 @@ STUDY = """SELECT p.pillar, CAST((d.doc_id * p.k) % 23 AS DOUBLE) AS score, CAST
     CROSS JOIN (VALUES ('semantic_html', 7), ('structured_data', 5), ('http_compliance', 0)) AS p(pillar, k)"""
 
 
+# Undeclared phrases by page_id % 12, each in the charset before it.
+PHRASES = (
+    ("cp1251", "Старый мост стоял над рекой, и каждое утро по нему шли люди."), ("koi8_r", "Зимой здесь тихо, снег лежит до самой весны."), ("cp932", "図書館の前に大きな木があります。春には花が咲きます。"),
+    ("gb18030", "他们在山下的小村里住了很多年，每天早上去河边。"), ("cp949", "우리는 아침마다 강가를 걸으며 이야기를 나누었다."), ("cp950", "老師說明天我們要去看山上的花，大家都很高興。"),
+    ("utf-16-le", "Ветер усилился – 風が強くなった."), ("cp1252", "Élève très appliqué, le garçon préférait l’été à l’hiver."), ("cp1250", "Wieczorem dzieci wróciły do domu, bo zaczął padać śnieg, a wiatr się wzmógł."),
+    ("cp1253", "Το παλιό σπίτι στέκεται ακόμα δίπλα στη θάλασσα."), ("utf-8", "Ein grüner Fluß, 一条河, река."), ("euc_jp", "あの山の向こうには小さな町があると聞いた。"),
+)
+
+
+def encoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, content: each page's ASCII without its declared charset and a phrase behind it, as the bytes of the phrase's charset."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    ascii_part = F.regexp_replace(F.replace("html", F.lit(ANCHOR), F.lit("")), r"[^\x00-\x7F]", "")
+    k, content = F.col("page_id") % len(PHRASES), F.lit(None).cast("binary")
+    for i, (name, phrase) in enumerate(PHRASES):
+        wide = F.encode(F.concat(ascii_part, F.lit(phrase)), "UTF-16LE")
+        content = F.when(k == i, wide if name == "utf-16-le" else F.concat(ascii_part.cast("binary"), F.unhex(F.lit(phrase.encode(name).hex())))).otherwise(content)
+    return pages.select("page_id", content.alias("content"))
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """``sql`` over the named tables of ``sf_dir``, under view names of their own."""
     for t in tables:

@@ -11,6 +11,10 @@ from pageloom.plans import inputs
 TAGLESS = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 
 
+def _case(values: tuple[str, ...]) -> str:
+    return "CASE CAST(page_id % 12 AS INT) " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+
+
 def dbl(x: float) -> str:
     return f"CAST({x} AS DOUBLE)"
 
@@ -210,6 +214,11 @@ o AS (SELECT r.*, base.s, base.h FROM r JOIN base USING (url) WHERE accept_heade
 a AS (SELECT url, count(*) AS n, count(*) FILTER (content_hash <> h) AS other, bool_or(contains(accept_header, 'markdown')) AS md,
   sum(CASE WHEN contains(accept_header, 'markdown') THEN 10 WHEN contains(accept_header, 'json') THEN 5 WHEN contains(accept_header, 'plain') THEN 3 ELSE 0 END) AS bonus FROM o GROUP BY url)"""
 
+# The charsets that pages are written in, by page_id % 12.
+ENCODINGS = _case(("cp1251", "koi8_r", "cp932", "gb18030", "cp949", "cp950", "utf-16-le", "cp1252", "cp1250", "cp1253", "utf-8", "euc_jp"))
+ENCODED_PHRASES = _case(tuple(phrase for _, phrase in inputs.PHRASES))
+NOT_ASCII = r"'[^\x00-\x7F]'"
+
 S = f"s AS ({inputs.SCORES})"
 SUFFIXED = "u AS (SELECT *, concat(url, CAST(pos AS VARCHAR)) AS page FROM s)"
 WEIGHT = "CASE pillar " + " ".join(f"WHEN '{p}' THEN {dbl(w)}" for p, w in zip(PILLARS, PROFILE_WEIGHTS["article"], strict=True)) + " END"
@@ -273,6 +282,28 @@ SQL = {
     "failure_mode_dist": f"WITH {CORE_ROWS} SELECT failure_mode, content_type, count(*) AS pages, round_even(avg(parseability_score), 6) AS mean_score FROM scored GROUP BY ALL",
     "redirect_status_histogram": f"WITH {HOPS}, h AS (SELECT unnest(chain) AS status FROM crawl) SELECT status, count(*) AS hops, status IN (301, 302, 303, 307, 308) AS proper FROM h GROUP BY status",
     "successful_crawl": f"WITH {HOPS} SELECT page_id, status, concat(substr(md5(url), 1, 12), '.html') AS html_path, regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+') AS valid_url FROM crawl WHERE status BETWEEN 200 AND 399",
+    "charset_detection": f"SELECT page_id, charset, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {ENCODINGS} AS charset, regexp_replace(replace(html, '{inputs.ANCHOR}', ''), {NOT_ASCII}, '', 'g') || {ENCODED_PHRASES} AS t FROM pages)",
+    "redirect_walks": f"""WITH RECURSIVE r AS ({inputs.REDIRECTED}), w AS (
+            SELECT url AS start, url AS here, CAST([] AS VARCHAR[]) AS hops, '' AS codes, {dbl(0)} AS spent FROM r
+            UNION ALL SELECT start, location, list_append(hops, location), CASE WHEN codes = '' THEN '' ELSE codes || ',' END || CAST(status AS VARCHAR), spent + ms FROM w JOIN r ON r.url = w.here
+            WHERE status IN (301, 302, 303, 307, 308) AND location IS NOT NULL AND len(hops) < 10 AND len(list_filter(hops, lambda x: x = w.here)) < 2
+        ), ended AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY start ORDER BY len(hops) DESC) = 1)
+        SELECT start AS url, coalesce(status, 0) AS status, CASE WHEN status IS NULL THEN start ELSE here END AS final_url, CAST(len(hops) AS INTEGER) AS redirect_count, CASE WHEN status IS NULL THEN 0 ELSE spent END AS total_redirect_time_ms, codes
+        FROM ended LEFT JOIN r ON r.url = ended.here""",
+    "page_findings": f"""WITH {S}, one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY url ORDER BY render_mode = 'rendered' DESC, pos) = 1),
+        rules(pillar, fix, owner) AS (VALUES ('semantic_html', 'Use semantic elements', 'Frontend Developer'), ('content_extractability', 'Separate content from chrome', 'Frontend Developer'), ('structured_data', 'Add JSON-LD', 'SEO or Platform Team'),
+            ('dom_navigability', 'Name images and links', 'Frontend Developer'), ('metadata_completeness', 'Complete the metadata', 'Content Author'), ('http_compliance', 'Shorten redirects and allow agents', 'Platform Team')),
+        weights(content_type, w) AS (VALUES ('article', [0.25, 0.20, 0.20, 0.15, 0.10, 0.10]), ('landing', [0.25, 0.10, 0.30, 0.15, 0.10, 0.10]), ('reference', [0.30, 0.10, 0.20, 0.15, 0.15, 0.10]),
+            ('sample', [0.20, 0.25, 0.20, 0.10, 0.15, 0.10]), ('faq', [0.25, 0.15, 0.30, 0.15, 0.05, 0.10]), ('tutorial', [0.25, 0.25, 0.15, 0.15, 0.10, 0.10])),
+        long AS (SELECT url, pos, content_type, unnest(['semantic_html', 'content_extractability', 'structured_data', 'dom_navigability', 'metadata_completeness', 'http_compliance']) AS pillar,
+            unnest([semantic_html, content_extractability, structured_data, dom_navigability, metadata_completeness, http_compliance]) AS score, unnest(range(1, 7)) AS k FROM one),
+        found AS (SELECT url, pillar, fix, owner, score, (70::DOUBLE - score) * CAST(w[k] AS DOUBLE) AS gain FROM long JOIN weights USING (content_type) JOIN rules USING (pillar) WHERE score < 70),
+        by_page AS (SELECT url, arg_min(owner, (-gain, pillar)) AS owner, count(*) AS n, sum(gain ORDER BY -gain, pillar) AS gain,
+            string_agg(fix || ':' || CASE WHEN gain >= 5 THEN 'High' WHEN gain >= 2 THEN 'Medium' ELSE 'Low' END || ':' || CASE WHEN score < 35 THEN 'critical' ELSE 'important' END, '; ' ORDER BY -gain, pillar) AS found FROM found GROUP BY url)
+        SELECT one.url AS page, pos, coalesce(owner, 'Development Team') AS owner, coalesce(found, '') AS found, round_even(coalesce(gain, 0), 6) AS gain, CAST(coalesce(n, 0) AS INTEGER) AS causes, templates
+        FROM one LEFT JOIN by_page USING (url) LEFT JOIN (
+            SELECT url AS cluster_url, string_agg(DISTINCT pillar, ',' ORDER BY pillar) AS templates FROM (SELECT url, pillar, count(*) OVER (PARTITION BY pillar, round_even(score, 0)) AS shared FROM long WHERE score IS NOT NULL AND round_even(score, 0) < 70) WHERE shared >= 3 GROUP BY url
+        ) ON cluster_url = one.url""",
     "robots_permission": f"WITH {ROBOT_RULES} SELECT page_id, host, path, coalesce(NOT allow, false) AS blocked FROM best WHERE k = 1",
     "negotiation_scores": f"""WITH {NEG} SELECT base.url, CASE WHEN s <> 200 THEN {dbl(0)} ELSE least({dbl(50)} + coalesce(12.5 * n + bonus, 0), {dbl(100)}) END AS format_availability_score,
         CASE WHEN coalesce(n, 0) = 0 THEN {dbl(100)} ELSE other / CAST(n AS DOUBLE) * {dbl(100)} END AS content_consistency_score, coalesce(n >= 2 AND other > 0 OR md, false) AS agent_optimization_detected FROM base LEFT JOIN a USING (url)""",

@@ -12,6 +12,7 @@ from pageloom.functions import stats, text
 from pageloom.operators import agent_perf, analytics, calibration, negotiation, pillars, report_rules, robots, scoring
 from pageloom.plans import inputs
 from pageloom.plans.scores import page_features, score_pages
+from pageloom.sources import readers, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,12 +102,12 @@ def page_scores_crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
     crawl = crawl.select(text.snapshot_name(F.col("url")).alias("html_path"), "status", F.col("chain").alias("redirect_chain"), F.col("redirect_ms").alias("total_redirect_time_ms"), F.col("final_ms").alias("final_response_time_ms"), F.create_map("header", "header_value").alias("headers"))
     files = inputs.view(spark, sf_dir, inputs.ROBOTS_FILES, "pages")
     rows = score_pages(enriched(spark, sf_dir), extraction=False, modes=("raw", "rendered"), axe=axe_pages(spark, sf_dir), crawl=crawl, robots_files=files)
-    return rows.drop("evaluation_methodology", "failed_pillars", "pillar_reasons", "content_extractability")
+    return rows.drop("evaluation_methodology", "failed_pillars", "pillar_reasons", "content_extractability", "evidence", "preview")
 
 
 def page_scores_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five pillars and their scores; extraction, which no SQL can express, is left out and the weights renormalise."""
-    return score_pages(enriched(spark, sf_dir), extraction=False).drop("evaluation_methodology", "failed_pillars", "pillar_reasons", "content_extractability")
+    return score_pages(enriched(spark, sf_dir), extraction=False).drop("evaluation_methodology", "failed_pillars", "pillar_reasons", "content_extractability", "evidence", "preview")
 
 
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +124,15 @@ def failure_mode_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_pages(enriched(spark, sf_dir), extraction=False).groupBy("failure_mode", "content_type").agg(F.count("*").alias("pages"), F.bround(F.avg("parseability_score"), 6).alias("mean_score"))
 
 
+# ---- files
+
+
+def charset_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The charset that each page's bytes are found to be in, and the text read from them."""
+    rows = inputs.encoded_pages(spark, sf_dir).select("page_id", readers.read_text(F.col("content")).alias("found"))
+    return rows.select("page_id", F.col("found.charset").alias("charset"), F.char_length("found.text").alias("n_chars"), F.md5("found.text").alias("text_md5"))
+
+
 # ---- crawl records
 
 
@@ -149,6 +159,14 @@ def successful_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "status", text.snapshot_name(F.col("url")).alias("html_path"), scoring.valid_url(F.col("url")).alias("valid_url"))
 
 
+def redirect_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url walked through recorded responses, by doubling the paths of the graph of redirects."""
+    held = inputs.view(spark, sf_dir, inputs.REDIRECTED, "pages")
+    responses = held.select("url", "status", F.when(F.col("location").isNotNull(), F.create_map(F.lit("Location"), "location")).alias("headers"), F.lit("<p>").alias("html"), "ms")
+    rows = readers.walked(held.select("url"), responses)
+    return rows.select("url", "status", "final_url", "redirect_count", "total_redirect_time_ms", F.array_join(F.transform("redirect_chain", lambda h: h["status_code"].cast("string")), ",").alias("codes"))
+
+
 def robots_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract(url, r"(example\.(?:com|net|org))", 1).alias("host"), F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1).alias("path"))
@@ -301,6 +319,14 @@ def report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pos", F.array_join("found.fix", "; ").alias("fixes"), F.coalesce(F.aggregate("found.gain", F.lit(0), lambda s, x: s + x), F.lit(0)).alias("gain"), "owner", F.array_join("causes", "; ").alias("causes"))
 
 
+def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report finds on each page: its weak pillars by gain, who owns the first, and the causes."""
+    rows = reports.page_findings(scores(spark, sf_dir))
+    found = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["fix"], x["impact"], x["priority"])), "; ")
+    gain = F.aggregate("findings", F.lit(0.0), lambda s, x: s + x["gain"])
+    return rows.select("page", "pos", "owner", found.alias("found"), F.bround(gain, 6).alias("gain"), F.size("causes").alias("causes"), F.array_join("template_pillars", ",").alias("templates"))
+
+
 # ---- study
 
 
@@ -365,7 +391,7 @@ def url_batches(spark: SparkSession, sf_dir: str, size: int = 50) -> DataFrame:
 ALL: tuple[Query, ...] = (
     parse_signals, text_density_boilerplate, semantic_html_score, static_accessibility, metadata_completeness, agent_hints, structured_data_score,
     content_extractability, content_type, http_compliance, page_scores_core, page_scores, page_scores_crawled, failure_mode_dist, redirect_scores, redirect_status_histogram,
-    successful_crawl, robots_permission, negotiation_scores, axe_penalty, render_deltas, latest_per_page, template_clusters, cluster_members, cluster_pages, page_deltas, page_summary, presentation_summary, axe_runs, profile_impact,
+    charset_detection, page_findings, redirect_walks, successful_crawl, robots_permission, negotiation_scores, axe_penalty, render_deltas, latest_per_page, template_clusters, cluster_members, cluster_pages, page_deltas, page_summary, presentation_summary, axe_runs, profile_impact,
     weighted_scores, score_history, benchmark_validation, validation_rates, run_consistency, consistency_verdict, compare_runs, compare_pillars,
     metadata_delta_stats, golden_drift, run_summary, report_summary, bulk_distribution, mode_rollup, primary_issue, worst_best_examples, display_order,
     report_findings, qa_grading, page_accuracy, spearman_by_pillar, correlation_study, grader_kappa, agent_performance, site_ranking, answer_quality,

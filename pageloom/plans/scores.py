@@ -20,8 +20,9 @@ def spread(pages: DataFrame) -> DataFrame:
     return pages if len(pages.inputFiles()) >= cores else pages.repartition(cores)
 
 
-def page_features(pages: DataFrame, extraction: bool = False) -> DataFrame:
-    return with_readable(spread(pages)) if extraction else with_features(spread(pages))
+def page_features(pages: DataFrame, extraction: bool = False, over_cores: bool = True) -> DataFrame:
+    rows = spread(pages) if over_cores else pages
+    return with_readable(rows) if extraction else with_features(rows)
 
 
 def pillar_columns(extraction: bool, http: Column | None = None, axe: Column | None = None) -> dict[str, Column]:
@@ -38,7 +39,8 @@ def pillar_columns(extraction: bool, http: Column | None = None, axe: Column | N
 
 
 def score_pages(
-    pages: DataFrame, extraction: bool = True, modes: tuple[str, ...] = ("raw",), axe: DataFrame | None = None, crawl: DataFrame | None = None, robots_files: DataFrame | None = None
+    pages: DataFrame, extraction: bool = True, modes: tuple[str, ...] = ("raw",), axe: DataFrame | None = None, crawl: DataFrame | None = None, robots_files: DataFrame | None = None,
+    over_cores: bool = True,
 ) -> DataFrame:
     """Score rows of (page_id, url, html): pillars, weighted scores, profile and failure mode.
 
@@ -49,10 +51,10 @@ def score_pages(
     unknown = set(modes) - set(RENDER_MODES)
     if unknown:
         raise ValueError(f"render modes unknown: {sorted(unknown)}")
-    rows = page_features(pages, extraction)
+    rows = page_features(pages, extraction, over_cores)
     asked = crawl is not None or robots_files is not None
     http = F.struct(pillars.f("meta_robots").alias("meta_robots"), pillars.f("hints").alias("hints")).alias("f")
-    rows = rows.select("page_id", "url", F.col("html").isNull().alias("failed"), scoring.classify(F.col("url")).alias("class"), *(c.alias(k) for k, c in pillar_columns(extraction).items()), *[http] * asked)
+    rows = rows.select("page_id", "url", F.col("html").isNull().alias("failed"), scoring.classify(F.col("url")).alias("class"), pillars.evidence().alias("evidence"), (pillars.r("preview") if extraction else F.lit(None).cast("string")).alias("preview"), *(c.alias(k) for k, c in pillar_columns(extraction).items()), *[http] * asked)
     if asked:  # the html is gone by now
         rows = with_crawl(rows, crawl, robots_files).drop("f")
     if axe is not None:
@@ -84,6 +86,8 @@ def with_crawl(rows: DataFrame, crawl: DataFrame | None, robots_files: DataFrame
     if robots_files is not None:
         rows = rows.join(robots.robots_answers(rows.select("url"), robots_files), "url", "left")
         known, blocked = F.coalesce("robots_known", F.lit(False)), F.coalesce("robots_blocked", F.lit(False))
+    told = F.array_compact(F.array(pillars.hops_evidence(c("chain")) if crawl is not None else F.lit(None).cast("string"), F.when(blocked, "robots.txt forbids the path")))
+    rows = rows.withColumn("evidence", F.concat("evidence", told))
     http = pillars.http_compliance(reach, redirects, pillars.crawl_permissions(known, blocked), cache)
     return rows.withColumn("http_compliance", http).drop("crawl", "robots_known", "robots_blocked")
 
@@ -101,6 +105,7 @@ def finish(rows: DataFrame) -> DataFrame:
     return rows.select(
         "page_id", "url", snapshot_name(F.col("url")).alias("html_path"), "render_mode", "content_type", F.col("class.source").alias("content_type_source"), *PILLARS,
         "parseability_score", "universal_score", mode.alias("failure_mode"), "partial_evaluation", "failed_pillars", "pillar_reasons", F.lit(METHODOLOGY).alias("evaluation_methodology"),
+        "evidence", "preview",
     )
 
 

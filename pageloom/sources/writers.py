@@ -1,18 +1,22 @@
-"""Sinks: parquet tables, JSON and CSV exports, and reports rendered from small summary tables."""
+"""Sinks: parquet tables, JSON and CSV exports, and texts made of small tables; ``reports`` has those that grow with the pages."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.constants import PILLARS
-from pageloom.functions.text import status_label
-from pageloom.operators import analytics, report_rules
+from pageloom.functions.storage import write_small
+from pageloom.functions.text import snapshot_name, status_label
+from pageloom.operators import analytics, pillars
 from pageloom.operators.agent_perf import site_ranking
 
 
+HINTED = ("has_markdown_alternate", "has_markdown_url_meta", "has_llm_hints", "has_llms_txt_ref", "has_non_html_alternate")
+
+
 def write_table(df: DataFrame, path: str, *by: str) -> None:
     (df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")).parquet(path)
 
@@ -31,76 +35,49 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
 
 
 def markdown(df: DataFrame) -> str:
-    """A table of all rows; they reach the driver partition by partition."""
+    """A table for printing; its rows pass through the driver, so large tables go to ``reports`` instead."""
     cell = lambda v: "" if v is None else f"{v:.1f}" if isinstance(v, float) else ", ".join(map(str, v)) if isinstance(v, list) else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in df.toLocalIterator())])
 
 
-def page_findings(scores: DataFrame) -> DataFrame:
-    """What the report says of each page, worst first: score, label, change by rendering, templates, findings, owner, causes, pillars."""
-    pages = analytics.page_deltas(scores)
-    subs = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(p).alias("key"), F.col(p).alias("value")) for p in PILLARS)), lambda e: e["value"].isNotNull()))
-    mode, none = F.col("failure_mode"), F.array().cast("array<string>")
-    evidence = F.col("evidence") if "evidence" in scores.columns else none
-    preview = F.col("preview") if "preview" in scores.columns else F.lit(None).cast("string")
-    said = pages.select(
-        "page", "pos", "parseability_score", "failure_mode", "content_type", "render_delta", "flagged", status_label(F.col("parseability_score")).alias("label"), preview.alias("preview"),
-        report_rules.findings(mode, subs).alias("findings"), report_rules.fix_owner(mode, subs).alias("owner"), report_rules.root_causes(mode, subs, evidence).alias("causes"), subs.alias("pillars"),
-    )
-    return said.join(analytics.cluster_pages(analytics.one_row_per_page(scores)), "page", "left").orderBy("parseability_score", "pos")
-
-
-def _page_lines(row) -> Iterator[str]:
-    yield f"### {row['label']} {row['page']}\n"
-    yield f"Score {row['parseability_score'] or 0.0:.1f}, {row['failure_mode']}, {row['content_type']}.\n"
-    if row["template_pillars"]:
-        yield f"Pillars of shared templates: {', '.join(row['template_pillars'])}.\n"
-    if row["render_delta"] is not None:
-        yield f"Rendered against raw: {row['render_delta']:+.1f}{', depends on scripts' if row['flagged'] else ''}.\n"
-    if row["preview"] is not None:
-        yield f"> {row['preview'] or '(nothing extracted)'}\n"
-    yield from (f"- {f['issue']}" for f in row["findings"] if f["issue"])
-    yield from (f"- Cause: {c}" for c in row["causes"])
-    yield f"- Owner: {row['owner']}\n"
-    if row["findings"]:
-        yield "| Fix | Impact | Effort | Gain | Priority |\n| --- | --- | --- | --- | --- |"
-        yield from (f"| {f['fix']} | {f['impact']} | {f['effort']} | +{f['gain']} | {f['priority']} |" for f in row["findings"])
-        yield ""
-        yield from (f"{f['fix']}:\n\n```html\n{report_rules.EXAMPLES[f['fix']]}\n```\n" for f in row["findings"])
-    yield from (f"- {p.replace('_', ' ').title()}: {v:.1f}" for p, v in row["pillars"].items())
-    yield ""
-
-
-def report_lines(scores: DataFrame) -> Iterator[str]:
-    """Summary, render changes, template clusters, profile impact, pages worst first with findings and fixes, recommendations."""
-    pages = analytics.one_row_per_page(scores)
-    summary = analytics.report_summary(pages)
-    parts = {"Summary": summary, "Failure modes": pages.groupBy("failure_mode").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "failure_mode"), "Raw against rendered": analytics.render_deltas(scores), "Shared templates": analytics.template_clusters(pages), "Profile impact": analytics.profile_impact(pages)}
-    yield "# Page access report\n"
-    for name, part in parts.items():
-        yield f"## {name}\n\n{markdown(part)}\n"
-    yield "## Pages\n"
-    for row in page_findings(scores).toLocalIterator():
-        yield from _page_lines(row)
-    seen = summary.first()
-    advice = [f"- {seen[mode.replace('-', '_')]} pages: {text}." for mode, text in report_rules.ADVICE.items() if seen[mode.replace("-", "_")]]
-    if advice:
-        yield "\n".join(["## Recommendations\n", *advice])
-
-
-def write_report(scores: DataFrame, path: str) -> None:
-    with open(path, "w") as out:
-        out.writelines(line + "\n" for line in report_lines(scores))
-
-
 def write_presentation(scores: DataFrame, stem: str) -> None:
     """A presentation's data: <stem>.json with the summary and pages' rows, <stem>.csv, and an executive summary <stem>.md."""
     rows = scores.select(analytics.page_key().alias("page"), "parseability_score", status_label(F.col("parseability_score")).alias("label"), "failure_mode", analytics.primary_issue().alias("issue"), *PILLARS)
     summary, ends = analytics.presentation_summary(scores), analytics.worst_and_best(scores)
     write_json(rows, f"{stem}.json")
     write_csv(rows, f"{stem}.csv")
-    with open(f"{stem}.md", "w") as out:
-        out.write(f"# Summary\n\n{markdown(summary)}\n\n## Worst and best pages\n\n{markdown(ends)}\n")
+    write_small(scores.sparkSession, f"{stem}.md", f"# Summary\n\n{markdown(summary)}\n\n## Worst and best pages\n\n{markdown(ends)}\n")
+
+
+def parse_rows(features: DataFrame) -> DataFrame:
+    """Parse results in their stored form, from pages with their features."""
+    f = pillars.f
+    hints = F.map_from_entries(F.transform(F.array(*(F.struct(F.lit(n).alias("key"), f("hints")[n].cast("string").alias("value")) for n in HINTED)), lambda e: e))
+    signals = F.struct(
+        (f("main_count") > 0).alias("has_main_element"), (f("article_count") > 0).alias("has_article_element"), pillars.heading_hierarchy_valid().alias("heading_hierarchy_valid"), pillars.text_density().alias("text_density_ratio"),
+        f("code_count").alias("code_blocks_count"), f("table_count").alias("tables_count"), pillars.boilerplate_leakage().alias("boilerplate_leakage_estimate"), hints.alias("agent_content_hints"),
+    )
+    return features.select(snapshot_name(F.col("url")).alias("html_path"), signals.alias("signals"), pillars.evidence().alias("evidence"))
+
+
+def negotiation_rows(scored: DataFrame, responses: DataFrame) -> DataFrame:
+    """Records of content negotiation in their stored form: a url's answers, the HTML one apart, beside its scores.
+
+    A url has an answer for each kind of request, so few.
+    """
+    given = dict(responses.dtypes)
+    answer = F.struct(*((F.col(n) if n in given else F.lit(None)).cast(t).alias(n) for n, t in (("accept_header", "string"), ("content_type", "string"), ("content_length", "bigint"), ("status_code", "int"), ("content_hash", "string"), ("html_path", "string"), ("response_time_ms", "int"))))
+    base = F.col("accept_header") == "text/html"
+    held = responses.groupBy("url").agg(F.max(F.when(base, answer)).alias("baseline_format"), F.sort_array(F.collect_list(F.when(~base, answer))).alias("alternative_formats"))
+    return scored.join(held, "url", "left").select("url", F.lit(None).cast("timestamp_ntz").alias("timestamp"), "baseline_format", "alternative_formats", "format_availability_score", "content_consistency_score", "agent_optimization_detected")
+
+
+def write_summary(scores: DataFrame, path: str) -> None:
+    """A bulk run's summary as one JSON object: counts, bands, modes, gate and the mean of each pillar."""
+    whole = analytics.score_distribution(scores).first()
+    modes = {r["failure_mode"]: r["count"] for r in scores.groupBy("failure_mode").count().collect()}
+    means = scores.agg(*(F.avg(p).alias(p) for p in PILLARS)).first().asDict()
+    write_small(scores.sparkSession, path, json.dumps({**whole.asDict(), "failure_modes": dict(sorted(modes.items(), key=lambda x: (-x[1], x[0]))), "pillar_means": means}, indent=2))
 
 
 def tables_report(title: str, **parts: DataFrame) -> str:
@@ -122,4 +99,5 @@ def agent_report(results: DataFrame) -> str:
 
 
 def history_table(history: DataFrame) -> str:
+    """For printing; ``reports.write_history`` writes any number of rows."""
     return markdown(history.select(F.date_format("evaluated_at", "yyyy-MM-dd HH:mm").alias("time"), "corpus", "parseability_score", "universal_score", "content_type", "delta").orderBy("time"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.kernels.features import with_features
 from pageloom.plans.scores import finish, pillar_columns
-from pageloom.operators import scoring
+from pageloom.operators import pillars, scoring
 
 PAGES = "page_id long, url string, html string, crawled_at timestamp"
 
@@ -19,7 +19,7 @@ def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
 def scored_stream(pages: DataFrame, late: str = "1 day") -> DataFrame:
     """Each page once within the watermark, scored; the state is bounded by ``late``."""
     rows = pages.withWatermark("crawled_at", late).dropDuplicatesWithinWatermark(["url"])
-    rows = with_features(rows).select("page_id", "url", "crawled_at", F.col("html").isNull().alias("failed"), scoring.classify(F.col("url")).alias("class"), F.lit("raw").alias("render_mode"), *(c.alias(k) for k, c in pillar_columns(False).items()))
+    rows = with_features(rows).select("page_id", "url", "crawled_at", F.col("html").isNull().alias("failed"), scoring.classify(F.col("url")).alias("class"), F.lit("raw").alias("render_mode"), pillars.evidence().alias("evidence"), F.lit(None).cast("string").alias("preview"), *(c.alias(k) for k, c in pillar_columns(False).items()))
     return finish_stream(rows)
 
 

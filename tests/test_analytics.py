@@ -1,13 +1,16 @@
 """Row fixtures of the analytics: clusters, deltas, history, comparisons, grading and statistics."""
 
 import datetime as dt
+import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pageloom.constants import PILLARS, PROFILE_WEIGHTS
-from pageloom.functions import stats, text
-from pageloom.functions.order import running
+from pageloom.functions import skew, stats, text
+from pageloom.functions.order import running, running_by
 from pageloom.operators import analytics, calibration, negotiation, pillars, robots, scoring
 from pageloom.operators.agent_perf import Visible, extract_answer
 
@@ -71,6 +74,48 @@ def test_robots(spark):
     assert [r["blocked"] for r in got] == [True, False, False, False]
 
 
+def brute_robots(pages, rules):
+    """The first of the longest rules that a path begins with, rule by rule."""
+    out = {}
+    for i, host, path in pages:
+        best = None
+        for h, _, allow, rule in sorted(rules, key=lambda r: r[1]):
+            if h == host and path.startswith(rule) and (best is None or len(rule) > len(best[0])):
+                best = (rule, allow)
+        out[i] = best is not None and not best[1]
+    return out
+
+
+def test_robots_hot_host_with_many_rules(spark, monkeypatch):
+    """A third of the pages are of one host with 1,000 rules, of which many are prefixes of others."""
+    rng = random.Random(3)
+    rules = [("hot", n, rng.random() < 0.5, "/" + "/".join(rng.choices("abc", k=rng.randrange(7))) + rng.choice(["", "x", "/"])) for n in range(1000)]
+    rules += [(f"h{k}", n, rng.random() < 0.5, rng.choice(["/", "/a", "/a", "/é/日", "/a/b?c"])) for k in range(20) for n in range(3)]
+    pages = [(i, "hot" if i % 3 == 0 else f"h{rng.randrange(30)}", "/" + "/".join(rng.choices(["a", "b", "c", "é", "日"], k=rng.randrange(9)))) for i in range(3000)]
+    pages += [(9001, None, "/a"), (9002, "h1", ""), (9003, "HOT", "/")]
+    left, right = spark.createDataFrame(pages, "page_id long, host string, path string").repartition(4), spark.createDataFrame(rules, "host string, line_no int, allow boolean, rule string")
+    for share in (skew.HOT, 50):
+        hot = skew.hot_keys(left, "host", share)
+        assert hot.count() < share and "hot" in {r["host"] for r in hot.collect()}
+        cells = [r["count"] for r in skew.dealt(left, hot, "host", F.col("page_id")).groupBy("host", "cell").count().collect()]
+        assert max(cells) <= 3 * len(pages) / min(share, 100)
+        got = robots.robots_blocked(left, rules=right, hot=hot)
+        assert {r["page_id"]: r["blocked"] for r in got.collect()} == {**brute_robots(pages[:-3], rules), 9001: False, 9002: False, 9003: False}
+    plan = robots.robots_blocked(left, right)._jdf.queryExecution().executedPlan().toString()
+    assert "startswith" not in plan.lower() and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert robots.robots_blocked(left.limit(0), right).count() == 0 and not any(r["blocked"] for r in robots.robots_blocked(left, right.limit(0)).collect())
+
+
+def test_robots_of_several_answers(spark):
+    urls = spark.createDataFrame([("https://a.example/x",), ("https://b.example/x",), ("https://c.example/x",)], "url string")
+    deny, fine = "User-agent: *\nDisallow: /", ""
+    files = [("a.example", 1, 200, fine), ("a.example", 2, 200, deny), ("b.example", 1, 200, deny), ("b.example", 2, 500, None), ("c.example", 1, None, None)]
+    timed = spark.createDataFrame(files, "host string, timestamp long, robots_status int, robots_txt string")
+    by = lambda df: {r["url"][8]: r["robots_blocked"] for r in robots.robots_answers(urls, df).collect()}
+    assert by(timed) == {"a": True, "b": False}
+    assert by(timed.drop("timestamp"))["b"] is True  # without times an answer that was read counts
+
+
 def test_negotiation(spark):
     rows = [("a", h, 200, str(i)) for i, h in enumerate(("text/html", "text/markdown", "text/plain", "application/json", "application/xml"))] + [("b", "text/html", 500, "0"), ("c", "text/html", 200, "0"), ("c", "text/plain", 406, "1")]
     got = {r[0]: tuple(r)[1:] for r in negotiation.negotiation_scores(spark.createDataFrame(rows, "url string, accept_header string, status_code int, content_hash string")).collect()}
@@ -111,6 +156,83 @@ def test_statistics(spark):
     assert p == pytest.approx(0.0209, abs=1e-4)
 
 
+def brute_intervals(pairs, resamples, seed=0):
+    """Percentiles of rho by multinomial resamples of the rows, ranks made anew in each."""
+    rng, found = np.random.default_rng(seed), []
+    x, y = (np.array(c) for c in zip(*pairs, strict=True))
+    for _ in range(resamples):
+        at = rng.integers(0, len(x), len(x))
+        a, b = (pd.Series(v[at]).rank().to_numpy() for v in (x, y))
+        found.append(np.corrcoef(a, b)[0, 1] if a.std() and b.std() else 0.0)
+    return np.percentile(found, [2.5, 97.5])
+
+
+def test_bootstrap_is_near_the_multinomial_one(spark):
+    rng = np.random.default_rng(4)
+    groups = {}
+    for name, n, slope, steps in (("some", 300, 0.5, 1000), ("none", 200, 0.0, 1000), ("tied", 400, 1.0, 4), ("strong", 150, 4.0, 1000)):
+        x = np.round(rng.random(n) * steps) / steps
+        groups[name] = list(zip(x.tolist(), (np.round((slope * x + rng.random(n)) * steps) / steps).tolist(), strict=True))
+    df = spark.createDataFrame([(g, *p) for g, ps in groups.items() for p in ps], "g string, x double, y double").repartition(3)
+    got = {r["g"]: (r["ci_low"], r["ci_high"]) for r in stats.bootstrap(df, "x", "y", "g", 2000).collect()}
+    assert got == {r["g"]: (r["ci_low"], r["ci_high"]) for r in stats.bootstrap(df.repartition(5), "x", "y", "g", 2000).collect()}  # however the rows lie
+    for g, pairs in groups.items():
+        assert got[g] == pytest.approx(brute_intervals(pairs, 2000), abs=0.03)
+    plan = stats.bootstrap(df, "x", "y", "g", 40)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "collect_list" in plan  # the list is of the resamples
+
+
+def test_poisson_draws():
+    for rate in (0.5, 1.0, 7.0, 59.0, 61.0, 5000.0):
+        got = stats.poisson_draws(np.arange(4000) * 977 - 5, np.full(4000, rate), 20)
+        assert got.mean() == pytest.approx(rate, rel=0.03) and got.var() == pytest.approx(rate, rel=0.05) and (got >= 0).all() and (got == np.rint(got)).all()
+        assert abs(np.corrcoef(got[:, 0], got[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(got[:-1, 0], got[1:, 0])[0, 1]) < 0.06
+    assert (stats.poisson_draws(np.array([9]), np.array([1.0]), 20) == stats.poisson_draws(np.array([3, 9]), np.array([4.0, 1.0]), 20)[1]).all()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_running_sums_within_groups_over_several_ranges(spark, seed):
+    """One group over most ranges, groups within a range, null groups and two columns of groups."""
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, "a", "a", "a", "a", "b", f"c{rng.randrange(6)}"]), rng.randrange(2), k, rng.randrange(9), rng.random()) for k in rng.sample(range(1000), 400)]
+    df = spark.createDataFrame(rows, "g string, h int, k int, a long, b double").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = {r["k"]: (r["place"], r["a_upto"], r["b_upto"]) for r in running_by(df, ["g", "h"], [F.col("k")], place="place", a_upto="a", b_upto="b").collect()}
+        ranks = stats.value_ranks(df.withColumn("v", F.col("a")), "v", "r", "g").collect()
+        plan = running_by(df, ["g"], [F.col("k")], a_upto="a")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == len(rows)
+    for g, h in {(r[0], r[1]) for r in rows}:
+        a = b = 0
+        for place, r in enumerate(sorted((r for r in rows if r[:2] == (g, h)), key=lambda r: r[2]), 1):
+            a, b = a + r[3], b + r[4]
+            assert got[r[2]][:2] == (place, a) and got[r[2]][2] == pytest.approx(b)
+    for r in ranks:
+        mine = [x[3] for x in rows if x[0] == r["g"]]
+        assert r["r"] == pd.Series(mine).rank()[mine.index(r["v"])] and r["r_rows"] == mine.count(r["v"])
+    assert all("range" in line for line in plan.splitlines() if "Window [" in line)
+    assert running_by(df.limit(0), ["g"], [F.col("k")], a_upto="a").count() == 0
+
+
+def test_drift_joins_only_buckets_that_differ(spark, tmp_path):
+    old = [(f"u{i}", f"v{i % 7}", None if i % 3 else float(i)) for i in range(5000)]
+    new = [r for r in old if r[0] not in ("u3", "u4")] + [("new", "x", 1.0)]
+    new = [(u, "changed", x) if u == "u10" else (u, v, None) if u == "u12" else (u, v, 5.0) if u == "u13" else (u, v, x) for u, v, x in new]
+    a, b = (spark.createDataFrame(r, "url string, v string, x double").repartition(3) for r in (old, new))
+    got = {r["url"]: r["drift"] for r in analytics.golden_drift(a, b, "v", "x").collect()}
+    assert got == {"u3": "missing", "u4": "missing", "new": "added", "u10": "changed", "u12": "changed", "u13": "changed"}
+    assert analytics.differing_buckets(a, b, "v", "x").count() == 6 and analytics.differing_buckets(a, a.repartition(5), "v", "x").count() == 0
+    swapped = spark.createDataFrame([("u", None, "a")], "url string, v string, w string"), spark.createDataFrame([("u", "a", None)], "url string, v string, w string")
+    assert analytics.golden_drift(*swapped, "v", "w").count() == 1
+    assert analytics.check_golden(spark, a, str(tmp_path / "golden"), "v", "x", write=True) is None
+    assert analytics.check_golden(spark, a, str(tmp_path / "golden"), "v", "x").count() == 0 and analytics.check_golden(spark, b, str(tmp_path / "golden"), "v", "x").count() == 6
+    assert analytics.golden_drift(a.limit(0), b.limit(0), "v").count() == 0
+
+
 def test_text_functions(spark):
     urls = [" https://x.example/a/#s ", "https://x.example/", "https://docs.github.com/en/get", "plain"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(text.normal_url(F.col("u")), text.site_name(F.col("u"))).collect()
