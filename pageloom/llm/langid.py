@@ -10,8 +10,9 @@ vector, landmarks and weights fold into one matrix of slots x languages.  A batc
 matrix (compressed rows), and its scores are one product of that matrix with the weights.
 
 Fitting uses at most PER_LANG labelled rows of each language (the smallest hashes of the id, a documented bound) whose
-fold allows it; every language with such a row that has a letter is a class, however rare.  For its languages the model
-is fixed in size and reaches the executors inside the scoring function.  Text is read whole, in chunks of
+fold allows it, and fewer of each if they are more than MOST_ROWS together; every language with such a row that has a letter
+is a class, however rare.  A column with more than MOST_LANGS values isn't one of languages; the most frequent ones are
+classes then, since a model has 256 KB a language.  For its languages the model is fixed in size and reaches the executors inside the scoring function.  Text is read whole, in chunks of
 bounded memory.  Null text or text without a letter gets ``und`` with score 0; of languages with equal scores the first
 in code-point order is predicted.  Rows that repeat are predicted and kept one by one, and equal texts alike.  Columns
 besides those named are never looked at, whatever their names.  Without training rows every text is ``und``; an empty
@@ -39,6 +40,9 @@ REJECT_BELOW = 0.15
 #: Characters hashed at once, and texts scored at once.
 CHUNK, BATCH = 1 << 18, 256
 
+#: Numbers of a product held at once, and rows that a model is fitted on; so many languages and rows are the driver's bound.
+PRODUCT, MOST_ROWS, MOST_LANGS = 1 << 22, 10_000, 1000
+
 _OTHER = regex.compile(r"\P{L}+")
 
 
@@ -74,11 +78,13 @@ class Presence:
         self.scale = np.maximum(self.sizes, 1) ** -0.5
 
     def __matmul__(self, dense: np.ndarray) -> np.ndarray:
-        """The product with a matrix of slots x anything."""
+        """The product with a matrix of slots x anything, some flags at a time: PRODUCT numbers are held at once."""
         out = np.zeros((len(self.sizes), dense.shape[1]))
-        held = np.flatnonzero(self.sizes)  # an empty row's product is zero
-        if len(held):
-            out[held] = np.add.reduceat(dense[self.columns], (np.cumsum(self.sizes) - self.sizes)[held], axis=0)
+        rows, step = np.repeat(np.arange(len(self.sizes)), self.sizes), max(1, PRODUCT // max(1, dense.shape[1]))
+        for k in range(0, len(rows), step):
+            row = rows[k : k + step]
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            out[row[starts]] += np.add.reduceat(dense[self.columns[k : k + step]], starts, axis=0)
         return out * self.scale[:, None]
 
     def dense(self) -> np.ndarray:
@@ -89,11 +95,19 @@ class Presence:
 
 def fit(texts: list[str | None], langs: list[str]) -> tuple[list[str], np.ndarray]:
     """Languages and the slots x languages weights."""
-    rows = [(s, str(y)) for s, y in ((gram_slots(t), y) for t, y in zip(texts, langs, strict=True)) if s is not None]
+    return fit_slots([gram_slots(t) for t in texts], langs)
+
+
+def fit_slots(sets: list[np.ndarray | None], langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """``fit`` from the slots of the texts."""
+    rows = [(s, str(y)) for s, y in zip(sets, langs, strict=True) if s is not None]
     labels = sorted({y for _, y in rows})
     if not rows:
         return [], np.zeros((1 << BITS, 0), np.float32)
-    by_lang = [[s for s, y in rows if y == name] for name in labels]
+    held: dict[str, list[np.ndarray]] = {}
+    for s, y in rows:
+        held.setdefault(y, []).append(s)
+    by_lang = [held[name] for name in labels]
     basis = Presence([s for group in by_lang for s in group[: max(1, LANDMARKS // len(labels))]]).dense()
     slots = np.ascontiguousarray(basis.T)
     cross = np.concatenate([Presence([s for s, _ in rows[k : k + 32]]) @ slots for k in range(0, len(rows), 32)])  # few rows: each slot meets all landmarks
@@ -101,7 +115,7 @@ def fit(texts: list[str | None], langs: list[str]) -> tuple[list[str], np.ndarra
     good = values > values.max() * 1e-6
     project = vectors[:, good] / np.sqrt(values[good])
     mapped = cross @ project
-    wanted = np.array([[float(y == name) for name in labels] for _, y in rows])
+    wanted = np.array([y for _, y in rows])[:, None] == np.array(labels)[None, :]
     share = {name: 1.0 / (len(labels) * len(group)) for name, group in zip(labels, by_lang, strict=True)}
     weight = np.array([share[y] for _, y in rows])[:, None]
     gram = mapped.T @ (mapped * weight) + RIDGE * np.eye(mapped.shape[1]) / len(labels)
@@ -130,15 +144,35 @@ def predict(texts: list[str | None], labels: list[str], weights: np.ndarray) ->
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = 2) -> tuple[list[str], np.ndarray]:
-    """Fits on at most PER_LANG labelled rows a language outside the held-out fold; that bound is all that reaches the driver."""
+    """Fits on at most PER_LANG labelled rows a language outside the held-out fold, and MOST_ROWS of all languages or one of each.
+
+    Executors find the slots of those rows' texts, and 8 KB a row reach the driver, never a text.
+    """
     rows = isolate(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang")
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder(F.col("doc_id"), 4) != held)).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(4)))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # each scan task passes on PER_LANG rows of a language at most
-    last = durable(rows.select("lang", "h").withColumn("place", place).where(F.col("place") <= PER_LANG).groupBy("lang").agg(F.max("h").alias("last")))
-    near = rows.join(small_side(last, last.count()), "lang").where(F.col("h") <= F.col("last"))
-    sample = near.withColumn("place", place).where(F.col("place") <= PER_LANG).select("h", "text", "lang").collect()
-    sample.sort(key=lambda r: (r["h"], r["text"], str(r["lang"])))
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    near = durable(rows.select("lang", "h").withColumn("place", place).where(F.col("place") <= PER_LANG))
+    langs = near.groupBy("lang").agg(F.count("*").alias("held")).orderBy(F.desc("held"), "lang").limit(MOST_LANGS)
+    langs = durable(langs)
+    each = max(1, min(PER_LANG, MOST_ROWS // max(1, langs.count())))
+    last = near.where(F.col("place") <= each).join(F.broadcast(langs), "lang").groupBy("lang").agg(F.max("h").alias("last"))  # at most MOST_LANGS rows
+    chosen = rows.join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last")).withColumn("place", place).where(F.col("place") <= each).select("h", "text", "lang")
+
+    def packed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            flags = []
+            for text in frame["text"]:
+                flag, slots = np.zeros(1 << BITS, bool), gram_slots(text.as_py())
+                if slots is not None:
+                    flag[slots] = True
+                flags.append(np.packbits(flag).tobytes())
+            yield pa.RecordBatch.from_arrays([frame["h"], pa.array(flags, pa.binary()), frame["lang"]], ["h", "flags", "lang"])
+
+    kind = dict(rows.dtypes)["lang"]
+    sample = chosen.mapInArrow(packed, f"h long, flags binary, lang {kind}").collect()
+    sample.sort(key=lambda r: (r["h"], bytes(r["flags"]), str(r["lang"])))
+    sets = [np.flatnonzero(np.unpackbits(np.frombuffer(r["flags"], np.uint8))).astype(np.int32) for r in sample]
+    return fit_slots([s if len(s) else None for s in sets], [r["lang"] for r in sample])
 
 
 def identify(docs: DataFrame, labels: list[str], weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,15 +1,17 @@
 """Sharding by longest processing time: groups of equal texts, largest first, go to the least-loaded shard.
 
-Law: ``bytes`` (near-equal sizes).  Up to UNITS groups are units of the heap one by one.  A heap over every group of a
-larger corpus would outgrow the driver; there each group that is at least 1/LARGE of a shard's share is a unit of its own (at
-most LARGE for each shard can exist), and smaller groups are bundled by hash into BUNDLES units, each still whole.  Spark
-sums both kinds; the driver's heap sees at most UNITS, or LARGE * shards + BUNDLES, sizes whatever the corpus, and the
-result goes back as a broadcast of that bound.  No document row is collected or shuffled for its placement.
+Law: ``bytes`` (near-equal sizes).  Groups of one size are interchangeable, so the heap is run over sizes with the number of
+their groups: the r-th group of a size goes to the shard with the r-th smallest of (load + m size, shard) over all shards and
+m = 0, 1, ...  With rising r shards join in order of their loads and take turns between, so a size's groups are told by at most
+one cycle of shards for each shard.  That is the placement that a heap over all groups one by one would make, at any size.
 
-Units of equal size go by their key, so reruns agree.  Null text has no bytes (size 1, crc32 0) and is a group of its own
-beside empty text.  Rows that repeat are rows of one group.  A group larger than a shard's share stays whole, since groups
-may not be split; the other shards then stay level.  Columns besides doc_id and text are never looked at, whatever their
-names.  An empty table gives an empty result.
+The driver sees a number for each distinct size, of which a corpus of B bytes can have sqrt(2 B) at most (245,000 in 30 GB), and
+sends back their cycles.  Groups are ranked within their size by their key over ranges, so reruns agree and a size may hold any
+share of the groups.  No document row is collected.
+
+Null text has no bytes (size 1, crc32 0) and is a group of its own beside empty text.  Rows that repeat are rows of one group.
+A group larger than a shard's share stays whole, since groups may not be split; the other shards then stay level.  Columns
+besides doc_id and text are never looked at, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,23 +23,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pageloom.functions.order import running_by
 from pageloom.llm.common import cells, durable, isolate, small_side
 
-UNITS, BUNDLES, LARGE = 1 << 17, 16_384, 256
-
 #: Rows in one cell of a shard, within which slots are numbered.
 CELL_ROWS = 20_000
 
 
-def longest_first(sizes: list[tuple[int, object]], shards: int) -> dict[object, int]:
-    """Unit -> shard: units by falling size (ties by name) each go to the shard with the least load (ties: lowest)."""
+def cycles(sizes: list[tuple[int, int]], shards: int) -> list[list[tuple[int, list[int]]]]:
+    """Of each (size, groups), by falling size: (first rank, shards in turn) of the runs that its groups are dealt in."""
     heap = [(0, s) for s in range(shards)]
-    placed = {}
-    for size, unit in sorted(sizes, key=lambda x: (-x[0], x[1])):
-        load, shard = heapq.heappop(heap)
-        placed[unit] = shard
-        heapq.heappush(heap, (load + size, shard))
-    return placed
+    out = []
+    for size, groups in sizes:
+        turn: list[tuple[int, int]] = []
+        runs, rank = [], 0
+        while rank < groups:
+            if heap:
+                turn = sorted([*turn, heapq.heappop(heap)])
+            many = groups - rank
+            if heap:  # those of (load + m size, shard) that come before the least-loaded shard of the rest
+                load, shard = heap[0]
+                many = min(many, sum((load - own + size - (s > shard)) // size for own, s in turn if own <= load))
+            if many:
+                runs.append((rank, [s for _, s in turn]))
+                turn = sorted((own + size * (many // len(turn) + (i < many % len(turn))), s) for i, (own, s) in enumerate(turn))
+                rank += many
+        for t in turn:
+            heapq.heappush(heap, t)
+        out.append(runs)
+    return out
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,23 +59,20 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     rows = isolate(docs, id_col, text_col).toDF("doc_id", "text")
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = durable(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text, F.col("text").isNull()).alias("text_key")))
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    groups = durable(rows.groupBy("text_key").agg(F.sum("size").alias("size")))
-    alone = F.lit(True) if groups.count() <= UNITS else F.col("size") * (shards * LARGE) >= total
-    unit = F.when(alone, F.col("text_key")).otherwise(F.pmod("text_key", F.lit(BUNDLES)))
-    units = groups.groupBy(alone.alias("alone"), unit.alias("unit")).agg(F.sum("size").alias("size")).toArrow()
-    keys = list(zip(units["alone"].to_pylist(), units["unit"].to_pylist(), strict=True))
-    placed = longest_first(list(zip(units["size"].to_pylist(), keys, strict=True)), shards)
-
-    def at(own: bool, *names: str) -> DataFrame:
-        held = [k for k in keys if k[0] == own]
-        table = pa.table([pa.array([k[1] for k in held], pa.int64()), pa.array([placed[k] for k in held], pa.int32())], list(names))
-        return F.broadcast(docs.sparkSession.createDataFrame(table))
-
-    out = rows.join(at(True, "text_key", "own_shard"), "text_key", "left")
-    out = out.withColumn("unit", F.pmod("text_key", F.lit(BUNDLES))).join(at(False, "unit", "at"), "unit", "left")
+    n = rows.count()
+    groups = durable(rows.groupBy("text_key").agg(F.sum("size").alias("group_size")))
+    held = groups.groupBy("group_size").agg(F.count("*").alias("groups")).toArrow()
+    sizes = sorted(zip(held["group_size"].to_pylist(), held["groups"].to_pylist(), strict=True), reverse=True)
+    runs = cycles(sizes, shards)
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("turn", pa.list_(pa.int32()))]))
+    table = pa.table([pa.array([s for s, _ in sizes], pa.int64()), pa.array([[{"first": f, "turn": t} for f, t in r] for r in runs], kind)], ["group_size", "runs"])
+    dealt = docs.sparkSession.createDataFrame(table)
+    ranked = running_by(groups, ["group_size"], [F.col("text_key")], place="rank").join(small_side(dealt, sum(map(len, runs)) * (shards + 4), 4), "group_size")
+    at = F.element_at(F.filter("runs", lambda r: r["first"] < F.col("rank")), -1)
+    of_group = ranked.select("text_key", F.get(at["turn"], F.pmod(F.col("rank") - 1 - at["first"], F.size(at["turn"])).cast("int")).alias("shard"))
+    out = rows.join(small_side(of_group, groups.count(), 24), "text_key")
     parts = cells(n, CELL_ROWS * shards)
-    out = out.select("doc_id", "size", "text_crc32", "row", F.coalesce("own_shard", "at").alias("shard"), F.pmod(F.xxhash64("row"), F.lit(parts)).alias("cell"))
+    out = out.select("doc_id", "size", "text_crc32", "row", "shard", F.pmod(F.xxhash64("row"), F.lit(parts)).alias("cell"))
     before = out.groupBy("shard", "cell").agg(F.count("*").alias("held"))
     before = before.select("shard", "cell", (F.sum("held").over(Window.partitionBy("shard").orderBy("cell")) - F.col("held")).alias("before"))
     place = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("row")) - 1

@@ -17,7 +17,9 @@ host.  A merged template is rejected if ``(blocked + STRENGTH * base) / (labelle
 ``base`` is the share of blocked pages among all pages; a template without labels is therefore allowed unless most of the
 web is blocked.
 
-Everything is aggregated over (host, template), so a host with a third of all pages is as light as any other.  Null urls
+Pages are counted by (host, path) first.  The tree of a host of at most SMALL pages is built and merged in one task, in any
+number of levels; the trees of larger hosts are built level by level over all of them, aggregated over (host, template), so a
+host with a third of all pages is as light as any other.  Both ways give the same templates.  Null urls
 and urls without ``://`` have an empty host and path.  Empty segments don't count, so a path of slashes is the host's root.
 Pages that repeat, or have no page_id, are pages of their own.  Columns besides page_id and url are never looked at, whatever
 their names.  An empty table gives an empty result.
@@ -26,8 +28,10 @@ their names.  An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +48,9 @@ RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow
 #: The wildcards of segments, of those with labels where others have none, and of all that follows a small node.
 ANY, RULED, REST = "*", "*#", "**"
 
+#: Pages of a host whose tree one task builds.
+SMALL = 20_000
+
 #: log2 of a count in whole steps, and a factor of two with rounding.
 STEPS = 1_000_000
 
@@ -71,13 +78,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """(page_id, host, path, rule, label) with ``template``, an array of literal segments and wildcards."""
+    """(host, path, pages, labelled, ...) with ``template``, an array of literal segments and wildcards, level by level."""
+    kept = rows.columns
     parts = F.filter(F.split("path", "/+"), lambda s: s != "")
     rows = durable(rows.withColumn("parts", parts).withColumn("template", F.array().cast("array<string>")))
     for level in count():
         segment = F.get("parts", F.lit(level))
-        stem = rows.where(F.size("parts") > level).select("host", "template", segment.alias("segment"), "label")
-        counts = durable(stem.groupBy("host", "template", "segment").agg(F.count("*").alias("n"), (F.count("label") > 0).alias("ruled")))
+        stem = rows.where(F.size("parts") > level).select("host", "template", segment.alias("segment"), "pages", "labelled")
+        counts = durable(stem.groupBy("host", "template", "segment").agg(F.sum("pages").alias("n"), (F.sum("labelled") > 0).alias("ruled")))
         if counts.isEmpty():
             return rows.drop("parts")
         nodes = durable(counts.groupBy("host", "template").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAF).select(F.col("host").alias("nh"), F.col("template").alias("nt")))
@@ -89,7 +97,109 @@ def templates(rows: DataFrame) -> DataFrame:
         step = F.when(segment.isNull(), F.col("template")).otherwise(F.concat("template", F.array(name)))
         ended = F.when(segment.isNotNull() & F.col("nh").isNull(), F.slice("parts", 1, level)).otherwise(F.col("parts"))
         rows = rows.join(large, node, "left").join(small_side(named, named.count(), 256), known, "left")
-        rows = durable(rows.select("page_id", "host", "path", "rule", "label", ended.alias("parts"), step.alias("template")))
+        rows = durable(rows.select(*kept, ended.alias("parts"), step.alias("template")))
+
+
+def written(segment: str) -> str:
+    return segment.replace("*", "%2A").replace("|", "%7C")
+
+
+def names_of(counts: dict[str, int], ruled: set[str]) -> dict[str, str]:
+    """The name of each segment of one node, as ``_named`` has it."""
+    digit = {s: any("0" <= c <= "9" for c in s) for s in counts}
+    step = {n: math.floor(math.log(n) / math.log(2) * STEPS) for n in set(counts.values())}
+    total, literal = sum(counts.values()), set()
+    for kind in (False, True):
+        mine = sorted((step[n], n, s) for s, n in counts.items() if digit[s] == kind)
+        steps = np.array([x[0] for x in mine], np.int64)
+        peers = np.searchsorted(steps, steps + STEPS + 1, "right") - np.searchsorted(steps, steps - STEPS - 1, "left")
+        literal |= {s for (_, n, s), k in zip(mine, peers, strict=True) if n > k or (not kind and n * BRANCH >= total)}
+    others = counts.keys() - literal
+    mixed = bool(others & ruled) and bool(others - ruled)
+    return {s: written(s) if s in literal else RULED if mixed and s in ruled else ANY for s in counts}
+
+
+def host_templates(paths: list[tuple[str, ...]], pages: list[int], ruled: list[bool]) -> list[tuple[str, ...]]:
+    """The template of each path of one host, level by level; a node is a number, so deep paths cost no more than their segments."""
+    at, parents, names = [0] * len(paths), [-1], [""]
+    open_, level = [i for i, p in enumerate(paths) if p], 0
+    while open_:
+        nodes: dict[int, list[int]] = {}
+        for i in open_:
+            nodes.setdefault(at[i], []).append(i)
+        open_ = []
+        for node, rows in nodes.items():
+            counts: dict[str, int] = {}
+            for i in rows:
+                counts[paths[i][level]] = counts.get(paths[i][level], 0) + pages[i]
+            small = sum(counts.values()) < LEAF
+            name = dict.fromkeys(counts, REST) if small else names_of(counts, {paths[i][level] for i in rows if ruled[i]})
+            child: dict[str, int] = {}
+            for i in rows:
+                own = name[paths[i][level]]
+                if own not in child:
+                    child[own] = len(names)
+                    parents.append(node)
+                    names.append(own)
+                at[i] = child[own]
+                if not small and len(paths[i]) > level + 1:
+                    open_.append(i)
+        level += 1
+    known: dict[int, tuple[str, ...]] = {0: ()}
+    for k in sorted(set(at)):
+        out, node = [], k
+        while node not in known:
+            out.append(names[node])
+            node = parents[node]
+        known[k] = known[node] + tuple(reversed(out))
+    return [known[k] for k in at]
+
+
+def cell_of(rest: tuple[str, ...]) -> int:
+    """The hash cell of what follows a branch; ``merged`` has the same."""
+    return zlib.crc32("/".join(rest).encode()) % SHAPES if rest else -1
+
+
+def host_merged(counts: dict[tuple[str, ...], tuple[int, int, int]]) -> dict[tuple[str, ...], tuple[str, ...]]:
+    """Each template of one host with its branches merged, top down."""
+    whole: dict[tuple[str, ...], list[str]] = {t: [] for t in counts}
+    stems: dict[int, list[tuple[str, ...]]] = {0: list(counts)}
+    level = 0
+    while stems:
+        below: dict[int, list[tuple[str, ...]]] = {}
+        for held in stems.values():
+            branches: dict[str, list[tuple[str, ...]]] = {}
+            for t in held:
+                if len(t) > level:
+                    branches.setdefault(t[level], []).append(t)
+            name = {b: b for b in branches}
+            if len(branches) > 1:
+                shapes: dict[str, dict[int, tuple[int, int, int]]] = {}
+                for b, ts in branches.items():
+                    for t in ts:
+                        own, cell = shapes.setdefault(b, {}), cell_of(t[level + 1 :])
+                        own[cell] = tuple(map(sum, zip(own.get(cell, (0, 0, 0)), counts[t], strict=True)))
+                name = merge_siblings(shapes)
+            ids: dict[str, int] = {}
+            for b, ts in branches.items():
+                k = ids.setdefault(name[b], len(below))
+                for t in ts:
+                    whole[t].append(name[b])
+                below.setdefault(k, []).extend(ts)
+        stems, level = below, level + 1
+    return {t: tuple(w) for t, w in whole.items()}
+
+
+def _host(rows: pd.DataFrame) -> pd.DataFrame:
+    """Whole templates of the paths of one small host."""
+    paths = [tuple(s for s in p.split("/") if s) for p in rows["path"]]
+    own = host_templates(paths, rows["pages"].tolist(), (rows["labelled"] > 0).tolist())
+    counts: dict[tuple[str, ...], tuple[int, int, int]] = {}
+    for t, *x in zip(own, rows["pages"], rows["blocked"], rows["labelled"] - rows["blocked"], strict=True):
+        counts[t] = tuple(map(sum, zip(counts.get(t, (0, 0, 0)), map(int, x), strict=True)))
+    whole = host_merged(counts)
+    return pd.DataFrame({"host": rows["host"], "path": rows["path"], "template": [list(whole[t]) for t in own]})
+
 
 def _named(counts: DataFrame) -> DataFrame:
     """(host, template, segment, name) of the segments at a level that are not ``*``, from the counts of nodes that have branches."""
@@ -152,11 +262,13 @@ def merged(counts: DataFrame) -> DataFrame:
     branch = lambda level: F.get("template", F.lit(level))
     for level in range(depth):
         stem, rest = F.slice("template", 1, level), F.slice("template", level + 2, depth)
-        cell = F.when(F.size(rest) > 0, F.pmod(F.xxhash64(rest), F.lit(SHAPES))).otherwise(-1).cast("int")
+        cell = F.when(F.size(rest) > 0, F.crc32(F.array_join(rest, "/").cast("binary")) % SHAPES).otherwise(-1).cast("int")
         below = counts.where(branch(level).isNotNull()).groupBy("host", stem.alias("stem"), branch(level).alias("branch"), cell.alias("cell"))
         below = below.agg(*[F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")])
         names = durable(below.groupBy("host", "stem").applyInPandas(_cluster, "host string, stem array<string>, branch string, name string").where("branch <> name"))
         known = (F.col("host") == F.col("h")) & (stem == F.col("stem")) & (branch(level) == F.col("branch"))
+        if names.isEmpty():
+            continue
         names = small_side(names.withColumnRenamed("host", "h"), names.count(), 256)
         renamed = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat(stem, F.array("name"), rest))
         counts = durable(counts.join(names, known, "left").select("host", "own", renamed.alias("template"), "pages", "blocked", "allowed"))
@@ -179,15 +291,31 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     label = F.lit(None).cast("string")
     for rule, verdict in rules:
         label = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(label)
-    rows = templates(rows.withColumn("label", label))
-    blocked, allowed = F.count_if(F.col("label") == "block"), F.count_if(F.col("label") == "allow")
-    counts = durable(rows.groupBy("host", F.col("template").alias("own")).agg(F.count("*").alias("pages"), blocked.alias("blocked"), allowed.alias("allowed")).select("host", "own", F.col("own").alias("template"), "pages", "blocked", "allowed"))
-    n, bad = counts.agg(F.sum("pages"), F.sum("blocked")).first()
-    whole = merged(counts)
+    rows = durable(rows.withColumn("label", label))
+    paths = durable(rows.groupBy("host", "path").agg(F.count("*").alias("pages"), F.count_if(F.col("label") == "block").alias("blocked"), F.count("label").alias("labelled")))
+    n, bad = paths.agg(F.sum("pages"), F.sum("blocked")).first()
+    whole = whole_templates(paths)
     base = (bad or 0) / (n or 1)
-    pure = (F.sum("blocked") + STRENGTH * base) / (F.sum("blocked") + F.sum("allowed") + STRENGTH)
-    judged = whole.groupBy("host", "template").agg(pure.alias("purity"))
-    judged = durable(whole.select("host", "own", "template").join(judged, ["host", "template"]).select(F.col("host").alias("h"), "own", F.col("template").alias("whole"), "purity"))
-    out = rows.join(small_side(judged, judged.count(), 256), (F.col("host") == F.col("h")) & (F.col("template") == F.col("own")))
+    pure = (F.sum("blocked") + STRENGTH * base) / (F.sum("labelled") + STRENGTH)
+    judged = durable(whole.groupBy("host", "template").agg(pure.alias("purity")))
+    at = durable(whole.select("host", "path", "template").join(small_side(judged, judged.count(), 256), ["host", "template"]))
+    out = rows.join(small_side(at, at.count(), 512), ["host", "path"])
     method = F.when(F.col("purity") >= PURITY, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("label", method).alias("verdict"), F.concat(F.lit("/"), F.array_join("whole", "/")).alias("template"), "purity")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("label", method).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
+
+
+def whole_templates(paths: DataFrame) -> DataFrame:
+    """(host, path, pages, blocked, labelled) with ``template``, each host's branches merged: small hosts in a task each, larger ones by levels."""
+    sizes = durable(paths.groupBy("host").agg(F.sum("pages").alias("held")).where(F.col("held") > SMALL).select("host"))
+    several = small_side(sizes, sizes.count())
+    small = paths.join(several, "host", "left_anti").groupBy("host").applyInPandas(_host, "host string, path string, template array<string>")
+    out = durable(paths.join(small, ["host", "path"]).select(*paths.columns, "template"))
+    large = paths.join(several, "host", "left_semi")
+    if sizes.isEmpty():
+        return out
+    rows = templates(large).withColumnRenamed("template", "own")
+    counts = durable(rows.groupBy("host", "own").agg(*[F.sum(c).alias(c) for c in ("pages", "blocked", "labelled")]))
+    found = merged(counts.select("host", "own", F.col("own").alias("template"), "pages", "blocked", (F.col("labelled") - F.col("blocked")).alias("allowed")))
+    found = found.select(F.col("host").alias("h"), F.col("own").alias("o"), "template")
+    known = (F.col("host") == F.col("h")) & (F.col("own") == F.col("o"))
+    return out.unionByName(rows.join(small_side(found, found.count(), 512), known).select(*paths.columns, "template"))

@@ -1,7 +1,9 @@
 """Odd rows and empty tables: each operator's stated result."""
 
 import hashlib
+import heapq
 import random
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -321,12 +323,45 @@ def test_windows_take_all_neighbours_of_the_seed():
 # ---- sharding and mixing
 
 
-def test_longest_first_is_level():
+def longest_first(sizes, shards):
+    """Each group to the least-loaded shard, largest first, one by one."""
+    heap, placed = [(0, s) for s in range(shards)], {}
+    for size, unit in sorted(sizes, key=lambda x: (-x[0], x[1])):
+        load, shard = heapq.heappop(heap)
+        placed[unit] = shard
+        heapq.heappush(heap, (load + size, shard))
+    return placed
+
+
+def test_cycles_are_the_heap_over_all_groups():
     rng = random.Random(4)
-    sizes = [(rng.randrange(1, 1000), f"b{i}") for i in range(500)]
-    placed = sharding.longest_first(sizes, 7)
-    loads = [sum(s for s, u in sizes if placed[u] == k) for k in range(7)]
-    assert max(loads) - min(loads) <= 20
+    for shards in (1, 2, 7, 16):
+        for most in (3, 40, 1000, 10**6):
+            sizes = [(rng.choice([1, 2, most, rng.randrange(1, most + 1)]), i) for i in range(rng.choice([1, 30, 2000]))]
+            placed, got = longest_first(sizes, shards), {}
+            by_size = sorted(Counter(s for s, _ in sizes).items(), reverse=True)
+            for (size, groups), runs in zip(by_size, sharding.cycles(by_size, shards), strict=True):
+                assert len(runs) <= shards and runs[0][0] == 0
+                for rank, unit in enumerate(sorted(u for s, u in sizes if s == size)):
+                    first, turn = [r for r in runs if r[0] <= rank][-1]
+                    got[unit] = turn[(rank - first) % len(turn)]
+            assert got == placed
+            loads = [sum(s for s, u in sizes if placed[u] == k) for k in range(shards)]
+            assert max(loads) - min(loads) <= max(s for s, _ in sizes)
+
+
+def test_sharding_is_the_heap_over_all_groups(spark):
+    """As a query: many groups of one size, copies, and few of the others."""
+    rng = random.Random(8)
+    texts = [f"{i % 400:05d}" * rng.choice([1, 1, 1, 2, 3, 50]) for i in range(900)] + [None] * 5 + [""] * 9
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, 5).collect()}
+    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"), F.col("text").isNull()).alias("key")).collect()
+    sizes = Counter()
+    for r in keyed:
+        sizes[r["key"]] += len((texts[r["doc_id"]] or "").encode()) + 1
+    placed = longest_first([(s, k) for k, s in sizes.items()], 5)
+    assert got == {r["doc_id"]: placed[r["key"]] for r in keyed}
 
 
 def test_sharding_odd(odd, empty):
@@ -336,10 +371,8 @@ def test_sharding_odd(odd, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize("units", [1 << 17, 20])
-def test_sharding_heavy_group_and_ties(spark, monkeypatch, units):
+def test_sharding_heavy_group_and_ties(spark):
     """A group heavier than a shard's share is whole, and 390 texts of one size are level over the other shards."""
-    monkeypatch.setattr(sharding, "UNITS", units)
     rows = [(i, "x" * 99 if i < 300 else f"{i:099d}") for i in range(690)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sharding.shard_documents(docs, 8).collect()
@@ -650,6 +683,32 @@ def test_url_templates_of_stars_and_long_paths(spark):
     assert kind("/x/") == {"/" + "x/" * 3 + "*"} and len(kind("/y/")) == 1
 
 
+def test_url_templates_by_host_and_by_level_agree(spark, monkeypatch):
+    """Hosts whose trees one task builds, and the same hosts level by level over all pages."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(1500):
+        host = rng.choice(["a.com", "a.com", "example.net", "b.org", "tiny.net"] if i % 50 else ["rare.com"])
+        path = "/".join([rng.choice(["en", "de", "es", "v2", "*", "a|b", "fr"]), rng.choice(["docs", "blog", f"{rng.randrange(30)}", f"s{rng.randrange(6)}"]), *([f"{rng.randrange(500)}"] if i % 3 else ["x", f"p{rng.randrange(4)}"])][: rng.randrange(1, 5)])
+        rows.append((i, f"http://{host}/{path}{'/' * (i % 2)}"))
+    rows += [(2000 + i, f"http://deep.com/{'a/' * (i % 6)}") for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    named = lambda: {r["page_id"]: (r["template"], r["verdict"], round(r["purity"], 9)) for r in url_templates.judge(df).collect()}
+    one = named()
+    assert len(one) == len(rows) and len({t for t, *_ in one.values()}) > 20 and one[2005][0] == "/a/a/a/a/a"
+    monkeypatch.setattr(url_templates, "SMALL", 100)
+    assert named() == one  # all but one host by levels
+
+
+def test_url_templates_of_a_spider_trap(spark):
+    """Paths of 1,000 levels over 16,000 pages."""
+    df = spark.range(16_000).selectExpr("id AS page_id", "concat('http://trap.com/', repeat('a/', cast(1 + id % 1000 AS int))) AS url")
+    began = time.perf_counter()
+    got = {r["page_id"]: r["template"] for r in url_templates.judge(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[0] == "/a" and got[499] == "/" + "/".join(["a"] * 500) and got[999] == "/" + "/".join(["a"] * 1000)
+
+
 def test_url_templates_small_sections(spark):
     sections = ["en", *(f"{c}{d}" for c in "pqrs" for d in "abcde")]
     urls = [f"http://x.example.com/{s}/{i}" for s in sections for i in range(24)]
@@ -663,3 +722,35 @@ def test_url_templates_small_sections(spark):
             assert section in r["template"].split("/")[1].split("|")
         if r["host"] == "z.com":
             assert ("*#" in r["template"]) == (section == "en")
+
+
+def test_language_model_of_many_languages_and_long_texts(spark):
+    """300 languages and texts of 60,000 words: what a batch, the fit and the driver hold is bounded."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    words = lambda lang, n: " ".join("".join(letters[k] for k in rng.integers(lang * 10, lang * 10 + 10, 4)) for _ in range(n))
+    rows = [(i, words(i % 300, 12), f"l{i % 300:03d}") for i in range(1500)]
+    labels, weights = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(labels) == 300
+    fresh = [words(k, 15) for k in range(0, 300, 10)]
+    assert np.mean([a == f"l{k:03d}" for k, a in zip(range(0, 300, 10), langid.predict(fresh, labels, weights)[0], strict=True)]) > 0.95
+    long = [" ".join("".join(chr(97 + k) for k in rng.integers(0, 26, 5)) for _ in range(60_000)) for _ in range(3)] * 40
+    tracemalloc.start()
+    langid.predict(long, labels, weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+
+
+def test_language_fit_is_bounded_over_all_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_ROWS", 30)
+    seen = []
+    whole = langid.fit_slots
+    monkeypatch.setattr(langid, "fit_slots", lambda sets, langs: seen.append(Counter(langs)) or whole(sets, langs))
+    df = spark.range(2000).selectExpr("id AS doc_id", "concat('text of ', repeat(char(97 + id % 10), 3)) AS text", "concat('l', id % 10) AS lang")
+    labels, _ = langid.train(df)
+    assert len(labels) == 10 and set(seen[0].values()) == {3}
+    monkeypatch.setattr(langid, "MOST_LANGS", 4)
+    assert langid.train(df)[0] == ["l0", "l1", "l2", "l3"] or len(langid.train(df)[0]) == 4
