@@ -135,6 +135,6 @@ def agent_performance(pages: DataFrame) -> DataFrame:
 
 
 def site_ranking(results: DataFrame) -> DataFrame:
-    """Pages by falling mean quality, then url, with their rank."""
+    """Pages by falling mean quality, then url, with their rank; means that differ by the order of their sums are equal."""
     rows = results.groupBy("url").agg(F.avg("quality").alias("quality"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.avg("coverage").alias("coverage"))
-    return running(rows, [F.desc("quality"), F.col("url")], place="rank")
+    return running(rows, [F.bround("quality", 9).desc(), F.col("url")], place="rank")

@@ -274,6 +274,18 @@ def axe_scores(violations: DataFrame) -> DataFrame:
     return violations.groupBy("url").agg(axe_score(F.sum(axe_penalty(F.col("impact"), F.col("node_count")))).alias("axe_score"), F.count("*").alias("rules"))
 
 
+def violation_audit(violations: DataFrame, shown: int = 10) -> DataFrame:
+    """url, the ``shown`` heaviest violations as text and how many more there are; a page with very many passes on no more than those."""
+    penalty = axe_penalty(F.col("impact"), F.col("node_count"))
+    order = Window.partitionBy("url").orderBy(F.desc("penalty"), "rule_id", "node_count", "impact")
+    rows = violations.withColumn("penalty", penalty)
+    first = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= shown)
+    said = F.struct("rank", F.concat_ws(":", "rule_id", "impact", F.col("node_count").cast("string")).alias("text"))
+    listed = first.groupBy("url").agg(F.array_join(F.transform(F.sort_array(F.collect_list(said)), lambda x: x["text"]), "; ").alias("violations"))
+    counts = violations.groupBy("url").agg(F.greatest(F.count("*") - shown, F.lit(0)).alias("more"))
+    return listed.join(counts, "url")
+
+
 def axe_runs(runs: DataFrame, violations: DataFrame) -> DataFrame:
     """url and axe_score of each run (url, outcome): its violations' score if it is ``ok``, else the fixed score of a failed run."""
     scored = axe_scores(violations).select("url", "axe_score")

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pageloom.constants import FORMAT_POINTS, MS_TOPIC_PROFILES, PILLARS, PROFILE_WEIGHTS, SCHEMA_PROFILES, SEMANTIC_ELEMENTS, URL_PROFILES
-from pageloom.functions import text
-from pageloom.operators.agent_perf import QUESTIONS, SIGNS, STRUCTURE
-from pageloom.operators.report_rules import RULES
-from pageloom.plans import inputs
+from pageloom.plans import inputs, oracle_values
+from pageloom.plans.oracle_values import FORMAT_POINTS, MS_TOPIC_PROFILES, PILLARS, PROFILE_WEIGHTS, QUESTIONS, RULES, SCHEMA_PROFILES, SEMANTIC_ELEMENTS, SIGNS, STRUCTURE, URL_PROFILES
 
 TAGLESS = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 
@@ -271,7 +268,9 @@ r AS (SELECT *, CASE WHEN empty THEN {dbl(0)} ELSE CASE WHEN n BETWEEN 100 AND 2
   + CASE WHEN {KIND_SIGNS} THEN {dbl(20)} ELSE {dbl(0)} END + CASE WHEN {any_sign("t", STRUCTURE)} THEN {dbl(10)} ELSE {dbl(0)} END END AS quality FROM m)
 SELECT doc_id, name, matches, round_even(least(quality, {dbl(100)}), 9) AS quality, quality >= 60 AND n >= 100 AS success FROM r"""
 
-SITES = "CASE " + " ".join(f"WHEN contains(url, '{f}') THEN '{n}'" for f, n in text.SITES) + " ELSE split_part(split_part(url, '//', 2), '/', 1) END"
+ANSWERED = QUALITY.replace("SELECT doc_id, coalesce(text, '') AS t FROM documents", "SELECT doc_id, coalesce(source, '') AS url, coalesce(text, '') AS t FROM documents").replace("SELECT doc_id, name, matches,", "SELECT url, matches / CAST(len(words) AS DOUBLE) AS coverage,")
+
+SITES = "CASE " + " ".join(f"WHEN contains(url, '{f}') THEN '{n}'" for f, n in oracle_values.SITES) + " ELSE split_part(split_part(url, '//', 2), '/', 1) END"
 SHORT = "regexp_replace(url, '/+$', '')"
 
 SQL = {
@@ -321,6 +320,11 @@ SQL = {
         CASE WHEN failure_mode = 'partial_evaluation' THEN 'PARTIAL' WHEN failure_mode = 'clean' THEN 'PASS' WHEN parseability_score >= 60 THEN 'WARN' ELSE 'FAIL' END AS tag FROM s LEFT JOIN c ON c.html_path = concat('p', pos, '.html')""",
     "presentation_summary": f"""WITH {S} SELECT {BANDS}, count(*) FILTER (parseability_score >= 80) AS ready, count(*) FILTER (parseability_score >= 60 AND parseability_score < 80) AS needs_work,
         count(*) FILTER (parseability_score < 60) AS major_issues, round_even(count(*) FILTER (parseability_score >= 80) * {dbl(100)} / count(*), 6) AS ready_percent FROM s""",
+    "violation_audit": f"""WITH v AS (SELECT *, least(CASE impact WHEN 'critical' THEN 25 WHEN 'serious' THEN 15 WHEN 'moderate' THEN 10 ELSE 5 END * least(node_count, 3), 25) AS penalty FROM ({inputs.VIOLATIONS}) AS x),
+        r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY penalty DESC, rule_id, node_count, impact) AS rank, count(*) OVER (PARTITION BY url) AS n FROM v)
+        SELECT url, string_agg(rule_id || ':' || impact || ':' || node_count, '; ' ORDER BY rank) AS violations, max(greatest(n - 10, 0)) AS more FROM r WHERE rank <= 10 GROUP BY url""",
+    "hop_audit": f"""WITH c AS (SELECT page_id, CASE WHEN codes = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(codes, ',') END AS chain FROM ({inputs.CRAWL}) AS x)
+        SELECT page_id, CASE WHEN len(chain) > 0 THEN 'redirects: ' || array_to_string(chain[1:3], ' -> ') || CASE WHEN len(chain) > 3 THEN ' and ' || (len(chain) - 3) || ' more' ELSE '' END END AS hops FROM c""",
     "axe_runs": f"""WITH r AS ({inputs.AXE_RUNS}), a AS ({AXE}) SELECT r.url, outcome, CASE outcome WHEN 'injection_failed' THEN {dbl(75)} WHEN 'failed' THEN {dbl(70)} ELSE coalesce(axe_score, {dbl(100)}) END AS axe_score FROM r LEFT JOIN a USING (url)""",
     "profile_impact": f"WITH {S} SELECT url AS page, content_type, parseability_score, universal_score, parseability_score - universal_score AS delta FROM s WHERE universal_score IS NOT NULL AND (SELECT bool_or(content_type <> 'article') FROM s)",
     "weighted_scores": f"WITH {S} SELECT pos, round_even({weighted('content_type')}, 9) AS profile_score, round_even({weighted(repr('article'))}, 9) AS article_score FROM s",
@@ -344,7 +348,7 @@ SQL = {
     "bulk_distribution": f"""WITH {S} SELECT content_type, {BANDS}, min(parseability_score) AS low, max(parseability_score) AS high, count(*) FILTER (parseability_score >= 80) AS ready, count(*) FILTER (parseability_score >= 60 AND parseability_score < 80) AS needs_work,
         count(*) FILTER (parseability_score < 60) AS major_issues, avg(parseability_score) >= 70 AND count(*) FILTER (parseability_score >= 60) * 100.0 / count(*) >= 80 AS gate FROM s GROUP BY content_type""",
     "mode_rollup": f"WITH {S} SELECT content_type, failure_mode, {BANDS} FROM s GROUP BY ROLLUP (content_type, failure_mode)",
-    "primary_issue": f"""WITH {S} SELECT pos, {ISSUE} AS issue, CASE WHEN parseability_score >= 80 THEN '{text.READY}' WHEN parseability_score >= 60 THEN '{text.NEEDS_WORK}' ELSE '{text.MAJOR}' END AS status,
+    "primary_issue": f"""WITH {S} SELECT pos, {ISSUE} AS issue, CASE WHEN parseability_score >= 80 THEN '{oracle_values.READY}' WHEN parseability_score >= 60 THEN '{oracle_values.NEEDS_WORK}' ELSE '{oracle_values.MAJOR}' END AS status,
         CASE failure_mode WHEN 'structure-missing' THEN 'Add semantic HTML (<main>, <article>), fix heading hierarchy' WHEN 'extraction-noisy' THEN 'Reduce boilerplate, improve content/chrome separation' ELSE 'Review structure and optimize content organization' END AS hint,
         CASE WHEN failure_mode = 'partial_evaluation' THEN 'PARTIAL' WHEN failure_mode = 'clean' THEN 'PASS' WHEN parseability_score >= 60 THEN 'WARN' ELSE 'FAIL' END AS tag FROM s""",
     "worst_best_examples": f"""WITH {S}, lo AS (SELECT url AS page, parseability_score, 'worst' AS end FROM s ORDER BY parseability_score, pos LIMIT 2), hi AS (SELECT url AS page, parseability_score, 'best' AS end FROM s ORDER BY parseability_score DESC, pos DESC LIMIT 3)
@@ -360,6 +364,8 @@ SQL = {
         pa AS (SELECT a AS k, count(*) AS c FROM l GROUP BY a), pb AS (SELECT b AS k, count(*) AS c FROM l GROUP BY b), e AS (SELECT sum(CAST(pa.c AS DOUBLE) * pb.c) AS s FROM pa JOIN pb USING (k))
         SELECT n, round_even(po, 9) AS observed, round_even(s / (CAST(n AS DOUBLE) * n), 9) AS expected, round_even((po - s / (CAST(n AS DOUBLE) * n)) / (1 - s / (CAST(n AS DOUBLE) * n)), 9) AS kappa FROM n, e""",
     "answer_quality": QUALITY,
+    "answer_ranking": f"""WITH a AS ({ANSWERED}), r AS (SELECT url, avg(quality) AS quality, avg(CAST(success AS DOUBLE)) AS success_rate, avg(coverage) AS coverage FROM a GROUP BY url)
+        SELECT url, row_number() OVER (ORDER BY round_even(quality, 9) DESC, url) AS rank, round_even(quality, 6) AS quality, round_even(success_rate, 6) AS success_rate, round_even(coverage, 6) AS coverage FROM r""",
     "url_functions": f"SELECT page_id, {NORMAL_URL} AS normal, array_to_string(list_slice(string_split({SHORT}, '/'), greatest(len(string_split({SHORT}, '/')) - 1, 1), len(string_split({SHORT}, '/'))), '/') AS short, {SITES} AS site, concat(substr(md5(url), 1, 12), '.html') AS snapshot FROM pages",
     "distinct_urls": f"""WITH {HALVES} SELECT url, 'union' AS set FROM (SELECT url FROM old_ UNION SELECT url FROM new_) UNION ALL SELECT url, 'both' FROM (SELECT url FROM old_ INTERSECT SELECT url FROM new_)
         UNION ALL SELECT url, 'only_old' FROM (SELECT url FROM old_ EXCEPT SELECT url FROM new_)""".replace("AS set", 'AS "set"'),

@@ -181,6 +181,15 @@ def axe_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.axe_scores(inputs.view(spark, sf_dir, inputs.VIOLATIONS, "events"))
 
 
+def violation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.violation_audit(inputs.view(spark, sf_dir, inputs.VIOLATIONS, "events"))
+
+
+def hop_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the evidence says of each page's redirects: the first three and how many more."""
+    return crawl_chains(spark, sf_dir).select("page_id", pillars.hops_evidence(F.col("chain")).alias("hops"))
+
+
 # ---- score tables
 
 
@@ -366,6 +375,14 @@ def answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "name", q["matches"].alias("matches"), F.bround(q["quality"], 9).alias("quality"), q["success"].alias("success"))
 
 
+def answer_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources ranked by how well their documents answer the standard questions."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(F.broadcast(agent_perf.questions(spark)), F.lit(True))
+    q = agent_perf.answer_quality(F.coalesce("text", F.lit("")), F.col("keywords"), F.col("expected_type"))
+    ranked = agent_perf.site_ranking(docs.select(F.coalesce("source", F.lit("")).alias("url"), *(c.alias(k) for k, c in q.items())))
+    return ranked.select("url", "rank", *(F.bround(c, 6).alias(c) for c in ("quality", "success_rate", "coverage")))
+
+
 # ---- urls
 
 
@@ -391,7 +408,7 @@ def url_batches(spark: SparkSession, sf_dir: str, size: int = 50) -> DataFrame:
 ALL: tuple[Query, ...] = (
     parse_signals, text_density_boilerplate, semantic_html_score, static_accessibility, metadata_completeness, agent_hints, structured_data_score,
     content_extractability, content_type, http_compliance, page_scores_core, page_scores, page_scores_crawled, failure_mode_dist, redirect_scores, redirect_status_histogram,
-    charset_detection, page_findings, redirect_walks, successful_crawl, robots_permission, negotiation_scores, axe_penalty, render_deltas, latest_per_page, template_clusters, cluster_members, cluster_pages, page_deltas, page_summary, presentation_summary, axe_runs, profile_impact,
+    charset_detection, page_findings, redirect_walks, violation_audit, hop_audit, answer_ranking, successful_crawl, robots_permission, negotiation_scores, axe_penalty, render_deltas, latest_per_page, template_clusters, cluster_members, cluster_pages, page_deltas, page_summary, presentation_summary, axe_runs, profile_impact,
     weighted_scores, score_history, benchmark_validation, validation_rates, run_consistency, consistency_verdict, compare_runs, compare_pillars,
     metadata_delta_stats, golden_drift, run_summary, report_summary, bulk_distribution, mode_rollup, primary_issue, worst_best_examples, display_order,
     report_findings, qa_grading, page_accuracy, spearman_by_pillar, correlation_study, grader_kappa, agent_performance, site_ranking, answer_quality,
