@@ -18,8 +18,9 @@ host.  A merged template is rejected if ``(blocked + STRENGTH * base) / (labelle
 web is blocked.
 
 Pages are counted by (host, path) first.  The tree of a host of at most SMALL pages is built and merged in one task, in any
-number of levels; the trees of larger hosts are built level by level over all of them, aggregated over (host, template), so a
-host with a third of all pages is as light as any other.  Both ways give the same templates.  Null urls
+number of levels; the trees of larger hosts are built level by level over all of them, aggregated over (host, template), down to
+nodes of at most SMALL pages, each of which one task completes.  So a host with a third of all pages is as light as any other,
+and deep paths take rounds only where many pages share them.  All ways give the same templates.  Null urls
 and urls without ``://`` have an empty host and path.  Empty segments don't count, so a path of slashes is the host's root.
 Pages that repeat, or have no page_id, are pages of their own.  Columns besides page_id and url are never looked at, whatever
 their names.  An empty table gives an empty result.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -78,26 +80,37 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """(host, path, pages, labelled, ...) with ``template``, an array of literal segments and wildcards, level by level."""
+    """(host, path, pages, labelled, ...) with ``template``, an array of literal segments and wildcards.
+
+    Level by level; a node of at most SMALL pages is completed in one task.
+    """
     kept = rows.columns
     parts = F.filter(F.split("path", "/+"), lambda s: s != "")
     rows = durable(rows.withColumn("parts", parts).withColumn("template", F.array().cast("array<string>")))
+    done = []
     for level in count():
         segment = F.get("parts", F.lit(level))
-        stem = rows.where(F.size("parts") > level).select("host", "template", segment.alias("segment"), "pages", "labelled")
-        counts = durable(stem.groupBy("host", "template", "segment").agg(F.sum("pages").alias("n"), (F.sum("labelled") > 0).alias("ruled")))
+        done.append(rows.where(F.size("parts") <= level).select(*kept, "template"))
+        rows = rows.where(F.size("parts") > level)
+        counts = durable(rows.select("host", "template", segment.alias("segment"), "pages", "labelled").groupBy("host", "template", "segment").agg(F.sum("pages").alias("n"), (F.sum("labelled") > 0).alias("ruled")))
         if counts.isEmpty():
-            return rows.drop("parts")
-        nodes = durable(counts.groupBy("host", "template").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAF).select(F.col("host").alias("nh"), F.col("template").alias("nt")))
-        large = small_side(nodes, nodes.count(), 256)
-        node = (F.col("host") == F.col("nh")) & (F.col("template") == F.col("nt"))
-        named = durable(_named(counts.join(large, node, "left_semi")).select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s"), "name"))
+            return reduce(DataFrame.unionByName, done)
+        large = durable(counts.groupBy("host", "template").agg(F.sum("n").alias("total")).where(F.col("total") > SMALL).select("host", "template"))
+        several = small_side(large, large.count(), 256)
+        small = rows.join(several, ["host", "template"], "left_anti").groupBy("host", "template").applyInPandas(_subtree, rows.schema)
+        done.append(durable(small.select(*kept, "template")))
+        rows = rows.join(several, ["host", "template"], "left_semi")
+        named = durable(_named(counts.join(several, ["host", "template"], "left_semi")).select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s"), "name"))
         known = (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (segment == F.col("s"))
-        name = F.when(F.col("nh").isNull(), F.lit(REST)).otherwise(F.coalesce("name", F.lit(ANY)))
-        step = F.when(segment.isNull(), F.col("template")).otherwise(F.concat("template", F.array(name)))
-        ended = F.when(segment.isNotNull() & F.col("nh").isNull(), F.slice("parts", 1, level)).otherwise(F.col("parts"))
-        rows = rows.join(large, node, "left").join(small_side(named, named.count(), 256), known, "left")
-        rows = durable(rows.select(*kept, ended.alias("parts"), step.alias("template")))
+        met = rows.join(small_side(named, named.count(), 256), known, "left")
+        rows = durable(met.select(*kept, "parts", F.concat("template", F.array(F.coalesce("name", F.lit(ANY)))).alias("template")))
+
+
+def _subtree(rows: pd.DataFrame) -> pd.DataFrame:
+    """Completes the templates of one node's paths."""
+    level = len(rows["template"].iloc[0])
+    below = host_templates([tuple(p[level:]) for p in rows["parts"]], rows["pages"].tolist(), (rows["labelled"] > 0).tolist())
+    return rows.assign(template=[[*t, *b] for t, b in zip(rows["template"], below, strict=True)])
 
 
 def written(segment: str) -> str:
@@ -257,22 +270,44 @@ def merge_siblings(branches: dict[str, dict[str, tuple[int, int, int]]]) -> dict
 
 
 def merged(counts: DataFrame) -> DataFrame:
-    """(host, own, template, pages, blocked, allowed) with ``template``'s branches merged, level by level."""
-    depth = counts.agg(F.max(F.size("template"))).first()[0] or 0
+    """(host, own, template, pages, blocked, allowed) with ``template``'s branches merged.
+
+    Level by level; what is below a node of at most SMALL pages is merged in one task.
+    """
+    kept = counts.columns
     branch = lambda level: F.get("template", F.lit(level))
-    for level in range(depth):
-        stem, rest = F.slice("template", 1, level), F.slice("template", level + 2, depth)
+    done = []
+    for level in count():
+        stem = F.slice("template", 1, level)
+        done.append(counts.where(branch(level).isNull()))
+        counts = counts.where(branch(level).isNotNull())
+        large = durable(counts.groupBy("host", stem.alias("stem")).agg(F.sum("pages").alias("total")).where(F.col("total") > SMALL).select("host", "stem"))
+        several = small_side(large, large.count(), 256)
+        at = counts.withColumn("stem", stem)
+        small = at.join(several, ["host", "stem"], "left_anti").groupBy("host", "stem").applyInPandas(_merged_below, at.schema)
+        done.append(durable(small.select(*kept)))
+        counts = durable(at.join(several, ["host", "stem"], "left_semi"))
+        if counts.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        rest = F.slice("template", level + 2, F.size("template"))
         cell = F.when(F.size(rest) > 0, F.crc32(F.array_join(rest, "/").cast("binary")) % SHAPES).otherwise(-1).cast("int")
-        below = counts.where(branch(level).isNotNull()).groupBy("host", stem.alias("stem"), branch(level).alias("branch"), cell.alias("cell"))
-        below = below.agg(*[F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")])
+        below = counts.groupBy("host", "stem", branch(level).alias("branch"), cell.alias("cell")).agg(*[F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")])
         names = durable(below.groupBy("host", "stem").applyInPandas(_cluster, "host string, stem array<string>, branch string, name string").where("branch <> name"))
-        known = (F.col("host") == F.col("h")) & (stem == F.col("stem")) & (branch(level) == F.col("branch"))
-        if names.isEmpty():
-            continue
-        names = small_side(names.withColumnRenamed("host", "h"), names.count(), 256)
-        renamed = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat(stem, F.array("name"), rest))
-        counts = durable(counts.join(names, known, "left").select("host", "own", renamed.alias("template"), "pages", "blocked", "allowed"))
-    return counts
+        named = small_side(names.toDF("h", "s", "b", "name"), names.count(), 256)
+        known = (F.col("host") == F.col("h")) & (F.col("stem") == F.col("s")) & (branch(level) == F.col("b"))
+        renamed = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("stem", F.array("name"), rest))
+        counts = durable(counts.join(named, known, "left").withColumn("template", renamed).select(*kept))
+
+
+def _merged_below(rows: pd.DataFrame) -> pd.DataFrame:
+    """Merges all branches below one node."""
+    level = len(rows["stem"].iloc[0])
+    below = [tuple(t[level:]) for t in rows["template"]]
+    counts: dict[tuple[str, ...], tuple[int, int, int]] = {}
+    for t, *x in zip(below, rows["pages"], rows["blocked"], rows["allowed"], strict=True):
+        counts[t] = tuple(map(sum, zip(counts.get(t, (0, 0, 0)), map(int, x), strict=True)))
+    whole = host_merged(counts)
+    return rows.assign(template=[[*s, *whole[t]] for s, t in zip(rows["stem"], below, strict=True)])
 
 
 def _cluster(rows: pd.DataFrame) -> pd.DataFrame:
