@@ -194,11 +194,11 @@ def golden_drift(committed: DataFrame, fresh: DataFrame, *columns: str) -> DataF
 
 
 def check_golden(spark: SparkSession, fresh: DataFrame, path: str, *columns: str, write: bool = False) -> DataFrame | None:
-    """Writes the golden table, or compares a fresh run with it: the drift, empty where nothing changed."""
+    """Writes the golden table by url, or compares a fresh run with it: the drift by url, empty where nothing changed."""
     if write:
-        fresh.select("url", *columns).write.mode("overwrite").parquet(path)
+        fresh.select("url", *columns).orderBy("url").write.mode("overwrite").parquet(path)
         return None
-    return golden_drift(spark.read.parquet(path), fresh, *columns)
+    return golden_drift(spark.read.parquet(path), fresh, *columns).orderBy("url")
 
 
 def run_summary(scores: DataFrame) -> DataFrame:

@@ -44,6 +44,7 @@ def write_presentation(scores: DataFrame, stem: str) -> None:
     """A presentation's data: <stem>.json with the summary and pages' rows, <stem>.csv, and an executive summary <stem>.md."""
     rows = scores.select(analytics.page_key().alias("page"), "parseability_score", status_label(F.col("parseability_score")).alias("label"), "failure_mode", analytics.primary_issue().alias("issue"), *PILLARS)
     summary, ends = analytics.presentation_summary(scores), analytics.worst_and_best(scores)
+    rows = rows.orderBy(F.desc("parseability_score"), "page")
     write_json(rows, f"{stem}.json")
     write_csv(rows, f"{stem}.csv")
     write_small(scores.sparkSession, f"{stem}.md", f"# Summary\n\n{markdown(summary)}\n\n## Worst and best pages\n\n{markdown(ends)}\n")
