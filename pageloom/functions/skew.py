@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.storage import durable
 
-#: A key with more than one in HOT rows is hot; one cell of it has about one in HOT of all rows.
+#: A key with more than one in HOT rows is hot, if it has LEAST at all; one cell of it has about one in HOT of all rows.
 HOT = 1000
 
+#: Keys of fewer rows are none, in a table of any size: one task has them in a moment.
+LEAST = 10_000
+
 
 def hot_keys(rows: DataFrame, key: str, share: int | None = None) -> DataFrame:
     """key, cells of the hot keys: fewer than ``share`` rows, whatever the table, so they can be broadcast.
@@ -20,7 +23,7 @@ def hot_keys(rows: DataFrame, key: str, share: int | None = None) -> DataFrame:
     counts = durable(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("held")))
     total = counts.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
     cells = F.ceil(F.col("held") * share / max(1, total)).cast("int")
-    return counts.where(F.col("held") * share > total).select(key, cells.alias("cells"))
+    return counts.where((F.col("held") * share > total) & (F.col("held") >= LEAST)).select(key, cells.alias("cells"))
 
 
 def dealt(rows: DataFrame, hot: DataFrame, key: str, *by: Column) -> DataFrame:

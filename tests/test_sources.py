@@ -70,6 +70,7 @@ def test_walks_of_a_graph_of_redirects(spark, monkeypatch, seed):
         ring = [f"http://r{k}/{i}" for i in range(size)]
         answers |= {u: (301, ring[(i + 1) % size], 1.0) for i, u in enumerate(ring)}
     monkeypatch.setattr(skew, "HOT", 20)
+    monkeypatch.setattr(skew, "LEAST", 0)
     responses = spark.createDataFrame([(u, s, {} if t is None else {"location": t}, "<p>", ms) for u, (s, t, ms) in answers.items()], "url string, status int, headers map<string,string>, html string, ms double").repartition(3)
     urls = sorted({*names, *answers, "http://h/unknown"})
     got = readers.walked(spark.createDataFrame([(u,) for u in urls], "url string"), responses).collect()
