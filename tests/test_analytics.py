@@ -266,3 +266,16 @@ def test_running_sums_over_several_ranges(spark):
         a, b = a + x, b + y
         assert got[k] == (place, a, b)
     assert running(df.limit(0), ["k"], a_upto="a").count() == 0
+
+
+def test_bands_take_exact_deviations_whatever_the_order_of_rows(spark):
+    """Whole scores with deviations of exactly 1, 3 and 5, each in forty orders: sums in any order must not move one over its band's edge."""
+    exact = {"high": [51, 53, 51, 51, 52, 52, 52, 50, 50], "moderate": [52, 56, 52, 59, 51, 54, 56, 53, 59], "some": [63, 64, 56, 64, 57, 52, 62, 59, 51]}
+    rng, rows = random.Random(3), []
+    for band, held in exact.items():
+        for k in range(40):
+            rows += [(i % 3, f"{band} {k}", float(x)) for i, x in enumerate(rng.sample(held, len(held)))]
+    spread = analytics.run_consistency(spark.createDataFrame(rows, "run int, url string, score double"), 3)
+    assert {(r["url"].split()[0], r["band"], r["stdev"]) for r in spread.collect()} == {("high", "high", 1.0), ("moderate", "moderate", 3.0), ("some", "some", 5.0)}
+    got = analytics.consistency_verdict(spread).first()
+    assert (got["high"], got["moderate"], got["some"], got["low"], got["verdict"]) == (40, 40, 40, 0, "PASS")
