@@ -113,24 +113,47 @@ def _any(text: Column, signs: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(s)) for s in signs))
 
 
-def answer_quality(response: Column, keywords: Column, kind: Column) -> dict[str, Column]:
-    """matches, coverage, quality (0 to 100) and success of an answer."""
-    lower, n = F.lower(response), F.length(response)
-    empty = F.length(F.regexp_replace(response, r"^\s+|\s+$", "")) < 50
-    matches = F.when(empty, 0).otherwise(F.size(F.filter(keywords, lambda k: F.contains(lower, F.lower(k)))))
+def _empty(response: Column) -> Column:
+    return F.length(F.regexp_replace(response, r"^\s+|\s+$", "")) < 50
+
+
+def _grades(n: Column, empty: Column, found: Column, asked: Column, signs: Column, structure: Column) -> dict[str, Column]:
+    matches = F.when(empty, 0).otherwise(found)
     size = F.when(n.between(100, 2000), 30.0).when(n > 50, 15.0).otherwise(0.0)
-    signs = reduce(lambda e, s: F.when(kind == s, _any(response if s == "code_example" else lower, SIGNS[s])).otherwise(e), SIGNS, F.lit(False))
-    coverage = matches / F.size(keywords).cast("double")
-    quality = F.when(empty, 0.0).otherwise(size + coverage * 40.0 + F.when(signs, 20.0).otherwise(0.0) + F.when(_any(response, STRUCTURE), 10.0).otherwise(0.0))
+    coverage = matches / asked.cast("double")
+    quality = F.when(empty, 0.0).otherwise(size + coverage * 40.0 + F.when(signs, 20.0).otherwise(0.0) + F.when(structure, 10.0).otherwise(0.0))
     return {"matches": matches, "coverage": coverage, "quality": F.least(quality, F.lit(100.0)), "success": (quality >= 60) & (n >= 100)}
 
 
+def answer_quality(response: Column, keywords: Column, kind: Column, lower: Column | None = None) -> dict[str, Column]:
+    """matches, coverage, quality (0 to 100) and success of an answer; ``lower``, its lower case as a column, spares lowering it for each keyword."""
+    lower = F.lower(response) if lower is None else lower
+    found = F.size(F.filter(keywords, lambda k: F.contains(lower, F.lower(k))))
+    signs = reduce(lambda e, s: F.when(kind == s, _any(response if s == "code_example" else lower, SIGNS[s])).otherwise(e), SIGNS, F.lit(False))
+    return _grades(F.length(response), _empty(response), found, F.size(keywords), signs, _any(response, STRUCTURE))
+
+
+def standard_answers(rows: DataFrame, response: Column, *keep: Column) -> DataFrame:
+    """``keep``, name, matches, coverage, quality and success of each row's text as the answer to each standard question.
+
+    A text is lowered and trimmed once, and only counts and signs of it are repeated for each question.
+    """
+    kept = [f"kept_{i}" for i in range(len(keep))]
+    rows = rows.select(*(c.alias(k) for c, k in zip(keep, kept, strict=True)), response.alias("response"))
+    rows = rows.select(*kept, "response", F.lower("response").alias("lower"), F.length("response").alias("n"), _empty(F.col("response")).alias("empty"), _any(F.col("response"), STRUCTURE).alias("structure"))
+    held = lambda words: reduce(lambda a, b: a + b, (F.contains("lower", F.lit(w.lower())).cast("int") for w in words))
+    asked = [F.struct(F.lit(name).alias("name"), held(words).alias("found"), F.lit(len(words)).alias("asked"), _any(F.col("response" if kind == "code_example" else "lower"), SIGNS[kind]).alias("signs")) for name, _, kind, words in QUESTIONS]
+    rows = rows.select(*kept, "n", "empty", "structure", F.inline(F.array(*asked)))
+    q = _grades(*map(F.col, ("n", "empty", "found", "asked", "signs", "structure")))
+    return rows.select(*kept, "name", *(c.alias(k) for k, c in q.items()))
+
+
 def agent_performance(pages: DataFrame) -> DataFrame:
     """One row for each page and standard question; a page is shipped and parsed once."""
     asked = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(k).alias("expected_type"), F.array(*map(F.lit, words)).alias("keywords")) for n, _, k, words in QUESTIONS))
     rows = pages.select("url", F.pandas_udf(_answers, "array<string>")("html").alias("responses"))
-    rows = rows.select("url", F.inline(F.arrays_zip(F.col("responses").alias("response"), asked.alias("q")))).select("url", "response", "q.*")
-    q = answer_quality(F.col("response"), F.col("keywords"), F.col("expected_type"))
+    rows = rows.select("url", F.inline(F.arrays_zip(F.col("responses").alias("response"), asked.alias("q")))).select("url", "response", F.lower("response").alias("lower"), "q.*")
+    q = answer_quality(F.col("response"), F.col("keywords"), F.col("expected_type"), F.col("lower"))
     return rows.select("url", "name", F.substring("response", 1, 500).alias("response"), F.length("response").alias("response_length"), *(c.alias(k) for k, c in q.items()))
 
 

@@ -370,16 +370,14 @@ def site_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(F.broadcast(agent_perf.questions(spark)), F.lit(True))
-    q = agent_perf.answer_quality(F.coalesce("text", F.lit("")), F.col("keywords"), F.col("expected_type"))
-    return docs.select("doc_id", "name", q["matches"].alias("matches"), F.bround(q["quality"], 9).alias("quality"), q["success"].alias("success"))
+    rows = agent_perf.standard_answers(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.coalesce("text", F.lit("")), F.col("doc_id"))
+    return rows.select(F.col("kept_0").alias("doc_id"), "name", "matches", F.bround("quality", 9).alias("quality"), "success")
 
 
 def answer_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources ranked by how well their documents answer the standard questions."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(F.broadcast(agent_perf.questions(spark)), F.lit(True))
-    q = agent_perf.answer_quality(F.coalesce("text", F.lit("")), F.col("keywords"), F.col("expected_type"))
-    ranked = agent_perf.site_ranking(docs.select(F.coalesce("source", F.lit("")).alias("url"), *(c.alias(k) for k, c in q.items())))
+    rows = agent_perf.standard_answers(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")))
+    ranked = agent_perf.site_ranking(rows.withColumnRenamed("kept_0", "url"))
     return ranked.select("url", "rank", *(F.bround(c, 6).alias(c) for c in ("quality", "success_rate", "coverage")))
 
 

@@ -38,3 +38,19 @@ def test_study_end_to_end(spark):
     grades = calibration.grade_answers(given, kept.selectExpr("slug", "pair_index", "pair.answer as truth"), "slug", "pair_index")
     got = calibration.page_accuracy(grades, "slug").first()
     assert (got["answers"], got["accuracy"]) == (4, 0.5)
+
+
+def test_standard_answers_lower_a_text_once_for_all_questions(spark):
+    """The same grades as ``answer_quality`` for each question, with the text lowered in one place of the plan and not beside the question's rows."""
+    from pyspark.sql import functions as F
+
+    from pageloom.operators import agent_perf
+
+    texts = ["", "  \n ", "Install FIRST, then CONFIGURE the setup step; an ÉLAN of words that goes on for more than fifty characters", "## Error\n- fix 1. the problem " * 9, "import class ``` example CODE function " * 60]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = agent_perf.standard_answers(rows, F.col("text"), F.col("id"))
+    plain = rows.join(agent_perf.questions(spark), F.lit(True))
+    q = agent_perf.answer_quality(F.col("text"), F.col("keywords"), F.col("expected_type"))
+    want = plain.select("id", "name", *(c.alias(k) for k, c in q.items()))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
