@@ -93,3 +93,18 @@ def test_kernel_runs_once_and_filters_pass_below_it(spark, small):
 
     plan = featured(spark, small).select("page_id", pillars.semantic_html(), pillars.static_accessibility())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_kernel_holds_the_values_of_few_pages_at_once(spark):
+    import pandas as pd
+
+    from pageloom.kernels.features import FEATURES, PAGES, _kernel
+
+    taken = []
+    one = lambda h: taken.append(h) or features(h)
+    batch = pd.Series([f"<p>{i}" for i in range(PAGES)] + [None, ""] + ["<p>x"] * PAGES * 2)
+    out, sizes = _kernel(one, FEATURES).func(iter([batch])), []
+    for frame in out:
+        sizes.append(len(frame))
+        assert len(taken) <= sum(sizes) + 1  # nothing is parsed ahead of what was passed on
+    assert sum(sizes) == len(batch) and max(sizes) <= PAGES
