@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import cells, durable, isolate, numbered, small_side
+from pageloom.llm.common import cells, durable, handed_back, isolate, numbered, small_side
 
 #: Digests in one perfect hash, and rows looked up in it at once.
 BUCKET_DIGESTS, CELL_ROWS = 50_000, 100_000
@@ -149,7 +149,7 @@ def index_of(rows: DataFrame) -> DataFrame:
     known = durable(grouped(rows))
     buckets = cells(known.count(), BUCKET_DIGESTS)
     known = known.select("*", F.lit(buckets).alias("buckets"), _bucket(buckets).alias("bucket"))
-    return durable(known.groupBy("bucket").applyInArrow(_index, INDEX))
+    return durable(known.groupBy("bucket").applyInArrow(lambda rows: handed_back(_index(rows)), INDEX))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +179,7 @@ def dealt(rows: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
 def looked_up(rows: DataFrame, index: DataFrame) -> DataFrame:
     """The rows with found, keep_id, keep_row and group_size from the index."""
     asked, spread = dealt(rows, index)
-    return asked.groupBy("bucket", "part").cogroup(spread.groupBy("bucket", "part")).applyInArrow(_lookup, PROBED)
+    return asked.groupBy("bucket", "part").cogroup(spread.groupBy("bucket", "part")).applyInArrow(lambda rows, index: handed_back(_lookup(rows, index)), PROBED)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DataFrame | None = None) -> DataFrame:

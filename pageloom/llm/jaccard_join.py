@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import cells, durable, isolate, numbered, parallel, release, small_side, stored
+from pageloom.llm.common import cells, durable, handed_back, isolate, numbered, parallel, release, small_side, stored, thrifty
 
 #: Defaults of near-duplicate stages.
 WORDS, PERCENT = 5, 80
@@ -189,7 +189,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
                 keys.append(_key(grams))
             yield pa.RecordBatch.from_arrays([frame["doc_id"], frame["text_hash"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "text_hash", "n_shingles", "key"])
 
-    return docs.mapInArrow(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, key binary")
+    return docs.mapInArrow(thrifty(batches), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, key binary")
 
 
 def texts_by_block(docs: DataFrame, n: int, percent: int, blocks: int) -> DataFrame:
@@ -211,7 +211,7 @@ def texts_by_block(docs: DataFrame, n: int, percent: int, blocks: int) -> DataFr
                     chosen.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(keys, pa.binary()), frame["text"].take(pa.array(chosen, pa.int32()))], ["block", "key", "text"])
 
-    return docs.mapInArrow(batches, "block int, key binary, text string")
+    return docs.mapInArrow(thrifty(batches), "block int, key binary, text string")
 
 
 def _longs(held: bytes) -> np.ndarray:
@@ -262,7 +262,7 @@ def block_counts(texts: DataFrame, n: int, bits: int, buckets: int) -> DataFrame
         bucket, block, grams, many = zip(*out, strict=True)
         return pa.table([pa.array(bucket, pa.int32()), pa.array(block, pa.int32()), pa.array(grams, pa.binary()), pa.array(many, pa.binary())], ["bucket", "block", "grams", "many"])
 
-    return texts.groupBy("block").applyInArrow(count, "bucket int, block int, grams binary, many binary")
+    return texts.groupBy("block").applyInArrow(lambda key, table: handed_back(count(key, table)), "bucket int, block int, grams binary, many binary")
 
 
 def repeated_grams(counts: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def repeated_grams(counts: DataFrame) -> DataFrame:
                 df_out.append(totals[at[hit]].tobytes())
         return pa.table([pa.array(blocks, pa.int32()), pa.array(grams_out, pa.binary()), pa.array(df_out, pa.binary())], ["block", "grams", "df"])
 
-    return counts.groupBy("bucket").applyInArrow(add, "block int, grams binary, df binary")
+    return counts.groupBy("bucket").applyInArrow(lambda table: handed_back(add(table)), "block int, grams binary, df binary")
 
 
 LIVE = "sid long, key binary, n int, u int, m0 long, m1 long, m2 long, m3 long, grams binary, prefix array<struct<gram:long,pos:int,suffix:array<tinyint>>>"
@@ -335,7 +335,7 @@ def live_classes(texts: DataFrame, n: int, repeated: DataFrame, percent: int, bi
             out.append(((key[0].as_py() << 32) | i, name, len(grams), lone, *parity(again).tolist(), again.tobytes(), prefix))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _LIVE, strict=True)], schema=_LIVE) if out else _LIVE.empty_table()
 
-    return texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(choose, LIVE)
+    return texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(lambda key, table, replies: handed_back(choose(key, table, replies)), LIVE)
 
 
 def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
@@ -359,7 +359,7 @@ def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
                     out.append((a, b))
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return both.groupBy("cell").applyInArrow(check, "a long, b long")
+    return both.groupBy("cell").applyInArrow(lambda table: handed_back(check(table)), "a long, b long")
 
 
 def _contracted(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +385,7 @@ def components(edges: DataFrame) -> DataFrame:
     Tasks contract TASK_LINKS links each to stars; alternating large and small stars then join what is in several tasks.
     """
     edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    edges = durable(edges.repartition(cells(edges.count(), TASK_LINKS)).mapInArrow(_contracted, "a long, b long").distinct())
+    edges = durable(edges.repartition(cells(edges.count(), TASK_LINKS)).mapInArrow(thrifty(_contracted), "a long, b long").distinct())
     while True:
         links, nodes = edges.agg(F.count("*"), F.count_distinct("a")).first()
         if links == nodes and edges.select(F.col("b").alias("a")).join(edges, "a", "left_semi").isEmpty():

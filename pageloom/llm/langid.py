@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import durable, isolate, numbered, parallel, remainder, small_side
+from pageloom.llm.common import durable, handed_back, isolate, numbered, parallel, remainder, small_side, thrifty
 
 MAX_N, BITS, LANDMARKS, PER_LANG, RIDGE = 3, 16, 192, 500, 1e-3
 
@@ -169,7 +169,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([frame["h"], pa.array(flags, pa.binary()), frame["lang"]], ["h", "flags", "lang"])
 
     kind = dict(rows.dtypes)["lang"]
-    sample = chosen.mapInArrow(packed, f"h long, flags binary, lang {kind}").collect()
+    sample = chosen.mapInArrow(thrifty(packed), f"h long, flags binary, lang {kind}").collect()
     sample.sort(key=lambda r: (r["h"], bytes(r["flags"]), str(r["lang"])))
     sets = [np.flatnonzero(np.unpackbits(np.frombuffer(r["flags"], np.uint8))).astype(np.int32) for r in sample]
     return fit_slots([s if len(s) else None for s in sets], [r["lang"] for r in sample])
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, labels: list[str], weights: np.ndarray, id_col: st
             yield pa.RecordBatch.from_arrays([frame["doc_id"], pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     rows = parallel(isolate(docs, id_col, text_col).toDF("doc_id", "text"))
-    return rows.mapInArrow(batches, f"doc_id {docs.schema[docs.columns.index(id_col)].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(thrifty(batches), f"doc_id {docs.schema[docs.columns.index(id_col)].dataType.simpleString()}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, labels: list[str], weights: np.ndarray, text_col: str = "text") -> DataFrame:
@@ -195,7 +195,7 @@ def keep_identified(docs: DataFrame, labels: list[str], weights: np.ndarray, tex
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
         lang, score = predict(list(texts), *model.value)
-        return pd.Series([x != "und" and s >= REJECT_BELOW for x, s in zip(lang, score, strict=True)], dtype=bool)
+        return handed_back(pd.Series([x != "und" and s >= REJECT_BELOW for x, s in zip(lang, score, strict=True)], dtype=bool))
 
     plain, at, old = numbered(docs)
     return parallel(plain).where(known(at[text_col])).toDF(*old)

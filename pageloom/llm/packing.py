@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import cells, durable, isolate, parallel, release, stored
+from pageloom.llm.common import cells, durable, isolate, parallel, release, stored, thrifty
 
 WINDOW, END, SHARD_DOCS, SHARD_TOKENS = 2048, 1, 4096, 1 << 22
 
@@ -223,7 +223,7 @@ def routed(docs: DataFrame, path: str) -> tuple[DataFrame, str, int]:
             ids = [token_ids(text, path).astype(np.uint16).tobytes() for text in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["h"], pa.array(ids, pa.binary())], ["h", "ids"])
 
-    held = sorted((r["h"], bytes(r["ids"])) for r in sample.select("h", "text").mapInArrow(tokenised, "h long, ids binary").collect())
+    held = sorted((r["h"], bytes(r["ids"])) for r in sample.select("h", "text").mapInArrow(thrifty(tokenised), "h long, ids binary").collect())
     levels = min(LEVELS, max(0, (cells(n, SHARD_DOCS) - 1).bit_length()))
     router = docs.sparkSession.sparkContext.broadcast(Router([np.frombuffer(ids, np.uint16) for _, ids in held], levels))
 
@@ -236,7 +236,7 @@ def routed(docs: DataFrame, path: str) -> tuple[DataFrame, str, int]:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "leaf", "place", "tie", "ids"])
 
     tied = docs.withColumn("tie", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()))
-    return *stored(tied.mapInArrow(dealt, "doc_id long, leaf int, place double, tie long, ids binary")), n
+    return *stored(tied.mapInArrow(thrifty(dealt), "doc_id long, leaf int, place double, tie long, ids binary")), n
 
 
 def statistics(tokens: DataFrame) -> tuple[np.ndarray, float]:
@@ -252,7 +252,7 @@ def statistics(tokens: DataFrame) -> tuple[np.ndarray, float]:
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *held.tolist()], pa.int32()), pa.array([docs, total, *df[held].tolist()], pa.int64())], ["token", "n"])
 
-    found = dict(map(tuple, tokens.select("ids").mapInArrow(counted, "token int, n long").groupBy("token").agg(F.sum("n")).collect()))
+    found = dict(map(tuple, tokens.select("ids").mapInArrow(thrifty(counted), "token int, n long").groupBy("token").agg(F.sum("n")).collect()))
     docs, total = found.pop(-1, 0), found.pop(-2, 0)
     df = np.zeros(VOCABULARY, np.int64)
     df[list(found)] = list(found.values())
@@ -291,6 +291,6 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     order = ["leaf", "place", "tie"]
     dealt = tokens.repartitionByRange(cells(n, SHARD_DOCS), *order).sortWithinPartitions(*order)
-    pieces = durable(dealt.select("doc_id", "ids").mapInArrow(packed, PIECE))
+    pieces = durable(dealt.select("doc_id", "ids").mapInArrow(thrifty(packed), PIECE))
     release(tokens, at)
     return pieces
