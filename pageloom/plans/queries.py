@@ -121,7 +121,8 @@ def axe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failure_mode_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_pages(enriched(spark, sf_dir), extraction=False).groupBy("failure_mode", "content_type").agg(F.count("*").alias("pages"), F.bround(F.avg("parseability_score"), 6).alias("mean_score"))
+    """Pages and mean scores by failure mode and profile, from all six pillars."""
+    return score_pages(enriched(spark, sf_dir)).groupBy("failure_mode", "content_type").agg(F.count("*").alias("pages"), F.bround(F.avg("parseability_score"), 6).alias("mean_score"))
 
 
 # ---- files

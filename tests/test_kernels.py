@@ -87,6 +87,18 @@ def test_extraction_tells_prose_from_chrome(spark):
     assert "link text" not in readability.extract(Dom(CHROME.replace("Tiny.", "x" * 300)))["text"]
 
 
+def test_failure_modes_come_from_all_six_pillars(spark, small):
+    """A page is partly evaluated only where a pillar fails, so the counts are those of the full scores in raw mode."""
+    from collections import Counter
+
+    from pageloom.plans import queries
+
+    got = {(r["failure_mode"], r["content_type"]): r["pages"] for r in queries.failure_mode_dist(spark, small).collect()}
+    rows = queries.page_scores(spark, small).where("render_mode = 'raw'").select("failure_mode", "content_type", "content_extractability").collect()
+    assert got == Counter((r["failure_mode"], r["content_type"]) for r in rows) and all(r["content_extractability"] is not None for r in rows)
+    assert len({mode for mode, _ in got}) > 1
+
+
 def test_kernel_runs_once_and_filters_pass_below_it(spark, small):
     from pageloom.plans.queries import featured
     from pageloom.operators import pillars
