@@ -126,9 +126,12 @@ def validation_rates(validated: DataFrame) -> DataFrame:
 def run_consistency(runs: DataFrame, n_runs: int) -> DataFrame:
     """Spread of each url that all runs hold: (run, url, score).
 
-    Deviations are settled on twelve digits before bands are told, since the order of their sums moves the last ones: an exact 3 is no 3.0000000000000004.
+    The bands end at whole deviations, and the order of sums moves last digits: what is whole but for those is set to the whole number, so an exact 3
+    is no 3.0000000000000004.  All others stay as they are.
     """
-    rows = runs.groupBy("url").agg(F.avg("score").alias("mean"), F.coalesce(F.bround(F.stddev_samp("score"), 12), F.lit(0.0)).alias("stdev"), F.min("score").alias("low"), F.max("score").alias("high"), F.count_distinct("run").alias("runs"))
+    stdev = F.stddev_samp("score")
+    settled = F.when(F.abs(stdev - F.rint(stdev)) < 1e-12, F.rint(stdev)).otherwise(stdev)
+    rows = runs.groupBy("url").agg(F.avg("score").alias("mean"), F.coalesce(settled, F.lit(0.0)).alias("stdev"), F.min("score").alias("low"), F.max("score").alias("high"), F.count_distinct("run").alias("runs"))
     rows = rows.where(F.col("runs") == n_runs).withColumn("range", F.col("high") - F.col("low"))
     band = F.when(F.col("stdev") <= 1, "high").when(F.col("stdev") <= 3, "moderate").when(F.col("stdev") <= 5, "some").otherwise("low")
     return rows.withColumn("band", band).withColumn("inconsistent", (F.col("stdev") > 5) | (F.col("range") > 10))

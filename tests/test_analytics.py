@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import statistics
 
 import numpy as np
 import pandas as pd
@@ -279,3 +280,15 @@ def test_bands_take_exact_deviations_whatever_the_order_of_rows(spark):
     assert {(r["url"].split()[0], r["band"], r["stdev"]) for r in spread.collect()} == {("high", "high", 1.0), ("moderate", "moderate", 3.0), ("some", "some", 5.0)}
     got = analytics.consistency_verdict(spread).first()
     assert (got["high"], got["moderate"], got["some"], got["low"], got["verdict"]) == (40, 40, 40, 0, "PASS")
+
+
+def test_deviations_are_those_of_exact_arithmetic(spark):
+    """As of fractions: whole ones exactly, others without a rounding before that to six digits (2.3456774999997 is 2.345677)."""
+    rng = random.Random(5)
+    held = {"tie": [0.0, 2.3456774999997, 4.6913549999994], "edge": [0.0, 3.0, 6.0], "beyond": [0.0, 3.00000000002, 6.00000000004]}
+    held |= {f"u{k}": [rng.uniform(0, 100) for _ in range(3 + k % 9)] for k in range(200)}
+    rows = [(i % 3, url, x) for url, scores in held.items() for i, x in enumerate(scores)]
+    spread = analytics.run_consistency(spark.createDataFrame(rows, "run int, url string, score double"), 3)
+    got = {r["url"]: r for r in spread.select("*", F.bround("stdev", 6).alias("rounded")).collect()}
+    assert all(abs(got[url]["stdev"] - statistics.stdev(scores)) < 1e-13 for url, scores in held.items())
+    assert got["tie"]["rounded"] == 2.345677 and got["edge"]["band"] == "moderate" and got["beyond"]["band"] == "some"
