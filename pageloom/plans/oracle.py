@@ -191,17 +191,17 @@ scored AS (SELECT *, {weighted("content_type", CORE)} AS parseability_score, {we
 # Extraction over the given pages: an article is a heading and runs of paragraphs, each run inside the bold text of the one before; elsewhere text is in a title, a list of links, a block and a footer.
 
 
-def told(x: str) -> str:
-    """Text of a piece of HTML: its stripped parts with a space between."""
+def pieces(x: str) -> str:
+    """Stripped parts of a piece of HTML between its tags."""
     chars = "p"
     for entity, char in (("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")):
         chars = f"regexp_replace({chars}, '{entity}', '{char}', 'g')"
-    return f"array_to_string(list_filter(list_transform(string_split_regex({x}, '<[^>]*>'), lambda p: {trim(chars)}), lambda p: p <> ''), ' ')"
+    return f"list_filter(list_transform(string_split_regex({x}, '<[^>]*>'), lambda p: {trim(f"CASE WHEN contains(p, '&') THEN {chars} ELSE p END")}), lambda p: p <> '')"
 
 
-def spaceless(x: str) -> str:
-    """Length of ``told`` without the spaces between its parts."""
-    return f"length({told(x).removesuffix(", ' ')")}, ''))"
+def told(x: str) -> str:
+    """Its text, with a space between the parts."""
+    return f"array_to_string({pieces(x)}, ' ')"
 
 
 def gain(t: str) -> str:
@@ -216,16 +216,23 @@ def joined(x: str) -> str:
     return f"array_to_string(list_filter({x}, lambda t: t <> ''), ' ')"
 
 
+def spaceless(x: str) -> str:
+    """Length of its parts."""
+    return f"length(array_to_string({pieces(x)}, ''))"
+
+
+LINKED = spaceless(f"array_to_string({LINKS}, '<>')")
 UNLINKED = r"regexp_replace(b, '(?is)<ul\b.*?</ul>', '', 'g')"
 EXTRACTED = f"""texts AS (SELECT *, string_split({element("article")}, '<p><b>') AS parts FROM classified),
-runs AS (SELECT *, list_transform(parts, lambda x: {told("x")}) AS told, list_transform(parts, lambda x: list_transform(regexp_extract_all(x, '(?s)<p>(.*?)</p>', 1), lambda y: {told("y")})) AS inner_ FROM texts),
+cut AS (SELECT *, list_transform(parts, lambda x: {pieces("x")}) AS held, list_transform(parts, lambda x: list_transform(regexp_extract_all(x, '(?s)<p>(.*?)</p>', 1), lambda y: {told("y")})) AS inner_ FROM texts),
+runs AS (SELECT *, list_transform(held, lambda l: array_to_string(l, ' ')) AS told, list_transform(held, lambda l: length(array_to_string(l, ''))) AS sizes FROM cut),
 tails AS (SELECT *, list_transform(range(1, len(parts) + 1), lambda i: {joined("told[i:]")}) AS tails FROM runs),
-ranked AS (SELECT *, list_transform(range(2, len(parts) + 1), lambda i: coalesce(list_sum(list_transform(inner_[i], lambda y: {gain("y")})), 0) + coalesce({gain("tails[i + 1]")}, 0)) AS bold,
-  {gain("tails[2]")} AS run, {gain(told(element("div")))} AS aside, {length("array_to_string(" + LINKS + ", '<>')")} AS linked, {spaceless("b")} AS whole, {spaceless(BODY)} AS within FROM tails),
+ranked AS (SELECT *, list_transform(range(2, len(parts) + 1), lambda i: coalesce(list_sum(list_transform(inner_[i], lambda y: {gain("y")})), 0) + {gain("tails[i + 1]")}) AS bold, {gain("tails[2]")} AS run FROM tails),
 first_ AS (SELECT *, CASE WHEN run > 0 THEN 10 + run END AS by_article, list_position(bold, list_max(bold)) AS k FROM ranked),
 chosen AS (SELECT *, coalesce(list_max(bold) > by_article, false) AS deep, greatest(by_article, list_max(bold)) AS most FROM first_),
-rated AS (SELECT *, CASE WHEN deep THEN tails[k + 1] ELSE tails[1] END AS top, (0.5 * run + aside) * (1 - linked / greatest(within, 1)) AS body_rank, 0.5 * aside * (1 - linked / greatest(whole, 1)) AS html_rank FROM chosen),
-found AS (SELECT *, CASE WHEN most IS NOT NULL AND (length(replace(top, ' ', '')) >= 250 OR most > greatest(body_rank, html_rank)) THEN CASE WHEN deep THEN 'bold' ELSE 'article' END WHEN html_rank > 0 AND html_rank >= body_rank THEN 'html' ELSE 'body' END AS root FROM rated),
+rated AS (SELECT *, tails[CASE WHEN deep THEN k + 1 ELSE 1 END] AS top, most IS NOT NULL AND list_sum(sizes[CASE WHEN deep THEN k + 1 ELSE 1 END:]) >= 250 AS enough FROM chosen),
+again AS (SELECT *, CASE WHEN NOT enough THEN (0.5 * run + {gain(told(element("div")))}) * (1 - {LINKED} / greatest({spaceless(BODY)}, 1)) END AS body_rank, CASE WHEN NOT enough THEN 0.5 * {gain(told(element("div")))} * (1 - {LINKED} / greatest({spaceless("b")}, 1)) END AS html_rank FROM rated),
+found AS (SELECT *, CASE WHEN enough OR most > greatest(body_rank, html_rank) THEN CASE WHEN deep THEN 'bold' ELSE 'article' END WHEN html_rank > 0 AND html_rank >= body_rank THEN 'html' ELSE 'body' END AS root FROM again),
 extracted AS (SELECT *, CASE WHEN root IN ('bold', 'article') THEN top WHEN root = 'html' THEN {told(UNLINKED)} ELSE {told(f"regexp_extract({UNLINKED}, '(?is)<body[^>]*>(.*)$', 1)")} END AS text, {told("b")} AS raw FROM found),
 shares AS (SELECT *, length(text) / length(raw) AS x, {words("tails[1]")} AS main_words, {words("text")} AS text_words FROM extracted)"""
 NOISE = f"least(CASE WHEN x < {dbl(0.05)} THEN x * {dbl(200)} WHEN x < {dbl(0.15)} THEN {dbl(10)} + (x - {dbl(0.05)}) * {dbl(200)} WHEN x <= {dbl(0.85)} THEN {dbl(30)} + least(x, {dbl(0.7)}) / {dbl(0.7)} * {dbl(10)} ELSE {dbl(35)} END, {dbl(40)})"
